@@ -28,7 +28,9 @@ THRESHOLD = 80  # per cent
 SLACK = 4  # per cent
 COMMON = 32
 KEYS = 5
-PER_ANCHOR = 500
+LOOSE = 2  # keys shared with a leader that bring a document into its group
+BLOCK = 256  # queries held at a time
+SLICE = 500  # members that stream by them
 
 
 def need(size: int, percent: int = THRESHOLD) -> int:
@@ -67,57 +69,95 @@ def _sets(percent: int):
 
 
 def _compare(percent: int):
-    """Rows of one anchor follow one another, its own first; its set is held while members stream by."""
+    """Each deal's queries come first and are held, with an index of their tokens; its members stream by.
+
+    Of the links found, only those are kept that join what the deal has not yet joined: no more than
+    its rows, however many of its pairs are similar.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    class Deal:
+        def __init__(self, key):
+            self.key, self.nodes, self.sets, self.index, self.root = key, [], [], None, {}
+
+        def find(self, x):
+            while (up := self.root.get(x, x)) != x:
+                self.root[x] = self.root.get(up, up)
+                x = up
+            return x
+
+        def links(self, node, s):
+            if self.index is None:
+                self.sizes = np.array([len(x) for x in self.sets], np.int64)
+                tokens, owners = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
+                order = np.argsort(tokens, kind="stable")
+                self.owners = owners[order]
+                self.index, self.first, self.counts = np.unique(tokens[order], return_index=True, return_counts=True)
+                self.sets = None
+            at = np.minimum(np.searchsorted(self.index, s), len(self.index) - 1)
+            at = at[self.index[at] == s]
+            n = self.counts[at]
+            where = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(self.owners[where], minlength=len(self.nodes))
+            for i in np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(s) - both))):
+                x, y = self.find(self.nodes[i]), self.find(node)
+                if x != y:
+                    self.root[x] = y
+                    yield self.nodes[i], node
+
     def run(batches):
-        cache, anchor, mine = WordHashes(), None, None
+        cache, deal = WordHashes(), Deal(None)
         for batch in batches:
-            a_out, b_out = [], []
+            found = []
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                for a, b, text in zip(part[0].to_pylist(), part[1].to_pylist(), part[2].to_pylist(), strict=True):
+                for *key, member, node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if key != deal.key:
+                        deal = Deal(key)
                     s = shingle_set(text, cache)
-                    if b is None:
-                        anchor, mine = a, s
-                    elif a == anchor:
-                        both = len(np.intersect1d(mine, s, assume_unique=True))
-                        if 100 * both >= percent * (len(mine) + len(s) - both):
-                            a_out.append(a)
-                            b_out.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], schema=schema)
+                    if not member:
+                        deal.nodes.append(node)
+                        deal.sets.append(s)
+                    elif deal.nodes:
+                        found.extend(deal.links(node, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
     return run
 
 
-def verify_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Those of ``pairs`` (a, b: class fingerprints) whose sets are similar enough.
+def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, members: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join the ``queries`` of each group with its ``members`` (both grp, fp).
 
-    Members are dealt to slices of at most about ``PER_ANCHOR`` of one anchor, so an anchor with very
-    many members is compared by many tasks; each slice gets the anchor's text once.
+    A group is dealt out as blocks of queries against slices of members, so texts are moved once a
+    block or slice, never once a pair, and one large group is compared by many tasks.
     """
-    pairs = stage(pairs.distinct(), "pairs")
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_ANCHOR).cast("int").alias("slices"))
-    members = pairs.join(counts, "a").select("a", F.col("b").alias("fp"), F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), F.col("b"))
-    anchors = counts.select("a", F.col("a").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("b"))
-    wanted = members.unionByName(anchors).join(classes.select("fp", "rep"), "fp").select("a", "slice", "b", F.col("rep.doc_id").alias("want_id"), F.col("rep.th").alias("want_th"))
+    sides = {}
+    for name, rows, most in (("q", queries, BLOCK), ("m", members, SLICE)):
+        rows = stage(rows.select("grp", "fp").distinct(), "side")
+        sides[name] = rows, rows.groupBy("grp").agg(F.ceil(F.count("*") / most).cast("int").alias(f"{name}_parts"))
+    parts = stage(sides["q"][1].join(sides["m"][1], "grp"), "parts")
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = sides["q"][0].join(parts, "grp").select("grp", own("q_parts").alias("block"), each("m_parts").alias("slice"), F.lit(False).alias("member"), "fp")
+    m = sides["m"][0].join(parts, "grp").select("grp", each("q_parts").alias("block"), own("m_parts").alias("slice"), F.lit(True).alias("member"), "fp")
+    wanted = q.unionByName(m).join(classes.select("fp", "rep"), "fp").select("grp", "block", "slice", "member", "fp", F.col("rep.doc_id").alias("want_id"), F.col("rep.th").alias("want_th"))
     rows = texts.join(wanted.hint("shuffle_hash"), F.col("th").eqNullSafe(F.col("want_th")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
-    dealt = rows.select("a", "slice", "b", "text").repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
-    return stage(dealt.select("a", "b", F.col("text").cast("binary").alias("text")).mapInArrow(_compare(percent), "a long, b long"), "links")
+    dealt = rows.select("grp", "block", "slice", "member", "fp", F.col("text").cast("binary").alias("text")).repartition("grp", "block", "slice").sortWithinPartitions("grp", "block", "slice", "member")
+    return stage(dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
 def _leader_pairs(sets: DataFrame) -> DataFrame:
-    """(leader, member) of each MinHash key that several classes share."""
+    """(leader, member, keys they share) for the leaders of all MinHash keys that several classes hold."""
     keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).distinct()
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = stage(keys.join(common, "key"), "keys")
     fame = shared.groupBy("fp").agg(F.sum("c").alias("fame"))
     leaders = shared.join(fame, "fp").groupBy("key").agg(F.max(F.struct("fame", "fp"))["fp"].alias("a"))
-    return shared.join(leaders, "key").where("a != fp").select("a", F.col("fp").alias("b"))
+    return shared.join(leaders, "key").where("a != fp").groupBy("a", F.col("fp").alias("b")).agg(F.count("*").alias("keys"))
 
 
-def _opened(matrix: DataFrame, groups: DataFrame, sizes: DataFrame, least: str | None, percent: int) -> DataFrame:
-    """Pairs (a, b) to compare: a's tokens (token, fp, g) against every other group's union.
+def _opened(matrix: DataFrame, least: str | None) -> DataFrame:
+    """(fp, other): a document and a group to compare, by its tokens (token, fp, g) in each later group's union.
 
     ``least`` is the fewest shared tokens (an expression over n and common) that opens a group.
     """
@@ -125,8 +165,7 @@ def _opened(matrix: DataFrame, groups: DataFrame, sizes: DataFrame, least: str |
     bound = matrix.join(unions, "token").where("g < other").groupBy("fp", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("common").alias("common"))
     if least:
         bound = bound.where(F.expr(f"shared >= {least}"))
-    members = sizes.join(groups, "fp", "left").select(F.col("fp").alias("b"), F.col("n").alias("m"), F.coalesce("g", "fp").alias("other"))
-    return bound.join(members, "other").where((F.lit(percent) * F.col("n") <= 100 * F.col("m")) & (F.lit(percent) * F.col("m") <= 100 * F.col("n"))).select(F.col("fp").alias("a"), "b")
+    return bound.select("fp", "other")
 
 
 def _full_tokens(percent: int):
@@ -159,10 +198,13 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     source = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"))
     sets = stage(source.mapInArrow(_sets(percent), "doc_id long, th long, n long, fp long, keys array<long>, prefix array<long>"), "sets")
     classes = stage(sets.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
-    sizes = classes.select("fp", "n")
-
-    star = verify_pairs(texts, classes, _leader_pairs(sets), percent)
-    groups = stage(connected_components(star, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("g")), "groups")
+    leaders = stage(_leader_pairs(sets), "leaders")
+    star = compare_groups(texts, classes, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp")), percent)
+    # A group: what verified links join, and those that share keys with a leader though no link.
+    alone = leaders.where(F.col("keys") >= LOOSE).join(star.select(F.explode(F.array("a", "b")).alias("b")).distinct(), "b", "left_anti")
+    loose = stage(alone.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")), "loose")
+    groups = stage(connected_components(star.unionByName(loose.select("a", "b")), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("g")), "groups")
+    inner = compare_groups(texts, classes, groups.join(loose, F.col("fp") == F.col("b"), "left_semi").withColumnRenamed("g", "grp"), groups.withColumnRenamed("g", "grp"), percent)
 
     tokens = sets.where("prefix is not null").select("fp", "n", F.explode("prefix").alias("token")).repartition("token")
     crossing = tokens.groupBy("token").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select(F.col("token").alias("t"))
@@ -176,14 +218,16 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     held = matrix.where(F.col("in_groups") > common).groupBy("fp").agg(F.count("*").alias("common"))
     light = matrix.where(F.col("in_groups") <= common).join(held, "fp", "left").fillna(0, ["common"])
     fewest = f"1 + ({SLACK} * (({percent} * n + 99) div 100)) div 100"
-    pairs = _opened(light.select("token", "fp", "n", "g", "common"), groups, sizes, f"greatest(1, {fewest} - common)", percent)
+    opened = _opened(light.select("token", "fp", "n", "g", "common"), f"greatest(1, {fewest} - common)")
 
-    full = stage(held.join(sizes, "fp").where(F.expr(f"common >= {fewest}")).select("fp", "n"), "full")
+    full = stage(held.join(classes.select("fp", "n"), "fp").where(F.expr(f"common >= {fewest}")).select("fp", "n"), "full")
     if full.limit(1).count():
-        pairs = pairs.unionByName(_full_pairs(texts, classes, full, groups, percent))
-    links = verify_pairs(texts, classes, pairs, percent)
+        opened = opened.unionByName(_full_opened(texts, classes, full, groups, percent))
+    opened = stage(opened.distinct(), "opened")
+    members = classes.join(groups, "fp", "left").select(F.coalesce("g", "fp").alias("grp"), "fp")
+    links = compare_groups(texts, classes, opened.select(F.col("other").alias("grp"), "fp"), members.join(opened.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi"), percent)
 
-    linked = connected_components(star.unionByName(links), "a", "b").select(F.col("node").alias("fp"), "component")
+    linked = connected_components(star.unionByName(inner).unionByName(links), "a", "b").select(F.col("node").alias("fp"), "component")
     known = classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     final = known.join(lowest, "component").select(F.col("fp").alias("class"), "component_id")
@@ -191,8 +235,8 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     return sets.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _full_pairs(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs among the classes in ``full`` from prefixes of whole sets, rarest tokens first."""
+def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(fp, other) for the classes in ``full``, from prefixes of whole sets, rarest tokens first."""
     want = full.join(classes.select("fp", "rep"), "fp").select("fp", F.col("rep.doc_id").alias("want_id"), F.col("rep.th").alias("want_th"))
     rows = texts.join(want.hint("shuffle_hash"), F.col("th").eqNullSafe(F.col("want_th")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
     whole = rows.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(_full_tokens(percent), "fp long, tokens array<long>")
@@ -200,4 +244,4 @@ def _full_pairs(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: D
     frequency = each.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), F.min("g").alias("g"))
     first = ordered.join(full, "fp").select("fp", "n", "g", F.explode(F.expr(f"slice(`order`, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("e")).where("e.df > 1")
-    return _opened(stage(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common")), "full-matrix"), groups, full, None, percent)
+    return _opened(stage(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common")), "full-matrix"), None)

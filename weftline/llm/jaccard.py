@@ -157,12 +157,14 @@ def _leader_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _opened(matrix: DataFrame, least: str | None) -> DataFrame:
-    """(fp, other): a document and a group to compare, by its tokens (token, fp, g) in each later group's union.
+    """(fp, other): a document and a group to compare, by its tokens in the union of each larger group.
 
+    The matrix has token, fp, n, g, members (of g) and common. Of two groups, the one with fewer members
+    asks, so stragglers of a large group are held against it and not its members against each of them.
     ``least`` is the fewest shared tokens (an expression over n and common) that opens a group.
     """
-    unions = matrix.select("token", F.col("g").alias("other")).distinct()
-    bound = matrix.join(unions, "token").where("g < other").groupBy("fp", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("common").alias("common"))
+    unions = matrix.select("token", F.struct("members", "g").alias("union")).distinct()
+    bound = matrix.join(unions, "token").where(F.struct("members", "g") < F.col("union")).withColumn("other", F.col("union.g")).groupBy("fp", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("common").alias("common"))
     if least:
         bound = bound.where(F.expr(f"shared >= {least}"))
     return bound.select("fp", "other")
@@ -215,14 +217,16 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     matrix = stage(shared.join(per_token, "token"), "matrix")
     unstage(shared)
 
+    counts = groups.groupBy("g").agg(F.count("*").alias("members"))
+    sized = lambda rows: rows.join(counts, "g", "left").fillna(1, ["members"])
     held = matrix.where(F.col("in_groups") > common).groupBy("fp").agg(F.count("*").alias("common"))
     light = matrix.where(F.col("in_groups") <= common).join(held, "fp", "left").fillna(0, ["common"])
     fewest = f"1 + ({SLACK} * (({percent} * n + 99) div 100)) div 100"
-    opened = _opened(light.select("token", "fp", "n", "g", "common"), f"greatest(1, {fewest} - common)")
+    opened = _opened(sized(light), f"greatest(1, {fewest} - common)")
 
     full = stage(held.join(classes.select("fp", "n"), "fp").where(F.expr(f"common >= {fewest}")).select("fp", "n"), "full")
     if full.limit(1).count():
-        opened = opened.unionByName(_full_opened(texts, classes, full, groups, percent))
+        opened = opened.unionByName(_full_opened(texts, classes, full, groups, sized, percent))
     opened = stage(opened.distinct(), "opened")
     members = classes.join(groups, "fp", "left").select(F.coalesce("g", "fp").alias("grp"), "fp")
     links = compare_groups(texts, classes, opened.select(F.col("other").alias("grp"), "fp"), members.join(opened.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi"), percent)
@@ -235,7 +239,7 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     return sets.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, sized, percent: int) -> DataFrame:
     """(fp, other) for the classes in ``full``, from prefixes of whole sets, rarest tokens first."""
     want = full.join(classes.select("fp", "rep"), "fp").select("fp", F.col("rep.doc_id").alias("want_id"), F.col("rep.th").alias("want_th"))
     rows = texts.join(want.hint("shuffle_hash"), F.col("th").eqNullSafe(F.col("want_th")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
@@ -244,4 +248,4 @@ def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups:
     frequency = each.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), F.min("g").alias("g"))
     first = ordered.join(full, "fp").select("fp", "n", "g", F.explode(F.expr(f"slice(`order`, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("e")).where("e.df > 1")
-    return _opened(stage(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common")), "full-matrix"), None)
+    return _opened(stage(sized(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common"))), "full-matrix"), None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, langid, mixing, packing, secrets, urlfilter
+from weftline.llm import annjoin, chat, langid, mixing, packing, secrets, urlfilter, voronoi
 from weftline.llm.jaccard import jaccard_components
 from weftline.staging import table
 
@@ -27,6 +27,10 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return annjoin.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -35,6 +39,10 @@ def op7_chat_format(spark, sf_dir):
     return chat.digest(chat.format_records(records))
 
 
+def op8_exact_topk(spark, sf_dir):
+    return voronoi.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -43,5 +51,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op7_chat_format, op9_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

@@ -20,9 +20,10 @@ from weftline.staging import stage
 THRESHOLD = 0.93
 SLACK = 0.08  # how far below the threshold a node is still expanded
 DEGREE = 24
+LONG = 8  # further edges to any members, so that tight groups larger than a list stay joined
 CANDIDATES = 96
 ALPHA = 1.2
-BEAM = 16
+BEAM = 24
 OVERLAP = 3
 SHARD = 1000  # vectors a shard holds at most, about
 CENTROIDS = 4096  # at most; also the sample they are drawn from
@@ -53,9 +54,6 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
     c = min(CANDIDATES, n - 1)
     near = np.argpartition(d, c - 1, axis=1)[:, :c]
     own = np.take_along_axis(d, near, 1)
-    # Random candidates besides the nearest give the long edges on which a search crosses the shard.
-    far = np.random.default_rng(n).integers(0, n, (n, 32))
-    near, own = np.hstack([near, far]), np.hstack([own, np.take_along_axis(d, far, 1)])
     order = np.argsort(own, axis=1, kind="stable")
     near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
     alive = np.isfinite(own)
@@ -70,16 +68,22 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
         out[some, k] = best[some]
         alive[rows, at] = False
         alive &= alpha * d[best[:, None], near] > own
-        alive &= near != best[:, None]
-    return out
+    far = np.random.default_rng(n).integers(0, n, (n, LONG))
+    return np.hstack([out, np.where(far == rows[:, None], -1, far)])
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, medoid: int, q: np.ndarray, reach: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) of what the searches of all q met in the graph of x."""
+def range_search(x: np.ndarray, adjacency: np.ndarray, medoid: int, q: np.ndarray, reach: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, cosine) of what the searches of all q met in the graph of x.
+
+    A search starts at the medoid, and at the query's own node where ``own`` is not -1.
+    """
     nq, n = len(q), len(x)
     cosine = np.full((nq, n), -np.inf)
     expanded = np.zeros((nq, n), bool)
     cosine[:, medoid] = q @ x[medoid]
+    if own is not None:
+        inside = np.flatnonzero(own >= 0)
+        cosine[inside, own[inside]] = np.einsum("ij,ij->i", q[inside], x[own[inside]])
     beam = min(beam, n)
     active = np.arange(nq)
     while len(active):
@@ -106,8 +110,13 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, medoid: int, q: np.ndarra
     return a, b, cosine[a, b]
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float)
+def apart(c: np.ndarray, most: float) -> np.ndarray:
+    """Those that are no closer than ``most`` to an earlier one, so that a tight group has one centroid and not many."""
+    kept: list[np.ndarray] = []
+    for row in c:
+        if not kept or (np.array(kept) @ row).max() < most:
+            kept.append(row)
+    return np.array(kept)
 
 
 def _assign(centroids: dict[tuple[int, int], np.ndarray]):
@@ -126,7 +135,7 @@ def _assign(centroids: dict[tuple[int, int], np.ndarray]):
     return run
 
 
-def _groups(batches, columns: int):
+def _groups(batches):
     """Rows of one shard, gathered by its key in the first two columns; a shard is bounded."""
     key, rows = None, []
     for batch in batches:
@@ -144,7 +153,7 @@ def _build():
     schema = pa.schema([("node", pa.int64()), ("to", pa.list_(pa.int64()))])
 
     def run(batches):
-        for _, rows in _groups(batches, 4):
+        for _, rows in _groups(batches):
             nodes, x = np.array([r[0] for r in rows]), unit(np.array([r[1] for r in rows]))
             out = [nodes[a[a >= 0]] for a in robust_prune(x)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(out, pa.list_(pa.int64()))], schema=schema)
@@ -165,7 +174,7 @@ def _search(threshold: float):
             self.x, self.m = unit(np.array([r[2] for r in self.members])), np.array([r[3] for r in self.members])
             self.nodes = nodes
             self.homes = [r[4] for r in self.members]
-            place = {node: i for i, node in enumerate(nodes.tolist())}
+            self.place = place = {node: i for i, node in enumerate(nodes.tolist())}
             lists = [[place[t] for t in r[5] if t in place and place[t] != i] for i, r in enumerate(self.members)]
             # Edges run both ways, so that no member is without a way in.
             both = [set(a) for a in lists]
@@ -187,7 +196,7 @@ def _search(threshold: float):
 
         def links(self, rows):
             q = unit(np.array([r[2] for r in rows]))
-            a, b, cosine = range_search(self.x, self.adjacency, self.medoid, q, threshold - SLACK)
+            a, b, cosine = range_search(self.x, self.adjacency, self.medoid, q, threshold - SLACK, own=np.array([self.place.get(r[1], -1) for r in rows]))
             hit = cosine >= threshold
             count = np.zeros(len(rows), np.int64)
             out = []
@@ -257,7 +266,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     centroids: dict[tuple[int, int], list] = {}
     for r in nodes.orderBy("node").limit(wanted).collect():  # nodes are hashes: a random sample
         centroids.setdefault((r["label"], len(r["embedding"])), []).append(r["embedding"])
-    centroids = {k: unit(np.array(v)) for k, v in centroids.items()}
+    centroids = {k: apart(unit(np.array(v)), threshold - SLACK) for k, v in centroids.items()}
 
     plain = nodes.select("node", F.col("label").cast("int").alias("label"), "m", F.col("embedding").cast("array<double>").alias("embedding"))
     homes = stage(plain.mapInArrow(_assign(centroids), "node long, label int, m long, embedding array<double>, clusters array<string>"), "homes")

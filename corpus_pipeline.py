@@ -1,13 +1,84 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``. No stage drops a document that the ones before it left clean: the first drops those
+whose language can't be told, the second all but one of each group of near-duplicates; the third
+replaces secrets in texts, the fourth repeats or leaves out documents so that sources come near their
+weights, and the last packs what is left. SQL can't express compression or tokenising, so there is no
+``ORACLE_SQL``; tests hold the stages against plain versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import jaccard, langid, mixing, packing, secrets
+from weftline.staging import stage
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language compression can tell."""
+    return langid.predict(docs.select(*COLUMNS), langid.fit(docs)).where(~F.col("rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id, and one row of repeated rows.
+
+    A row with a null id goes if its group has an id; groups of null ids only lose exact repeats.
+    """
+    docs = docs.select(*COLUMNS)
+    groups = jaccard.jaccard_components(docs, keep_hash=True)
+    gone = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).distinct()
+    twice = groups.groupBy("doc_id", "th").count().where("count > 1").limit(1).count()
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+    kept = hashed.join(stage(gone, "gone"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left_anti")
+    if twice:
+        kept = kept.dropDuplicates(["doc_id", "th"])
+    return kept.select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    found = secrets.scan(docs.where("text is not null"), keep=("doc_id", "lang", "source", "n_chars"))
+    masked = found.withColumn("text", secrets.redact()).withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(*COLUMNS).unionByName(docs.where("text is null").select(*COLUMNS))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as its source's weight gives it: none, one or two."""
+    docs = docs.select(*COLUMNS)
+    copies = stage(mixing.mix(docs).select("row_key", F.col("copies")), "copies").withColumnRenamed("row_key", "of")
+    rows = docs.withColumn("row_key", mixing.row_key(mixing.words("text")))
+    if copies.groupBy("of").count().where("count > 1").limit(1).count():  # repeated rows: the i-th of a key takes the i-th number
+        rows = rows.withColumn("i", mixing.nth("row_key"))
+        copies = copies.withColumn("j", mixing.nth("of"))
+        rows = rows.join(copies, (F.col("row_key") == F.col("of")) & (F.col("i") == F.col("j")))
+    else:
+        rows = rows.join(copies, F.col("row_key") == F.col("of"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("secret_scan", mask_secrets),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    raise NotImplementedError
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

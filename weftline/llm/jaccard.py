@@ -15,6 +15,9 @@ second matrix over whole sets, where the rarest tokens come first. Together they
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,7 +132,8 @@ def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, mem
     """Links (a, b) that join the ``queries`` of each group with its ``members`` (both grp, fp).
 
     A group is dealt out as blocks of queries against slices of members, so texts are moved once a
-    block or slice, never once a pair, and one large group is compared by many tasks.
+    block or slice, never once a pair, and one large group is compared by many tasks. ``classes`` has fp
+    and the columns by which its text is found in ``texts``, and start and stop if it is a part of it.
     """
     sides = {}
     for name, rows, most in (("q", queries, BLOCK), ("m", members, SLICE)):
@@ -140,13 +144,17 @@ def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, mem
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = sides["q"][0].join(parts, "grp").select("grp", own("q_parts").alias("block"), each("m_parts").alias("slice"), F.lit(False).alias("member"), "fp")
     m = sides["m"][0].join(parts, "grp").select("grp", each("q_parts").alias("block"), own("m_parts").alias("slice"), F.lit(True).alias("member"), "fp")
-    wanted = q.unionByName(m).join(classes.select("fp", "rep"), "fp").select("grp", "block", "slice", "member", "fp", F.col("rep.doc_id").alias("want_id"), F.col("rep.th").alias("want_th"))
-    rows = texts.join(wanted.hint("shuffle_hash"), F.col("th").eqNullSafe(F.col("want_th")) & F.col("doc_id").eqNullSafe(F.col("want_id")))
+    keys = [c for c in classes.columns if c in texts.columns]
+    wanted = q.unionByName(m).join(classes, "fp").withColumnsRenamed({k: f"want_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"want_{k}")) for k in keys])
+    rows = texts.join(wanted.hint("shuffle_hash"), same)
+    if "start" in classes.columns:
+        rows = rows.withColumn("text", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")))
     dealt = rows.select("grp", "block", "slice", "member", "fp", F.col("text").cast("binary").alias("text")).repartition("grp", "block", "slice").sortWithinPartitions("grp", "block", "slice", "member")
     return stage(dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
 
 
-def _leader_pairs(sets: DataFrame) -> DataFrame:
+def leader_pairs(sets: DataFrame) -> DataFrame:
     """(leader, member, keys they share) for the leaders of all MinHash keys that several classes hold."""
     keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).distinct()
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
@@ -184,7 +192,7 @@ def _full_tokens(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int = COMMON) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int = COMMON, keep_hash: bool = False) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text).
 
     n_shingles is the size of the row's set of distinct 5-word shingles, component_id the smallest
@@ -193,20 +201,22 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     A null, empty or blank text has an empty set, links with nothing and keeps its own doc_id. Rows
     with equal sets are one class and always linked, so repeated rows and copies cost one comparison
     of fingerprints. A null doc_id gets the smallest id of its component, null if it has none. Other
-    columns are ignored. Sets are compared by 64-bit shingle hashes and classes by a 64-bit
+    columns are ignored; an empty table gives no rows. ``keep_hash`` adds ``th``, the text's hash. Sets
+    are compared by 64-bit shingle hashes and classes by a 64-bit
     fingerprint.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     source = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"))
     sets = stage(source.mapInArrow(_sets(percent), "doc_id long, th long, n long, fp long, keys array<long>, prefix array<long>"), "sets")
     classes = stage(sets.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
-    leaders = stage(_leader_pairs(sets), "leaders")
-    star = compare_groups(texts, classes, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp")), percent)
+    found_by = classes.select("fp", "rep.doc_id", "rep.th")
+    leaders = stage(leader_pairs(sets), "leaders")
+    star = compare_groups(texts, found_by, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp")), percent)
     # A group: what verified links join, and those that share keys with a leader though no link.
     alone = leaders.where(F.col("keys") >= LOOSE).join(star.select(F.explode(F.array("a", "b")).alias("b")).distinct(), "b", "left_anti")
     loose = stage(alone.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")), "loose")
     groups = stage(connected_components(star.unionByName(loose.select("a", "b")), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("g")), "groups")
-    inner = compare_groups(texts, classes, groups.join(loose, F.col("fp") == F.col("b"), "left_semi").withColumnRenamed("g", "grp"), groups.withColumnRenamed("g", "grp"), percent)
+    inner = compare_groups(texts, found_by, groups.join(loose, F.col("fp") == F.col("b"), "left_semi").withColumnRenamed("g", "grp"), groups.withColumnRenamed("g", "grp"), percent)
 
     tokens = sets.where("prefix is not null").select("fp", "n", F.explode("prefix").alias("token")).repartition("token")
     crossing = tokens.groupBy("token").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select(F.col("token").alias("t"))
@@ -229,14 +239,14 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
         opened = opened.unionByName(_full_opened(texts, classes, full, groups, sized, percent))
     opened = stage(opened.distinct(), "opened")
     members = classes.join(groups, "fp", "left").select(F.coalesce("g", "fp").alias("grp"), "fp")
-    links = compare_groups(texts, classes, opened.select(F.col("other").alias("grp"), "fp"), members.join(opened.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi"), percent)
+    links = compare_groups(texts, found_by, opened.select(F.col("other").alias("grp"), "fp"), members.join(opened.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi"), percent)
 
     linked = connected_components(star.unionByName(inner).unionByName(links), "a", "b").select(F.col("node").alias("fp"), "component")
     known = classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     lowest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     final = known.join(lowest, "component").select(F.col("fp").alias("class"), "component_id")
     unstage(matrix)
-    return sets.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sets.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", *["th"] * keep_hash, F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, sized, percent: int) -> DataFrame:

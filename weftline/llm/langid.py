@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_DOCS = 400  # labelled documents a language
 SAMPLE_CHARS = 2_000  # of each, at most
@@ -84,32 +85,38 @@ def classify(text: bytes, by_lang: dict) -> tuple[str, float]:
 
 
 def _predict(dictionaries: dict[str, bytes]):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-
     def run(batches):
         by_lang = compressors(dictionaries) if dictionaries else {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+                *kept, letters = batch.slice(start, 1000).columns
                 langs, scores, rejected = [], [], []
-                for text in part[2].to_pylist():
+                for text in letters.to_pylist():
                     lang, score = classify(text, by_lang) if text and by_lang else ("und", 0.0)
                     langs.append(lang)
                     scores.append(score)
                     rejected.append(lang == "und" or (score < NARROW and len(text) >= TELLING))
-                yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], schema=schema)
+                columns = [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     return run
 
 
+def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """All columns of ``docs``, which has a text, and lang_pred, score and rejected."""
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return docs.select("*", letters_of(F.col("text")).cast("binary").alias("letters")).mapInArrow(_predict(dictionaries), schema)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected)`` for every row of ``docs`` (doc_id, text, lang).
 
     lang_pred is a learned language, or ``und`` with score 0 for a text that is null or has no letter
     and for every text if nothing could be learned. score is the margin between the two smallest
     encodings; below ``NARROW`` in a text of ``TELLING`` bytes of letters or more, or for ``und``, the row
-    is rejected. Whole texts are encoded. Equal sizes go to the language with more labelled documents. Repeated rows are judged each; other columns are ignored.
+    is rejected. Whole texts are encoded. Equal sizes go to the language with more labelled documents.
+    Repeated rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     dictionaries = fit(docs) if dictionaries is None else dictionaries
-    rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), letters_of(F.col("text")).cast("binary").alias("text"))
-    return rows.mapInArrow(_predict(dictionaries), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    rows = predict(docs.select("doc_id", "text"), dictionaries)
+    return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

@@ -11,7 +11,7 @@ words miss the target by half of that one document at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,9 +25,24 @@ FAN = 64
 NEAR = 1e-9
 
 
+def words(text: str) -> Column:
+    """Words of a text, 0 for a null one."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def row_key(size: Column) -> Column:
+    """Hash that a row is drawn by; rows with equal id, size and source share it."""
+    return F.xxhash64("doc_id", size, "source")
+
+
+def nth(key: str) -> Column:
+    """Number of a row among those with its key, in any order."""
+    return F.row_number().over(W.partitionBy(key).orderBy(key))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of each row's text, 0 for a null one."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size) of each row."""
+    return docs.select("doc_id", "source", words("text").alias("size"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -52,13 +67,13 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 _UNIT = "struct<size: bigint, mixed: bigint, doc_id: bigint, base: bigint, p: double, u: double>"
-_DONE = "struct<doc_id: bigint, size: bigint, copies: bigint>"
+_DONE = "struct<doc_id: bigint, size: bigint, row_key: bigint, copies: bigint>"
 
 
 def _fold():
     """One block: an array of fractional units, largest first, to (rounded units, at most one left)."""
     near = f"{NEAR}D"
-    whole = lambda x: f"named_struct('doc_id', {x}.doc_id, 'size', {x}.size, 'copies', {x}.base + if({x}.p > 0.5, 1L, 0L))"
+    whole = lambda x: f"named_struct('doc_id', {x}.doc_id, 'size', {x}.size, 'row_key', {x}.mixed, 'copies', {x}.base + if({x}.p > 0.5, 1L, 0L))"
     is_whole = lambda x: f"({x}.p < {near} or {x}.p > 1 - {near})"
     moved = lambda x, d: f"named_struct('size', {x}.size, 'mixed', {x}.mixed, 'doc_id', {x}.doc_id, 'base', {x}.base, 'p', {x}.p + ({d}) / {x}.size, 'u', {x}.u)"
     give = "least(s.left.p * s.left.size, (1 - b.p) * b.size)"  # words the left unit can pass to b
@@ -79,7 +94,7 @@ def _draw(level: int):
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, copies)`` for every row of ``docs`` (doc_id, text, source).
+    """``(doc_id, size, source_size, target, taken, copies, row_key)`` for every row of ``docs`` (doc_id, text, source).
 
     taken is copies times size. Copies are drawn by hashes of ids and sizes, so reruns agree. A row
     without words, its text null or blank, takes none and has the whole part of its source's rate as
@@ -90,14 +105,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     aims = stage(targets(sized, weights, share, most), "targets").withColumnRenamed("source", "of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    rows = rows.withColumn("base", F.floor(F.col("rate") + NEAR)).withColumn("mixed", F.xxhash64("doc_id", "size", "source"))
+    rows = rows.withColumn("base", F.floor(F.col("rate") + NEAR)).withColumn("mixed", row_key(F.col("size")))
     rows = rows.withColumn("p", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
 
     blocks = max(1, -(-sized.count() // FAN))
     unit = lambda level: F.struct("size", "mixed", "doc_id", "base", "p", _draw(level))
     # A hash deals the documents of all sources to blocks; within each, sources are folded apart.
     now = rows.where("size > 0").select("source", F.pmod(F.xxhash64("mixed", F.lit("deal")), F.lit(blocks)).alias("block"), unit(0).alias("unit"))
-    finished, level = rows.where("size = 0").select("source", "doc_id", "size", F.col("base").alias("copies")), 0
+    finished, level = rows.where("size = 0").select("source", "doc_id", "size", F.col("mixed").alias("row_key"), F.col("base").alias("copies")), 0
     while True:
         units = now.groupBy("source", "block").agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
         folded = stage(units.select("source", "block", _fold().alias("s")), "rounded")
@@ -108,6 +123,6 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         blocks, level = -(-blocks // FAN), level + 1
         now = left.select("source", F.floor(F.col("block") / FAN).alias("block"), unit(level).alias("unit"))
     # The last of a source has no partner: it goes to the nearer side.
-    alone = left.select("source", "doc_id", "size", (F.col("base") + (F.col("p") >= 0.5).cast("long")).alias("copies"))
+    alone = left.select("source", "doc_id", "size", F.col("mixed").alias("row_key"), (F.col("base") + (F.col("p") >= 0.5).cast("long")).alias("copies"))
     out = finished.unionByName(alone).join(aims, F.col("source").eqNullSafe(F.col("of")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies"), "row_key")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import annjoin, chat, langid, mixing, packing, secrets, urlfilter, voronoi
+from weftline.llm import annjoin, chat, langid, mixing, packing, secrets, substrings, urlfilter, voronoi
 from weftline.llm.jaccard import jaccard_components
 from weftline.staging import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}

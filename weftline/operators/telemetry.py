@@ -44,3 +44,35 @@ def usage_stats(calls: DataFrame, window: str = "7d") -> DataFrame:
     )
     rate = lambda part: F.round(F.col(part) * 100.0 / F.col("calls"), 4)
     return grouped.withColumns({"error_rate_pct": rate("errors"), "overflow_rate_pct": rate("overflows")})
+
+
+def lsp_stats(starts: DataFrame) -> DataFrame:
+    """Per language of (language, reason, outcome, handshake_ms, first_response_ms): counts, mean handshake of
+    successes rounded half away, and p95 of their first responses, 0 where there is none."""
+    ok = F.col("outcome") == "success"
+    return starts.groupBy("language").agg(
+        F.count("*").alias("starts"), F.count_if(ok).alias("successes"), F.count_if(F.col("outcome") == "error").alias("failures"),
+        F.count_if(F.col("reason") == "crash").alias("crashes"), F.coalesce(F.round(F.avg(F.when(ok, F.col("handshake_ms")))), F.lit(0)).cast("long").alias("mean_handshake"),
+        F.coalesce(percentile_disc("CASE WHEN outcome = 'success' THEN first_response_ms END", 95), F.lit(0)).alias("p95_first"),
+    )
+
+
+def recent_errors(calls: DataFrame, n: int = 20) -> DataFrame:
+    """The latest n calls that failed."""
+    return calls.where(F.col("outcome").isin("error", "recoverable_error")).orderBy(F.desc("called_at"), F.desc("id")).limit(n)
+
+
+def unused_tools(registered: DataFrame, calls: DataFrame) -> DataFrame:
+    """Registered tools without a call."""
+    return registered.join(calls.select("tool_name").distinct(), "tool_name", "left_anti")
+
+
+def prune_candidates(calls: DataFrame, fewest: int = 5) -> DataFrame:
+    """Tools that were called, but fewer times than that."""
+    return calls.groupBy("tool_name").agg(F.count("*").alias("calls")).where(F.col("calls") < fewest)
+
+
+def retained(calls: DataFrame, days: int = 30) -> DataFrame:
+    """Calls of the last days before the latest one."""
+    latest = calls.agg(F.max("called_at").alias("now"))
+    return calls.join(F.broadcast(latest)).where(F.col("called_at") >= F.col("now") - F.expr(f"interval {days} days")).drop("now")  # one row

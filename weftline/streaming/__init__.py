@@ -1 +1,94 @@
-"""Structured Streaming forms."""
+"""Structured Streaming forms of the event-log and telemetry operators.
+
+Each takes a streaming DataFrame of events (event_id, ts, user_id, event_type, ...) and returns one;
+``run_to_table`` drives a stream over what its source holds now and gives the result as a table.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from weftline.operators.joins import replace_keyed
+from weftline.operators.ordering import latest_per
+from weftline.staging import shared_dir, stage, table
+
+LATE = "40 days"  # the test log comes in no order
+
+
+def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """New Parquet files of a table as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # Event times carry a zone, which watermarks ask for.
+    return rows.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in rows.dtypes])
+
+
+def hourly(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Calls and errors per hour and type."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type")
+    return w.agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+def sessions(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
+    """Events per user and session; a session ends with a gap."""
+    w = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("session"))
+    return w.agg(F.count("*").alias("events"), F.max("ts").alias("last"))
+
+
+def deduplicated(events: DataFrame, key: str, late: str = LATE) -> DataFrame:
+    """Each key once within the time that late events may take."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def two_phase(first: DataFrame, then: DataFrame, key: str, within: str, late: str = LATE) -> DataFrame:
+    """A first event and a later one of its key within a time, as a stream-stream join with bounded state."""
+    a = first.withWatermark("ts", late).select(F.col(key), F.col("ts").alias("began"))
+    b = then.withWatermark("ts", late).select(F.col(key).alias("other"), F.col("ts").alias("ended"))
+    return a.join(b, (F.col(key) == F.col("other")) & (F.col("ended") >= F.col("began")) & (F.col("ended") <= F.col("began") + F.expr(f"interval {within}"))).drop("other")
+
+
+def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    at, last, kind, n = state.get if state.exists else (-1, -1, "", 0)
+    for pdf in batches:
+        n += len(pdf)
+        row = pdf.sort_values(["micros", "event_id"]).iloc[-1]
+        if (int(row["micros"]), int(row["event_id"])) > (at, last):
+            at, last, kind = int(row["micros"]), int(row["event_id"]), row["event_type"]
+    state.update((at, last, kind, n))
+    yield pd.DataFrame({"artifact_id": [key[0]], "latest_kind": [kind], "latest_id": [last], "events": [n]})
+
+
+def incremental_fold(events: DataFrame) -> DataFrame:
+    """The latest event of each artifact and how many it has had, carried in state across batches."""
+    rows = events.select(F.col("user_id"), F.unix_micros("ts").alias("micros"), "event_id", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(_fold, "artifact_id long, latest_kind string, latest_id long, events long", "at long, last long, kind string, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there, in batches, with its progress in the shared folder."""
+    spark = stream.sparkSession
+    view = f"{name}_{uuid.uuid4().hex[:8]}"
+    query = stream.writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/streams/{view}").start()
+    query.awaitTermination()
+    return spark.table(view)
+
+
+def upsert_each_batch(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """A keyed table kept by foreachBatch: each batch's latest rows replace older ones of their keys."""
+    spark = stream.sparkSession
+    held: dict[str, DataFrame] = {}
+
+    def merge(batch: DataFrame, _: int) -> None:
+        new = batch if "t" not in held else batch.unionByName(held["t"].join(batch, list(key), "left_semi"))
+        latest = latest_per(new.select(*batch.columns), key[0], order).select(*batch.columns)
+        held["t"] = stage(latest if "t" not in held else replace_keyed(held["t"], latest, key), "upserted")
+
+    where = f"{shared_dir(spark)}/streams/upsert_{uuid.uuid4().hex[:8]}"
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    return held["t"] if held else spark.createDataFrame([], stream.schema)

@@ -105,7 +105,7 @@ def _predict(dictionaries: dict[str, bytes]):
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """All columns of ``docs``, which has a text, and lang_pred, score and rejected."""
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select("*", letters_of(F.col("text")).cast("binary").alias("letters")).mapInArrow(_predict(dictionaries), schema)
+    return docs.select("*", letters_of(F.col("text")).cast("binary").alias("_letters")).mapInArrow(_predict(dictionaries), schema)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:

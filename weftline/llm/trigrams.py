@@ -33,6 +33,9 @@ def _join(kind: str, parts) -> object:
             flat.append(p)
     if not flat:
         return True
+    if absorbing:  # a side that asks for more than another one adds nothing
+        asks = [frozenset(vocabulary(p)) if isinstance(p, str) or all(isinstance(x, str) for x in p[1]) else None for p in flat]
+        flat = [p for p, a in zip(flat, asks, strict=True) if a is None or not any(b is not None and b < a for b in asks)]
     return flat[0] if len(flat) == 1 else (kind, tuple(flat))
 
 

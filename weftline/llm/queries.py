@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import annjoin, chat, langid, mixing, packing, secrets, substrings, urlfilter, voronoi
 from weftline.llm.jaccard import jaccard_components
+from weftline.llm.oracles import ORACLES
 from weftline.staging import table
 
 
@@ -24,7 +25,8 @@ def op3_secret_scan(spark, sf_dir):
 
 
 def op4_url_filter(spark, sf_dir):
-    return urlfilter.judge(table(spark, sf_dir, "pages"))
+    found = urlfilter.judge(table(spark, sf_dir, "pages"))
+    return found.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op5_ngram_jaccard_join(spark, sf_dir):
@@ -56,4 +58,5 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -8,8 +8,6 @@ its rank among the pieces of its length.
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from array import array
 
@@ -19,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.words import worker_cache
 from weftline.staging import stage
 
 CAPACITY = 2048
 END = 0
 PER_BUCKET = 10_000
+TRAILING = b".,;:!?#%&*$"
 
 
 class TokenBytes(dict):
@@ -33,7 +33,7 @@ class TokenBytes(dict):
     its chunks in order. Two generations of at most ``most`` chunks are kept.
     """
 
-    most = 300_000
+    most = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,19 +46,16 @@ class TokenBytes(dict):
             self.clear()
         ids = self.old.get(chunk)
         if ids is None:
-            ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
+            word = chunk.rstrip(TRAILING)
+            # A letter and a mark after it never share a token.
+            if word and len(word) < len(chunk) and word.decode()[-1].isalpha():
+                ids = self[word] + self[chunk[len(word) :]]
+            else:
+                ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
 
-def worker_tokens(path: str) -> TokenBytes:
-    """One cache for all tasks that a Python worker runs."""
-    held = sys.modules.setdefault("_weftline_tokens", types.ModuleType("_weftline_tokens"))
-    if path not in vars(held):
-        setattr(held, path, TokenBytes(path))
-    return getattr(held, path)
-
-
 def text_ids(text: bytes | None, tokens: TokenBytes) -> bytes:
     """A text's ids as little-endian unsigned 32-bit bytes, with the end id."""
     text = text or b""
@@ -74,7 +71,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
         schema = schema.set(5, pa.field("ids", pa.list_(pa.int32())))
 
     def run(batches):
-        tokens = worker_tokens(path)
+        tokens = worker_cache(("tokens", path), lambda: TokenBytes(path))
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

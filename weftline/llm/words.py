@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -21,6 +25,15 @@ class WordHashes(dict):
         return found
 
 
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by a Python worker for its later tasks until another key is asked for."""
+    held = sys.modules.setdefault("_weftline_worker", types.ModuleType("_weftline_worker"))
+    if getattr(held, "key", None) != key:
+        held.value = None
+        held.value, held.key = make(), key
+    return held.value
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: what bytes.split and bytes.lower do."""
     return text.lower().split() if text else []

@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language compression can tell."""
-    return langid.predict(docs.select(*COLUMNS), langid.fit(docs)).where(~F.col("rejected")).select(*COLUMNS)
+    return langid.predict(docs, langid.fit(docs), COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,15 +7,14 @@ runner-up comes nearly as close, the document is rejected.
 
 from __future__ import annotations
 
-import sys
-import types
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.words import worker_cache
+
 SAMPLE_DOCS = 400  # labelled documents a language
 SAMPLE_CHARS = 2_000  # of each, at most
 DICTIONARY = 256 * 1024  # bytes a language
@@ -57,20 +56,15 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict:
-    """One compressor a language; kept by the Python worker for later tasks."""
+    """One compressor a language."""
     import zstandard
 
-    held = sys.modules.setdefault("_weftline_zstd", types.ModuleType("_weftline_zstd"))
-    key = str(hash(tuple(dictionaries.items())))
-    if key not in vars(held):
-        vars(held).clear()
-        made = {}
-        for lang, raw in dictionaries.items():
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            made[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-        setattr(held, key, made)
-    return getattr(held, key)
+    made = {}
+    for lang, raw in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        made[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return made
 
 
 def classify(text: bytes, by_lang: dict) -> tuple[str, float]:
@@ -86,7 +80,7 @@ def classify(text: bytes, by_lang: dict) -> tuple[str, float]:
 
 def _predict(dictionaries: dict[str, bytes]):
     def run(batches):
-        by_lang = compressors(dictionaries) if dictionaries else {}
+        by_lang = worker_cache(("compressors", tuple(dictionaries.items())), lambda: compressors(dictionaries))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 *kept, letters = batch.slice(start, 1000).columns
@@ -102,10 +96,10 @@ def _predict(dictionaries: dict[str, bytes]):
     return run
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """All columns of ``docs``, which has a text, and lang_pred, score and rejected."""
-    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select("*", letters_of(F.col("text")).cast("binary").alias("_letters")).mapInArrow(_predict(dictionaries), schema)
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns of ``docs``, which has a text, and lang_pred, score and rejected."""
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return docs.select(*keep, letters_of(F.col("text")).cast("binary").alias("_letters")).mapInArrow(_predict(dictionaries), schema)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
@@ -118,5 +112,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> D
     Repeated rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     dictionaries = fit(docs) if dictionaries is None else dictionaries
-    rows = predict(docs.select("doc_id", "text"), dictionaries)
+    rows = predict(docs, dictionaries, ("doc_id",))
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")

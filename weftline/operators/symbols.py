@@ -28,7 +28,7 @@ def kind_matches(kind: Column, wanted: str) -> Column:
     return kind.isin(*KINDS[wanted]) if wanted in KINDS else F.lit(True)
 
 
-def name_matches(query: str, name: Column = F.lit(None), path: Column = F.lit(None)) -> Column:
+def name_matches(query: str, name: Column, path: Column) -> Column:
     """Equal, or a start before ``<``, ``(`` or a space, or an end after a space, ``/`` or ``:``, backticks aside."""
     q = re.escape(query)
     each = lambda c: (c == query) | c.rlike(f"^{q}[<( ]") | c.rlike(f"[ /:]{q}$") | (F.replace(c, F.lit("`"), F.lit("")) == query.replace("`", ""))

@@ -72,3 +72,35 @@ def unique_match(symbols: DataFrame, name: str) -> DataFrame:
     hits = symbols.where((F.col("name_path") == name) | F.col("name_path").endswith("/" + name)).agg(
         F.count("*").alias("n"), F.count_if(F.col("name_path") == name).alias("exact"), F.min("name_path").alias("first"))
     return hits.select(F.when(F.col("n") == 0, "missing").when(F.col("exact") == 1, "ok").when(F.col("n") == 1, "ok").otherwise("ambiguous").alias("verdict"), F.when(F.col("exact") == 1, F.lit(name)).when(F.col("n") == 1, F.col("first")).alias("name_path"))
+
+
+def with_events(nodes: DataFrame, edges: DataFrame, events: DataFrame, event_edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A link graph with the events of its artifacts, their out-edges, and the sources that these reach, each once."""
+    mine = events.join(nodes.select(F.col("id").alias("artifact_id")), "artifact_id", "left_semi")
+    out = event_edges.join(mine.select(F.col("id").alias("src_event_id")), "src_event_id", "left_semi")
+    text = lambda c: F.col(c).cast("string")
+    reached = out.where("dst_event_id is null and dst_artifact_id is null and dst_source_id is not null").select(F.col("dst_source_id").alias("id")).distinct()
+    rows = nodes.select(F.lit("artifact").alias("node_type"), text("id").alias("id")).unionByName(mine.select(F.lit("event").alias("node_type"), text("id").alias("id")).distinct())
+    rows = rows.unionByName(sources.join(reached, "id", "left_semi").select(F.lit("source").alias("node_type"), text("id").alias("id")))
+    more = out.select(text("src_event_id").alias("src"), F.coalesce(text("dst_event_id"), text("dst_artifact_id"), text("dst_source_id")).alias("dst"), "rel")
+    return rows, edges.select(text("src").alias("src"), text("dst").alias("dst"), "rel").unionByName(more)
+
+
+def rendered(edges: DataFrame, total: int, full: bool = False, most: int = 30) -> DataFrame:
+    """The edges themselves if they are few or asked for, else their histogram."""
+    return edges if full or total <= most else histogram(edges)
+
+
+def directed(links: DataFrame, anchor: object, direction: str = "both", rels: Sequence[str] = ()) -> DataFrame:
+    """Links out of, into, or on either side of an anchor, of the named relations."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError("direction is out, in or both")
+    kept = links.where(F.col("rel").isin(list(rels))) if rels else links
+    test = {"out": F.col("src") == anchor, "in": F.col("dst") == anchor, "both": (F.col("src") == anchor) | (F.col("dst") == anchor)}
+    return kept.where(test[direction])
+
+
+def successor(events: DataFrame) -> DataFrame:
+    """(id, superseded_by): the direct successor that the last such event names; chains are not followed."""
+    rows = events.where("kind = 'superseded_by'")
+    return rows.groupBy(F.col("artifact_id").alias("id")).agg(F.max_by(F.get_json_object("payload", "$.target_artifact_id"), F.struct("created_at", "id")).alias("superseded_by"))

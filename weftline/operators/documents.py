@@ -152,3 +152,53 @@ def failure_block(docs: DataFrame) -> DataFrame:
     end = rows.groupBy("id").agg(F.min(F.when((F.col("seen") >= 2) & F.col("content").startswith("test result:"), F.col("pos"))).alias("end"))
     kept = rows.join(end, "id").where("end is null or pos < end")
     return kept.groupBy("id").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n")).alias("block"))
+
+
+def file_type(path: Column) -> Column:
+    """source, markdown, json, toml, yaml, config or text, by the name."""
+    p = F.lower(path)
+    return (
+        F.when(p.rlike(r"\.(md|markdown)$"), "markdown").when(p.endswith(".json"), "json").when(p.endswith(".toml"), "toml").when(p.rlike(r"\.ya?ml$"), "yaml")
+        .when(p.rlike(r"\.(ini|cfg|conf|env|properties)$"), "config").when(tx.language_of(path).isNotNull(), "source").otherwise("text")
+    )
+
+
+def file_summary(files: DataFrame, head: int = 20, tail: int = 10) -> DataFrame:
+    """(id, type, lines, keys, head, tail) of files (id, path, text): headings, keys or sections by type, first and last lines of the rest."""
+    rows = files.select("id", file_type(F.col("path")).alias("type"), "text", tx.lines(F.col("text")).alias("l"))
+    of = lambda pattern, group=1: F.filter(F.transform("l", lambda x: F.regexp_extract(x, pattern, group)), lambda k: k != "")
+    keys = (
+        F.when(F.col("type") == "markdown", F.filter("l", lambda x: tx.heading_level(x).isNotNull())).when(F.col("type") == "json", F.json_object_keys("text"))
+        .when(F.col("type") == "toml", of(r"^\[+([^\]]+)\]+\s*$")).when(F.col("type") == "yaml", of(r"^([A-Za-z_][\w-]*):"))
+    )
+    plain = F.col("type").isin("text", "config", "source")
+    last = F.slice("l", F.greatest(F.size("l") - tail, F.lit(head)) + 1, F.lit(tail))
+    return rows.select("id", "type", F.size("l").alias("lines"), F.slice(keys, 1, 30).alias("keys"), F.when(plain, F.slice("l", 1, head)).alias("head"), F.when(plain & (F.size("l") > head), last).alias("tail"))
+
+
+def preview(notes: DataFrame) -> DataFrame:
+    """(id, shape, detail) of notes (id, kind, text): tasks of plans, headings of specs, else the first paragraph."""
+    plans = checklist(notes.where("kind = 'plan'")).select("id", F.lit("plan").alias("shape"), F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("detail"))
+    heads = F.array_join(F.slice(F.filter(tx.lines(F.col("text")), lambda x: tx.heading_level(x).isNotNull()), 1, 10), " | ")
+    specs = notes.where("kind = 'spec'").select("id", F.lit("spec").alias("shape"), heads.alias("detail"))
+    rest = first_paragraph(notes.where("kind is null or kind not in ('plan', 'spec')")).select("id", F.lit("summary").alias("shape"), F.col("summary").alias("detail"))
+    return plans.unionByName(specs).unionByName(rest)
+
+
+def tag_union(first: Column, second: Column) -> Column:
+    """Tags of two lists, each once, those of the first ahead; a null list is empty."""
+    none = F.array().cast("array<string>")
+    return F.array_union(F.coalesce(first, none), F.coalesce(second, none))
+
+
+def config_value(files: DataFrame, path: str, key: str) -> DataFrame:
+    """(path, value) of a dotted key in a JSON, TOML or YAML file (path, text); paths that leave the root have none."""
+    if path.startswith("/") or ".." in path.split("/"):
+        return files.sparkSession.createDataFrame([], "path string, value string")
+    section, _, leaf = key.rpartition(".")
+    flat = rf"(?ms)^{leaf}\s*[:=]\s*(.*?)\s*$"
+    nested = rf"(?ms)^(?:\[{section}\]\s*?$|{section}:\s*?$)(?:(?!^\[|^\S+:).)*?^\s*{leaf}\s*[:=]\s*([^\n]*?)\s*$"
+    from weftline.functions.structured import json_at
+
+    line = F.regexp_replace(F.regexp_extract("text", nested if section else flat, 1), r"^([\"'])(.*)\1$", "$2")
+    return files.where(F.col("path") == path).select("path", F.when(F.col("path").endswith(".json"), json_at(F.col("text"), key)).otherwise(F.nullif(line, F.lit(""))).alias("value"))

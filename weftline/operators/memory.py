@@ -105,3 +105,46 @@ def trim_history(sections: DataFrame, cap: int) -> DataFrame:
     dated = F.col("text").rlike(r"^## \d{4}-\d{2}-\d{2}")
     nth = F.sum(dated.cast("int")).over(W.partitionBy("id").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     return sections.withColumn("nth", nth).where(~dated | (F.col("nth") <= cap)).drop("nth")
+
+
+def merge_anchors(old: DataFrame, new: DataFrame, current: DataFrame) -> DataFrame:
+    """Anchors (path, hash): the new paths and the old ones, with the hashes that files (path, hash) have now; missing files go."""
+    paths = new.select("path").unionByName(old.select("path")).distinct()
+    return paths.join(current, "path").select("path", "hash")
+
+
+def append_history(sections: DataFrame, text: str) -> DataFrame:
+    """Sections (id, line, text) with a dated one ahead of all."""
+    added = sections.select("id").distinct().select("id", F.lit(0).cast(dict(sections.dtypes)["line"]).alias("line"), F.lit(text).alias("text"))
+    return added.unionByName(sections)
+
+
+def topo_order(commits: DataFrame) -> DataFrame:
+    """Commits (project, hash, position) with topo_order, their place from 0 in each project, parents first by position."""
+    from pyspark.sql import Window as W
+
+    return commits.withColumn("topo_order", F.row_number().over(W.partitionBy("project").orderBy("position", "hash")) - 1)
+
+
+def embed(rows: DataFrame, model, batch: int = 8) -> DataFrame:
+    """Rows (id, text) with the vectors that a callable gives for lists of texts; all must have one length.
+
+    The callable goes to the Python workers and is called with at most ``batch`` texts.
+    """
+    import pyarrow as pa
+
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches):
+        width = None
+        for part in batches:
+            texts, vectors = part[1].to_pylist(), []
+            for i in range(0, len(texts), batch):
+                vectors += [[float(x) for x in v] for v in model([t or "" for t in texts[i : i + batch]])]
+            lengths = {len(v) for v in vectors} | ({width} if width is not None else set())
+            if len(vectors) != len(texts) or len(lengths) > 1:
+                raise ValueError("a vector of one length is wanted for each text")
+            width = next(iter(lengths), None)
+            yield pa.RecordBatch.from_arrays([part[0], pa.array(vectors, pa.list_(pa.float32()))], names=["id", "embedding"])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {kind}, embedding array<float>")

@@ -96,3 +96,15 @@ def drift_report(added: DataFrame, deleted: DataFrame) -> DataFrame:
     """One row (added, deleted, updated); an update is a deletion and an addition."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(added, "added").join(one(deleted, "deleted")).withColumn("updated", F.lit(0).cast("long"))
+
+
+def suite_score(cases: DataFrame) -> DataFrame:
+    """One row (score, p50, p95) of cases (score, ms): the sum, the median, and the element at 95 % less one."""
+    ms = F.array_sort(F.collect_list("ms"))
+    at = F.greatest((F.size(ms) * 95 / 100).cast("int"), F.lit(1))
+    return cases.agg(F.sum("score").alias("score"), F.median("ms").alias("p50"), F.element_at(ms, at).alias("p95"))
+
+
+def code_only(hits: DataFrame, mode: str) -> DataFrame:
+    """Hits without markdown in code mode; all in full mode."""
+    return hits.where(~F.coalesce(F.col("language") == "markdown", F.lit(False))) if mode == "code" else hits

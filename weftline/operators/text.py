@@ -145,3 +145,30 @@ def merge_patch(target: Column, patch: Column) -> Column:
     """A map with another's entries over it; a null in the patch takes the key away. Needs no recursion and keeps the target's order."""
     kept = F.map_filter(target, lambda k, v: ~F.array_contains(F.map_keys(patch), k))
     return F.map_concat(kept, F.map_filter(patch, lambda k, v: v.isNotNull()))
+
+
+def build_log(docs: DataFrame) -> DataFrame:
+    """(id, errors, warnings, first_error): diagnostics of build logs, and the first error up to a blank line or the next one."""
+    error, warning = r"^error(\[[A-Z]\d+\])?:", r"^warning(\[.*\])?:"
+    rows = numbered_lines(docs).withColumns({"is_error": F.col("content").rlike(error), "is_warning": F.col("content").rlike(warning)})
+    w = W.partitionBy("id")
+    rows = rows.withColumn("first", F.min(F.when(F.col("is_error"), F.col("line"))).over(w))
+    stops = (F.col("line") > F.col("first")) & ((F.col("content") == "") | F.col("is_error") | F.col("is_warning"))
+    rows = rows.withColumn("stop", F.min(F.when(stops, F.col("line"))).over(w))
+    inside = (F.col("line") >= F.col("first")) & (F.col("stop").isNull() | (F.col("line") < F.col("stop")))
+    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("line", "content")))), lambda x: x["content"]), "\n")
+    out = rows.groupBy("id").agg(F.count_if("is_error").alias("errors"), F.count_if("is_warning").alias("warnings"), F.nullif(block, F.lit("")).alias("first_error"))
+    return out.where("errors + warnings > 0")
+
+
+def around(docs: DataFrame, positions: DataFrame, context: int = 0) -> DataFrame:
+    """(id, line, content): the lines of docs at positions (id, line), with some around them."""
+    rows = docs.join(positions, "id").select("id", "line", tx.lines(F.col("text")).alias("l"))
+    first = F.greatest(F.col("line") - context, F.lit(1))
+    return rows.where(F.col("line").between(1, F.size("l"))).select("id", "line", F.array_join(F.slice("l", first, F.col("line") + context - first + 1), "\n").alias("content"))
+
+
+def markdown_paths(text: Column) -> Column:
+    """Paths of files that a markdown text names in code spans, each once in order, without line numbers."""
+    found = F.regexp_extract_all(text, F.lit(r"`([\w.@/-]+/[\w.@-]+\.\w+|[\w@-]+\.(?:rs|py|ts|js|go|java|md|toml|json|ya?ml))(?::\d+(?:-\d+)?)?`"), 1)
+    return F.array_distinct(found)

@@ -224,7 +224,17 @@ def status_delta(spark, sf_dir):
     return jn.delta(now, was, "doc_id", "v")
 
 
-@query("bucket_classify", None)
+def _hits(words):
+    quoted = (w.replace("'", "''") for w in words)
+    return " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in quoted)
+
+
+@query(
+    "bucket_classify",
+    f"""WITH t AS (SELECT conv_id, turn, lower(text) AS low FROM conversations), s AS (SELECT *, {_hits(tx.CODE_WORDS)} + CASE WHEN {' OR '.join(f"contains(low, '{x}')" for x in tx.CODE_SUFFIXES)} THEN 2 ELSE 0 END AS c,
+  {_hits(tx.SYSTEM_WORDS)} AS s, {_hits(tx.PREFERENCE_WORDS)} AS p FROM t)
+SELECT conv_id, turn, CASE WHEN c + s + p = 0 THEN 'unstructured' WHEN p > 0 AND p >= c AND p >= s THEN 'preferences' WHEN c >= s THEN 'code' ELSE 'system' END AS bucket FROM s""",
+)
 def bucket_classify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.classify_bucket(F.col("text")).alias("bucket"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.joins import replace_keyed
 from weftline.operators.ordering import latest_per
-from weftline.staging import shared_dir, stage, table
+from weftline.staging import shared_dir, stage, table, unstage
 
 LATE = "40 days"  # the test log comes in no order
 
@@ -71,12 +72,23 @@ def incremental_fold(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, in batches, with its progress in the shared folder."""
+    """What a stream gives over all that its source holds now, as a table in the shared folder.
+
+    Batches are staged as they come; of a stream in complete mode the last one is the result. Nothing is
+    gathered in the driver, and progress is kept beside the tables.
+    """
     spark = stream.sparkSession
-    view = f"{name}_{uuid.uuid4().hex[:8]}"
-    query = stream.writeStream.format("memory").queryName(view).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/streams/{view}").start()
-    query.awaitTermination()
-    return spark.table(view)
+    parts: list[DataFrame] = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        if mode == "complete":
+            unstage(*parts)
+            parts.clear()
+        parts.append(stage(batch, name))
+
+    where = f"{shared_dir(spark)}/streams/{name}_{uuid.uuid4().hex[:8]}"
+    stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", where).start().awaitTermination()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], stream.schema)
 
 
 def upsert_each_batch(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -26,7 +26,7 @@ ALPHA = 1.2
 BEAM = 24
 OVERLAP = 3
 SHARD = 1000  # vectors a shard holds at most, about
-CENTROIDS = 4096  # at most; also the sample they are drawn from
+CENTROIDS = 16_384  # at most; also the sample they are drawn from
 STEP = 4  # nodes that a query expands at once
 QUERY_BLOCK = 500
 
@@ -112,11 +112,11 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, medoid: int, q: np.ndarra
 
 def apart(c: np.ndarray, most: float) -> np.ndarray:
     """Those that are no closer than ``most`` to an earlier one, so that a tight group has one centroid and not many."""
-    kept: list[np.ndarray] = []
+    kept, n = np.empty_like(c), 0
     for row in c:
-        if not kept or (np.array(kept) @ row).max() < most:
-            kept.append(row)
-    return np.array(kept)
+        if not n or (kept[:n] @ row).max() < most:
+            kept[n], n = row, n + 1
+    return kept[:n].copy()
 
 
 def _assign(centroids: dict[tuple[int, int], np.ndarray]):

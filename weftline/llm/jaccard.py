@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
-from weftline.llm.words import WordHashes, fingerprint, minhashes, shingle_set
+from weftline.llm.words import WordHashes, fingerprint, minhash_keys, shingle_set
 from weftline.staging import stage, unstage
 
 THRESHOLD = 80  # per cent
@@ -53,20 +53,26 @@ def _sets(percent: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                out = [[] for _ in schema]
-                for doc, th, text in zip(part[0].to_pylist(), part[1].to_pylist(), part[2].to_pylist(), strict=True):
+                sizes, fps, prefixes, new, pool = [], [], [], [], []
+                for i, text in enumerate(part[2].to_pylist()):
                     s = shingle_set(text, cache)
-                    fp, keys, prefix = None, None, None
-                    if len(s):
-                        fp = fingerprint(s)
-                        if fp not in seen:  # copies within a task carry their tokens once
-                            seen.add(fp)
-                            two = minhashes(s, 2 * KEYS)
-                            keys = [fingerprint(np.append(two[2 * i : 2 * i + 2], np.uint64(i))) for i in range(KEYS)]
-                            prefix = s[: prefix_length(len(s), percent)].view(np.int64)
-                    for column, value in zip(out, (doc, th, len(s), fp, keys, prefix), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+                    fp = fingerprint(s) if len(s) else None
+                    sizes.append(len(s))
+                    fps.append(fp)
+                    if fp is None or fp in seen:  # copies within a task carry their tokens once
+                        prefixes.append(None)
+                    else:
+                        seen.add(fp)
+                        prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                        new.append(i)
+                        pool.append(s)
+                keys: list = [None] * part.num_rows
+                if pool:
+                    first = np.cumsum([0, *map(len, pool[:-1])])
+                    for i, row in zip(new, minhash_keys(np.concatenate(pool), first, KEYS).view(np.int64), strict=True):
+                        keys[i] = row
+                columns = [part[0], part[1], *(pa.array(v, schema.field(k).type) for k, v in (("n", sizes), ("fp", fps), ("keys", keys), ("prefix", prefixes)))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 

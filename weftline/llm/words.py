@@ -72,8 +72,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """n independent MinHash values of a non-empty set."""
+def minhash_keys(pool: np.ndarray, index: np.ndarray, keys: int, rows: int = 2, step: int = 1) -> np.ndarray:
+    """A row of ``keys`` hashes, each of ``rows`` MinHash values and its own number, for each set in a pool.
+
+    Sets begin at the index; with a step of 2, every other index is an end instead.
+    """
+    out = np.empty((-(-len(index) // step), keys), np.uint64)
     with np.errstate(over="ignore"):
-        seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * _M1)
-        return np.array([mix(hashes ^ s).min() for s in seeds], np.uint64)
+        seeds = mix(np.arange(1, keys * rows + 1, dtype=np.uint64) * _M1)
+        for k in range(keys):
+            h = np.full(len(out), k + 1, np.uint64)
+            for seed in seeds[k * rows : (k + 1) * rows]:
+                h = mix(h * _M1 + np.minimum.reduceat(mix(pool ^ seed), index)[::step])
+            out[:, k] = h
+    return out

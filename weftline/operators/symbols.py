@@ -21,6 +21,7 @@ KINDS = {
     "constant": ("constant",),
 }
 FUNCTIONS = KINDS["function"]
+MOST_LIBRARIES = 10_000
 BUILD_DIRS = ("target", "node_modules", "dist", "build", ".git", "__pycache__", "vendor")
 
 
@@ -82,9 +83,14 @@ def without_build_dirs(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classify_library(paths: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Paths with the first registered library (root, name, position) that they lie in, else ``project``."""
+    """Paths with the first registered library (root, name, position) that they lie in, else ``project``.
+
+    Each path meets all roots, so there may be no more than ``MOST_LIBRARIES`` of them.
+    """
+    if libraries.limit(MOST_LIBRARIES + 1).count() > MOST_LIBRARIES:
+        raise ValueError(f"more than {MOST_LIBRARIES} libraries")
     under = (F.col("path") == F.col("root")) | F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))
-    hits = paths.join(F.broadcast(libraries.limit(10_000)), under).groupBy("path").agg(F.min_by("name", "position").alias("library"))
+    hits = paths.join(F.broadcast(libraries), under).groupBy("path").agg(F.min_by("name", "position").alias("library"))
     return paths.join(hits, "path", "left").withColumn("library", F.coalesce("library", F.lit("project")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,14 +18,19 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.posexplode(tx.lines(F.col("text"))).alias("pos", "content")).select("id", (F.col("pos") + 1).alias("line"), "content")
 
 
+def _may_match(docs: DataFrame, pattern: str) -> DataFrame:
+    """Docs whose whole text a pattern finds, so that the others need no splitting; all if it is tied to a text's ends."""
+    return docs if re.search(r"\\[AzZG]", pattern) else docs.where(F.col("text").rlike(f"(?m){pattern}"))
+
+
 def grep(docs: DataFrame, pattern: str) -> DataFrame:
-    """(id, line, content) of lines that a regular expression finds; whole texts without a match are not split."""
-    return numbered_lines(docs.where(F.col("text").rlike(f"(?m){pattern}"))).where(F.col("content").rlike(pattern))
+    """(id, line, content) of lines that a regular expression finds."""
+    return numbered_lines(_may_match(docs, pattern)).where(F.col("content").rlike(pattern))
 
 
 def grep_blocks(docs: DataFrame, pattern: str, context: int) -> DataFrame:
     """(id, start_line, end_line, matches, content): matches with ``context`` lines around, touching blocks merged."""
-    lines = docs.where(F.col("text").rlike(f"(?m){pattern}")).select("id", tx.lines(F.col("text")).alias("l"))
+    lines = _may_match(docs, pattern).select("id", tx.lines(F.col("text")).alias("l"))
     hits = lines.select("id", F.size("l").alias("n"), F.posexplode("l").alias("pos", "content")).where(F.col("content").rlike(pattern))
     ranges = hits.select("id", F.greatest(F.col("pos") + 1 - context, F.lit(1)).alias("start_line"), F.least(F.col("pos") + 1 + context, F.col("n")).alias("end_line"))
     merged = islands(ranges, ["id"], "start_line", "end_line")

@@ -85,7 +85,7 @@ NOTES_SQL = "(SELECT doc_id AS id, '/ws/' || CASE doc_id % 4 WHEN 0 THEN 'docs/i
 @query(
     "index_rows",
     f"""SELECT path, CASE WHEN id % 5 = 0 THEN source WHEN id % 4 IN (0, 3) THEN 'tracker' WHEN id % 4 = 1 THEN 'memory' ELSE 'unknown' END AS kind, CASE WHEN id % 4 IN (0, 3) THEN 'active' END AS status,
-  CASE WHEN id % 5 = 0 THEN lang ELSE 'T ' || source END AS title, CASE WHEN id % 5 = 0 THEN 1.0 ELSE 0.5 END AS confidence FROM {NOTES_SQL}""",
+  CASE WHEN id % 5 = 0 THEN lang ELSE 'T ' || source END AS title, CAST(CASE WHEN id % 5 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM {NOTES_SQL}""",
 )
 def index_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

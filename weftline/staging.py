@@ -6,6 +6,7 @@ Parquet under ``spark.checkpoint.dir``, which the driver and all executors can r
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def unstage(*tables: DataFrame) -> None:
             where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have left: Spark deletes shuffle files once the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of an input folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

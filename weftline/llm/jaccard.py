@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.components import connected_components
 from weftline.llm.words import WordHashes, fingerprint, minhash_keys, shingle_set
-from weftline.staging import stage, unstage
+from weftline.staging import release, stage, unstage
 
 THRESHOLD = 80  # per cent
 SLACK = 4  # per cent
@@ -224,11 +224,14 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     groups = stage(connected_components(star.unionByName(loose.select("a", "b")), "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("g")), "groups")
     inner = compare_groups(texts, found_by, groups.join(loose, F.col("fp") == F.col("b"), "left_semi").withColumnRenamed("g", "grp"), groups.withColumnRenamed("g", "grp"), percent)
 
+    release(texts.sparkSession)  # the texts that were moved for comparison
+
     tokens = sets.where("prefix is not null").select("fp", "n", F.explode("prefix").alias("token")).repartition("token")
     crossing = tokens.groupBy("token").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select(F.col("token").alias("t"))
     shared = tokens.join(crossing.hint("shuffle_hash"), F.col("token") == F.col("t")).select("token", "fp", "n").distinct()
     shared = shared.join(groups, "fp", "left").select("token", "fp", "n", F.coalesce("g", "fp").alias("g"))
     shared = stage(shared, "shared")
+    release(texts.sparkSession)  # the tokens of all documents
     per_token = shared.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("in_groups")).where("in_groups > 1")
     matrix = stage(shared.join(per_token, "token"), "matrix")
     unstage(shared)
@@ -244,6 +247,7 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     if full.limit(1).count():
         opened = opened.unionByName(_full_opened(texts, classes, full, groups, sized, percent))
     opened = stage(opened.distinct(), "opened")
+    release(texts.sparkSession)
     members = classes.join(groups, "fp", "left").select(F.coalesce("g", "fp").alias("grp"), "fp")
     links = compare_groups(texts, found_by, opened.select(F.col("other").alias("grp"), "fp"), members.join(opened.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi"), percent)
 

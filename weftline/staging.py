@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ def unstage(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let go of what finished steps have left: Spark deletes shuffle files once the driver has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # Python tells the JVM what it has dropped from a thread of its own
+        spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

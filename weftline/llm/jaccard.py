@@ -214,7 +214,8 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     source = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"))
     sets = stage(source.mapInArrow(_sets(percent), "doc_id long, th long, n long, fp long, keys array<long>, prefix array<long>"), "sets")
-    classes = stage(sets.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+    narrow = stage(sets.select("doc_id", "th", "n", "fp"), "rows")
+    classes = stage(narrow.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
     found_by = classes.select("fp", "rep.doc_id", "rep.th")
     leaders = stage(leader_pairs(sets), "leaders")
     star = compare_groups(texts, found_by, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp")), percent)
@@ -226,11 +227,13 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
 
     release(texts.sparkSession)  # the texts that were moved for comparison
 
-    tokens = sets.where("prefix is not null").select("fp", "n", F.explode("prefix").alias("token")).repartition("token")
+    tokens = sets.where("prefix is not null").select("fp", F.explode("prefix").alias("token")).repartition("token")
     crossing = tokens.groupBy("token").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select(F.col("token").alias("t"))
-    shared = tokens.join(crossing.hint("shuffle_hash"), F.col("token") == F.col("t")).select("token", "fp", "n").distinct()
-    shared = shared.join(groups, "fp", "left").select("token", "fp", "n", F.coalesce("g", "fp").alias("g"))
+    shared = tokens.join(crossing.hint("shuffle_hash"), F.col("token") == F.col("t")).select("token", "fp").distinct()
+    shared = shared.join(groups, "fp", "left").join(classes.select("fp", "n"), "fp").select("token", "fp", "n", F.coalesce("g", "fp").alias("g"))
     shared = stage(shared, "shared")
+    del tokens, crossing
+    unstage(sets)
     release(texts.sparkSession)  # the tokens of all documents
     per_token = shared.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("in_groups")).where("in_groups > 1")
     matrix = stage(shared.join(per_token, "token"), "matrix")
@@ -256,7 +259,7 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     lowest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     final = known.join(lowest, "component").select(F.col("fp").alias("class"), "component_id")
     unstage(matrix)
-    return sets.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", *["th"] * keep_hash, F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return narrow.join(final, F.col("fp") == F.col("class"), "left").select("doc_id", *["th"] * keep_hash, F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups: DataFrame, sized, percent: int) -> DataFrame:

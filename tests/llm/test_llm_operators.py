@@ -142,6 +142,21 @@ def test_substring_runs(docs, none):
     assert kept[301] == next(iter(texts[301]))[: cut.start] + next(iter(texts[301]))[cut.stop :]
 
 
+def test_substring_lines_that_only_a_famous_leader_shares_a_band_with(spark):
+    rng = random.Random(5)
+    vary = lambda w, n: [f"x{rng.randrange(10**9)}" if i in at else x for at in [set(rng.sample(range(len(w)), n))] for i, x in enumerate(w)]
+    base = [f"w{i}" for i in range(200)]
+    texts = [base, *(vary(base, 1) for _ in range(40))]
+    for _ in range(150):
+        x = vary(base, 5)
+        texts += [x, vary(x, 3)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    whole = {r.doc_id for r in substrings.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string")).where("n_words = 200").collect()}
+    sets = [shingle_set(t) for _, t in docs]
+    close = [(a, b) for b in range(len(docs)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(close) > 150 and {d for pair in close for d in pair} <= whole
+
+
 def test_near_duplicate_lines_are_found(spark):
     rng = random.Random(4)
     line = prose(rng, 90).replace("\n", "")

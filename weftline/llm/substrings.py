@@ -1,8 +1,9 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
 Two kinds of paragraphs are taken from every text. Lines of some length are banded by MinHash; lines
-that collide in a band are compared with the band's leader by exact Jaccard of their word shingles, and
-verified links are closed into components. Passages also stand inside longer lines, so the whole text
+that collide in a band are compared with the band's leader by exact Jaccard of their word shingles, those
+that this leaves out of their leader's component with all that their leader stands for, and verified links
+are closed into components. Passages also stand inside longer lines, so the whole text
 is cut once more, where a hash of three words is the least among its neighbours: a passage is cut alike
 wherever it stands, and such short segments are matched whole. Paragraphs whose component occurs in
 several documents are joined into runs; the document with the smallest id keeps its copy.
@@ -146,8 +147,15 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataF
     ends = leaders.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     found = lines.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("points", "doc_id").alias("points"))
     found = stage(found.select("fp", "doc_id", F.shiftright("points", 32).cast("int").alias("start"), F.expr("cast(points & 4294967295 as int)").alias("stop")), "line-classes")
-    near = compare_groups(texts, found, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp")), percent)
-    joined = connected_components(near, "a", "b").join(found.select(F.col("fp").alias("node"), "doc_id"), "node")
+    members = leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp"))
+    star = compare_groups(texts, found, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), members, percent)
+    # Of two lines in a band, both are joined with its leader, or one of them is held against the other.
+    reached = stage(connected_components(star, "a", "b"), "reached")
+    own, led = (reached.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("fp", "own"), ("grp", "led")))
+    apart = members.join(own, "fp", "left").join(led, "grp", "left").where("not coalesce(own = led, false)").select("grp", "fp")
+    apart = stage(apart, "apart")
+    inner = compare_groups(texts, found, apart, members.join(apart.select("grp").distinct(), "grp", "left_semi"), percent)
+    joined = connected_components(star.unionByName(inner), "a", "b").join(found.select(F.col("fp").alias("node"), "doc_id"), "node")
     several = joined.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").drop("high")
     near = joined.join(several, "component").select(F.col("node").alias("fp"), "component", F.col("low").alias("near_first"))
     repeated = repeated.join(near, "fp", "full").select("fp", F.coalesce("component", "fp").alias("component"), F.least("first", "near_first").alias("keeper"))

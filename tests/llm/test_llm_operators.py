@@ -157,6 +157,29 @@ def test_substring_lines_that_only_a_famous_leader_shares_a_band_with(spark):
     assert len(close) > 150 and {d for pair in close for d in pair} <= whole
 
 
+def test_substring_runs_reach_to_the_ends_of_a_passage(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**12)}é" for _ in range(n)]
+    docs, want = [], set()
+    for i in range(240):
+        passage = fresh((40, 51, 400)[i % 3])
+        if i % 3 == 2:
+            passage[200:] = ["same"] * 200  # no cuts, so it is reached from one side
+        for d in (2 * i, 2 * i + 1):
+            before, after = " ".join(fresh(30)) + " ", " " + " ".join(fresh(30))
+            middle = " ".join(passage)
+            docs.append((d, before + middle + after))
+            want.add((d, len(before), len(before + middle), len(passage), d % 2 == 1))
+    runs = substrings.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.stop, r.n_words, r.removed) for r in runs.collect()} == want
+    # What the smallest document with a segment doesn't go on with stays in the next one that has it.
+    a, b, c = fresh(30), fresh(40), fresh(40)
+    texts = [fresh(30) + b + fresh(30), fresh(30) + a + b + c + fresh(9), fresh(20) + a + b + c + fresh(30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id: r.text.split() for r in substrings.strip_runs(df, substrings.repeated_runs(df)).collect()}
+    assert kept == {0: texts[0], 1: texts[1][:60] + texts[1][100:], 2: texts[2][:20] + texts[2][130:]}
+
+
 def test_near_duplicate_lines_are_found(spark):
     rng = random.Random(4)
     line = prose(rng, 90).replace("\n", "")

@@ -5,12 +5,15 @@ that collide in a band are compared with the band's leader by exact Jaccard of t
 that this leaves out of their leader's component with all that their leader stands for, and verified links
 are closed into components. Passages also stand inside longer lines, so the whole text
 is cut once more, where a hash of three words is the least among its neighbours: a passage is cut alike
-wherever it stands, and such short segments are matched whole. Paragraphs whose component occurs in
-several documents are joined into runs; the document with the smallest id keeps its copy.
+wherever it stands, and such short segments are matched whole. Where a repeated segment's neighbour is not
+repeated, the words beside it are added as far as another document goes on alike. Paragraphs whose component
+occurs in several documents are joined with those words into runs; the document with the smallest id keeps its copy.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +23,13 @@ from pyspark.sql import functions as F
 from weftline.components import connected_components
 from weftline.llm.jaccard import compare_groups, leader_pairs
 from weftline.llm.words import SHINGLE, WordHashes, minhash_keys, mix, shingles, word_hashes
-from weftline.staging import stage
+from weftline.staging import release, stage, unstage
 
 BANDS, ROWS = 8, 3  # a pair at 0.8 meets in a band with probability 0.997
 PARAGRAPH = 16  # words of a banded line, at least
 RADIUS = 4  # words on either side that a cut's hash is the least of
 RUN = 20  # words of a run that is reported, at least
+STEP = 16  # words beside a segment that are compared at first; twice as many in each later round
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -66,24 +70,32 @@ def layout(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return point[first], point[end], line[first]
 
 
+def _spans_hash():
+    """A function of word hashes and spans' first and end words that hashes each span, alike wherever it stands."""
+    table = {"p": powers(_P, 1 << 12), "inv": powers(_PINV, 1 << 12)}
+
+    def spans_hash(h, lo, hi):
+        if len(h) > len(table["p"]):
+            table.update(p=powers(_P, 2 * len(h)), inv=powers(_PINV, 2 * len(h)))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * table["p"][: len(h)], dtype=np.uint64)])
+            return mix((sums[hi] - sums[lo]) * table["inv"][lo] + (hi - lo).astype(np.uint64) * np.uint64(_P)).view(np.int64)
+
+    return spans_hash
+
+
 def _paragraphs():
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Paragraphs; beside has 16 bits of the hash of the word before and of the word after."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         cache, seen = WordHashes(), set()
-        table = {"p": powers(_P, 1 << 12), "inv": powers(_PINV, 1 << 12)}
-
-        def spans_hash(h, lo, hi):
-            if len(h) > len(table["p"]):
-                table.update(p=powers(_P, 2 * len(h)), inv=powers(_PINV, 2 * len(h)))
-            with np.errstate(over="ignore"):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h) * table["p"][: len(h)], dtype=np.uint64)])
-                return mix((sums[hi] - sums[lo]) * table["inv"][lo] + (hi - lo).astype(np.uint64) * np.uint64(_P)).view(np.int64)
+        spans_hash = _spans_hash()
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                docs, fps, points, words, keys = [], [], [], [], []
+                docs, fps, points, words, besides, keys = [], [], [], [], [], []
                 runs, ends, owners, done, count = [], [], [], 0, 0
                 for doc, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
                     h = word_hashes(text.lower().split(), cache) if text else np.zeros(0, np.uint64)
@@ -104,6 +116,8 @@ def _paragraphs():
                     fps.append(fp)
                     points.append((c0[lo] << 32) + c1[hi - 1])
                     words.append((lo << 32) + hi)
+                    low = np.concatenate([[0], h & np.uint64(0xFFFF), [0]]).astype(np.uint32)
+                    besides.append(((low[lo] << np.uint32(16)) | low[hi + 1]).view(np.int32))
                     s = None
                     for k in range(len(lo) - n_lines, len(lo)):
                         if fp[k] not in seen:
@@ -123,11 +137,95 @@ def _paragraphs():
                     pool = np.append(np.concatenate(keys), np.uint64(0))  # so that the last end is in the pool
                     for k, row in zip(owners, minhash_keys(pool, np.stack([runs, ends], 1).ravel(), BANDS, ROWS, 2).view(np.int64), strict=True):
                         column[k] = row
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(fps), pa.int64()), pa.array(np.concatenate(points), pa.int64()), pa.array(np.concatenate(words), pa.int64()), pa.array(column, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(fps), pa.int64()), pa.array(np.concatenate(points), pa.int64()), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(besides), pa.int32()), pa.array(column, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
+_ASKED = "doc_id long, fp long, w0 long, w1 long, right boolean, edge boolean, done long"
+
+
+def _beside(step: int):
+    """The next ``step`` words beside segments: hashes of the segment and all words up to each, and code points."""
+    names = [c.split()[0] for c in _ASKED.split(", ")]
+
+    def run(batches):
+        cache, spans_hash = WordHashes(), _spans_hash()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                hashes, firsts, ends, asked, base = [], [], [], [], 0
+                for doc, text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    h = word_hashes(text.lower().split(), cache)
+                    e = np.array([(doc, x["fp"], x["w0"], x["w1"], x["right"], x["edge"], x["done"], x["key"], base, base + len(h)) for x in wanted], np.int64).T
+                    e = e[:, e[3] <= len(h)]
+                    e = e[:, (spans_hash(h, e[2], e[3]) & ~1) == e[1]]  # other texts may have the same id
+                    c0, c1, _ = layout(text)
+                    hashes.append(h)
+                    firsts.append(c0)
+                    ends.append(c1)
+                    asked.append(e)
+                    base += len(h)
+                h, c0, c1, e = np.concatenate(hashes), np.concatenate(firsts), np.concatenate(ends), np.concatenate(asked, 1)
+                n = np.clip(np.where(e[4] == 1, e[9] - e[8] - e[3], e[2]) - e[6], 0, step)
+                e, n = e[:, n > 0], n[n > 0]
+                key, keys, points = e[7].view(np.uint64), np.zeros((len(n), step), np.uint64), np.zeros((len(n), step), np.int64)
+                for i in range(n.max(initial=0)):
+                    at = np.where(n > i, e[8] + np.where(e[4] == 1, e[3] + e[6] + i, e[2] - 1 - e[6] - i), 0)
+                    with np.errstate(over="ignore"):
+                        keys[:, i] = key = mix(key * np.uint64(_P) + h[at])
+                    points[:, i] = (c0[at] << 32) + c1[at]
+                there, offsets = np.arange(step) < n[:, None], pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[there].view(np.int64))) for x in (keys, points)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c == 1 if f in ("right", "edge") else c) for c, f in zip(e, names, strict=False)), *lists], names=[*names, "keys", "points"])
+
+    return run
+
+
+def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Words beside repeated segments (``hits``) that another document has there too, as further hits.
+
+    A segment is extended on a side where its neighbour is not repeated, against all documents that have it.
+    Of those that go on with the same two repeated segments, the smallest and the largest stand for all:
+    a neighbour that isn't repeated differs within them, and the others' segments there are removed anyhow. Rounds go on while words agree, so the length
+    is not bounded.
+    """
+    order = W.partitionBy("doc_id").orderBy("w0", "w1")
+    marked = hits.where("fp & 1 = 0")
+    for name, step, near, far in (("l", F.lag, "w0", "w1"), ("r", F.lead, "w1", "w0")):
+        marked = marked.withColumn(f"{name}_edge", F.coalesce(step(far).over(order) != F.col(near), F.lit(True)))
+        second = F.coalesce(step(near).over(order) == step(far, 2).over(order), F.lit(False))
+        alone = F.xxhash64("doc_id", "w0", F.lit(name))
+        marked = marked.withColumn(f"{name}_on", F.when(F.col(f"{name}_edge") | ~second, alone).otherwise(F.xxhash64(step("fp").over(order), step("fp", 2).over(order))))
+    side = lambda right, name, bits: F.struct(F.lit(right).alias("right"), F.col(f"{name}_edge").alias("edge"), F.col(f"{name}_on").alias("on"), bits.alias("bits"))
+    sides = F.array(side(False, "l", F.shiftrightunsigned("beside", 16)), side(True, "r", F.expr("beside & 65535")))
+    each = marked.select("doc_id", "fp", "w0", "w1", F.inline(sides))
+    one = F.struct("doc_id", "w0", "w1", "edge")
+    each = stage(each.groupBy("fp", "right", "bits", "on").agg(F.min(one).alias("low"), F.max(one).alias("high")), "sides")
+    several = each.groupBy("fp", "right", "bits").agg(F.min("low.doc_id").alias("least"), F.max("high.doc_id").alias("most"), F.max("low.edge").alias("open")).where("least != most and open")
+    asked = each.join(several, ["fp", "right", "bits"], "left_semi").select("fp", "right", F.inline(F.array_distinct(F.array("low", "high"))))
+    asked = stage(asked.select("doc_id", "fp", "w0", "w1", "right", "edge", F.lit(0).cast("long").alias("done"), F.xxhash64("fp", "right").alias("key")), "asked")
+    unstage(each)
+    step, out = STEP, []
+    while asked.limit(1).count():
+        wanted = asked.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("fp", "w0", "w1", "right", "edge", "done", "key")).alias("wanted"))
+        rows = texts.where("text is not null").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", F.col("text").cast("binary").alias("text"), "wanted")
+        rows = stage(rows.mapInArrow(_beside(step), f"{_ASKED}, keys array<long>, points array<long>"), "beside")
+        unstage(asked)
+        alike = rows.select("doc_id", "edge", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("edge").alias("open")).where("low != high and open")
+        found = rows.select("doc_id", "fp", "w0", "right", F.posexplode("keys").alias("at", "key")).join(alike.select("key", "low"), "key")
+        reach = found.groupBy("doc_id", "fp", "w0", "right").agg(F.max("at").alias("far"), F.max(F.when(F.col("low") < F.col("doc_id"), F.col("at"))).alias("cut"))
+        same = stage(rows.join(reach, ["doc_id", "fp", "w0", "right"]).withColumn("cut", F.coalesce("cut", F.lit(-1))), "alike")
+        unstage(rows)
+        parts = F.array(F.struct(F.lit(True).alias("removed"), F.lit(0).alias("a"), F.col("cut").alias("b")), F.struct(F.lit(False).alias("removed"), (F.col("cut") + 1).alias("a"), F.col("far").alias("b")))
+        spans = same.select("*", F.inline(parts)).where("a <= b")
+        out.append(spans.selectExpr("doc_id", "fp as component", "removed", "if(right, w1 + done + a, w0 - 1 - done - b) as w0", "if(right, w1 + done + b + 1, w0 - done - a) as w1", "shiftright(points[if(right, a, b)], 32) as c0", "points[if(right, b, a)] & 4294967295 as c1"))
+        asked = stage(same.where(F.col("far") == step - 1).selectExpr("doc_id", "fp", "w0", "w1", "right", "edge", f"done + {step} as done", f"keys[{step - 1}] as key").distinct(), "asked")
+        step *= 2
+        release(texts.sparkSession)  # the texts of this round
+    return reduce(DataFrame.unionByName, out) if out else hits.select("doc_id", "component", "removed", "w0", "w1", "c0", "c1").limit(0)
+
+
 def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataFrame:
     """``(doc_id, start, stop, n_words, removed, component_id)``: runs of words that other documents repeat.
 
@@ -138,7 +236,7 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataF
     ignored, other columns are. An empty table gives no rows.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(), "doc_id long, fp long, points long, words long, keys array<long>"), "paragraphs")
+    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(), "doc_id long, fp long, points long, words long, beside int, keys array<long>"), "paragraphs")
     classes = paragraphs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
     repeated = stage(classes.select("fp", "first"), "repeated")
 
@@ -161,7 +259,11 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataF
     repeated = repeated.join(near, "fp", "full").select("fp", F.coalesce("component", "fp").alias("component"), F.least("first", "near_first").alias("keeper"))
     repeated = stage(repeated, "repeated")
 
-    hits = paragraphs.drop("keys").join(repeated, "fp").select("doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
+    release(texts.sparkSession)  # what the comparison of lines has moved
+    hits = paragraphs.drop("keys").join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
+    hits = stage(hits, "hits")
+    unstage(paragraphs)
+    hits = hits.drop("fp", "beside").unionByName(_extended(texts, hits))
     order = W.partitionBy("doc_id", "removed").orderBy("w0", "w1")
     so_far = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))
     opened = hits.withColumn("opens", F.coalesce(F.col("w0") > so_far, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))

@@ -535,6 +535,26 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_many_chunks_have_the_tokenizers_ids():
+    import public_tokenizers
+
+    tokens = packing.TokenBytes(str(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(12)
+    alphabet = "aZ09é\u0130\u0307\u0301ßΣςǅﬁＡ१中😀_-'’.,;:!?#%&*$|<>()"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 7))) + rng.choice(["", ".", "?", "!?", "...", "*$"]) for _ in range(60_000)]
+    assert tokens.encode("\u0130?", add_special_tokens=False).ids == [328, 136, 229, 286]
+    wrong = [t for t in texts if packing.text_ids(t.encode(), tokens) != array("I", [*tokens.encode(t, add_special_tokens=False).ids, 0]).tobytes()]
+    assert not wrong
+
+
+def test_packing_of_very_many_equal_rows(spark):
+    df = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two").alias("text"))
+    got = packing.pack(df)
+    assert got.select("sequence_id", "offset").distinct().count() == 200_000
+    assert got.groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("most")).where("most != 3 * (n - 1)").count() == 0
+    assert got.select("sequence_id").distinct().count() == -(-200_000 // (2048 // 3))
+
+
 @pytest.mark.parametrize("text", ["<|endoftext|> x<|STARTOFTEXT|>", "Ａｂ\u00a0c\u2028d İΣ e\u0301", "don't you'LL 12３", "a" * 300, "\x1c\x1d x\x85y", "ß ſ K ﬁ 😀"])
 def test_chunked_tokens_are_the_tokenizers(text):
     import public_tokenizers

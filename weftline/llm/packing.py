@@ -30,10 +30,11 @@ class TokenBytes(dict):
     """Ids of each chunk between ASCII white space, as little-endian bytes.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are those of
-    its chunks in order. Two generations of at most ``most`` chunks are kept.
+    its chunks in order. Two generations of at most ``most`` chunks of up to ``longest`` bytes are kept.
     """
 
     most = 250_000
+    longest = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,12 +48,14 @@ class TokenBytes(dict):
         ids = self.old.get(chunk)
         if ids is None:
             word = chunk.rstrip(TRAILING)
-            # A letter and a mark after it never share a token.
-            if word and len(word) < len(chunk) and word.decode()[-1].isalpha():
+            # An ASCII letter or digit and a mark after it never share a token. Other letters may: one whose
+            # lower case ends in a combining mark goes on into the marks after it.
+            if word and len(word) < len(chunk) and word[-1:].isalnum():
                 ids = self[word] + self[chunk[len(word) :]]
             else:
                 ids = array("I", self.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
+        if len(chunk) <= self.longest:
+            self[chunk] = ids
         return ids
 
 
@@ -152,13 +155,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
     run, schema = _pieces(tokenizer, capacity, with_ids)
-    pieces = stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "pieces")
+    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    # Numbers of rows that are written with them, so that rows which say the same are told apart.
+    pieces = stage(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    buckets = max(1, -(-sum(counts.values()) // PER_BUCKET))
     # Rank within a length: what the earlier buckets hold and the place within the own bucket.
-    mixed = pieces.withColumn("mixed", F.xxhash64("doc_id", "piece")).withColumn("bucket", F.pmod("mixed", F.lit(buckets)))
+    spread = pieces.sparkSession.createDataFrame([(x, -(-c // PER_BUCKET)) for x, c in counts.items()], "of int, buckets long")
+    mixed = pieces.withColumn("mixed", F.xxhash64("doc_id", "piece", "nr")).join(F.broadcast(spread), F.col("length") == F.col("of")).withColumn("bucket", F.pmod("mixed", "buckets"))
     before = mixed.groupBy("length", "bucket").agg(F.count("*").alias("c"))
     before = before.select("length", "bucket", (F.sum("c").over(W.partitionBy("length").orderBy("bucket")) - F.col("c")).alias("before"))
-    ranked = mixed.withColumn("place", F.row_number().over(W.partitionBy("length", "bucket").orderBy("mixed", "ids_crc32"))).join(before, ["length", "bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("before") + F.col("place") - 1).alias("rank"))
+    ranked = mixed.withColumn("place", F.row_number().over(W.partitionBy("length", "bucket").orderBy("mixed", "nr"))).join(before, ["length", "bucket"])
+    ranked = ranked.select(*cut.columns, (F.col("before") + F.col("place") - 1).alias("rank"))
     return ranked.mapInArrow(_place(plan(counts, capacity)), schema + ", sequence_id long, offset long")

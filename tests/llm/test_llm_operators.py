@@ -471,6 +471,41 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def brute_language(text, dictionaries):
+    """Language and margin by whole encodings of each block, from the raw dictionaries."""
+    import zstandard
+
+    letters = " ".join(re.sub(r"[^\W\d_]+|.", lambda m: m[0] if len(m[0]) > 1 or m[0].isalpha() else " ", (text or "").lower(), flags=re.S).split()).encode()
+    if not letters or not dictionaries:
+        return "und", 0.0
+    sizes = []
+    for lang, raw in dictionaries.items():
+        c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(letters[i : i + langid.BLOCK])) for i in range(0, len(letters), langid.BLOCK)), len(sizes), lang))
+    sizes.sort()
+    return sizes[0][2], 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
+
+
+def test_language_against_whole_encodings(spark):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    dictionaries = langid.fit(real)
+    twins = {"zz": dictionaries["en"], **dictionaries, "aa": dictionaries["en"]}  # equal sizes: the first of the twins
+    for by in (dictionaries, twins, {"en": dictionaries["en"]}, {}):
+        want = {r.doc_id: brute_language(r.text, by) for r in real.collect()}
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(real, by).collect()}
+        assert {d: (x[0], round(x[1], 12)) for d, x in got.items()} == {d: (x[0], round(x[1], 12)) for d, x in want.items()}
+
+
+def test_all_languages_are_learned_and_repeated_rows_count_once(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("lang"), F.col("id") % 300).alias("lang"), F.concat(F.lit("word"), F.col("id") % 300).alias("text"))
+    told = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    hot = spark.range(20_000).select(F.lit(told).cast("long").alias("doc_id"), F.lit("hot").alias("lang"), F.lit("the same again").alias("text"))
+    found = langid.fit(many.unionByName(hot))
+    assert len(found) == 301 and found["hot"] == b"the same again" and next(iter(found)) == "hot"
+    varied = spark.range(20_000).select(F.lit(told).cast("long").alias("doc_id"), F.lit("hot").alias("lang"), F.concat(F.lit("text"), F.col("id").cast("string")).alias("text"))
+    assert langid.fit(varied)["hot"].count(b"\n") < langid.SAMPLE_DOCS
+
+
 def test_language_is_learned_only_from_rows_not_held_out(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     spoiled = real.withColumn("lang", F.when(langid.is_held_out(F.col("doc_id")), "spoiled").otherwise(F.col("lang")))

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.words import worker_cache
 
-SAMPLE_DOCS = 400  # labelled documents a language
+SAMPLE_DOCS = 400  # labelled documents a language, at most
 SAMPLE_CHARS = 2_000  # of each, at most
-DICTIONARY = 256 * 1024  # bytes a language
-LANGUAGES = 200
+DICTIONARY = 256 * 1024  # bytes a language, at most
+ALL_DOCS = 40_000  # labelled documents of all languages, which share them equally
+ALL_BYTES = 64 * 1024 * 1024  # of all dictionaries, likewise
 BLOCK = 4 * 1024
 LEVEL = 3
 TELLING = 64  # bytes of letters from which on a narrow margin rejects
@@ -36,23 +36,28 @@ def letters_of(text: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """Raw dictionary of each language from a bounded sample of rows that are not held out, the commonest first.
+    """Raw dictionary of every language from a bounded sample of rows that are not held out, the commonest first.
 
-    The sample is the ``SAMPLE_DOCS`` documents of a language whose ids hash lowest, of each at most
-    ``SAMPLE_CHARS`` characters; of the languages, the ``LANGUAGES`` with the most documents.
+    The sample is, of each language, the distinct (doc_id, text) that hash lowest: ``SAMPLE_DOCS``, or an
+    equal share of ``ALL_DOCS`` where there are more than a hundred languages (one at least); of each
+    at most ``SAMPLE_CHARS`` characters. Dictionaries share ``ALL_BYTES`` in the same way. Rows are counted
+    map-side, and a threshold of the hash for each language, with room to spare, says which rows travel.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
-    first = known.select("lang", "h").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
-    limits = first.groupBy("lang").agg(F.max("h").alias("most")).join(known.groupBy("lang").count(), "lang").orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    limits = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).collect()  # a row for each language
     if not limits:
         return {}
-    chosen = F.lit(False)
-    for row in limits:
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["most"]))
-    by: dict[str, list[bytes]] = {row["lang"]: [] for row in limits}
-    for row in sorted(known.where(chosen).select("lang", "h", letters_of(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).limit(4 * SAMPLE_DOCS * LANGUAGES).collect()):
-        by[row["lang"]].append(row["text"].encode())
-    return {lang: b"\n".join(texts)[:DICTIONARY] for lang, texts in by.items()}
+    limits = sorted(limits, key=lambda r: (-r["n"], r["lang"]))
+    docs_each = max(1, min(SAMPLE_DOCS, ALL_DOCS // len(limits)))
+    bytes_each = max(1, min(DICTIONARY, ALL_BYTES // len(limits)))
+    most = [(r["lang"], min((1 << 63) - 1, int((min(1, (1.5 * docs_each + 20) / max(1, r["texts"])) - 0.5) * (1 << 64)))) for r in limits]
+    low = docs.sparkSession.createDataFrame(most, "of string, most long")
+    near = known.join(low, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most")))
+    sample = near.groupBy("lang", "h").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    by: dict[str, list] = {row["lang"]: [] for row in limits}
+    for row in sample.select("lang", "h", letters_of(F.col("text")).alias("text")).toLocalIterator():
+        by[row["lang"]].append((row["h"], row["text"]))
+    return {lang: "\n".join(t for _, t in sorted(rows)[:docs_each]).encode()[:bytes_each] for lang, rows in by.items()}
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict:

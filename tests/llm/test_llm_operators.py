@@ -234,6 +234,29 @@ def test_mixing_many_equal_documents_is_exact(spark):
     assert all(abs(r.taken - r.target) <= 5 + 1e-6 for r in got)
 
 
+def test_mixing_of_very_many_equal_rows(spark):
+    """Rows that repeat share out their copies, however many there are and however they are dealt."""
+    df = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("w " * 7).alias("text"), F.lit("hot").alias("source"))
+    df = df.unionByName(spark.range(300).select((F.col("id") + 2).alias("doc_id"), F.lit("w " * 90).alias("text"), F.lit("zz").alias("source")))
+    counts = []
+    for rows in (df.repartition(7), df.coalesce(2)):
+        got = mixing.mix(rows)
+        counts.append({(r.doc_id, r.copies): r["count"] for r in got.groupBy("doc_id", "copies").count().collect()})
+        by = got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size")).collect()
+        assert all(abs(r.taken - r.target) <= r.size / 2 + 1e-6 for r in by)
+    assert counts[0] == counts[1] and sum(n for (d, _), n in counts[0].items() if d == 1) == 200_000
+
+
+def test_mixing_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {None: 50, **{f"s{i}é": rng.randrange(0, 2000) for i in range(400)}}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, c long").repartition(5)
+    for share, most in ((1.5, 2.0), (1.5, 1.2), (3.0, 2.0), (0.0, 2.0)):
+        got = {r.source: r.target for r in mixing.targets(rows, share=share, most=most).collect()}
+        want = water(sizes, share=share, most=most)
+        assert {s: round(x, 5) for s, x in got.items()} == {s: round(x, 5) for s, x in want.items()}
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 

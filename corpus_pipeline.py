@@ -11,6 +11,7 @@ weights, and the last packs what is left. SQL can't express compression or token
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard, langid, mixing, packing, secrets
@@ -50,16 +51,23 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's weight gives it: none, one or two."""
-    docs = docs.select(*COLUMNS)
-    copies = stage(mixing.mix(docs).select("row_key", F.col("copies")), "copies").withColumnRenamed("row_key", "of")
-    rows = docs.withColumn("row_key", mixing.row_key(mixing.words("text")))
-    if copies.groupBy("of").count().where("count > 1").limit(1).count():  # repeated rows: the i-th of a key takes the i-th number
-        rows = rows.withColumn("i", mixing.nth("row_key"))
-        copies = copies.withColumn("j", mixing.nth("of"))
-        rows = rows.join(copies, (F.col("row_key") == F.col("of")) & (F.col("i") == F.col("j")))
-    else:
-        rows = rows.join(copies, F.col("row_key") == F.col("of"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*COLUMNS)
+    key = mixing.KEY
+    rows = docs.select(*COLUMNS, mixing.words("text").alias("size"), F.spark_partition_id().alias("part"))
+    cells = stage(mixing.sizes(docs).groupBy(*key, "part").agg(F.count("*").alias("c")), "sizes")
+    plan = stage(mixing.rounded(cells), "copies").select(*[F.col(c).alias(f"of_{c}") for c in key], "m", "base", "more")
+    rows = rows.join(plan, mixing.same_row())
+    single = rows.where("m = 1").withColumn("copies", F.col("base") + F.col("more"))
+    if plan.where("m > 1").limit(1).count():
+        # Repeated rows are told apart by the task that read them and their place there.
+        many = stage(rows.where("m > 1"), "repeated")
+        held = many.groupBy(*key, "part").agg(F.count("*").alias("c"))
+        held = held.select(*[F.col(c).alias(f"in_{c}") for c in (*key, "part")], mixing.before(held).alias("before"))
+        many = many.withColumn("i", F.row_number().over(W.partitionBy(*key, "part").orderBy("text", "lang")))
+        many = many.join(held, mixing.same_row("in_") & (F.col("part") == F.col("in_part")))
+        many = many.withColumn("copies", F.col("base") + (F.col("before") + F.col("i") <= F.col("more")).cast("long"))
+        single = single.unionByName(many.select(*single.columns))
+    copies = F.col("copies").cast("int")
+    return single.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where("copies > 0").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,6 +289,19 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    import time
+
+    text = 'token: "abcdefgh" ' * 60_000
+    df = spark.createDataFrame([(1, text), (2, text[:-1])], "doc_id long, text string")
+    began = time.perf_counter()
+    got = secrets.scan(df).withColumn("masked", secrets.redact()).collect()
+    assert time.perf_counter() - began < 60
+    for r in got:
+        assert r.n_assign == 60_000 and r.masked == r.text.replace('token: "abcdefgh', "[secret]")
+        assert tuple(r.found[-1]) == brute_spans(r.text)[-1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.from_regex(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]([A-Za-z0-9]+)", fullmatch=True), st.text(max_size=5), st.sampled_from(["upper", "lower", "swapcase"]))
 def test_trigram_queries_hold_for_every_match(match, around, case):

@@ -68,11 +68,11 @@ def _found(rule: Rule, order: int, tried: Column | None) -> Column:
     parts = f"zip_with(zip_with(slice(split({text}, {pattern}, -1), 1, size({match})), {match}, (p, m) -> struct(length(p) as gap, length(m) as len)), {inner}, (x, g) -> struct(x.gap as gap, x.len as len, length(g) >= {rule.least} as good))"
     span = f"struct(cast(s.at + x.gap as bigint) as start, {order} as ord, {quoted(rule.kind)} as kind, cast(s.at + x.gap + x.len as bigint) as stop)"
     none = "cast(array() as array<struct<start: bigint, ord: int, kind: string, stop: bigint>>)"
-    # A fold over every CHUNK matches, from where the matches before them end.
-    fold = f"""aggregate(slice(parts, c * {CHUNK} + 1, {CHUNK}),
-        struct(aggregate(slice(parts, 1, c * {CHUNK}), 0L, (a, x) -> a + x.gap + x.len) as at, {none} as spans),
+    # A fold over every CHUNK matches, from where the matches before them end: chunks' lengths are added up first.
+    ends = f"aggregate(sequence(0, cast((size(parts) - 1) div {CHUNK} as int)), array(0L), (a, c) -> array_append(a, element_at(a, -1) + aggregate(slice(parts, c * {CHUNK} + 1, {CHUNK}), 0L, (t, x) -> t + x.gap + x.len)))"
+    fold = f"""aggregate(slice(parts, c * {CHUNK} + 1, {CHUNK}), struct(ends[c] as at, {none} as spans),
         (s, x) -> struct(s.at + x.gap + x.len as at, concat(s.spans, if(x.good, array({span}), {none})) as spans), s -> s.spans)"""
-    chunks = f"flatten(transform(sequence(0, cast((size(parts) - 1) div {CHUNK} as int)), c -> {fold}))"
+    chunks = f"flatten(transform(array({ends}), ends -> flatten(transform(sequence(0, cast((size(parts) - 1) div {CHUNK} as int)), c -> {fold}))))"
     return F.expr(f"coalesce(transform(array({parts}), parts -> if(size(parts) > 0, {chunks}, {none}))[0], {none})")
 
 
@@ -84,10 +84,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     rule's least are dropped. A null text is empty. Texts are searched whole. Copies of a text share
     their postings; repeated rows and null ids are scanned each; other columns are ignored.
     """
-    texts = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    # Empty texts have keys of their own, so that they don't meet.
+    key = F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(F.xxhash64("doc_id", F.spark_partition_id()))
+    texts = docs.select("doc_id", *[c for c in keep if c != "doc_id"], F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
     index = stage(postings(texts.select("key", "text"), rules).distinct(), "postings")
+    # Texts stay where they are as long as Spark finds the candidates small enough to be sent to them.
     worth = stage(candidates(index, rules), "candidates").withColumnRenamed("key", "of")
-    rows = texts.join(worth.hint("shuffle_hash"), F.col("key") == F.col("of"), "left")
+    rows = texts.join(worth, F.col("key") == F.col("of"), "left")
     lists = [_found(r, i, F.col(f"try_{r.kind}") if f"try_{r.kind}" in worth.columns else None).alias(f"list_{i}") for i, r in enumerate(rules)]
     rows = rows.select(*keep, "text", *lists)
     return rows.select(*keep, "text", *[F.size(f"list_{i}").cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules)], F.array_sort(F.flatten(F.array(*[f"list_{i}" for i in range(len(rules))]))).alias("found"))
@@ -100,6 +103,13 @@ def span_text(found: str = "found") -> Column:
 
 def redact(found: str = "found", text: str = "text") -> Column:
     """The text with each stretch that spans cover replaced by ``[secret]``."""
-    # Code points from the furthest stop so far up to each span's start, then the rest.
-    step = f"struct(greatest(s.at, x.stop) as at, if(x.start >= s.at, array_append(array_append(s.parts, substring({text}, cast(s.at as int) + 1, cast(x.start - s.at as int))), '[secret]'), s.parts) as parts)"
-    return F.expr(f"if(size({found}) = 0, {text}, aggregate({found}, struct(0L as at, cast(array() as array<string>) as parts), (s, x) -> {step}, s -> concat(array_join(s.parts, ''), substring({text}, cast(s.at as int) + 1))))")
+    # Code points from the furthest stop so far up to each span's start, then the rest; a fold over every CHUNK spans.
+    chunks = f"sequence(0, cast((size({found}) - 1) div {CHUNK} as int))"
+    own = f"slice({found}, c * {CHUNK} + 1, {CHUNK})"
+    stops = f"aggregate({chunks}, array(0L), (a, c) -> array_append(a, greatest(element_at(a, -1), array_max(transform({own}, x -> x.stop)))))"
+    # A chunk's stretch of the text is cut out once, so that each piece is looked for near its place.
+    step = "struct(greatest(s.at, x.stop) as at, if(x.start >= s.at, concat(s.kept, array(substring(part, cast(s.at - stops[c] as int) + 1, cast(x.start - s.at as int)), '[secret]')), s.kept) as kept)"
+    part = f"substring({text}, cast(stops[c] as int) + 1, cast(stops[c + 1] - stops[c] as int))"
+    fold = f"transform(array({part}), part -> aggregate({own}, struct(stops[c] as at, cast(array() as array<string>) as kept), (s, x) -> {step}, s -> array_join(s.kept, '')))[0]"
+    whole = f"transform(array({stops}), stops -> concat(array_join(transform({chunks}, c -> {fold}), ''), substring({text}, cast(element_at(stops, -1) as int) + 1)))[0]"
+    return F.expr(f"if(size({found}) = 0, {text}, {whole})")

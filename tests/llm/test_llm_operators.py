@@ -3,6 +3,7 @@ repeated rows and extra columns whose names clash, and on empty tables."""
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -428,21 +429,53 @@ def test_range_search_recall_over_many_shards(spark, monkeypatch):
     assert 0.9 * want <= got <= want
 
 
-def test_exact_topk(spark):
+def brute_topk(data, k=5):
+    """Rows (query_id, rank, vec_id, score) of all pairs, in Python's integers."""
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in data if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    out = collections.Counter()
+    for a, (i, q) in enumerate(good):
+        if i is not None and i % 50 == 0:
+            found = [(-held(sum(x * y for x, y in zip(q, v))), j is None, j or 0) for b, (j, v) in enumerate(good) if a != b]  # noqa: B905
+            for rank, (s, none, j) in enumerate(sorted(found)[:k]):
+                out[i, rank + 1, None if none else j, -s] += 1
+    return out
+
+
+def test_exact_topk(spark, monkeypatch):
     data = vector_rows()
-    df = spark.createDataFrame(data, VECTORS).withColumns({c: F.lit(1) for c in ("v", "d", "grp", "pivot", "n", "ids", "q", "rank", "query")}).repartition(3)
-    good = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v, _ in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    pad = lambda v: np.concatenate([v, np.zeros(16 - len(v), int)]).astype(int)
-    want = set()
-    for q, v in {i: min((tuple(pad(x)) for j, x in good if j == i)) for i, _ in good if i % 50 == 0}.items():
-        best = sorted((-int(np.dot(v, pad(x))), j) for j, x in good if j != q)[:5]
-        want |= {(q, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {tuple(r) for r in voronoi.topk(df, F.col("vec_id") % 50 == 0).collect()} == want
+    df = spark.createDataFrame(data, VECTORS).withColumns({c: F.lit(1) for c in ("v", "x", "grp", "pivot", "n", "ids", "rid", "rank", "query_id")}).repartition(3)
+    ask = F.col("vec_id") % 50 == 0
+    want = brute_topk(data)
+    assert collections.Counter(map(tuple, voronoi.topk(df, ask).collect())) == want
+    for name, value in (("QUERIES", 3), ("CHUNK", 7), ("SLICE", 2), ("CELL", 40)):
+        monkeypatch.setattr(voronoi, name, value)
+    assert collections.Counter(map(tuple, voronoi.topk(df, ask).collect())) == want
     assert voronoi.topk(df.limit(0), F.lit(True)).count() == 0
     few = df.where("vec_id in (0, 2000, 2001)").dropDuplicates(["vec_id"])
     assert voronoi.topk(few, F.col("vec_id") == 0).count() == 2
 
 
+@pytest.mark.parametrize(("scale", "width"), [(2.0**20, 16), (1e6, 400), (3e7, 3), (3e13, 4), (1e38, 5), (1e305, 3)])
+def test_exact_topk_of_large_components(spark, scale, width):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, width)) * scale
+    x[60:] = np.round(x[60:] / scale) * scale  # ties
+    data = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(50, x[3].tolist()), (50, x[50].tolist()), (7, x[0].tolist()), (None, x[0].tolist())]
+    got = voronoi.topk(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert collections.Counter(map(tuple, got.collect())) == brute_topk(data)
+
+
+def test_exact_topk_sends_only_what_is_needed(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 8)) * 3
+    data = [(i, (centres[i % 40] + rng.normal(size=8) * 0.01).tolist()) for i in range(4000)]
+    report = {}
+    got = voronoi.topk(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, report=report)
+    assert collections.Counter(map(tuple, got.collect())) == brute_topk(data)
+    assert report["sent"] < 0.5 * report["pairs"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="\\n<|>im_startend\né😀x", max_size=30), st.text(alphabet="\\n<|>\nuser", max_size=8))
 def test_chat_round_trip(text, role):

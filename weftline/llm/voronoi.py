@@ -1,16 +1,20 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Vectors are quantised to integers. Inner product order becomes distance order by one more coordinate:
-with ``M`` the largest norm, a vector ``x`` is put at ``(x, sqrt(M^2 - |x|^2))`` and a query ``q`` at
-``(q, 0)``, whose squared distance is ``|q|^2 + M^2 - 2 q.x``. Queries and data are grouped by their
-nearest pivot. From each group's radius and its few smallest distances to the pivot follows a distance
-within which every query of a query group has k neighbours, and from that, by the triangle
-inequality, how far from its own pivot a vector must be for that group to need it. Data are held in
-chunks sorted by that distance; a chunk goes only to the groups that need it.
+Data are grouped by their nearest pivot, queries by the nearest of fewer pivots. A group's summary is
+its pivot ``p`` and radius ``r``; by Cauchy-Schwarz no vector of the group scores more than
+``q.p + |q| r`` with a query ``q``. Each query is first solved against one chunk of its own data group, which
+bounds its k-th score from below. A query group then needs the data groups whose upper bound is no
+lower than that for one of its queries; only their chunks are sent to it, and queries only to the
+slices that hold such chunks. There, chunks' own centres and radii spare further products.
+
+Vectors of many independent dimensions lie about as far from their pivot as from anything else, so
+that few groups can be left out; ``topk`` reports the share of what is sent.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,21 +24,18 @@ from pyspark.sql import functions as F
 from weftline.staging import stage
 
 SCALE = 256
-PIVOTS = 16
+PIVOT_BYTES = 16 * 1024 * 1024  # of all pivots, at most; there is one for each square root of the vectors
+CELL = 1 << 16  # vectors of a group that one task cuts into chunks
 CHUNK = 512
 SLICE = 64  # chunks that one task streams through a query group
 QUERIES = 2048  # queries of a group held at a time
-LARGEST = 1 << 28
+CLOSE = 1e-9  # relative slack of bounds, far above what rounding can add up to
+KINDS = {2: "<i2", 4: "<i4", 8: "<f8"}
 
 
 def usable(embedding: Column) -> Column:
-    """Not null, no null or non-finite component, none that leaves 2^28 when quantised."""
-    inside = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST))
-    return F.coalesce(inside, F.lit(False))
-
-
-def quantised(embedding: Column) -> Column:
-    return F.transform(embedding, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
+    """Not null, and no null or non-finite component."""
+    return F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -48,170 +49,279 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _chunks(pivots: np.ndarray, radius2: int, k: int):
-    """Vectors of a task by nearest pivot and distance to it, in chunks."""
-    schema = pa.schema([("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("nearest", pa.list_(pa.float64())), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
-    width = pivots.shape[1]
-    top = np.sqrt(np.maximum(0.0, radius2 - (pivots.astype(float) ** 2).sum(1)))
-
-    def flush(ids, vectors):
-        ids, x = np.concatenate(ids), np.concatenate(vectors)
-        extra = np.sqrt(np.maximum(0.0, radius2 - (x.astype(float) ** 2).sum(1)))
-        d = np.sqrt(np.maximum(0.0, 2.0 * radius2 - 2 * (x.astype(float) @ pivots.T.astype(float) + extra[:, None] * top)))
-        pivot = d.argmin(1)
-        d = d[np.arange(len(x)), pivot]
-        order = np.lexsort((d, pivot))
-        rows = []
-        edges = np.flatnonzero(np.diff(pivot[order], prepend=-1))
-        for lo, hi in zip(edges, [*edges[1:], len(order)], strict=True):
-            for at in range(lo, hi, CHUNK):
-                own = order[at : min(at + CHUNK, hi)]
-                rows.append((int(pivot[own[0]]), d[own[0]], d[own[-1]], d[own[:k]], len(own), ids[own].tobytes(), x[own].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def quantised(x: np.ndarray) -> np.ndarray:
+    """floor(256 x) as doubles; where that leaves the range of doubles, the largest of them."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(SCALE * x), -np.finfo(float).max, np.finfo(float).max)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Each row in the fewest bytes a component that hold all rows."""
+    most = np.abs(x).max(initial=0)
+    return [r.tobytes() for r in x.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8")]
+
+
+def unpacked(cells: list[bytes], width: int) -> np.ndarray:
+    sizes = {len(c) for c in cells}
+    if len(sizes) == 1:
+        return np.frombuffer(b"".join(cells), KINDS[sizes.pop() // width]).reshape(-1, width).astype(float)
+    return np.stack([np.frombuffer(c, KINDS[len(c) // width]).astype(float) for c in cells])
+
+
+def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Number of each row's nearest pivot; which one decides nothing but what moves where."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num((pivots**2).sum(1) - 2 * x @ pivots.T).argmin(1)
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.sqrt((x**2).sum(1))
+
+
+HOMES = "pivot int, coarse int, near double, rid long, vec_id long, asks boolean, v binary"
+
 
+def _homes(pivots: np.ndarray, coarse: int):
     def run(batches):
-        ids, vectors, held = [], [], 0
         for batch in batches:
             if batch.num_rows:
-                ids.append(batch[0].to_numpy())
-                vectors.append(matrix(batch[1], width))
-                held += batch.num_rows
-            if held >= 1 << 16:
-                yield flush(ids, vectors)
-                ids, vectors, held = [], [], 0
-        if held:
-            yield flush(ids, vectors)
+                x = quantised(matrix(batch[3], pivots.shape[1]))
+                own = nearest(x, pivots)
+                columns = [pa.array(own, pa.int32()), pa.array(nearest(x, pivots[:coarse]), pa.int32()), pa.array(norms(x - pivots[own])), batch[0], batch[1], batch[2], pa.array(packed(x), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in HOMES.split(", ")])
 
     return run
 
 
-CHUNK_SCHEMA = "pivot int, near double, far double, nearest array<double>, n int, ids binary, vectors binary"
+CHUNKS = "pivot int, first boolean, n int, rids binary, ids binary, named binary, v binary, centre binary, radius double"
 
 
-def _query_groups(pivots: np.ndarray, radius2: int):
-    schema = pa.schema([("grp", pa.int32()), ("d", pa.float64()), ("vec_id", pa.int64()), ("q", pa.list_(pa.int64()))])
+def _chunks(width: int):
+    """Rows of a group, sorted by their distance to the pivot, in chunks."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    types = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 5, pa.float64()]
+
+    def chunk(key, first, rows):
+        rids, ids, cells = zip(*rows, strict=True)
+        x = unpacked(cells, width)
+        with np.errstate(over="ignore", invalid="ignore"):
+            centre = x.mean(0)
+            radius = norms(x - centre).max()
+        named = np.array([i is not None for i in ids])
+        return key[0], first and key[1] == 0, len(rows), np.array(rids, "<i8").tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), named.tobytes(), b"".join(packed(x)), centre.tobytes(), float(radius)
 
     def run(batches):
+        key, rows, first = None, [], True
         for batch in batches:
-            if batch.num_rows:
-                q = matrix(batch[1], pivots.shape[1]).astype(float)
-                d = np.sqrt(np.maximum(0.0, (q**2).sum(1)[:, None] + radius2 - 2 * q @ pivots.T.astype(float)))
-                g = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(d[np.arange(len(g)), g]), batch[0], batch[1]], schema=schema)
+            out = []
+            for pivot, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (pivot, part) != key or len(rows) == CHUNK:
+                    if rows:
+                        out.append(chunk(key, first, rows))
+                    key, rows, first = (pivot, part), [], (pivot, part) != key
+                rows.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(chunk(key, first, rows), types, strict=True)], names=names)
+
+    return run
+
+
+def _needs(pivots: np.ndarray, radius: np.ndarray):
+    """(grp, block, pivot): the data groups that hold what may be among the k best of a query in the block."""
+    size = norms(pivots)
+    schema = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("pivot", pa.int32())])
+
+    def run(batches):
+        wanted: dict = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                grp, block, theta = (part[i].to_numpy(zero_copy_only=False) for i in range(3))
+                q = unpacked(part[3].to_pylist(), pivots.shape[1])
+                own = norms(q)[:, None]
+                theta = np.where(np.isnan(theta), -np.inf, theta)[:, None]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    most = q @ pivots.T + own * radius
+                    needed = ~(most < theta - CLOSE * (own * (size + radius) + np.abs(theta))) & (radius >= 0)
+                for key in set(zip(grp.tolist(), block.tolist(), strict=True)):
+                    hit = needed[(grp == key[0]) & (block == key[1])].any(0)
+                    wanted[key] = wanted[key] | hit if key in wanted else hit
+            while len(wanted) > 64:  # a block's rows come together; what is repeated is dropped later
+                key = next(iter(wanted))
+                yield emit(key, wanted.pop(key))
+        for key, hit in wanted.items():
+            yield emit(key, hit)
+
+    def emit(key, hit):
+        j = np.flatnonzero(hit)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(j), key[0]), pa.int32()), pa.array(np.full(len(j), key[1]), pa.int32()), pa.array(j, pa.int32())], schema=schema)
 
     return run
 
 
-def needs(pivots: np.ndarray, radius2: int, query_radius: dict[int, float], nearest: dict[int, list[float]], k: int) -> list[tuple[int, int, float, float]]:
-    """(query group, data group, least and most distance to the data group's pivot) of what may hold neighbours."""
-    p = pivots.astype(float)
-    top = np.sqrt(np.maximum(0.0, radius2 - (p**2).sum(1)))
-    between = np.sqrt(np.maximum(0.0, 2.0 * radius2 - 2 * (p @ p.T + np.outer(top, top))))
-    out = []
-    for i, u in query_radius.items():
-        bounds = np.sort(np.concatenate([np.asarray(s) + between[i, j] for j, s in nearest.items()] or [np.zeros(0)]))
-        # One more than k, as a query is no neighbour of itself.
-        within = u + bounds[k] if len(bounds) > k else np.inf
-        within = within * (1 + 1e-9) + 1e-6
-        for j in nearest:
-            out.append((i, j, float(between[i, j] - u - within), float(between[i, j] + u + within)))
+FOUND = "rid long, query_id long, vec_id long, score long"
+
+
+def scores(q: np.ndarray, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows, held within 64 bits; exact unless below ``least`` (of each query)."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1]
+        if bound < 1 << 53:
+            return (q @ x.T).astype(np.int64)
+        if bound < 1 << 62 and np.abs(q).max() < 1 << 62 and np.abs(x).max() < 1 << 62:
+            return q.astype(np.int64) @ x.T.astype(np.int64)
+        s = q @ x.T
+        error = CLOSE * norms(q)[:, None] * norms(x)
+        out = np.where(s < 0, low, high)
+        # Python's integers where rounding or overflow could decide.
+        open_ = ~(np.abs(s) - error > 2.0**63) & ~(s + error < least[:, None].astype(float))
+        out[~open_ & (np.abs(s) < 2.0**63)] = low
+    for i, j in zip(*np.nonzero(open_), strict=True):
+        exact = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))
+        out[i, j] = max(low, min(high, exact))
     return out
 
 
 def _solve(width: int, k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    """Each deal's queries come first and are held; its chunks stream by them."""
+    schema = pa.schema([("rid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    low = np.iinfo(np.int64).min
 
-    class Group:
+    class Deal:
         def __init__(self, key):
-            self.key, self.ids, self.q, self.ready = key, [], [], False
+            self.key, self.asks, self.q = key, [], None
             self.row, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
-
-        def add(self, ids, x):
-            if not self.ready:
-                self.ids, self.q, self.ready = np.array(self.ids), np.array(self.q, np.int64).reshape(-1, width), True
-            small = max(np.abs(x).max(initial=0), 1) * max(np.abs(self.q).max(initial=0), 1) * width < 1 << 53
-            s = (self.q.astype(float) @ x.T.astype(float)).astype(np.int64) if small else self.q @ x.T
-            own = self.ids[:, None] == ids
-            low = np.iinfo(np.int64).min
-            s[own] = low
-            floor = np.full(len(self.ids), low + 1)
-            if s.shape[1] > k:
-                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
-            full = np.bincount(self.row, minlength=len(floor)) >= k
-            kth = np.full(len(floor), low + 1)
-            np.minimum.at(last := np.full(len(floor), np.iinfo(np.int64).max), self.row, self.score)
-            kth[full] = last[full]
-            r, c = np.nonzero(s >= np.maximum(floor, kth)[:, None])
-            row, score, id_ = np.concatenate([self.row, r]), np.concatenate([self.score, s[r, c]]), np.concatenate([self.id, ids[c]])
-            order = np.lexsort((id_, -score, row))
+            self.named = np.zeros(0, bool)
+
+        def add(self, rids, ids, named, x, centre, radius):
+            if self.q is None:
+                self.rid, self.ids, theta, cells = zip(*self.asks, strict=True)
+                self.rid, self.q = np.array(self.rid), unpacked(cells, width)
+                self.least = np.array([low if t is None else t for t in theta], np.int64)
+                self.size, self.asks = norms(self.q), []
+            with np.errstate(over="ignore", invalid="ignore"):
+                most = self.q @ centre + self.size * radius
+                some = np.flatnonzero(~(most < self.least - CLOSE * (self.size * (norms(centre[None])[0] + radius) + np.abs(self.least.astype(float)))))
+            if not len(some):
+                return
+            s = scores(self.q[some], x, self.least[some])
+            hit = (s >= self.least[some][:, None]) & (self.rid[some][:, None] != rids)
+            if s.shape[1] > k and np.count_nonzero(hit) > 4 * k * len(some):
+                # Columns by id, so that a stable sort leaves the best k with ties to the smaller id.
+                by_id = np.lexsort((ids, ~named))
+                t = np.where(hit, s, low)[:, by_id]
+                floor = np.partition(t, -k, axis=1)[:, -k][:, None]
+                above, tie = t > floor, t == floor
+                left = k - above.sum(1, keepdims=True)
+                keep = (above | (tie & (np.cumsum(tie, 1) <= left))) & hit[:, by_id]
+                r, c = np.nonzero(keep)
+                c = by_id[c]
+            else:
+                r, c = np.nonzero(hit)
+            row, score, id_, has = np.concatenate([self.row, some[r]]), np.concatenate([self.score, s[r, c]]), np.concatenate([self.id, ids[c]]), np.concatenate([self.named, named[c]])
+            order = np.lexsort((id_, ~has, ~score, row))  # ~score falls as the score grows and can't overflow
             row = row[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             keep = order[place < k]
-            self.row, self.score, self.id = row[place < k], score[keep], id_[keep]
+            self.row, self.score, self.id, self.named = row[place < k], score[keep], id_[keep], has[keep]
+            last = np.flatnonzero(place == k - 1)
+            kth = score[order[last]]
+            self.least[row[last]] = np.maximum(self.least[row[last]], kth)
 
         def best(self):
-            ids = np.asarray(self.ids)[self.row] if len(self.row) else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(self.id), pa.array(self.score)], schema=schema)
+            ids = [self.ids[i] for i in self.row]
+            return pa.RecordBatch.from_arrays([pa.array(self.rid[self.row]), pa.array(ids, pa.int64()), pa.array(self.id, mask=~self.named), pa.array(self.score)], schema=schema)
 
     def run(batches):
-        group = None
+        deal = None
         for batch in batches:
-            for *key, member, query, q, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group is None or group.key != key:
-                    if group is not None and group.ready:
-                        yield group.best()
-                    group = Group(key)
+            for grp, block, part, member, rid, vec_id, theta, v, rids, ids, named, centre, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if deal is None or deal.key != (grp, block, part):
+                    if deal is not None and len(deal.row):
+                        yield deal.best()
+                    deal = Deal((grp, block, part))
                 if not member:
-                    group.ids.append(query)
-                    group.q.append(q + [0] * (width - len(q)))
-                elif len(group.ids):
-                    group.add(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, width))
-        if group is not None and group.ready:
-            yield group.best()
+                    deal.asks.append((rid, vec_id, theta, v))
+                elif deal.asks or deal.q is not None:
+                    rids = np.frombuffer(rids, "<i8")
+                    x = unpacked([v], len(rids) * width).reshape(-1, width)
+                    deal.add(rids, np.frombuffer(ids, "<i8"), np.frombuffer(named, bool), x, np.frombuffer(centre), radius)
+        if deal is not None and len(deal.row):
+            yield deal.best()
 
     return run
 
 
-def topk(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def _solved(asked: DataFrame, chunks: DataFrame, needs: DataFrame, spread: int, width: int, k: int) -> DataFrame:
+    """(rid, query_id, vec_id, score): the best k of each deal of queries (grp, block) with chunks of the pivots they need."""
+    sent = needs.join(chunks, "pivot").withColumn("part", F.pmod(F.xxhash64("rids"), F.lit(spread)).cast("int"))
+    none = {"rid": "long", "vec_id": "long", "theta": "long"}
+    member = sent.select("grp", "block", "part", F.lit(True).alias("member"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "v", "rids", "ids", "named", "centre", "radius")
+    parts = needs.join(chunks.select("pivot", F.pmod(F.xxhash64("rids"), F.lit(spread)).cast("int").alias("part")), "pivot").select("grp", "block", "part").distinct()
+    held = {"rids": "binary", "ids": "binary", "named": "binary", "centre": "binary", "radius": "double"}
+    ask = asked.join(parts, ["grp", "block"]).select("grp", "block", "part", F.lit(False).alias("member"), "rid", "vec_id", "theta", "v", *[F.lit(None).cast(t).alias(c) for c, t in held.items()])
+    dealt = ask.unionByName(member).repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "member")
+    return dealt.mapInArrow(_solve(width, k), FOUND)
+
+
+def topk(vectors: DataFrame, queries: Column, k: int = 5, report: dict | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k highest integer inner products of each query with the others.
 
     ``vectors`` has vec_id and embedding; ``queries`` says which rows ask. Each component x becomes
-    floor(256 x). A query is held against every row with another vec_id; ties go to the smaller vec_id.
-    Vectors that are null, hold null or non-finite components or components of 2^20 or more, and rows
-    with a null vec_id take no part. Vectors of unequal length are compared as if filled up with zeros.
-    Rows that repeat a vec_id each count as candidates; of those that ask, the smallest vector does. A
-    query with fewer than k others gets them all. Other columns are ignored.
-
-    The pivots are the rows whose ids hash lowest, a sample of fixed size; they steer only what is
-    moved where, and the result is exact.
+    floor(256 x), x as double. A query is held against every row but its own, so rows that repeat its
+    vec_id are candidates, and each of several rows with a vec_id that asks gets its own k. Ties go to
+    the smaller vec_id; a null one never asks by its id and comes last. Vectors that are null or hold null or non-finite
+    components take no part. Vectors of unequal length are compared as if filled up with zeros. A score
+    that 64 bits don't hold is the nearest that they do. A query with fewer than k others gets them all.
+    Other columns are ignored; an empty table gives no rows.
+
+    The pivots are the rows whose numbers hash lowest; they steer only what is moved where, and the
+    result is exact. ``report`` takes pairs (chunks times query groups) and sent (how many were needed).
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("v", quantised(F.col("embedding")))
-    data = rows.select("vec_id", "v")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    widest, radius2 = data.agg(F.max(F.size("v")), F.max(norm)).first()
-    schema = "query_id long, vec_id long, score long"
-    if radius2 is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(widest, 1)
-    sample = [r["v"] for r in data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()]
-    points = np.array([v + [0] * (width - len(v)) for v in sample], np.int64)
-
-    asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = stage(asked.mapInArrow(_query_groups(points, radius2), "grp int, d double, vec_id long, q array<long>"), "queries")
-    chunks = stage(data.mapInArrow(_chunks(points, radius2, k + 1), CHUNK_SCHEMA), "chunks")
-    groups = {r["grp"]: r for r in asked.groupBy("grp").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()}
-    nearest = {r["pivot"]: r["s"] for r in chunks.groupBy("pivot").agg(F.slice(F.array_sort(F.flatten(F.collect_list("nearest"))), 1, k + 1).alias("s")).collect()}
-    wanted = needs(points, radius2, {i: r["d"] for i, r in groups.items()}, nearest, k)
     spark = vectors.sparkSession
-    pairs = spark.createDataFrame(wanted, "grp int, of int, least double, most double")  # pivots squared at most
-    blocks = spark.createDataFrame([(i, -(-r["n"] // QUERIES)) for i, r in groups.items()], "grp int, blocks int")
+    rows = vectors.where(usable(F.col("embedding"))).select("vec_id", F.coalesce(queries, F.lit(False)).alias("asks"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "asks", "x"), "vectors")
+    n, asking, widest = rows.agg(F.count("*"), F.count_if("asks"), F.max(F.size("x"))).first()
+    if not n or not asking:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(widest, 1)
+    most = max(1, min(math.isqrt(n), PIVOT_BYTES // (8 * width)))
+    sample = [r["x"] for r in rows.orderBy(F.xxhash64("rid"), "rid").limit(most).collect()]
+    pivots = np.unique(quantised(np.array([x + [0.0] * (width - len(x)) for x in sample])), axis=0)
+    pivots = pivots[np.random.default_rng(0).permutation(len(pivots))]
+    coarse = max(1, min(len(pivots), asking // QUERIES))
+
+    homes = stage(rows.mapInArrow(_homes(pivots, coarse), HOMES), "homes")
+    groups = homes.groupBy("pivot").agg(F.max("near").alias("radius"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    radius = np.full(len(pivots), -1.0)
+    for r in groups.collect():  # a row for each pivot
+        radius[r["pivot"]] = r["radius"] if math.isfinite(r["radius"]) else np.inf
+    split = homes.join(groups.select("pivot", "parts"), "pivot").withColumn("part", F.pmod(F.xxhash64("rid"), "parts").cast("int"))
+    dealt = split.select("pivot", "part", "rid", "vec_id", "v", "near").repartition("pivot", "part").sortWithinPartitions("pivot", "part", "near").drop("near")
+    chunks = stage(dealt.mapInArrow(_chunks(width), CHUNKS), "chunks")
     spread = max(1, -(-chunks.count() // SLICE))
 
-    sent = chunks.join(F.broadcast(pairs), (F.col("pivot") == F.col("of")) & (F.col("far") >= F.col("least")) & (F.col("near") <= F.col("most")))
-    sent = sent.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")).join(F.broadcast(blocks), "grp")
-    sent = sent.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "slice", F.lit(True).alias("member"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<long>").alias("q"), "ids", "vectors")
-    ask = asked.join(F.broadcast(blocks), "grp").select("grp", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("slice"), F.lit(False).alias("member"), F.col("vec_id").alias("query"), "q", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("vectors"))
-    dealt = ask.unionByName(sent).repartition("grp", "block", "slice").sortWithinPartitions("grp", "block", "slice", "member")
-    best = dealt.mapInArrow(_solve(width, k), schema)
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def blocks(asked: DataFrame, by: str) -> DataFrame:
+        n_blocks = asked.groupBy(F.col(by).alias("grp")).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        return asked.withColumnRenamed(by, "grp").join(n_blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+
+    asked = homes.where("asks").select("pivot", "coarse", "rid", "vec_id", F.lit(None).cast("long").alias("theta"), "v")
+    near = blocks(asked, "pivot").select("grp", "block", "rid", "vec_id", "theta", "v")
+    at_home = near.select("grp", "block", F.col("grp").alias("pivot")).distinct()
+    first = _solved(near, chunks.where("first"), at_home, 1, width, k)
+    theta = first.groupBy(F.col("rid").alias("of")).agg(F.min("score").alias("theta"), F.count("*").alias("c")).where(F.col("c") >= k).select("of", "theta")
+    asked = blocks(asked.drop("theta").join(theta, F.col("rid") == F.col("of"), "left"), "coarse")
+    asked = stage(asked.select("grp", "block", "rid", "vec_id", "theta", "v"), "asked")
+    ordered = asked.repartition("grp", "block").sortWithinPartitions("grp", "block").select("grp", "block", F.col("theta").cast("double"), "v")
+    needs = stage(ordered.mapInArrow(_needs(pivots, radius), "grp int, block int, pivot int").distinct(), "needs")
+    if report is not None:
+        report["pairs"] = chunks.count() * asked.select("grp", "block").distinct().count()
+        report["sent"] = needs.join(chunks.select("pivot"), "pivot").count()
+
+    best = _solved(asked, chunks, needs, spread, width, k)
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -429,6 +429,27 @@ def test_range_search_recall_over_many_shards(spark, monkeypatch):
     assert 0.9 * want <= got <= want
 
 
+def test_range_search_recall_near_the_threshold(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(4000, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.95, (4000, 1))
+    df = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(np.vstack([x, c * x + np.sqrt(1 - c * c) * z]))], "vec_id long, embedding array<double>, label string").repartition(4)
+    got = annjoin.near_duplicates(df)
+    assert 0.95 * 8000 <= got.agg(F.sum("n_links")).first()[0] <= 8000
+    assert annjoin.audit(df, got, 100) >= 0.9
+
+
+@pytest.mark.parametrize("label", ["text", 1 << 40, 1.5, True])
+def test_labels_of_any_type(spark, label):
+    kind = {str: "string", int: "long", float: "double", bool: "boolean"}[type(label)]
+    df = spark.createDataFrame([(1, [1.0, 0.0], label), (2, [1.0, 0.1], label), (3, [1.0, 0.0], None)], f"vec_id long, embedding array<float>, label {kind}")
+    assert {tuple(r) for r in annjoin.near_duplicates(df).collect()} == {(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)}
+
+
 def brute_topk(data, k=5):
     """Rows (query_id, rank, vec_id, score) of all pairs, in Python's integers."""
     good = [(i, [math.floor(256 * x) for x in v]) for i, v, *_ in data if v is not None and all(x is not None and np.isfinite(x) for x in v)]

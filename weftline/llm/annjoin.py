@@ -1,10 +1,11 @@
 """Near-duplicate vectors by range search in robust-pruned flat graphs.
 
-Vectors of a label are dealt to overlapping clusters, each cluster to shards of bounded size. A shard
-builds a flat graph of its vectors by robust pruning; a vector's adjacency lists from all its shards
-are united. A query starts at a shard's medoid, moves greedily by a beam, and keeps expanding whatever
-lies within the search range, which is wider than the linking threshold. What it meets is verified by
-its cosine in double precision.
+Vectors of a label are dealt to overlapping clusters in two steps: to several nearest cells, and in
+each to the nearest of its clusters, so that clusters stay small however many vectors there are.
+A cluster is dealt to shards of bounded size. A shard builds a flat graph of its vectors by robust
+pruning; a vector's adjacency lists from all its shards are united. A query starts at a shard's
+medoids, moves greedily by a beam, and keeps expanding whatever lies within the search range, which is
+wider than the linking threshold. What it meets is verified by its cosine in double precision.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from weftline.staging import stage
 
 THRESHOLD = 0.93
 SLACK = 0.08  # how far below the threshold a node is still expanded
-DEGREE = 24
-LONG = 8  # further edges to any members, so that tight groups larger than a list stay joined
-CANDIDATES = 96
+DEGREE = 16
+LONG = 4  # further edges to any members, so that tight groups larger than a list stay joined
+CANDIDATES = 64
 ALPHA = 1.2
-BEAM = 24
-OVERLAP = 3
+BEAM = 8
+STARTS = 32  # members, the medoid first, of which the nearest is where a search starts
+OVERLAP = 3  # cells of a vector, and one more for each time that clusters double beyond SPARSE
+SPARSE = 64
 SHARD = 1000  # vectors a shard holds at most, about
-CENTROIDS = 16_384  # at most; also the sample they are drawn from
+PART = 20_000  # vectors that one task assigns to the centroids of a cell
 STEP = 4  # nodes that a query expands at once
 QUERY_BLOCK = 500
 
@@ -72,69 +75,125 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
     return np.hstack([out, np.where(far == rows[:, None], -1, far)])
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, medoid: int, q: np.ndarray, reach: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, node, cosine) of what the searches of all q met in the graph of x.
+def range_search(x: np.ndarray, adjacency: np.ndarray, starts: np.ndarray, q: np.ndarray, reach: float, threshold: float, beam: int = BEAM, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of what the searches of all q met in the graph of x with a cosine of the threshold or more.
 
-    A search starts at the medoid, and at the query's own node where ``own`` is not -1.
+    A search starts at the nearest of the starts, and at the query's own node where ``own`` is not -1. It
+    expands its nearest nodes not yet expanded, as long as they are among the beam's best or in reach.
     """
-    nq, n = len(q), len(x)
-    cosine = np.full((nq, n), -np.inf)
-    expanded = np.zeros((nq, n), bool)
-    cosine[:, medoid] = q @ x[medoid]
+    nq = len(q)
+    seen = np.zeros((nq, len(x)), bool)
+    top = np.full((nq, beam), -np.inf)
+    begin = starts[(q @ x[starts].T).argmax(1)]
+    who, node = np.arange(nq), begin
     if own is not None:
-        inside = np.flatnonzero(own >= 0)
-        cosine[inside, own[inside]] = np.einsum("ij,ij->i", q[inside], x[own[inside]])
-    beam = min(beam, n)
-    active = np.arange(nq)
-    while len(active):
-        open_ = np.where(expanded[active], -np.inf, cosine[active])
-        floor = np.minimum(np.partition(cosine[active], n - beam, axis=1)[:, n - beam], reach)
-        step = min(STEP, n)
-        top = np.argpartition(open_, n - step, axis=1)[:, n - step :]
-        value = np.take_along_axis(open_, top, 1)
-        r, c = np.nonzero((value >= floor[:, None]) & np.isfinite(value))
-        if not len(r):
-            break
-        who, node = active[r], top[r, c]
-        expanded[who, node] = True
-        to = adjacency[node]
-        who, to = np.repeat(who, to.shape[1]), to.ravel()
-        new = (to >= 0) & ~np.isfinite(cosine[who, to])
-        pairs = np.unique(who[new] * n + to[new])
-        who, to = pairs // n, pairs % n
-        for at in range(0, len(pairs), 1 << 16):
-            a, b = who[at : at + (1 << 16)], to[at : at + (1 << 16)]
-            cosine[a, b] = np.einsum("ij,ij->i", q[a], x[b])
-        active = active[np.unique(r)]
-    a, b = np.nonzero(np.isfinite(cosine))
-    return a, b, cosine[a, b]
-
-
-def apart(c: np.ndarray, most: float) -> np.ndarray:
+        inside = np.flatnonzero((own >= 0) & (own != begin))
+        who, node = np.concatenate([who, inside]), np.concatenate([node, own[inside]])
+    waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    found = []
+    while len(who) or len(waiting[0]):
+        seen[who, node] = True
+        cosine = np.einsum("ij,ij->i", q[who], x[node])
+        hit = cosine >= threshold
+        found.append((who[hit], node[hit]))
+        if len(who):
+            # The beam's best of each query that met something.
+            order = np.lexsort((-cosine, who))
+            who, node, cosine = who[order], node[order], cosine[order]
+            some, first = np.unique(who, return_index=True)
+            place = np.arange(len(who)) - np.repeat(first, np.diff([*first, len(who)]))
+            few = place < beam
+            fresh = np.full((len(some), beam), -np.inf)
+            fresh[np.searchsorted(some, who[few]), place[few]] = cosine[few]
+            top[some] = np.partition(np.hstack([top[some], fresh]), beam, axis=1)[:, beam:]
+        floor = np.minimum(top.min(1), reach)
+        who, node, cosine = (np.concatenate(p) for p in zip(waiting, (who, node, cosine), strict=True))
+        good = cosine >= floor[who]  # a floor never falls, so the others are done
+        who, node, cosine = who[good], node[good], cosine[good]
+        order = np.lexsort((-cosine, who))
+        who, node, cosine = who[order], node[order], cosine[order]
+        now = np.arange(len(who)) - np.searchsorted(who, who) < STEP
+        waiting = (who[~now], node[~now], cosine[~now])
+        to = adjacency[node[now]]
+        who, to = np.repeat(who[now], to.shape[1]), to.ravel()
+        new = (to >= 0) & ~seen[who, to]
+        pairs = np.unique(who[new] * len(x) + to[new])
+        who, node = pairs // len(x), pairs % len(x)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def apart(c: np.ndarray, most: float) -> list[int]:
     """Those that are no closer than ``most`` to an earlier one, so that a tight group has one centroid and not many."""
-    kept, n = np.empty_like(c), 0
-    for row in c:
-        if not n or (kept[:n] @ row).max() < most:
-            kept[n], n = row, n + 1
-    return kept[:n].copy()
+    kept, at = np.empty_like(c), []
+    for i, row in enumerate(c):
+        if not at or (kept[: len(at)] @ row).max() < most:
+            kept[len(at)] = row
+            at.append(i)
+    return at
+
+
+def _units(batches):
+    """Vectors as unit vectors in double precision."""
+    for batch in batches:
+        v = [unit(np.array([e]))[0].tobytes() for e in batch[3].to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(v, pa.binary())], names=["node", "m", "key", "v"])
 
 
-def _assign(centroids: dict[tuple[int, int], np.ndarray]):
-    """Each vector's OVERLAP nearest centroids of its label and length."""
-    schema = pa.schema([("node", pa.int64()), ("label", pa.int32()), ("m", pa.int64()), ("embedding", pa.list_(pa.float64())), ("clusters", pa.list_(pa.string()))])
+def _nearest(most: float):
+    """Each key's centroids come first and are held; each point gets its nearest ones."""
+    schema = pa.schema([("node", pa.int64()), ("m", pa.int64()), ("v", pa.binary()), ("to", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float64()))])
 
     def run(batches):
+        key, held, c, points = None, [], None, []
+
+        def flush():
+            nonlocal c
+            if c is None:
+                x = np.stack([np.frombuffer(v) for _, v in held])
+                keep = apart(x, most)
+                c = x[keep], np.array([n for n, _ in held])[keep]
+            s = np.stack([np.frombuffer(p[2]) for p in points]) @ c[0].T
+            n = min(points[0][3], s.shape[1])
+            order = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            out = pa.RecordBatch.from_arrays([*(pa.array([p[i] for p in points], f.type) for i, f in enumerate(list(schema)[:3])), pa.array(list(c[1][order]), pa.list_(pa.int64())), pa.array(list(np.take_along_axis(s, order, 1)), pa.list_(pa.float64()))], schema=schema)
+            points.clear()
+            return out
+
         for batch in batches:
-            found = []
-            for label, v in zip(batch[1].to_pylist(), batch[3].to_pylist(), strict=True):
-                c = centroids.get((label, len(v)))
-                nearest = range(1) if c is None else np.argsort(-(c @ unit(np.array([v]))[0]), kind="stable")[:OVERLAP]
-                found.append([f"{label}/{len(v)}/{i}" for i in nearest])
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], batch[2], batch[3], pa.array(found, pa.list_(pa.string()))], schema=schema)
+            for k, part, point, node, m, v, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, part) != key:
+                    if points:
+                        yield flush()
+                    key, held, c = (k, part), [], None
+                if point:
+                    points.append((node, m, v, top))
+                    if len(points) >= 1000:
+                        yield flush()
+                else:
+                    held.append((node, v))
+        if points:
+            yield flush()
 
     return run
 
 
+def assigned(points: DataFrame, centroids: Column, top: Column, most: float) -> DataFrame:
+    """Points (key, node, m, v, shares) with the nearest of their key's centroids: ``to`` and ``cosine``, nearest first.
+
+    ``centroids`` and ``top`` say, from the ``n`` points of a key and their shares, how many
+    centroids are drawn from them, by their hash, and how many a point gets. Centroids closer than
+    ``most`` to another one are left out.
+    """
+    counts = points.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("shares").alias("shares"))
+    counts = counts.select("key", "n", "least", centroids.alias("k"), top.cast("int").alias("most"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = points.select("key", "node", "m", "v").join(counts, "key")
+    drawn = (F.pmod(F.xxhash64("node", "key"), F.lit(1 << 40)) < F.col("k") / F.col("n") * float(1 << 40)) | (F.col("node") == F.col("least"))
+    c = rows.where(drawn).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("point"), "node", "m", "v", "most")
+    p = rows.select("key", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(True).alias("point"), "node", "m", "v", "most")
+    dealt = c.unionByName(p).repartition("key", "part").sortWithinPartitions("key", "part", "point", "node")
+    return dealt.mapInArrow(_nearest(most), "node long, m long, v binary, to array<long>, cosine array<double>")
+
+
 def _groups(batches):
     """Rows of one shard, gathered by its key in the first two columns; a shard is bounded."""
     key, rows = None, []
@@ -154,7 +213,7 @@ def _build():
 
     def run(batches):
         for _, rows in _groups(batches):
-            nodes, x = np.array([r[0] for r in rows]), unit(np.array([r[1] for r in rows]))
+            nodes, x = np.array([r[0] for r in rows]), np.stack([np.frombuffer(r[1]) for r in rows])
             out = [nodes[a[a >= 0]] for a in robust_prune(x)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
@@ -171,7 +230,7 @@ def _search(threshold: float):
 
         def close(self):
             nodes = np.array([r[1] for r in self.members])
-            self.x, self.m = unit(np.array([r[2] for r in self.members])), np.array([r[3] for r in self.members])
+            self.x, self.m = np.stack([np.frombuffer(r[2]) for r in self.members]), np.array([r[3] for r in self.members])
             self.nodes = nodes
             self.homes = [r[4] for r in self.members]
             self.place = place = {node: i for i, node in enumerate(nodes.tolist())}
@@ -185,7 +244,8 @@ def _search(threshold: float):
             self.adjacency = np.full((len(both), width), -1)
             for i, a in enumerate(both):
                 self.adjacency[i, : len(a)] = sorted(a)
-            self.medoid = int((self.x @ self.x.mean(0)).argmax())
+            medoid = int((self.x @ self.x.mean(0)).argmax())
+            self.starts = np.unique([medoid, *range(0, len(nodes), max(1, len(nodes) // STARTS))])
             self.root: dict = {}
 
         def find(self, v):
@@ -195,13 +255,12 @@ def _search(threshold: float):
             return v
 
         def links(self, rows):
-            q = unit(np.array([r[2] for r in rows]))
-            a, b, cosine = range_search(self.x, self.adjacency, self.medoid, q, threshold - SLACK, own=np.array([self.place.get(r[1], -1) for r in rows]))
-            hit = cosine >= threshold
+            q = np.stack([np.frombuffer(r[2]) for r in rows])
+            a, b = range_search(self.x, self.adjacency, self.starts, q, threshold - SLACK, threshold, own=np.array([self.place.get(r[1], -1) for r in rows]))
             count = np.zeros(len(rows), np.int64)
             out = []
             cluster = self.key[0]
-            for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 node, other = rows[i][1], int(self.nodes[j])
                 if node == other:
                     continue
@@ -259,26 +318,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     smallest id, null if there is none, and is not kept. Other columns are ignored.
     """
     rows = vectors.select("vec_id", "embedding", "label").withColumn("node", F.when(F.col("label").isNotNull() & usable(F.col("embedding")), F.xxhash64("label", "embedding")))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("label").alias("label"), F.min("embedding").alias("embedding"), F.count("*").alias("m"), F.min("vec_id").alias("least"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.xxhash64(F.min("label"), F.size(F.min("embedding"))).alias("key"), F.min("embedding").alias("embedding"), F.count("*").alias("m"), F.min("vec_id").alias("least"))
     nodes = stage(nodes, "nodes")
-    total = nodes.count()
-    wanted = min(CENTROIDS, max(1, 2 * OVERLAP * total // SHARD))
-    centroids: dict[tuple[int, int], list] = {}
-    for r in nodes.orderBy("node").limit(wanted).collect():  # nodes are hashes: a random sample
-        centroids.setdefault((r["label"], len(r["embedding"])), []).append(r["embedding"])
-    centroids = {k: apart(unit(np.array(v)), threshold - SLACK) for k, v in centroids.items()}
-
-    plain = nodes.select("node", F.col("label").cast("int").alias("label"), "m", F.col("embedding").cast("array<double>").alias("embedding"))
-    homes = stage(plain.mapInArrow(_assign(centroids), "node long, label int, m long, embedding array<double>, clusters array<string>"), "homes")
-    each = homes.select("node", "m", "embedding", "clusters", F.explode("clusters").alias("cluster"))
+    units = stage(nodes.select("node", "m", "key", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_units, "node long, m long, key long, v binary"), "units")
+
+    rate = 2 * OVERLAP / SHARD  # clusters of a label for each of its vectors
+    near = threshold - SLACK
+    overlap = F.lit(OVERLAP) + F.floor(F.log2(1 + F.col("n") * rate / SPARSE))
+    points = units.withColumn("shares", F.lit(1))
+    cells = assigned(points, F.ceil(F.sqrt(F.col("n") * rate)), overlap, near)
+    cells = stage(cells.select("node", "m", "v", F.size("to").alias("shares"), F.explode("to").alias("key")), "cells")
+    # In every cell its nearest cluster, so that two vectors that share a cell, though not all, can meet there.
+    chosen = assigned(cells, F.ceil(F.col("n") * rate / F.col("shares")), F.lit(1), near)
+    homes = stage(chosen.groupBy("node").agg(F.first("m").alias("m"), F.first("v").alias("v"), F.array_distinct(F.flatten(F.collect_list("to"))).alias("clusters")), "homes")
+
+    each = homes.select("node", "m", "v", "clusters", F.explode("clusters").alias("cluster"))
     counts = each.groupBy("cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
     members = each.join(counts, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
 
-    built = members.select("cluster", "part", "node", "embedding").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "node").mapInArrow(_build(), "node long, to array<long>")
+    built = members.select("cluster", "part", "node", "v").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "node").mapInArrow(_build(), "node long, to array<long>")
     united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to")), "graph")
 
-    graph = members.join(united, "node").select("cluster", "part", F.lit(False).alias("asks"), "node", "embedding", "m", "clusters", "to")
-    asks = each.join(counts, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "embedding", "m", "clusters", F.lit(None).cast("array<long>").alias("to"))
+    graph = members.join(united, "node").select("cluster", "part", F.lit(False).alias("asks"), "node", "v", "m", "clusters", "to")
+    asks = each.join(counts, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "v", "m", "clusters", F.lit(None).cast("array<long>").alias("to"))
     dealt = graph.unionByName(asks).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "asks", "node")
     found = stage(dealt.mapInArrow(_search(threshold), "a long, b long, links long"), "found")
 

@@ -192,6 +192,37 @@ def test_near_duplicate_lines_are_found(spark):
     assert {r.doc_id for r in got} == {1, 2} and {r.doc_id for r in got if r.removed} == {2}
 
 
+def test_substring_recall_of_near_lines_and_passages(spark):
+    """Lines at 0.8 or more against all pairs, and passages inside lines; without bands there is nothing."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"v{rng.randrange(10**12)}" for _ in range(n)]
+    lines = []
+    for _ in range(250):
+        base = fresh(rng.randrange(50, 120))
+        lines.append(base)
+        for _ in range(rng.randrange(1, 3)):
+            w = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = fresh(1)[0]
+            lines.append(w)
+    sets = [shingle_set(" ".join(w)) for w in lines]
+    by = collections.defaultdict(set)
+    for i, x in enumerate(sets):
+        for t in x:
+            by[t].add(i)
+    close = {(i, j) for i, x in enumerate(sets) for j in set().union(*(by[t] for t in x)) if i < j and 100 * len(x & sets[j]) >= 80 * len(x | sets[j])}
+    passages = [fresh(rng.randrange(51, 90)) for _ in range(150)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    inside = [(10_000 + 2 * i + k, " ".join([*fresh(rng.randrange(90)), *p, *fresh(rng.randrange(90))])) for i, p in enumerate(passages) for k in (0, 1)]
+    df = spark.createDataFrame(docs + inside, "doc_id long, text string").repartition(8)
+    runs = substrings.repeated_runs(df).collect()
+    whole = {r.doc_id: r.component_id for r in runs if r.doc_id < 10_000 and r.n_words == len(lines[r.doc_id])}
+    assert len(close) > 150 and sum(i in whole and whole[i] == whole.get(j) for i, j in close) >= 0.95 * len(close)
+    found = {r.doc_id for r in runs if r.n_words >= 51}
+    assert sum(d in found for d, _ in inside) >= 0.99 * len(inside)
+    assert substrings.repeated_runs(df, bands=0).count() == 0
+
+
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}

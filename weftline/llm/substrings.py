@@ -1,13 +1,16 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Two kinds of paragraphs are taken from every text. Lines of some length are banded by MinHash; lines
-that collide in a band are compared with the band's leader by exact Jaccard of their word shingles, those
-that this leaves out of their leader's component with all that their leader stands for, and verified links
-are closed into components. Passages also stand inside longer lines, so the whole text
-is cut once more, where a hash of three words is the least among its neighbours: a passage is cut alike
-wherever it stands, and such short segments are matched whole. Where a repeated segment's neighbour is not
-repeated, the words beside it are added as far as another document goes on alike. Paragraphs whose component
-occurs in several documents are joined with those words into runs; the document with the smallest id keeps its copy.
+Two kinds of paragraphs are taken from every text: its lines of some length, and, as passages also stand
+inside longer lines, the segments between places where a hash of three words is the least among its
+neighbours, so that a passage is cut alike wherever it stands. Both are banded by MinHash of their word
+shingles, and only paragraphs that collide in a band with another document's go on. A segment has one
+band of one row: at fewer than 49 words a Jaccard of 0.8 leaves no room for a changed word but at the
+ends, so colliding segments are verified by equality, which one band never misses. Lines that collide in
+a band are compared with the band's leader by exact Jaccard, those that this leaves out of their leader's
+component with all that their leader stands for, and verified links are closed into components.
+Where a repeated segment's neighbour is not repeated, the words beside it are added as far as another
+document goes on alike. Paragraphs whose component occurs in several documents are joined with those
+words into runs; the document with the smallest id keeps its copy.
 """
 
 from __future__ import annotations
@@ -84,22 +87,33 @@ def _spans_hash():
     return spans_hash
 
 
-def _paragraphs():
-    """Paragraphs; beside has 16 bits of the hash of the word before and of the word after."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("keys", pa.list_(pa.int64()))])
+def segment_keys(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """The band key of each segment: the least of its mixed shingles; that of one shorter than a shingle is its hash."""
+    out = fp.copy()
+    long = hi - lo >= SHINGLE
+    if long.any():
+        pool = np.append(mix(s ^ np.uint64(_P)), np.uint64(0))
+        out[long] = np.minimum.reduceat(pool, np.stack([lo[long], hi[long] - SHINGLE + 1], 1).ravel())[::2].view(np.int64)
+    return out
+
+
+def _paragraphs(bands: int):
+    """Paragraphs; beside has 16 bits of the hash of the word before and of the word after, key is their first
+    band's, and keys are all bands' of a line that the task meets for the first time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("key", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache, seen = WordHashes(), set()
+        cache, seen = WordHashes(), {}
         spans_hash = _spans_hash()
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                docs, fps, points, words, besides, keys = [], [], [], [], [], []
-                runs, ends, owners, done, count = [], [], [], 0, 0
+                docs, fps, points, words, besides, firsts, pool = [], [], [], [], [], [], []
+                runs, ends, owners, lines, done, count = [], [], [], [], 0, 0
                 for doc, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
                     h = word_hashes(text.lower().split(), cache) if text else np.zeros(0, np.uint64)
-                    if not len(h):
+                    if not len(h) or not bands:
                         continue
                     c0, c1, line = layout(text)
                     lo = cuts(h)
@@ -107,37 +121,42 @@ def _paragraphs():
                     first = np.flatnonzero(np.diff(line, prepend=-1))
                     last = np.append(first[1:], len(h))
                     long = last - first >= PARAGRAPH
+                    s = shingles(h)
+                    n_segments = len(lo)
                     lo, hi = np.concatenate([lo, first[long]]), np.concatenate([hi, last[long]])
-                    n_lines = int(long.sum())
                     # Lines and segments are different classes even where they say the same.
                     fp = spans_hash(h, lo, hi)
-                    fp = (fp & ~1) | (np.arange(len(fp)) >= len(fp) - n_lines)
+                    fp = (fp & ~1) | (np.arange(len(fp)) >= n_segments)
                     docs.append(np.full(len(lo), doc))
                     fps.append(fp)
                     points.append((c0[lo] << 32) + c1[hi - 1])
                     words.append((lo << 32) + hi)
                     low = np.concatenate([[0], h & np.uint64(0xFFFF), [0]]).astype(np.uint32)
                     besides.append(((low[lo] << np.uint32(16)) | low[hi + 1]).view(np.int32))
-                    s = None
-                    for k in range(len(lo) - n_lines, len(lo)):
-                        if fp[k] not in seen:
-                            seen.add(fp[k])
-                            s = shingles(h) if s is None else s
+                    firsts.append(np.concatenate([segment_keys(s, lo[:n_segments], hi[:n_segments], fp[:n_segments]), np.zeros(len(lo) - n_segments, np.int64)]))
+                    new = False
+                    for k in range(n_segments, len(lo)):
+                        lines.append(count + k)
+                        if (value := int(fp[k])) not in seen:
+                            seen[value], new = None, True
                             runs.append(done + lo[k])
                             ends.append(done + hi[k] - SHINGLE + 1)
                             owners.append(count + k)
-                    if s is not None:
-                        keys.append(s)
+                    if new:
+                        pool.append(s)
                         done += len(s)
                     count += len(lo)
                 if not docs:
                     continue
                 column: list = [None] * count
+                fps, firsts = np.concatenate(fps), np.concatenate(firsts)
                 if owners:
-                    pool = np.append(np.concatenate(keys), np.uint64(0))  # so that the last end is in the pool
-                    for k, row in zip(owners, minhash_keys(pool, np.stack([runs, ends], 1).ravel(), BANDS, ROWS, 2).view(np.int64), strict=True):
-                        column[k] = row
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(fps), pa.int64()), pa.array(np.concatenate(points), pa.int64()), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(besides), pa.int32()), pa.array(column, pa.list_(pa.int64()))], schema=schema)
+                    pool = np.append(np.concatenate(pool), np.uint64(0))  # so that the last end is in the pool
+                    for k, row in zip(owners, minhash_keys(pool, np.stack([runs, ends], 1).ravel(), bands, ROWS, 2).view(np.int64), strict=True):
+                        column[k], seen[int(fps[k])] = row, row[0]
+                if lines:
+                    firsts[lines] = [seen[x] for x in fps[lines].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(fps, pa.int64()), pa.array(np.concatenate(points), pa.int64()), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(besides), pa.int32()), pa.array(firsts), pa.array(column, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -226,18 +245,20 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else hits.select("doc_id", "component", "removed", "w0", "w1", "c0", "c1").limit(0)
 
 
-def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """``(doc_id, start, stop, n_words, removed, component_id)``: runs of words that other documents repeat.
 
     start and stop are code points of the text, stop exclusive. A run is removed unless its document has
     the smallest id among those that hold its paragraphs. component_id is shared by what is near or equal.
     Runs of fewer than ``least`` words are not reported. A document is all rows with its doc_id, so
     repeated rows repeat nothing; rows with a null doc_id, text or words have no runs. Case of A-Z is
-    ignored, other columns are. An empty table gives no rows.
+    ignored, other columns are. An empty table gives no rows, nor do no bands.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(), "doc_id long, fp long, points long, words long, beside int, keys array<long>"), "paragraphs")
-    classes = paragraphs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(bands), "doc_id long, fp long, points long, words long, beside int, key long, keys array<long>"), "paragraphs")
+    open_ = paragraphs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("key")
+    met = stage(paragraphs.drop("keys").join(open_, "key"), "met")
+    classes = met.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
     repeated = stage(classes.select("fp", "first"), "repeated")
 
     lines = paragraphs.where("keys is not null")
@@ -260,9 +281,11 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80) -> DataF
     repeated = stage(repeated, "repeated")
 
     release(texts.sparkSession)  # what the comparison of lines has moved
-    hits = paragraphs.drop("keys").join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
+    # A line may have met others in any of its bands.
+    either = met.where("fp & 1 = 0").unionByName(paragraphs.where("fp & 1 = 1").select(*met.columns))
+    hits = either.join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
     hits = stage(hits, "hits")
-    unstage(paragraphs)
+    unstage(paragraphs, met)
     hits = hits.drop("fp", "beside").unionByName(_extended(texts, hits))
     order = W.partitionBy("doc_id", "removed").orderBy("w0", "w1")
     so_far = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))

@@ -15,7 +15,7 @@ from weftline.operators import ordering as od
 from weftline.operators import reconcile as rc
 from weftline.operators import retrieval as rx
 from weftline.operators import text as to
-from weftline.operators.telemetry import nearest_rank
+from weftline.operators.telemetry import nearest_ranks
 from weftline.sources import files
 
 
@@ -68,9 +68,9 @@ def test_missing_fields_and_rewrites():
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(x,) for x in range(10, 101, 10)], "v long")
-    for p, want in ((50, 50), (99, 100), (7, 10), (28, 30), (95, 100)):
-        assert df.agg(nearest_rank(F.col("v"), p)).first()[0] == want
-    assert df.where("v < 0").agg(nearest_rank(F.col("v"), 50)).first()[0] is None
+    df = df.withColumn("k", F.lit(1)).unionByName(spark.createDataFrame([(None, 2)], "v long, k int"))
+    got = {r.k: r for r in nearest_ranks(df, "k", "v", {"a": 50, "b": 99, "c": 7, "d": 28, "e": 95}).collect()}
+    assert tuple(got[1])[1:] == (50, 100, 10, 30, 100) and set(tuple(got[2])[1:]) == {None}
 
 
 def test_fair_cap_matches_a_plain_round_robin(spark):
@@ -133,8 +133,25 @@ def test_knn_orders_and_scores(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.2]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<float>")
     assert [r.id for r in rx.knn(v, q, 3).orderBy("rank").collect()] == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        rx.knn(v, spark.range(rx.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query")), 1)
+    many = spark.range(rx.MOST_QUERIES + 1).select(F.col("id").alias("query_id"), F.array(F.col("id") % 2 * 1.0, F.lit(0.5)).alias("query"))
+    got = rx.knn(v, many, 1).groupBy("id").count().collect()
+    assert sum(r["count"] for r in got) == rx.MOST_QUERIES + 1 and {r.id for r in got} == {"b", "c"}
+
+
+def test_bm25_with_more_words_than_are_collected(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(12))) for i in range(20)] + [(99, None)], "id long, text string")
+    q = spark.createDataFrame([(1, "w1 w3 W5"), (2, "none")], "query_id long, text string")
+    want = rx.bm25(docs, q, 5).collect()
+    monkeypatch.setattr(rx, "MOST_TERMS", 1)
+    assert sorted(want) == sorted(rx.bm25(docs, q, 5).collect()) and len(want) == 5
+
+
+def test_numbers_follow_an_order_over_ranges(spark):
+    from weftline.operators.ordering import numbered
+
+    df = spark.createDataFrame([(x, x % 3) for x in random.Random(1).sample(range(5000), 5000)], "a long, b long").repartition(7)
+    got = numbered(df, ["b", "a"]).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 5001)) and [(r.b, r.a) for r in got] == sorted((r.b, r.a) for r in got)
 
 
 @pytest.mark.parametrize(("found", "expected", "score"), [("abcde", "a", 3), ("vwxyzab", "ab", 2), ("avwxyz", "ab", 2), ("vwxyza", "abc", 1), ("vwx", "ab", 0)])
@@ -223,3 +240,44 @@ def test_workspace_files(spark, tmp_path):
     assert {r.path: r.ecosystem for r in near.collect()} == {"src/a.rs": "rust", "src/deep/b.py": "python", "lib/c.py": "rust"}
     lock = spark.createDataFrame([("Cargo.lock", 'name = "serde"\nversion = "1.0"\n'), ("package-lock.json", '{"packages": {"": {}, "node_modules/x": {"version": "2"}}}')], "path string, content string")
     assert sorted((r.package, r.version) for r in files.locked_versions(lock).collect()) == [("serde", "1.0"), ("x", "2")]
+
+
+def test_loose_sections_and_soft_cap(spark):
+    from weftline.operators import text as to
+
+    body = "intro\n  # Top\n```\n# no\n```\n## Sub ##\nx\n####### seven\n#none\n# Next\nend"
+    df = spark.createDataFrame([(1, body), (2, "\n".join(f"## h{i}" if i % 40 == 0 else "x" for i in range(600))), (3, "")], "id long, text string")
+    assert [tuple(r)[1:] for r in to.loose_headings(df.where("id = 1")).orderBy("line").collect()] == [(2, 1, "Top"), (6, 2, "Sub ##"), (10, 1, "Next")]
+    assert [tuple(r) for r in to.loose_section(df, " # TOP").collect()] == [(1, 2, "  # Top\n```\n# no\n```\n## Sub ##\nx\n####### seven\n#none")]
+    capped = {r.id: r for r in to.soft_capped(df).collect()}
+    assert capped[1].text == body and capped[1].shown is None and capped[3].text == ""
+    assert (capped[2].shown, capped[2].total, capped[2].headings) == (500, 600, [f"h{i}" for i in range(0, 400, 40)]) and capped[2].text.count("\n") == 499
+
+
+def test_section_details_and_filter(spark):
+    from weftline.operators import text as to
+
+    body = "# A\n## B\nb\n### C\nc\n### D\nd\n## E\ne"
+    df = spark.createDataFrame([(1, body)], "id long, text string")
+    r = to.section_details(df, "D").first()
+    assert (r.line, r.content, r.breadcrumb, r.siblings) == (6, "### D\nd", ["# A", "## B", "### D"], ["### C"])
+    df = spark.createDataFrame([(1, "pre\n### One \na\n### TWO\nb\n"), (2, ""), (3, "only\npre")], "id long, text string")
+    got = {r.id: tuple(r)[1:] for r in to.filter_sections(df, ["two", "Gone"]).collect()}
+    assert got == {1: ("pre\n### TWO\nb\n", True, ["Gone"], ["One", "TWO"]), 2: ("", False, ["two", "Gone"], []), 3: ("only\npre", False, ["two", "Gone"], [])}
+
+
+def test_inline_marks_and_folders(spark):
+    from weftline.functions import text as tx
+
+    df = spark.createDataFrame([("***a*** `b` __c__ _d_  e*", ["a/b/c", "a/b"], "a\\b\\c"), ("x", ["a/b/c"], "ab/c"), (None, [], "a/b"), ("`", ["q", "r"], "a/b/")], "t string, p array<string>, x string")
+    got = df.select(tx.strip_inline(F.col("t")), tx.common_folder(F.col("p")), tx.relative_path(F.col("x"), F.lit("a/b"))).collect()
+    assert [tuple(r) for r in got] == [("a b c d e*", "a/", "c"), ("x", "a/b/", "ab/c"), (None, "", ""), ("`", "", "")]
+
+
+def test_ignore_files_are_read(spark, tmp_path):
+    from weftline.sources.files import walk_sources
+
+    for name, text in {".gitignore": "# c\n*.log.py\n/build/\n!keep.log.py\n", "a.py": "1", "b.log.py": "2", "keep.log.py": "3", "build/c.py": "4", "sub/.gitignore": "d.py\nx/*.py\n", "sub/d.py": "5", "sub/e.py": "6", "sub/x/f.py": "7", "sub/x/y/g.py": "8", "d.py": "9", "sub/build/h.py": "10"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {r.path for r in walk_sources(spark, str(tmp_path)).select("path").collect()} == {"a.py", "keep.log.py", "d.py", "sub/e.py", "sub/x/y/g.py", "sub/build/h.py"}

@@ -143,3 +143,34 @@ def whole_word(text: Column, word: str) -> Column:
 def path_matches(found: Column, expected: Column) -> Column:
     """Equal paths, or one the end of the other after a slash."""
     return (found == expected) | found.endswith(F.concat(F.lit("/"), expected)) | expected.endswith(F.concat(F.lit("/"), found))
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, other letters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def relative_path(path: Column, root: Column) -> Column:
+    """A path below a root, from there; others as they are. Backslashes count as slashes."""
+    p, r = F.translate(path, "\\", "/"), F.rtrim(F.translate(root, "\\", "/"), F.lit("/"))
+    return F.when(p == r, F.lit("")).when(F.startswith(p, F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p))).otherwise(p)
+
+
+def common_folder(paths: Column) -> Column:
+    """The folder, with its slash, that all of an array's paths are in; empty if there is none.
+
+    What the least and the greatest path share, all share.
+    """
+    folders = lambda x: F.slice(F.split(x, "/"), F.lit(1), F.size(F.split(x, "/")) - 1)
+    both = F.arrays_zip(folders(F.array_min(paths)).alias("a"), folders(F.array_max(paths)).alias("b"))
+    at = F.array_position(F.transform(both, lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))), False)
+    kept = F.when(at > 0, F.slice(both, F.lit(1), (at - 1).cast("int"))).otherwise(both)
+    return F.coalesce(F.array_join(F.transform(kept, lambda x: F.concat(x["a"], F.lit("/"))), ""), F.lit(""))
+
+
+def strip_inline(text: Column) -> Column:
+    """Inline markdown without its marks: code spans, then bold and italic, then white space folded."""
+    out = F.regexp_replace(text, "(?s)`(.*?)`", "$1")
+    for mark in (r"\*\*", "__", r"\*", "_"):
+        out = F.regexp_replace(out, f"(?s){mark}(.*?){mark}", "$1")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.staging import stage
+
 
 def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, most: int = 500) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of an order that must be total."""
@@ -27,6 +29,18 @@ def top_per(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "n") -> DataFrame:
+    """Rows with their number from 1 in a total order: the place in a range of it, after what the ranges before hold."""
+    ranges = stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    first, at = [], 0
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():  # a row for each shuffle partition, at most
+        first.append((r["_range"], at))
+        at += r["count"]
+    before = df.sparkSession.createDataFrame(first, "_range int, _before long")
+    place = F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranges.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before")
+
+
 def fair_cap(df: DataFrame, group: str, position: str, budget: int) -> DataFrame:
     """``budget`` rows dealt round-robin over groups, groups with most rows first (ties by name), each in its own order.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.operators.ordering import numbered
+
 RANK = {"high": 3, "med": 2, "low": 1}
 RESOLVED, SILENT = ("resolved", "resolved_basename"), ("external", "unknown")
 # Severity of each verdict of a reference check.
@@ -59,8 +61,8 @@ def merge_findings(prior: DataFrame, found: DataFrame) -> DataFrame:
     known = both.where("n is not null").select("n", *key, status.alias("status"), F.when(worse, F.col("now")).otherwise(F.col("severity")).alias("severity"))
     new = both.where(F.col("n").isNull() & ~good & ~quiet)
     last = prior.agg(F.coalesce(F.max("n"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("i", F.row_number().over(W.orderBy("f.position"))).join(F.broadcast(last))  # one row
-    return known.unionByName(numbered.select((F.col("last") + F.col("i")).alias("n"), *key, F.lit("open").alias("status"), F.col("now").alias("severity")))
+    added = numbered(new.select(*key, "now", F.col("f.position").alias("position")), ["position", *key], "i").join(F.broadcast(last))  # one row
+    return known.unionByName(added.select((F.col("last") + F.col("i")).alias("n"), *key, F.lit("open").alias("status"), F.col("now").alias("severity")))
 
 
 def friction(calls: DataFrame) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.ordering import top_per
+from weftline.operators.ordering import numbered, top_per
+from weftline.staging import stage
 
 MOST_QUERIES = 1000
+MOST_TERMS = 100_000
+SLICES = 64
 K1, B, RRF = 1.2, 0.75, 60
 
 
@@ -31,16 +38,26 @@ def similarity(distance: Column) -> Column:
     return 1 / (1 + distance)
 
 
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (id, ..) beside a stated set of queries (query_id, ..): broadcast if there are at most
+    ``MOST_QUERIES``, which is checked; else dealt in blocks of as many, each against slices of the rows."""
+    blocks = -(-queries.count() // MOST_QUERIES)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.withColumn("_block", deal("query_id", blocks)).withColumn("_slice", each(SLICES))
+    r = rows.withColumn("_slice", deal("id", SLICES)).withColumn("_block", each(blocks))
+    return r.join(q, ["_block", "_slice"]).drop("_block", "_slice")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, rank, id, distance): the k nearest vectors (id, embedding) of each query (query_id, query).
 
-    Exact: each vector meets the queries, at most ``MOST_QUERIES`` of them, which is checked before they are
-    broadcast, and all but k a query are dropped before the shuffle. Filter the vectors first; distances
-    are rounded to 9 places and ties go to the smaller id.
+    Exact: each vector meets each query, see ``against``, and all but k a query are dropped before the
+    shuffle. Filter the vectors first; distances are rounded to 9 places and ties go to the smaller id.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them, or use the exact top-k join")
-    met = vectors.join(F.broadcast(queries))
+    met = against(vectors, queries)
     distance = l2("embedding", "query") if metric == "l2" else 1 - cosine("embedding", "query")
     return top_per(met.select("query_id", "id", F.round(distance, 9).alias("distance")), ["query_id"], [F.col("distance"), F.col("id")], k)
 
@@ -50,16 +67,45 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+def _term_counts(wanted: frozenset[str] | None):
+    """Of each text its id, how many words it has, and how often it has each wanted one."""
+
+    def run(batches):
+        find = re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                at, lens, found, counts = [], [], [], []
+                for i, text in enumerate(part[1].to_pylist()):
+                    words = find(text or "")
+                    held = Counter(words)
+                    keep = held if wanted is None else held.keys() & wanted
+                    at += [i] * (len(keep) + 1)
+                    lens += [None if text is None else len(words)] * (len(keep) + 1)
+                    found += [None, *keep]
+                    counts += [0, *(held[w] for w in keep)]
+                yield pa.RecordBatch.from_arrays([part[0].take(pa.array(at, pa.int64())), pa.array(lens, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["id", "len", "term", "tf"])
+
+    return run
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, id, score): best docs (id, text) of each query (query_id, text) by BM25.
 
-    idf is ln((N - n + 0.5) / (n + 0.5) + 1). Only words that a query holds are exploded from the docs and
-    shuffled; lengths are taken from whole texts. Scores are rounded to 6 places, ties go to the smaller id.
+    idf is ln((N - n + 0.5) / (n + 0.5) + 1). Each text is read once and gives its length and the counts of
+    those of its words that a query holds; if the queries hold more than ``MOST_TERMS`` words, counts of all
+    its words are joined with them instead. Scores are rounded to 6 places, ties go to the smaller id.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = docs.select("id", terms(F.col("text")).alias("t"))
-    size = split.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    tf = split.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    held = [r["term"] for r in q.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(held) <= MOST_TERMS
+    kind = docs.schema["id"].dataType.simpleString()
+    lower = docs.select("id", F.lower("text").alias("text"))
+    read = stage(lower.mapInArrow(_term_counts(frozenset(held) if few else None), f"id {kind}, len long, term string, tf long"), "terms")
+    size = read.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean"))
+    tf = read.where("term is not null")
+    if not few:
+        tf = tf.join(q.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").join(F.broadcast(size))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -100,9 +146,10 @@ def drift_report(added: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def suite_score(cases: DataFrame) -> DataFrame:
     """One row (score, p50, p95) of cases (score, ms): the sum, the median, and the element at 95 % less one."""
-    ms = F.array_sort(F.collect_list("ms"))
-    at = F.greatest((F.size(ms) * 95 / 100).cast("int"), F.lit(1))
-    return cases.agg(F.sum("score").alias("score"), F.median("ms").alias("p50"), F.element_at(ms, at).alias("p95"))
+    n = F.broadcast(cases.agg(F.count("ms").alias("n"), F.sum("score").alias("score")))  # one row
+    rows = numbered(cases.where("ms is not null").select("ms"), ["ms"], "at").join(n)
+    place = lambda at: F.max(F.when(F.col("at") == F.expr(at), F.col("ms")))
+    return rows.agg(F.max("score").alias("score"), ((place("(n + 1) div 2") + place("(n + 2) div 2")) / 2).alias("p50"), place("greatest(n * 95 div 100, 1)").alias("p95"))
 
 
 def code_only(hits: DataFrame, mode: str) -> DataFrame:

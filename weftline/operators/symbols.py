@@ -95,9 +95,9 @@ def classify_library(paths: DataFrame, libraries: DataFrame) -> DataFrame:
 
 
 def capped_bodies(rows: DataFrame, order: str, most: int = 5) -> DataFrame:
-    """Bodies of the first rows only; the rest say that theirs is left out."""
-    n = F.row_number().over(W.orderBy(order))
-    return rows.withColumn("n", n).withColumn("omitted", F.col("n") > most).withColumn("body", F.when(~F.col("omitted"), F.col("body"))).drop("n")
+    """Bodies of the first rows only, by a column without ties; the rest say that theirs is left out."""
+    last = rows.select(order).orderBy(order).limit(most).agg(F.max(order).alias("_last"))
+    return rows.join(F.broadcast(last)).withColumn("omitted", F.col(order) > F.col("_last")).withColumn("body", F.when(~F.col("omitted"), F.col("body"))).drop("_last")  # one row
 
 
 def hoisted_file(rows: DataFrame) -> DataFrame:

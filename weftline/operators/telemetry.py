@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOWS = {"1h": "1 hour", "24h": "24 hours", "7d": "7 days", "30d": "30 days"}
@@ -13,14 +14,17 @@ def window_start(now: Column, window: str) -> Column:
     return now - F.expr(f"interval {WINDOWS.get(window, WINDOWS['30d'])}")
 
 
-def nearest_rank(value: Column, percent: int) -> Column:
-    """Nearest-rank percentile of a group: the ceil(n * percent / 100)-th smallest non-null value, null if there is none.
+def nearest_ranks(df: DataFrame, key: str, value: str, percents: dict[str, int]) -> DataFrame:
+    """(key, a column for each percent): nearest-rank percentiles, the ceil(n * percent / 100)-th smallest non-null value.
 
-    The rank is computed in integers; a group's values are gathered, so use percentile_disc for large groups.
+    Ranks are computed in integers over counts of equal values, by a window that spills. A key without
+    values has nulls.
     """
-    ordered = F.array_sort(F.collect_list(value))
-    rank = ((F.size(ordered) * F.lit(percent) + 99) / 100).cast("int")
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, F.greatest(rank, F.lit(1))))
+    per = W.partitionBy(key)
+    counts = df.groupBy(key, value).agg(F.count(value).alias("_c"))
+    ranked = counts.withColumns({"_upto": F.sum("_c").over(per.orderBy(F.col(value).asc_nulls_first())), "_n": F.sum("_c").over(per)})
+    at = lambda p: F.min(F.when((F.col("_c") > 0) & (F.col("_upto") >= F.greatest(F.expr(f"(_n * {p} + 99) div 100"), F.lit(1))), F.col(value)))
+    return ranked.groupBy(key).agg(*[at(p).alias(name) for name, p in percents.items()])
 
 
 def percentile_disc(value: str, percent: int) -> Column:

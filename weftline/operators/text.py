@@ -60,14 +60,77 @@ def resolve_section(found: DataFrame, wanted: str) -> DataFrame:
     return hits.join(best, ["id", "tier"]).groupBy("id", "tier").agg(F.min_by(F.struct("line", "end_line"), "line").alias("s"), F.count("*").alias("same")).select("id", "s.line", "s.end_line", "tier", "same")
 
 
+def section_details(docs: DataFrame, wanted: str) -> DataFrame:
+    """(id, line, end_line, content, breadcrumb, siblings) of the section that a name means.
+
+    The breadcrumb has the headings above it, outermost first, and its own; siblings are the other
+    headings of its level. A text's headings are gathered, so they are held by one task at a time.
+    """
+    found = headings(docs)
+    all_ = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "level", "text"))).alias("hs"))
+    own = resolve_section(found, wanted).select("id", "line", "end_line")
+    rows = docs.select("id", tx.lines(F.col("text")).alias("l")).join(own.join(all_, "id"), "id")
+    this = F.element_at(F.filter("hs", lambda h: h["line"] == F.col("line")), 1)
+    rows = rows.withColumn("level", this["level"]).withColumn("own", this["text"])
+    climb = F.expr("""aggregate(reverse(filter(hs, h -> h.line <= line)), named_struct('level', level, 'path', cast(array() as array<string>)),
+        (s, h) -> if(h.line = line or h.level < s.level, named_struct('level', h.level, 'path', array_prepend(s.path, h.text)), s), s -> s.path)""")
+    siblings = F.transform(F.filter("hs", lambda h: (h["level"] == F.col("level")) & (h["text"] != F.col("own"))), lambda h: h["text"])
+    content = F.array_join(F.slice("l", F.col("line"), F.col("end_line") - F.col("line") + 1), "\n")
+    return rows.select("id", "line", "end_line", content.alias("content"), climb.alias("breadcrumb"), siblings.alias("siblings"))
+
+
+def loose_headings(docs: DataFrame) -> DataFrame:
+    """(id, line, level, text): headings as catalog bodies have them: spaces may stand before, each fence line
+    turns fences on or off, and one to six # and a space begin the text."""
+    start = F.regexp_replace("content", r"^\s+", "")
+    rows = numbered_lines(docs).withColumn("s", start).where(F.col("s").startswith("#") | F.col("s").startswith("```"))
+    fence = F.col("s").startswith("```")
+    so_far = F.sum(fence.cast("int")).over(W.partitionBy("id").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("open", so_far % 2).withColumn("marks", F.regexp_extract("s", "^(#{1,6}) ", 1)).where((F.col("open") == 0) & ~fence & (F.col("marks") != ""))
+    return rows.select("id", "line", F.length("marks").alias("level"), F.regexp_replace(F.expr("substring(s, length(marks) + 2)"), r"^\s+|\s+$", "").alias("text"))
+
+
+def loose_section(docs: DataFrame, wanted: str) -> DataFrame:
+    """(id, line, content): the first section whose heading, without # and case, is the wanted one."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"^\s*#*\s*|\s+$", ""))
+    found = loose_headings(docs)
+    first = found.where(plain(F.col("text")) == plain(F.lit(wanted))).groupBy("id").agg(F.min_by(F.struct("line", "level"), "line").alias("own"))
+    after = found.join(first, "id").where("line > own.line and level <= own.level").groupBy("id").agg(F.min("line").alias("next"))
+    rows = docs.select("id", tx.lines(F.col("text")).alias("l")).join(first, "id").join(after, "id", "left")
+    last = F.coalesce(F.col("next") - 1, F.size("l"))
+    return rows.select("id", F.col("own.line").alias("line"), F.array_join(F.slice("l", F.col("own.line"), last - F.col("own.line") + 1), "\n").alias("content"))
+
+
+def soft_capped(docs: DataFrame, most: int = 500, top: int = 10) -> DataFrame:
+    """(id, text, shown, total, headings): texts of more than ``most`` lines cut there, with their line counts and
+    first headings of level 1 and 2; the others whole, with nulls."""
+    sized = docs.select("id", "text", tx.lines(F.col("text")).alias("l")).withColumn("total", F.size("l"))
+    heads = loose_headings(docs.join(sized.where(F.col("total") > most).select("id"), "id", "left_semi")).where("level <= 2")
+    heads = heads.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("line"))).where(F.col("nth") <= top)
+    heads = heads.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("headings"))
+    over = F.col("total") > most
+    out = sized.join(heads, "id", "left")
+    cut = F.when(over, F.array_join(F.slice("l", 1, most), "\n")).otherwise(F.col("text"))
+    return out.select("id", cut.alias("text"), F.when(over, F.lit(most)).alias("shown"), F.when(over, F.col("total")).alias("total"), F.when(over, F.coalesce("headings", F.array().cast("array<string>"))).alias("headings"))
+
+
 def filter_sections(docs: DataFrame, names: list[str], mark: str = "### ") -> DataFrame:
-    """(id, kept): a text's preamble and those sections below a mark whose heading is named, case aside."""
+    """(id, kept, matched, missing, available): a text's preamble and those sections below a mark whose heading
+    is named, case of A-Z aside; the names that no heading has, and all headings in their order."""
     rows = numbered_lines(docs).withColumn("is_head", F.col("content").startswith(mark))
     w = W.partitionBy("id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.max_by("content", F.when(F.col("is_head"), F.col("line"))).over(w))
-    wanted = F.lower(F.trim(F.substring("section", len(mark) + 1, 10_000))).isin([n.strip().lower() for n in names])
-    kept = rows.where(F.col("section").isNull() | wanted)
-    return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("kept"))
+    title = F.trim(F.expr(f"substring(content, {len(mark) + 1})"))
+    rows = rows.withColumn("title", F.when(F.col("is_head"), title)).withColumn("section", F.last("title", True).over(w))
+    wanted = tx.ascii_lower(F.col("section")).isin([n.lower() if n.isascii() else n for n in names])
+    held = F.col("section").isNull() | wanted
+    gather = lambda keep, c: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line", F.col(c).alias("c"))))), lambda x: x["c"])
+    out = rows.groupBy("id").agg(F.array_join(gather(held, "content"), "\n").alias("kept"), F.coalesce(F.bool_or(wanted), F.lit(False)).alias("matched"), gather(F.col("is_head"), "title").alias("available"))
+    out = docs.select("id", F.endswith("text", F.lit("\n")).alias("ends")).join(out, "id", "left")
+    asked = F.array(*[F.lit(n) for n in names])
+    available = F.coalesce("available", F.array().cast("array<string>"))
+    missing = F.filter(asked, lambda n: ~F.exists(available, lambda a: tx.ascii_lower(a) == tx.ascii_lower(n)))
+    kept = F.concat(F.coalesce("kept", F.lit("")), F.when(F.col("ends"), "\n").otherwise(""))
+    return out.select("id", kept.alias("kept"), F.coalesce("matched", F.lit(False)).alias("matched"), missing.alias("missing"), available.alias("available"))
 
 
 def split_lines(source: str, size: int, overlap: int) -> list[tuple[int, int, str]]:

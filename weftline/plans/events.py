@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import events as ev
 from weftline.operators.ordering import latest_per
+from weftline.operators.ordering import numbered
 from weftline.plans import query
 from weftline.staging import table
 
@@ -92,10 +93,10 @@ def edges(spark, sf_dir):
     "event_edges_pivot",
     f"""SELECT l.id, min(e.dst_event_id) FILTER (e.rel = 'parent') AS parent_event_id, min(e.dst_event_id) FILTER (e.rel = 'resolves') AS resolves_intent_id, count(DISTINCT e.dst_artifact_id) AS n_mutates,
   (SELECT min(src_event_id) FROM {EDGES_SQL} x WHERE x.rel = 'resolves' AND x.dst_event_id = l.id) AS resolved_by_verdict_id
-FROM {LOG_SQL} l LEFT JOIN {EDGES_SQL} e ON l.id = e.src_event_id WHERE l.artifact_id < 40 GROUP BY l.id""",
+FROM {LOG_SQL} l LEFT JOIN {EDGES_SQL} e ON l.id = e.src_event_id GROUP BY l.id""",
 )
 def event_edges_pivot(spark, sf_dir):
-    rows = ev.with_edges(log(spark, sf_dir).where("artifact_id < 40"), edges(spark, sf_dir))
+    rows = ev.with_edges(log(spark, sf_dir), edges(spark, sf_dir))
     return rows.select("id", "parent_event_id", "resolves_intent_id", F.coalesce(F.size("mutates"), F.lit(0)).cast("long").alias("n_mutates"), "resolved_by_verdict_id")
 
 
@@ -115,10 +116,8 @@ COMMITS_SQL = "(SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS hash, o_orderdate
 
 
 def commits(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    o = table(spark, sf_dir, "orders")
-    return o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"), F.col("o_orderdate").alias("authored_at"), (F.row_number().over(W.orderBy("o_orderdate", "o_orderkey")) - 1).alias("topo_order"))
+    o = numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+    return o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"), F.col("o_orderdate").alias("authored_at"), (F.col("n") - 1).alias("topo_order"))
 
 
 @query("as_of_commit_cutoff", f"SELECT p AS prefix, count(*) AS matches, CASE WHEN count(*) = 1 THEN max(authored_at) END AS cutoff FROM {COMMITS_SQL} c, (VALUES ('6b86b2'), ('4')) v(p) WHERE starts_with(hash, p) GROUP BY p")

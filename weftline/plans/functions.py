@@ -55,13 +55,13 @@ def locked_versions(spark, sf_dir):
 
 @query(
     "text_functions",
-    """SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 30))), '[^\\p{L}\\p{N}\\s_-]', '', 'g') AS bare, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS cut,
+    """SELECT doc_id, regexp_replace(lower(trim(text)), '[^\\p{L}\\p{N}\\s_-]', '', 'g') AS bare, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS cut,
   CASE WHEN doc_id % 8 BETWEEN 1 AND 6 THEN doc_id % 8 END AS level, 'red' AS plain FROM documents""",
 )
 def text_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     heading = F.concat(F.expr("repeat('#', cast(doc_id % 8 as int))"), F.lit(" x"))
-    bare = F.regexp_replace(F.lower(F.trim(F.substring("text", 1, 30))), r"[^\p{L}\p{N}\s_-]", "")
+    bare = F.regexp_replace(F.lower(F.trim("text")), r"[^\p{L}\p{N}\s_-]", "")
     return d.select("doc_id", bare.alias("bare"), tx.truncate(F.col("text"), 60).alias("cut"), tx.heading_level(heading).alias("level"), tx.strip_ansi(F.concat(F.lit("\u001b[31mred"), F.lit("\u001b[0m"))).alias("plain"))
 
 
@@ -89,17 +89,17 @@ def template_render(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", sd.render('Nation {{ name | upper }} in {{ region | default("nowhere") }}', values).alias("line"))
 
 
-@query("schema_problems", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '$.k: not of type string' END AS problem FROM events WHERE event_id < 600")
+@query("schema_problems", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '$.k: not of type string' END AS problem FROM events")
 def schema_problems(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 600")
+    e = table(spark, sf_dir, "events")
     doc = F.when(F.expr("event_id % 3 = 0"), F.lit('{"k": 1}')).otherwise(F.lit('{"k": "v"}'))
     return e.select("event_id", sd.schema_problem(doc, {"type": "object", "required": ["k"], "properties": {"k": {"type": "string"}}}).alias("problem"))
 
 
-@query("terminal_filters", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(6 AS BIGINT) END AS at FROM events WHERE event_id < 600")
+@query("terminal_filters", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(6 AS BIGINT) END AS at FROM events")
 def terminal_filters(spark, sf_dir):
     command = F.when(F.expr("event_id % 2 = 0"), "cat x | grep y").otherwise("cat 'a | head' || true")
-    return table(spark, sf_dir, "events").where("event_id < 600").select("event_id", command.alias("c")).select("event_id", sd.terminal_filter_at("c").alias("at"))
+    return table(spark, sf_dir, "events").select("event_id", command.alias("c")).select("event_id", sd.terminal_filter_at("c").alias("at"))
 
 
 @query("command_kinds", "SELECT event_type, CASE event_type WHEN 'error' THEN 'test' WHEN 'view' THEN 'build' ELSE 'generic' END AS kind, count(*) AS n FROM events GROUP BY ALL")
@@ -114,10 +114,10 @@ def reference_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 6).alias("k"), dc.reference_kind(ref).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("first_paragraphs", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(s) <= 200 THEN s END AS summary FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM conversations) WHERE length(s) <= 200 AND s != ''")
+@query("first_paragraphs", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(s) <= 200 THEN s ELSE (CASE WHEN contains(h, ' ') AND 200 - position(' ' in reverse(h)) > 100 THEN substr(h, 1, 200 - position(' ' in reverse(h))) ELSE h END) || '…' END AS summary FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s, substr(s, 1, 200) AS h FROM conversations) WHERE s != ''")
 def first_paragraphs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("# Head\n```\nfenced\n```\n\n"), "text", F.lit("\n\nmore\n")).alias("text"))
-    return dc.first_paragraph(c).where("not endswith(summary, '…')")
+    return dc.first_paragraph(c)
 
 
 @query("config_keys", "SELECT source AS id, 's' || CAST(doc_id AS VARCHAR) AS key, 2 * row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line, 2 * row_number() OVER (PARTITION BY source ORDER BY doc_id) AS end_line FROM documents")
@@ -210,9 +210,9 @@ def commit_order(spark, sf_dir):
     return mm.topo_order(o).select(F.col("hash").alias("o_orderkey"), "topo_order")
 
 
-@query("suite_score", "SELECT CAST(sum(event_id % 4) AS BIGINT) AS score, median(value) AS p50, list(value ORDER BY value)[CAST(floor(count(*) * 0.95) AS INT)] AS p95 FROM events WHERE event_id < 100")
+@query("suite_score", "SELECT CAST(sum(event_id % 4) AS BIGINT) AS score, median(value) AS p50, list(value ORDER BY value)[CAST(floor(count(*) * 0.95) AS INT)] AS p95 FROM events")
 def suite_score(spark, sf_dir):
-    return rx.suite_score(table(spark, sf_dir, "events").where("event_id < 100").select((F.col("event_id") % 4).alias("score"), F.col("value").alias("ms")))
+    return rx.suite_score(table(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("score"), F.col("value").alias("ms")))
 
 
 @query("code_mode", "SELECT doc_id FROM documents WHERE doc_id % 5 != 0")
@@ -237,9 +237,9 @@ def symbol_search(spark, sf_dir):
     return sy.search(symbols(spark, sf_dir), "ring").select("id")
 
 
-@query("body_caps", f"SELECT id, n > 5 AS omitted FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM {SYMBOLS_SQL} WHERE id < 40)")
+@query("body_caps", f"SELECT id, n > 5 AS omitted FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM {SYMBOLS_SQL})")
 def body_caps(spark, sf_dir):
-    s = symbols(spark, sf_dir).where("id < 40").withColumn("body", F.col("name"))
+    s = symbols(spark, sf_dir).withColumn("body", F.col("name"))
     return sy.capped_bodies(s, "id").select("id", "omitted")
 
 

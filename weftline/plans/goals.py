@@ -18,17 +18,17 @@ from weftline.staging import table
 
 @query(
     "goal_signals",
-    """WITH c AS (SELECT o_custkey AS goal, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, max(o_totalprice) AS top FROM orders WHERE o_custkey < 500 GROUP BY 1),
-s AS (SELECT c_custkey AS goal, k FROM customer, (VALUES ('task_list_complete'), ('audit_issues_open_count'), ('metric_threshold')) v(k) WHERE c_custkey < 500)
+    """WITH c AS (SELECT o_custkey AS goal, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, max(o_totalprice) AS top FROM orders GROUP BY 1),
+s AS (SELECT c_custkey AS goal, k FROM customer, (VALUES ('task_list_complete'), ('audit_issues_open_count'), ('metric_threshold')) v(k))
 SELECT s.goal, s.k AS kind, CASE WHEN c.goal IS NULL THEN false WHEN k = 'task_list_complete' THEN n = f WHEN k = 'metric_threshold' THEN top >= 400000 ELSE o <= 3 END AS now_met, CASE WHEN c.goal IS NULL THEN 'unresolved' END AS error FROM s LEFT JOIN c ON s.goal = c.goal""",
 )
 def goal_signals(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 500")
+    o = table(spark, sf_dir, "orders")
     status = lambda test, a, b: F.collect_list(F.struct(F.expr(f"if(o_orderstatus = '{test}', '{a}', '{b}')").alias("status")))
     made = o.groupBy(F.col("o_custkey").alias("goal")).agg(status("F", "done", "todo").alias("tasks"), status("O", "open", "fixed").alias("issues"), F.struct(F.max("o_totalprice").alias("top")).alias("current"))
     kids = made.select("goal", F.lit("k").alias("child"), F.to_json(F.struct("tasks", "issues", "current")).alias("params"))
     kinds = F.explode(F.array(*[F.lit(k) for k in ("task_list_complete", "audit_issues_open_count", "metric_threshold")]))
-    s = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("goal"), F.lit("k").alias("child"), kinds.alias("kind"), F.lit(False).alias("met"), F.lit(3).alias("max_open"), F.lit("top").alias("metric"), F.lit(">=").alias("op"), F.lit(400000.0).alias("threshold"), F.lit(None).cast("array<string>").alias("envs"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("goal"), F.lit("k").alias("child"), kinds.alias("kind"), F.lit(False).alias("met"), F.lit(3).alias("max_open"), F.lit("top").alias("metric"), F.lit(">=").alias("op"), F.lit(400000.0).alias("threshold"), F.lit(None).cast("array<string>").alias("envs"))
     return go.evaluate_signals(s, kids).select("goal", "kind", "now_met", "error")
 
 
@@ -60,12 +60,12 @@ def scope_growth(spark, sf_dir):
 
 @query(
     "graph_with_events",
-    f"""WITH n AS (SELECT DISTINCT artifact_id AS id FROM {LOG_SQL} WHERE artifact_id < 10), m AS (SELECT * FROM {LOG_SQL} WHERE artifact_id IN (SELECT id FROM n)), e AS (SELECT * FROM {EDGES_SQL} WHERE src_event_id IN (SELECT id FROM m))
+    f"""WITH n AS (SELECT DISTINCT artifact_id AS id FROM {LOG_SQL}), m AS (SELECT * FROM {LOG_SQL} WHERE artifact_id IN (SELECT id FROM n)), e AS (SELECT * FROM {EDGES_SQL} WHERE src_event_id IN (SELECT id FROM m))
 SELECT 'artifact' AS what, count(*) AS n FROM n UNION ALL SELECT 'event', count(*) FROM m UNION ALL SELECT 'edge', count(*) FROM e UNION ALL SELECT 'source', count(DISTINCT artifact_id) FROM m WHERE id % 5 = 0""",
 )
 def graph_with_events(spark, sf_dir):
     e = log(spark, sf_dir)
-    n = e.where("artifact_id < 10").select(F.col("artifact_id").alias("id")).distinct()
+    n = e.select(F.col("artifact_id").alias("id")).distinct()
     none = F.lit(None).cast("long")
     to_sources = e.where("id % 5 = 0").select(F.col("id").alias("src_event_id"), none.alias("dst_event_id"), none.alias("dst_artifact_id"), F.col("artifact_id").alias("dst_source_id"), F.lit("triggered_by").alias("rel"))
     nodes, links = gr.with_events(n, spark.createDataFrame([], "src long, dst long, rel string"), e, edges(spark, sf_dir).unionByName(to_sources), e.select(F.col("artifact_id").alias("id")).distinct())

@@ -30,7 +30,7 @@ def link_bfs_nodes_edges(spark, sf_dir):
     return nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), none.cast("string").alias("b"), "depth").unionByName(edges.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), none.cast("int").alias("depth")))
 
 
-CALLS_SQL = "(SELECT 'o' || l_orderkey % 200 AS caller, 'o' || l_partkey % 200 AS callee FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 4000)"
+CALLS_SQL = "(SELECT 'o' || l_orderkey AS caller, 'o' || l_partkey AS callee FROM lineitem)"
 
 
 @query(
@@ -42,8 +42,8 @@ SELECT * FROM l1 UNION ALL SELECT * FROM l2 WHERE (SELECT count(*) FROM l1) + (S
 UNION ALL SELECT * FROM l3 WHERE (SELECT count(*) FROM l1) + (SELECT count(*) FROM l2) + (SELECT count(*) FROM l3) <= 500""",
 )
 def bfs_depth_capped(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey < 4000")
-    name = lambda c: F.concat(F.lit("o"), (F.col(c) % 200).cast("string"))
+    li = table(spark, sf_dir, "lineitem")
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
     return gr.call_bfs(li.select(name("l_orderkey").alias("caller"), name("l_partkey").alias("callee")), "o5", depth=3, max_edges=500)[0]
 
 

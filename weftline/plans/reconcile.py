@@ -31,18 +31,18 @@ def reconcile_backlog(spark, sf_dir):
 
 @query(
     "merge_findings",
-    """WITH prior AS (SELECT CAST(doc_id + 1 AS BIGINT) AS n, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'med' END AS severity FROM documents WHERE doc_id < 600),
-f AS (SELECT doc_id AS position, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END AS verdict, CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END AS severity FROM documents WHERE doc_id >= 300),
+    """WITH prior AS (SELECT CAST(doc_id + 1 AS BIGINT) AS n, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'med' END AS severity FROM documents WHERE lang != 'fr'),
+f AS (SELECT doc_id AS position, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END AS verdict, CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END AS severity FROM documents WHERE n_chars >= 400),
 r AS (SELECT * FROM (VALUES ('high', 3), ('med', 2), ('low', 1)) t(s, k))
 SELECT p.n, p.md_file, p.raw_ref, CASE WHEN f.verdict IS NULL OR p.status = 'wontfix' THEN p.status WHEN f.verdict = 'resolved' AND p.status = 'open' THEN 'fixed' WHEN f.verdict IN ('missing','line_oob') AND p.status = 'fixed' THEN 'open' ELSE p.status END AS status,
   CASE WHEN COALESCE((SELECT k FROM r WHERE s = f.severity), 0) > (SELECT k FROM r WHERE s = p.severity) THEN f.severity ELSE p.severity END AS severity
 FROM prior p LEFT JOIN f USING (md_file, raw_ref)
-UNION ALL SELECT (SELECT max(n) FROM prior) + row_number() OVER (ORDER BY position), md_file, raw_ref, 'open', severity FROM f WHERE verdict IN ('missing','line_oob') AND position >= 600""",
+UNION ALL SELECT (SELECT max(n) FROM prior) + row_number() OVER (ORDER BY position), md_file, raw_ref, 'open', severity FROM f WHERE verdict IN ('missing','line_oob') AND raw_ref NOT IN (SELECT raw_ref FROM prior)""",
 )
 def merge_findings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("md_file"), F.col("doc_id").cast("string").alias("raw_ref"))
-    prior = d.where("doc_id < 600").select((F.col("doc_id") + 1).alias("n"), "md_file", "raw_ref", F.expr("CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END").alias("status"), F.expr("if(doc_id % 2 = 0, 'low', 'med')").alias("severity"))
-    f = d.where("doc_id >= 300").select(F.col("doc_id").alias("position"), "md_file", "raw_ref", F.expr("CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END").alias("verdict"), F.expr("CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END").alias("severity"))
+    prior = d.where("lang != 'fr'").select((F.col("doc_id") + 1).alias("n"), "md_file", "raw_ref", F.expr("CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END").alias("status"), F.expr("if(doc_id % 2 = 0, 'low', 'med')").alias("severity"))
+    f = d.where("n_chars >= 400").select(F.col("doc_id").alias("position"), "md_file", "raw_ref", F.expr("CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END").alias("verdict"), F.expr("CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END").alias("severity"))
     return rc.merge_findings(prior, f)
 
 
@@ -77,23 +77,23 @@ def friction_by_target(spark, sf_dir):
 @query(
     "friction_ranked",
     f"""SELECT d.source || '::' || d.np AS key, d.tokens, CASE WHEN COALESCE(a.truncations + a.code_fails + a.other, b.truncations + b.code_fails + b.other, 0) > 0 THEN 1 ELSE 2 END AS tier, COALESCE(a.score, b.score, 0) AS score
-FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 't' || doc_id % 40 ELSE source END AS source, CASE WHEN doc_id % 2 = 0 THEN 'n' || doc_id ELSE 't' || doc_id % 60 END AS np, strlen(text) // 4 AS tokens FROM documents WHERE doc_id < 200) d
+FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 't' || doc_id % 40 ELSE source END AS source, CASE WHEN doc_id % 2 = 0 THEN 'n' || doc_id ELSE 't' || doc_id % 60 END AS np, strlen(text) // 4 AS tokens FROM documents) d
 LEFT JOIN {FRICTION_SQL} a ON d.np = a.friction_target LEFT JOIN {FRICTION_SQL} b ON d.source = b.friction_target""",
 )
 def friction_ranked(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.expr("if(doc_id % 4 = 0, 't' || doc_id % 40, source)").alias("rel_file"), F.expr("if(doc_id % 2 = 0, 'n' || doc_id, 't' || doc_id % 60)").alias("name_path"), F.floor(F.octet_length("text") / 4).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.expr("if(doc_id % 4 = 0, 't' || doc_id % 40, source)").alias("rel_file"), F.expr("if(doc_id % 2 = 0, 'n' || doc_id, 't' || doc_id % 60)").alias("name_path"), F.floor(F.octet_length("text") / 4).alias("tokens"))
     return rc.rank_candidates(d, rc.friction(recorded(spark, sf_dir))).select("key", "tokens", "tier", "score")
 
 
 @query(
     "goal_gate",
-    """WITH c AS (SELECT o_custkey AS goal, CASE WHEN o_orderstatus = 'F' OR o_custkey % 3 = 0 THEN 'done' ELSE 'active' END AS status FROM orders WHERE o_custkey <= 400), s AS (SELECT c_custkey AS goal, c_acctbal > 0 AS met FROM customer WHERE c_custkey <= 400)
+    """WITH c AS (SELECT o_custkey AS goal, CASE WHEN o_orderstatus = 'F' OR o_custkey % 3 = 0 THEN 'done' ELSE 'active' END AS status FROM orders), s AS (SELECT c_custkey AS goal, c_acctbal > 0 AS met FROM customer)
 SELECT COALESCE(x.goal, y.goal) AS goal, CASE WHEN COALESCE(n, 0) < 2 THEN 'too_few_children' WHEN open > 0 THEN 'children_incomplete' WHEN COALESCE(unmet, 0) > 0 THEN 'signals_unmet' ELSE 'auto_close' END AS verdict
 FROM (SELECT goal, count(*) AS n, count(*) FILTER (status != 'done') AS open FROM c GROUP BY goal) x FULL JOIN (SELECT goal, count(*) FILTER (NOT met) AS unmet FROM s GROUP BY goal) y ON x.goal = y.goal""",
 )
 def goal_gate(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").where("o_custkey <= 400").select(F.col("o_custkey").alias("goal"), F.expr("if(o_orderstatus = 'F' or o_custkey % 3 = 0, 'done', 'active')").alias("status"))
-    s = table(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.col("c_custkey").alias("goal"), (F.col("c_acctbal") > 0).alias("met"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("goal"), F.expr("if(o_orderstatus = 'F' or o_custkey % 3 = 0, 'done', 'active')").alias("status"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("goal"), (F.col("c_acctbal") > 0).alias("met"))
     return rc.goal_gate(c, s)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline import streaming
-from weftline.operators.telemetry import lsp_stats, nearest_rank, prune_candidates, recent_errors, retained, unused_tools, usage_stats
+from weftline.operators.telemetry import lsp_stats, nearest_ranks, prune_candidates, recent_errors, retained, unused_tools, usage_stats
 from weftline.plans import query
 from weftline.staging import table
 
@@ -70,10 +70,9 @@ def retention(spark, sf_dir):
     return retained(calls(spark, sf_dir), 10).agg(F.count("*").alias("calls"), F.min("id").alias("first_id"))
 
 
-@query("percentile_forms", "SELECT event_type AS tool_name, quantile_disc(value, 0.28) AS p28, quantile_disc(value, 0.95) AS p95 FROM events WHERE event_id < 3000 GROUP BY event_type")
+@query("percentile_forms", "SELECT event_type AS tool_name, quantile_disc(value, 0.28) AS p28, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def percentile_forms(spark, sf_dir):
-    c = calls(spark, sf_dir).where("id < 3000")
-    return c.groupBy("tool_name").agg(nearest_rank(F.col("latency_ms"), 28).alias("p28"), nearest_rank(F.col("latency_ms"), 95).alias("p95"))
+    return nearest_ranks(calls(spark, sf_dir), "tool_name", "latency_ms", {"p28": 28, "p95": 95})
 
 
 @query("hourly_window_stream", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS calls, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL")

@@ -26,18 +26,57 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
-def walk_sources(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), languages: bool = True) -> DataFrame:
-    """(path, language, content, size) of files below a root, those without a known language or under an ignored glob left out.
-
-    Contents are read as UTF-8 and only where a later step asks for them.
+def ignore_rules(folder: str, text: str) -> list[tuple[str, bool]]:
+    """(regex of paths, whether they are ignored) for the lines of an ignore file in a folder, which is relative and may be empty."""
+    out = []
+    for line in text.splitlines():
+        rule = line.rstrip()
+        if not rule or rule.startswith("#"):
+            continue
+        ignored = not rule.startswith("!")
+        rule = rule.removeprefix("!").removeprefix("\\")
+        below = rule.endswith("/")
+        rule = rule.rstrip("/")
+        anywhere = "/" not in rule
+        body = glob_regex(rule.lstrip("/"))[1:-1]
+        start = re.escape(folder + "/" if folder else "") + ("(?:.*/)?" if anywhere else "")
+        out.append((f"^{start}{body}/" if below else f"^{start}{body}(?:/|$)", ignored))
+    return out
+
+
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Rules of all .gitignore files below a root, outer folders first; files are listed and rules read by the driver."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, files = fs.makeQualified(where).toUri().getPath().rstrip("/"), [], fs.listFiles(where, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() == ".gitignore":
+            stream = fs.open(path)
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            found.append((path.getParent().toUri().getPath()[len(base) :].strip("/"), text))
+    return [r for folder, text in sorted(found, key=lambda x: (x[0].count("/") + bool(x[0]), x[0])) for r in ignore_rules(folder, text)]
+
+
+def walk_sources(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), languages: bool = True, ignore_file: bool = True) -> DataFrame:
+    """(path, language, content, size) of files below a root, those without a known language, under an ignored
+    glob or ignored by the .gitignore files there left out; of several rules that fit, the last one decides.
+
+    Contents are read as UTF-8 and only where a later step asks for them. Spark lists no file whose name
+    begins with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^[a-z]+:/*", "/")
     base = root.split(":", 1)[-1].rstrip("/")
-    rel = F.substring(path, len("/" + base.lstrip("/")) + 2, 100_000)
+    rel = F.substring(path, F.lit(len("/" + base.lstrip("/")) + 2), F.length(path))
     out = files.select(rel.alias("path"), language_of(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"))
     for pattern in ignore:
         out = out.where(~F.col("path").rlike(glob_regex(pattern)))
+    if ignore_file and (rules := ignore_files(spark, root)):
+        verdict = F.coalesce(*[F.when(F.col("path").rlike(regex), F.lit(ignored)) for regex, ignored in reversed(rules)], F.lit(False))
+        out = out.where(~verdict)
     return out.where("language is not null") if languages else out
 
 

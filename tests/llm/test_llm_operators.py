@@ -397,7 +397,7 @@ def test_url_filter(spark):
     for i, url, _ in pages:
         host, path, rule, verdict = brute_rule(url)
         t, d = trust.get(host, 0.0), distrust.get(host, 0.0)
-        want.append((i, host, path, rule, verdict or ("block" if d > t else "allow"), round(t, 9), round(d, 9)))
+        want.append((i, host, path, rule, verdict or ("block" if d > t * (1 + 1e-9) else "allow"), round(t, 9), round(d, 9)))
     assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in got) == collections.Counter(want)
     assert urlfilter.judge(df.limit(0)).count() == 0
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.chat import END, START, TRAINED
 from weftline.llm.secrets import RULES as SECRET_RULES
-from weftline.llm.urlfilter import DAMPING, ROUNDS
+from weftline.llm.urlfilter import CLOSE, DAMPING, ROUNDS
 from weftline.llm.urlfilter import RULES as URL_RULES
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,7 +60,7 @@ def url_filter() -> str:
 p AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS hit FROM u),
 e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT host AS src, {LOWER.format('raw')} AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s<>]+)', 1))) AS raw FROM p WHERE host != '')) WHERE src != dst GROUP BY ALL),
 {walk('t', 'allow', 'SELECT src, dst, weight FROM e')}, {walk('b', 'block', 'SELECT dst AS src, src AS dst, weight FROM e')}
-SELECT page_id, p.host, path, rule, coalesce(hit, CASE WHEN coalesce(y.score, 0) > coalesce(x.score, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, p.host, path, rule, coalesce(hit, CASE WHEN coalesce(y.score, 0) > {1 + CLOSE!r} * coalesce(x.score, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(x.score, 0), 9) AS trust, round(coalesce(y.score, 0), 9) AS distrust FROM p LEFT JOIN t{ROUNDS} x ON p.host = x.host LEFT JOIN b{ROUNDS} y ON p.host = y.host"""
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftline.staging import stage
 
 DAMPING = 0.85
+CLOSE = 1e-9  # scores that differ by less, relatively, are equal: the order of a sum is not fixed
 ROUNDS = 10
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -93,7 +94,7 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1
     """``(page_id, host, path, rule, verdict, trust, distrust)`` for every row of ``pages`` (page_id, url, html).
 
     A url that a rule fits gets that rule's verdict. Any other one is blocked where its host's distrust
-    is more than ``ratio`` times its trust, and allowed otherwise, so a host that neither walk reaches is
+    is more than ``ratio`` times its trust, by more than ``CLOSE`` of it, and allowed otherwise, so a host that neither walk reaches is
     allowed. A null url, or one without ``://``, has empty host and path and no rule, and is allowed. A
     null html has no links. Repeated rows count each; a null page_id is carried along; other columns are
     ignored. An empty table gives no rows.
@@ -108,5 +109,5 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scores = stage(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-scores").withColumnRenamed("host", "of")
     out = found.drop("html").join(scores, F.col("host") == F.col("of"), "left").fillna(0.0, ["trust", "distrust"])
-    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("distrust") > ratio * F.col("trust"), F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("distrust") > ratio * (1 + CLOSE) * F.col("trust"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")

@@ -52,7 +52,8 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     bytes_each = max(1, min(DICTIONARY, ALL_BYTES // len(limits)))
     most = [(r["lang"], min((1 << 63) - 1, int((min(1, (1.5 * docs_each + 20) / max(1, r["texts"])) - 0.5) * (1 << 64)))) for r in limits]
     low = docs.sparkSession.createDataFrame(most, "of string, most long")
-    near = known.join(low, (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most")))
+    # The rows come from the driver, so they are no more than it holds.
+    near = known.join(F.broadcast(low), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most")))
     sample = near.groupBy("lang", "h").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
     by: dict[str, list] = {row["lang"]: [] for row in limits}
     for row in sample.select("lang", "h", letters_of(F.col("text")).alias("text")).toLocalIterator():

@@ -220,6 +220,18 @@ def _build():
     return run
 
 
+def earlier(homes: list[list[int]], cluster: int, none: int) -> np.ndarray:
+    """A row for each vector: those of its clusters that come before this one, filled up with ``none``.
+
+    Clusters are hashes, so that ``none`` is not one of them but by a chance of 2^-63.
+    """
+    rows = [[c for c in h if c < cluster] for h in homes]
+    out = np.full((len(rows), max(1, max(map(len, rows)))), none)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
 def _search(threshold: float):
     """Members of a shard come first, then all vectors of its cluster as queries."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -232,7 +244,7 @@ def _search(threshold: float):
             nodes = np.array([r[1] for r in self.members])
             self.x, self.m = np.stack([np.frombuffer(r[2]) for r in self.members]), np.array([r[3] for r in self.members])
             self.nodes = nodes
-            self.homes = [r[4] for r in self.members]
+            self.homes = earlier([r[4] for r in self.members], self.key[0], -1)
             self.place = place = {node: i for i, node in enumerate(nodes.tolist())}
             lists = [[place[t] for t in r[5] if t in place and place[t] != i] for i, r in enumerate(self.members)]
             # Edges run both ways, so that no member is without a way in.
@@ -257,20 +269,31 @@ def _search(threshold: float):
         def links(self, rows):
             q = np.stack([np.frombuffer(r[2]) for r in rows])
             a, b = range_search(self.x, self.adjacency, self.starts, q, threshold - SLACK, threshold, own=np.array([self.place.get(r[1], -1) for r in rows]))
-            count = np.zeros(len(rows), np.int64)
-            out = []
-            cluster = self.key[0]
-            for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                node, other = rows[i][1], int(self.nodes[j])
-                if node == other:
-                    continue
-                # A pair that shares several clusters is counted in the first of them.
-                if min(set(rows[i][4]) & set(self.homes[j])) == cluster:
-                    count[i] += self.m[j]
-                u, v = self.find(node), self.find(other)
+            ids = np.array([r[1] for r in rows])
+            other = ids[a] != self.nodes[b]
+            a, b = a[other], b[other]
+            # A pair that shares several clusters is counted in the first of them.
+            homes, count, out = earlier([r[4] for r in rows], self.key[0], -2), np.zeros(len(rows), np.int64), []
+            for at in range(0, len(a), 1 << 16):
+                i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                first = ~(homes[i][:, :, None] == self.homes[j][:, None, :]).any((1, 2))
+                np.add.at(count, i[first], self.m[j[first]])
+            # Links that join what the block's pairs join: each node with the least of its component.
+            names, ends = np.unique(np.concatenate([ids[a], self.nodes[b]]), return_inverse=True)
+            least, ends = np.arange(len(names)), ends.reshape(2, -1)
+            while True:
+                new = least.copy()
+                np.minimum.at(new, ends[0], least[ends[1]])
+                np.minimum.at(new, ends[1], new[ends[0]])
+                new = new[new]
+                if (new == least).all():
+                    break
+                least = new
+            for x, y in zip(names.tolist(), names[least].tolist(), strict=True):
+                u, v = self.find(x), self.find(y)
                 if u != v:
                     self.root[u] = v
-                    out.append((node, other, 0))
+                    out.append((x, y, 0))
             out.extend((r[1], None, c) for r, c in zip(rows, count.tolist(), strict=True) if c)
             return out
 

@@ -170,7 +170,7 @@ def leader_pairs(sets: DataFrame) -> DataFrame:
     return shared.join(leaders, "key").where("a != fp").groupBy("a", F.col("fp").alias("b")).agg(F.count("*").alias("keys"))
 
 
-def _opened(matrix: DataFrame, least: str | None) -> DataFrame:
+def _opened(matrix: DataFrame, least: str) -> DataFrame:
     """(fp, other): a document and a group to compare, by its tokens in the union of each larger group.
 
     The matrix has token, fp, n, g, members (of g) and common. Of two groups, the one with fewer members
@@ -179,9 +179,7 @@ def _opened(matrix: DataFrame, least: str | None) -> DataFrame:
     """
     unions = matrix.select("token", F.struct("members", "g").alias("union")).distinct()
     bound = matrix.join(unions, "token").where(F.struct("members", "g") < F.col("union")).withColumn("other", F.col("union.g")).groupBy("fp", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("common").alias("common"))
-    if least:
-        bound = bound.where(F.expr(f"shared >= {least}"))
-    return bound.select("fp", "other")
+    return bound.where(F.expr(f"shared >= {least}")).select("fp", "other")
 
 
 def _full_tokens(percent: int):
@@ -215,6 +213,8 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD, common: int =
     source = texts.select("doc_id", "th", F.col("text").cast("binary").alias("text"))
     sets = stage(source.mapInArrow(_sets(percent), "doc_id long, th long, n long, fp long, keys array<long>, prefix array<long>"), "sets")
     narrow = stage(sets.select("doc_id", "th", "n", "fp"), "rows")
+    if narrow.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        texts = stage(texts.dropDuplicates(["doc_id", "th"]), "texts")  # rows that repeat are read and moved once
     classes = stage(narrow.where("fp is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
     found_by = classes.select("fp", "rep.doc_id", "rep.th")
     leaders = stage(leader_pairs(sets), "leaders")
@@ -269,6 +269,8 @@ def _full_opened(texts: DataFrame, classes: DataFrame, full: DataFrame, groups:
     whole = rows.select("fp", F.col("text").cast("binary").alias("text")).mapInArrow(_full_tokens(percent), "fp long, tokens array<long>")
     each = stage(whole.select("fp", F.explode("tokens").alias("token")).distinct().join(groups, "fp", "left").select("fp", "token", F.coalesce("g", "fp").alias("g")), "full-tokens")
     frequency = each.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    # With the slack, two documents that link share so many tokens of their prefixes that a group must hold.
+    fewest = f"1 + ({SLACK} * (({percent} * n + 99) div 100)) div 100"
     ordered = each.join(frequency, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"), F.min("g").alias("g"))
-    first = ordered.join(full, "fp").select("fp", "n", "g", F.explode(F.expr(f"slice(`order`, 1, cast(n - ({percent} * n + 99) div 100 + 1 as int))")).alias("e")).where("e.df > 1")
-    return _opened(stage(sized(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common"))), "full-matrix"), None)
+    first = ordered.join(full, "fp").select("fp", "n", "g", F.explode(F.expr(f"slice(`order`, 1, cast(n - ({percent} * n + 99) div 100 + 1 + {SLACK} * n div 100 as int))")).alias("e")).where("e.df > 1")
+    return _opened(stage(sized(first.select(F.col("e.token").alias("token"), "fp", "n", "g", F.lit(0).alias("common"))), "full-matrix"), fewest)

@@ -225,10 +225,12 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     asked = each.join(several, ["fp", "right", "bits"], "left_semi").select("fp", "right", F.inline(F.array_distinct(F.array("low", "high"))))
     asked = stage(asked.select("doc_id", "fp", "w0", "w1", "right", "edge", F.lit(0).cast("long").alias("done"), F.xxhash64("fp", "right").alias("key")), "asked")
     unstage(each)
-    step, out = STEP, []
+    step, out, texts = STEP, [], texts.where("text is not null")
     while asked.limit(1).count():
+        if len(out) == 1:  # few documents go on after the first round; Spark broadcasts their ids if they are small
+            texts = stage(texts.join(stage(asked.select("doc_id").distinct(), "going-on"), "doc_id", "left_semi"), "texts")
         wanted = asked.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("fp", "w0", "w1", "right", "edge", "done", "key")).alias("wanted"))
-        rows = texts.where("text is not null").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", F.col("text").cast("binary").alias("text"), "wanted")
+        rows = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", F.col("text").cast("binary").alias("text"), "wanted")
         rows = stage(rows.mapInArrow(_beside(step), f"{_ASKED}, keys array<long>, points array<long>"), "beside")
         unstage(asked)
         alike = rows.select("doc_id", "edge", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("edge").alias("open")).where("low != high and open")

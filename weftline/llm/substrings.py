@@ -167,6 +167,7 @@ _ASKED = "doc_id long, fp long, w0 long, w1 long, right boolean, edge boolean, d
 def _beside(step: int):
     """The next ``step`` words beside segments: hashes of the segment and all words up to each, and code points."""
     names = [c.split()[0] for c in _ASKED.split(", ")]
+    fields = [*names[1:], "key"]  # of what a document is asked for
 
     def run(batches):
         cache, spans_hash = WordHashes(), _spans_hash()
@@ -174,10 +175,23 @@ def _beside(step: int):
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 hashes, firsts, ends, asked, base = [], [], [], [], 0
-                for doc, text, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    h = word_hashes(text.lower().split(), cache)
-                    e = np.array([(doc, x["fp"], x["w0"], x["w1"], x["right"], x["edge"], x["done"], x["key"], base, base + len(h)) for x in wanted], np.int64).T
-                    e = e[:, e[3] <= len(h)]
+                wanted = dict(zip(fields, part[2].flatten().flatten(), strict=True))
+                wanted = np.stack([wanted[f].cast(pa.int64()).to_numpy() for f in fields], 0)
+                of = part[2].offsets.to_numpy() - part[2].offsets[0].as_py()
+                for doc, text, lo, hi in zip(part[0].to_pylist(), part[1].to_pylist(), of[:-1], of[1:], strict=True):
+                    found = text.lower().split()
+                    q = wanted[:, lo:hi]
+                    q = q[:, q[2] <= len(found)]
+                    # Only words of the segments asked for, those already compared and the next are hashed.
+                    reach = step + q[5]
+                    opens = np.zeros(len(found) + 1, np.int64)
+                    np.add.at(opens, np.where(q[3] == 1, q[1], np.maximum(q[1] - reach, 0)), 1)
+                    np.add.at(opens, np.where(q[3] == 1, np.minimum(q[2] + reach, len(found)), q[2]), -1)
+                    near = np.flatnonzero(np.cumsum(opens[:-1]))
+                    h = np.zeros(len(found), np.uint64)
+                    h[near] = word_hashes([found[i] for i in near.tolist()], cache)
+                    n = q.shape[1]
+                    e = np.concatenate([np.full((1, n), doc), q, np.full((1, n), base), np.full((1, n), base + len(h))])
                     e = e[:, (spans_hash(h, e[2], e[3]) & ~1) == e[1]]  # other texts may have the same id
                     c0, c1, _ = layout(text)
                     hashes.append(h)

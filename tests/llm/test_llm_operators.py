@@ -633,6 +633,24 @@ def test_language_is_learned_only_from_rows_not_held_out(spark):
     assert langid.fit(real) == langid.fit(spoiled)
 
 
+def test_language_narrow_margins_reject_texts_of_any_length(spark):
+    dictionaries = {"en": b"the house of the river and the tree", "de": b"das haus am fluss und der baum"}
+    texts = ["x", "qqq", "zz " * 400, "the house of the river", "das haus am fluss und der baum", "", None, "12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    got = {r.doc_id: r for r in langid.identify(df, dictionaries).collect()}
+    assert [got[i].rejected for i in range(8)] == [True, True, True, False, False, True, True, True]
+    assert [got[i].lang_pred for i in (3, 4, 5, 6, 7)] == ["en", "de", "und", "und", "und"] and got[0].score == 0
+
+
+def test_language_samples_come_from_whole_texts(spark):
+    told = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:8]
+    long = [(i, "en", " ".join(f"é{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(9000))) for i in told]
+    found = langid.fit(spark.createDataFrame(long, "doc_id long, lang string, text string"))["en"].decode()
+    stretches = found.split("\n")
+    assert len(stretches) == 8 and len(found.encode()) <= langid.DICTIONARY and len({long[0][2].index(s) for s in stretches}) == 8
+    assert max(long[0][2].index(s) for s in stretches) > 10_000 and all(len(s.encode()) > 2000 for s in stretches)
+
+
 def best_fit(lengths, capacity):
     """Bins by best fit over single pieces, longest first."""
     room = []

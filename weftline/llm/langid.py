@@ -14,14 +14,12 @@ from pyspark.sql import types as T
 
 from weftline.llm.words import worker_cache
 
-SAMPLE_DOCS = 400  # labelled documents a language, at most
-SAMPLE_CHARS = 2_000  # of each, at most
-DICTIONARY = 256 * 1024  # bytes a language, at most
-ALL_DOCS = 40_000  # labelled documents of all languages, which share them equally
+SAMPLE_DOCS = 128  # labelled documents a language, at most
+DICTIONARY = 256 * 1024  # bytes a language, at most, which its documents share equally
+ALL_DOCS = 12_800  # labelled documents of all languages, which share them equally
 ALL_BYTES = 64 * 1024 * 1024  # of all dictionaries, likewise
 BLOCK = 4 * 1024
 LEVEL = 3
-TELLING = 64  # bytes of letters from which on a narrow margin rejects
 NARROW = 0.005  # margin under which a document is rejected
 
 
@@ -39,8 +37,9 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     """Raw dictionary of every language from a bounded sample of rows that are not held out, the commonest first.
 
     The sample is, of each language, the distinct (doc_id, text) that hash lowest: ``SAMPLE_DOCS``, or an
-    equal share of ``ALL_DOCS`` where there are more than a hundred languages (one at least); of each
-    at most ``SAMPLE_CHARS`` characters. Dictionaries share ``ALL_BYTES`` in the same way. Rows are counted
+    equal share of ``ALL_DOCS`` where there are more than a hundred languages (one at least). Dictionaries
+    share ``ALL_BYTES`` in the same way, and the documents of a language its dictionary: of a longer text, the
+    stretch of that many bytes that begins at a hashed place of the whole of it. Rows are counted
     map-side, and a threshold of the hash for each language, with room to spare, says which rows travel.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
@@ -54,11 +53,19 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     low = docs.sparkSession.createDataFrame(most, "of string, most long")
     # The rows come from the driver, so they are no more than it holds.
     near = known.join(F.broadcast(low), (F.col("lang") == F.col("of")) & (F.col("h") <= F.col("most")))
-    sample = near.groupBy("lang", "h").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    each = max(1, bytes_each // docs_each - 1)
+    letters = near.select("lang", "h", letters_of(F.col("text")).alias("text"))
+    begin = F.pmod("h", F.greatest(F.length("text") - each + 1, F.lit(1)))
+    stretch = F.substring("text", (begin + 1).cast("int"), F.lit(each))
     by: dict[str, list] = {row["lang"]: [] for row in limits}
-    for row in sample.select("lang", "h", letters_of(F.col("text")).alias("text")).toLocalIterator():
+    for row in letters.groupBy("lang", "h").agg(F.first(stretch).alias("text")).toLocalIterator():
         by[row["lang"]].append((row["h"], row["text"]))
-    return {lang: "\n".join(t for _, t in sorted(rows)[:docs_each]).encode()[:bytes_each] for lang, rows in by.items()}
+    return {lang: b"\n".join(_fitted(t, each) for _, t in sorted(rows)[:docs_each]) for lang, rows in by.items()}
+
+
+def _fitted(text: str, most: int) -> bytes:
+    """The text in UTF-8, without the characters that lie beyond ``most`` bytes."""
+    return text.encode()[:most].decode(errors="ignore").encode()
 
 
 def compressors(dictionaries: dict[str, bytes]) -> dict:
@@ -95,7 +102,7 @@ def _predict(dictionaries: dict[str, bytes]):
                     lang, score = classify(text, by_lang) if text and by_lang else ("und", 0.0)
                     langs.append(lang)
                     scores.append(score)
-                    rejected.append(lang == "und" or (score < NARROW and len(text) >= TELLING))
+                    rejected.append(lang == "und" or score < NARROW)
                 columns = [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
@@ -113,8 +120,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> D
 
     lang_pred is a learned language, or ``und`` with score 0 for a text that is null or has no letter
     and for every text if nothing could be learned. score is the margin between the two smallest
-    encodings; below ``NARROW`` in a text of ``TELLING`` bytes of letters or more, or for ``und``, the row
-    is rejected. Whole texts are encoded. Equal sizes go to the language with more labelled documents.
+    encodings; below ``NARROW``, or for ``und``, the row is rejected, however short its text. Whole texts are encoded. Equal sizes go to the language with more labelled documents.
     Repeated rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     dictionaries = fit(docs) if dictionaries is None else dictionaries

@@ -90,6 +90,57 @@ f AS (SELECT *, '{START}' || replace({_ESCAPED.format('role')}, chr(10), '\\n')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, piece)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = '{TRAINED}'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, piece) FILTER (role = '{TRAINED}'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
 
+
+
+def repair() -> str:
+    """Damage by a checksum worked out bit by bit, then edits row by row through the states of the grammar, with whole audits and texts."""
+    said = "CASE WHEN {0}.t = '' THEN {1} ELSE {0}.t || chr(10) || {1} END"
+    plus = lambda k, cost, letter, turn=None: f"{{'c': {k}.c + {cost}, 'a': {k}.a || '{letter}', 't': {said.format(k, turn) if turn else k + '.t'}}}"
+    least = lambda *x: f"list_sort([{', '.join(x)}])[1]"
+
+    def put_in(inner: str, keep: str) -> str:
+        """An empty turn put in, or none, from each state."""
+        u, a = least("ku", *(plus(k, 3, "I", "'user:'") for k in ("k0", "ks", "ka"))), least("ka", plus("ku", 3, "I", "'assistant:'"))
+        return f"SELECT {keep}k0, ks, {u} AS ku, {a} AS ka FROM ({inner})"
+
+    row = "conv, i, state, role, text, initial, "
+    before = put_in(put_in(put_in("SELECT r.conv, r.i, r.state, r.role, r.text, r.initial, k0, ks, ku, ka FROM dp JOIN r ON r.conv = dp.conv AND r.i = dp.i + 1", row), row), row)
+    may = lambda k, initial, name: [f"CASE WHEN state != 'x' AND initial = '{initial}' THEN {plus(k, 'extra', 'K', kept)} END", *([f"CASE WHEN state != 'x' THEN {plus(k, '3 + extra', 'R', again.format(name))} END"] if name else [])]
+    kept, again = "role || ':' || text", "'{}:' || text"
+    gone = lambda k: plus(k, 4, "D")
+    users = [x for k in ("k0", "ks", "ka") for x in may(k, "u", "user")]
+    step = f"""SELECT conv, i, {gone('k0')} AS k0, {least(gone('ks'), *may('k0', 's', ''))} AS ks, {least(gone('ku'), *users)} AS ku, {least(gone('ka'), *may('ku', 'a', 'assistant'))} AS ka
+FROM (SELECT *, CASE WHEN state = 't' THEN 3 ELSE 0 END AS extra FROM ({before}))"""
+    after = put_in(put_in("SELECT conv, k0, ks, ku, ka FROM dp JOIN (SELECT conv AS c, max(i) AS n FROM r GROUP BY conv) ON conv = c AND i = n", "conv, "), "conv, ")
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    return f"""WITH RECURSIVE tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) x(i))),
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS MATERIALIZED (SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(key[j]) AS BIGINT)), lambda c, b: xor(tab.t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS fault FROM o, tab),
+d AS (SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM f, range(2) copies(n) WHERE fault != 0 AND (n = 0 OR fault = 3)),
+n AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, CAST(row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS BIGINT) AS i FROM d),
+r AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault, CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE fault END AS state, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM n),
+dp AS (SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS k0, {never} AS ks, {never} AS ku, {never} AS ka FROM r UNION ALL {step}),
+e AS (SELECT conv, {least('k0', 'ka')} AS k FROM ({after})),
+c AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(k.c, 0) AS BIGINT) AS cost, coalesce(k.a, '') AS audit, sha256(coalesce(k.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv, conv_id FROM o) LEFT JOIN c USING (conv) LEFT JOIN e USING (conv)"""
+
+
+def clusters(k: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid in every round."""
+    out = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS c, q FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))"""
+    near = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for i in range(rounds + 1):
+        out += f""", a{i} AS MATERIALIZED (SELECT rid, min(best).c AS c, min(best).d AS d FROM (SELECT rid, {{'d': CAST({near} AS BIGINT), 'c': c.c}} AS best FROM v, c{i} c) GROUP BY rid)"""
+        if i < rounds:
+            out += f""", m{i} AS (SELECT c, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY j) AS q FROM (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT a.c, unnest(v.q) AS x, unnest(range(1, 65)) AS j FROM a{i} a JOIN v USING (rid)) GROUP BY c, j) GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m{i}.q, c0.q) AS q FROM c{i} c0 LEFT JOIN m{i} ON c0.c = m{i}.c)"""
+    return out + f""" SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (rid) JOIN c{rounds} c ON a.c = c.c"""
+
+
 ORACLES = {
     "op3_secret_scan": secret_scan(),
     "op4_url_filter": url_filter(),
@@ -97,4 +148,6 @@ ORACLES = {
     "op6_embedding_near_dedup": VECTORS,
     "op7_chat_format": CHAT,
     "op8_exact_topk": TOPK,
+    "op12_turn_repair": repair(),
+    "op13_centroid_clusters": clusters(),
 }

@@ -1,10 +1,10 @@
-"""The ten operators as registered queries over whole tables, with SQL where SQL can express them."""
+"""The operators as registered queries over whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import annjoin, chat, langid, mixing, packing, secrets, substrings, urlfilter, voronoi
+from weftline.llm import annjoin, bpe, chat, exponion, langid, mixing, packing, secrets, substrings, turnrepair, urlfilter, voronoi
 from weftline.llm.jaccard import jaccard_components
 from weftline.llm.oracles import ORACLES
 from weftline.staging import table
@@ -57,6 +57,19 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing)}
+def op11_byte_bpe(spark, sf_dir):
+    said = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    return said.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_turn_repair(spark, sf_dir):
+    return turnrepair.repair(turnrepair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_centroid_clusters(spark, sf_dir):
+    return exponion.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing, op11_byte_bpe, op12_turn_repair, op13_centroid_clusters)}
 
 __all__ = ["ORACLES", "QUERIES"]

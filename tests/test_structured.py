@@ -87,7 +87,7 @@ print(f(1))
 
 def test_code_chunks():
     got = code.split_code(PYTHON, "python", 400, "m.py")
-    assert [(a, b, h) for a, b, _, h in got] == [(1, 1, "m.py"), (3, 6, "m.py :: def f"), (9, 11, "m.py :: class C"), (12, 13, "m.py :: class C :: def a(self):"), (15, 17, "m.py :: class C :: def b(self):"), (18, 19, "m.py")]
+    assert [(a, b, h) for a, b, _, h in got] == [(1, 1, "m.py"), (3, 6, "m.py :: @cache"), (9, 9, "m.py :: class C"), (10, 10, "m.py :: class C"), (12, 13, "m.py :: class C :: def a(self)"), (15, 17, "m.py :: class C :: def b(self)"), (18, 19, "m.py")]
     rust = "/// Doc.\nfn big() {\n" + "\n".join(f"    let x{i} = {i};" for i in range(60)) + "\n}\n"
     pieces = code.split_code(rust, "rust", 300)
     assert len(pieces) > 3 and all(c.startswith("/// Doc.\nfn big() {") for _, _, c, _ in pieces) and all("(continued)" in c for _, _, c, _ in pieces[1:])

@@ -1,113 +1,70 @@
 """Source code in chunks by its declarations, with docs kept to them and headers that say where they are.
 
-Declarations are found by the shape of lines: by indentation in Python, by braces elsewhere. No grammar
-is needed, so any text can be chunked; one without declarations is split by lines.
+Declarations come from the syntax tree of a file; one without any, or that doesn't parse, is split by lines.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from weftline.operators import syntax
 from weftline.operators.text import split_lines
 
 SIGNATURE_LINES = 3
-CONTAINERS = ("class", "impl", "trait", "interface", "struct", "enum", "mod", "namespace", "object")
-DECLARES = {
-    "python": re.compile(r"^(\s*)(?:async\s+)?(def|class)\s+(\w+)"),
-    "rust": re.compile(r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+|extern\s+\"C\"\s+)*(fn|struct|enum|trait|impl|mod)\b\s*(?:<[^>]*>\s*)?([\w:<>, ]+)?"),
-    "brace": re.compile(r"^(\s*)(?:(?:export|public|private|protected|static|final|abstract|default|async)\s+)*(function|class|interface|enum|func|fun|object|namespace)\s+(?:\([^)]*\)\s*)?(\w+)"),
-}
-DOCS = {"python": ("#", "@"), "rust": ("///", "//!", "#[", "//"), "brace": ("//", "/*", "*", "@")}
-
-
-@dataclass(frozen=True)
-class Declaration:
-    first: int  # lines from 0, last included
-    last: int
-    kind: str
-    name: str
-
-
-def _style(language: str | None) -> str:
-    return language if language in ("python", "rust") else "brace"
-
-
-def _end(lines: list[str], at: int, style: str, indent: int) -> int:
-    """Last line of the declaration that begins on a line."""
-    if style == "python":
-        last = at
-        for i in range(at + 1, len(lines)):
-            if lines[i].strip():
-                if len(lines[i]) - len(lines[i].lstrip()) <= indent and not lines[i].lstrip().startswith((")", "]")):
-                    break
-                last = i
-        return last
-    depth, opened = 0, False
-    for i in range(at, len(lines)):
-        bare = re.sub(r'"(?:\\.|[^"\\])*"|//.*', "", lines[i])
-        depth += bare.count("{") - bare.count("}")
-        opened = opened or "{" in bare
-        if (opened and depth <= 0) or (not opened and bare.rstrip().endswith(";")):
-            return i
-    return len(lines) - 1
-
-
-def declarations(lines: list[str], language: str | None, first: int = 0, last: int | None = None) -> list[Declaration]:
-    """Outermost declarations between two lines."""
-    style = _style(language)
-    last = len(lines) - 1 if last is None else last
-    out, i = [], first
-    while i <= last:
-        m = DECLARES[style].match(lines[i])
-        if m:
-            end = min(_end(lines, i, style, len(m[1])), last)
-            out.append(Declaration(i, end, m[2], (m[3] or "").strip()))
-            i = end
-        i += 1
-    return out
+SIGNATURE_CHARS = 100
+INNER = syntax.FUNCTIONS | {"const", "type", "impl"}
 
 
-def with_docs(lines: list[str], at: int, style: str, lowest: int) -> int:
-    """First line of the doc lines right above a declaration, over at most two blank lines."""
-    first, i, blanks = at, at - 1, 0
-    while i >= lowest:
-        text = lines[i].strip()
-        if text.startswith(DOCS[style]):
-            first, blanks = i, 0
-        elif text or blanks == 2:
-            break
-        else:
-            blanks += 1
-        i -= 1
-    return first
+def signature(line: str) -> str:
+    """The first line of a declaration up to its body, at most 100 characters."""
+    line = line.strip()
+    ends = [i for i in (line.find("{"), line.find("=>")) if i >= 0]
+    if line.endswith(":"):
+        ends.append(len(line) - 1)
+    return line[: min(ends, default=len(line))].rstrip()[:SIGNATURE_CHARS]
+
+
+def members(nodes: list[syntax.Node], at: int, language: str | None) -> list[syntax.Node]:
+    """The outermost functions, constants and types within a declaration that is split into its members."""
+    if nodes[at].kind not in syntax.CONTAINERS and language not in ("python", "rust"):
+        return []
+    inside, found = {at}, []
+    for i in range(at + 1, len(nodes)):
+        if nodes[i].parent in inside:
+            if nodes[i].kind in INNER:
+                found.append(nodes[i])
+            else:
+                inside.add(i)
+    return found
 
 
 def split_code(source: str, language: str | None, size: int, path: str = "") -> list[tuple[int, int, str, str]]:
     """(first line, last line, content, header) of chunks; lines count from 1.
 
-    A declaration that fits is one chunk with its docs. A container with declarations inside gives a chunk of
-    its docs and signature, and one chunk for each of them, one level down. One too large repeats docs and
-    signature on each piece, which says that it goes on. What lies between declarations is chunked too.
+    A declaration that fits is one chunk with its docs. One with members gives a chunk of its docs and signature, and
+    one chunk for each member, one level down. One too large repeats docs and signature on each piece, and
+    pieces after the first say that they go on. What lies between declarations, or between members, is chunked too.
     """
-    lines = source.split("\n")
+    lines = [x.removesuffix("\r") for x in source.split("\n")]
     if lines and lines[-1] == "":
         lines.pop()
-    style = _style(language)
-    top = declarations(lines, language)
-    if not top:
+    tree = syntax.parse(source, language)
+    nodes = tree.nodes if tree else []
+    if not nodes:
         return [(a, b, c, path) for a, b, c in split_lines(source, size, 0)]
     out: list[tuple[int, int, str, str]] = []
     text = lambda a, b: "\n".join(lines[a : b + 1])
+    docs = lambda at, low: syntax.doc_lines(lines, at, language, low)
 
-    def gap(a: int, b: int, header: str) -> None:
-        if a <= b and text(a, b).strip():
+    def gap(a: int, b: int, header: str, said: re.Pattern = re.compile(r"\S")) -> None:
+        if a <= b and said.search(text(a, b)):
             out.extend((a + s, a + e, c, header) for s, e, c in split_lines(text(a, b), size, 0))
 
-    def leaf(d: Declaration, first: int, header: str) -> None:
+    def leaf(d: syntax.Node, first: int, header: str) -> None:
         whole = text(first, d.last)
         if len(whole.encode()) <= size:
             out.append((first + 1, d.last + 1, whole, header))
@@ -119,19 +76,29 @@ def split_code(source: str, language: str | None, size: int, path: str = "") ->
             out.append((d.first + 1 + s, d.first + 1 + e, f"{prefix}{goes_on}\n{c}", header))
 
     at = 0
-    for d in top:
-        first = with_docs(lines, d.first, style, at)
+    for i, d in enumerate(nodes):
+        if d.parent >= 0 or d.first < at:
+            continue
+        first = docs(d.first, at)
         gap(at, first - 1, path)
-        header = " :: ".join(x for x in (path, f"{d.kind} {d.name}".strip()) if x)
-        inner = declarations(lines, language, d.first + 1, d.last) if d.kind in CONTAINERS else []
+        label = signature(lines[d.first])
+        header = " :: ".join(x for x in (path, label) if x)
+        inner = members(nodes, i, syntax.language_of(language))
         if inner:
-            starts = with_docs(lines, inner[0].first, style, d.first + 1)
-            out.append((first + 1, min(starts, d.first + SIGNATURE_LINES), text(first, min(starts, d.first + SIGNATURE_LINES) - 1), header))
-            low = d.first + 1
+            head = d.first
+            while head < d.last and head - d.first < SIGNATURE_LINES - 1 and not re.search(r"\{|=>|:\s*$", lines[head]):
+                head += 1
+            head = min(head, inner[0].first - 1) if inner[0].first > d.first else d.first
+            out.append((first + 1, head + 1, text(first, head), header))
+            low = head + 1
             for e in inner:
-                begin = with_docs(lines, e.first, style, low)
-                leaf(e, begin, f"{header} :: {lines[e.first].strip()}")
+                if e.first < low:
+                    continue
+                begin = docs(e.first, low)
+                gap(low, begin - 1, header, _WORDS)
+                leaf(e, begin, " :: ".join(x for x in (header, signature(lines[e.first])) if x))
                 low = e.last + 1
+            gap(low, d.last, header, _WORDS)
         else:
             leaf(d, first, header)
         at = d.last + 1
@@ -139,6 +106,9 @@ def split_code(source: str, language: str | None, size: int, path: str = "") ->
     return [piece for c in out for piece in enforce_size(c, size)]
 
 
+_WORDS = re.compile(r"\w")  # between members a bracket alone says nothing
+
+
 def enforce_size(chunk: tuple[int, int, str, str], size: int) -> list[tuple[int, int, str, str]]:
     """A chunk as pieces of at most ``size`` bytes, by lines, and by whole characters where one line is longer."""
     first, _, content, header = chunk
@@ -196,18 +166,5 @@ def chunk_code(files: DataFrame, size: int = 1200) -> DataFrame:
 
 
 def outline(files: DataFrame) -> DataFrame:
-    """(file, name, name_path, kind, start_line, end_line) of the declarations of files (path, language, text), two levels deep."""
-    schema = pa.schema([("file", pa.string()), ("name", pa.string()), ("name_path", pa.string()), ("kind", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for path, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines = (text or "").split("\n")
-                for d in declarations(lines, lang) if text else []:
-                    rows.append((path, d.name, d.name, d.kind, d.first + 1, d.last + 1))
-                    if d.kind in CONTAINERS:
-                        rows.extend((path, e.name, f"{d.name}/{e.name}", e.kind, e.first + 1, e.last + 1) for e in declarations(lines, lang, d.first + 1, d.last))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return files.select("path", "language", "text").mapInArrow(run, "file string, name string, name_path string, kind string, start_line long, end_line long")
+    """(file, name, name_path, kind, start_line, end_line) of the declarations of files (path, language, text) at any depth."""
+    return syntax.symbols(syntax.parsed(files)).select("file", "name", "name_path", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))

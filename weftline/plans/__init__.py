@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from weftline.plans import catalog, events, functions, goals, graph, reconcile, retrieval, telemetry, text, workspace  # noqa: F401
+    from weftline.plans import catalog, code, events, functions, goals, graph, reconcile, retrieval, telemetry, text, workspace  # noqa: F401

@@ -55,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(*COLUMNS, mixing.words("text").alias("size"), F.spark_partition_id().alias("part"))
     cells = stage(mixing.sizes(docs).groupBy(*key, "part").agg(F.count("*").alias("c")), "sizes")
     plan = stage(mixing.rounded(cells), "copies").select(*[F.col(c).alias(f"of_{c}") for c in key], "m", "base", "more")
-    rows = rows.join(plan, mixing.same_row())
+    # The plan has a row for each document, so it is never sent to all tasks, however small it is; texts aren't sorted.
+    rows = rows.join(plan.hint("shuffle_hash"), mixing.same_row())
     single = rows.where("m = 1").withColumn("copies", F.col("base") + F.col("more"))
     if plan.where("m > 1").limit(1).count():
         # Repeated rows are told apart by the task that read them and their place there.

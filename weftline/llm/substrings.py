@@ -1,16 +1,16 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Two kinds of paragraphs are taken from every text: its lines of some length, and, as passages also stand
-inside longer lines, the segments between places where a hash of three words is the least among its
-neighbours, so that a passage is cut alike wherever it stands. Both are banded by MinHash of their word
-shingles, and only paragraphs that collide in a band with another document's go on. A segment has one
-band of one row: at fewer than 49 words a Jaccard of 0.8 leaves no room for a changed word but at the
-ends, so colliding segments are verified by equality, which one band never misses. Lines that collide in
+Paragraphs are lines of some length and, as passages also stand inside longer lines, windows of 50 words or a few more in these.
+Windows overlap and are content-aligned: they begin where a hash of three words is the least for 16 words around, and end at the first
+place after 50 words where one is the least for 4, so a passage has the same windows wherever it stands. All
+are banded by MinHash of their word shingles. Paragraphs that collide in
 a band are compared with the band's leader by exact Jaccard, those that this leaves out of their leader's
-component with all that their leader stands for, and verified links are closed into components.
-Where a repeated segment's neighbour is not repeated, the words beside it are added as far as another
-document goes on alike. Paragraphs whose component occurs in several documents are joined with those
-words into runs; the document with the smallest id keeps its copy.
+component with all that their leader stands for, and verified links are closed into components. So a changed word doesn't split a passage.
+
+What repeats exactly is also found where it is shorter than a window, and to the word: texts are cut once more, into
+the segments between the finer places, equal ones are one class, and where a repeated segment's neighbour is
+not repeated, the words beside it are added as far as another document goes on alike. Repeated paragraphs, segments and
+those words are joined into runs; the document with the smallest id of a component or class keeps its copy.
 """
 
 from __future__ import annotations
@@ -30,9 +30,13 @@ from weftline.staging import release, stage, unstage
 
 BANDS, ROWS = 8, 3  # a pair at 0.8 meets in a band with probability 0.997
 PARAGRAPH = 16  # words of a banded line, at least
+WINDOW = 50  # words of a window inside a line of more than LONG words, at least
+LONG = 75
+WIDE = 16  # words on either side that the hash where a window begins is the least of
 RADIUS = 4  # words on either side that a cut's hash is the least of
 RUN = 20  # words of a run that is reported, at least
 STEP = 16  # words beside a segment that are compared at first; twice as many in each later round
+SEGMENT, LINE, INSIDE = 0, 1, 3
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -46,20 +50,34 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """First words of the segments of a sequence of word hashes; 0 is the first of them."""
+def cuts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the segments of a sequence of word hashes, 0 among them, and those of its windows."""
     n = len(hashes) - 2
     if n < 1:
-        return np.zeros(min(1, len(hashes)), np.int64)
+        return np.zeros(min(1, len(hashes)), np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         g = mix(mix(hashes[:n] * np.uint64(_P) + hashes[1 : n + 1]) * np.uint64(_P) + hashes[2:])
-    edge = np.full(RADIUS, np.iinfo(np.uint64).max, np.uint64)
+    edge = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
     padded = np.concatenate([edge, g, edge])
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in (*range(RADIUS), *range(RADIUS + 1, 2 * RADIUS + 1)):
+    for i in (*range(WIDE - RADIUS, WIDE), *range(WIDE + 1, WIDE + RADIUS + 1)):
         np.minimum(least, padded[i : i + n], out=least)
     at = np.flatnonzero(g < least)
-    return at if len(at) and at[0] == 0 else np.concatenate([[0], at])
+    # Few of these are the least of the words farther off.
+    wide = at
+    if len(at):
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WIDE + 1)[at]
+        wide = at[(around.min(1) == g[at]) & ((around == g[at][:, None]).sum(1) == 1)]
+    return at if len(at) and at[0] == 0 else np.concatenate([[0], at]), wide
+
+
+def windows(at: np.ndarray, wide: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of the windows in the words from ``first`` to ``last``, of which each begins at a wide cut or is the first."""
+    starts = np.concatenate([[first], wide[np.searchsorted(wide, first + 1) : np.searchsorted(wide, last - WINDOW, side="right")]])
+    ends = np.append(at, len(at) and at[-1] + (1 << 40))[np.searchsorted(at, starts + WINDOW)]
+    ends = np.minimum(ends, last)
+    keep = ends - starts >= WINDOW
+    return starts[keep], ends[keep]
 
 
 def layout(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,58 +105,49 @@ def _spans_hash():
     return spans_hash
 
 
-def segment_keys(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """The band key of each segment: the least of its mixed shingles; that of one shorter than a shingle is its hash."""
-    out = fp.copy()
-    long = hi - lo >= SHINGLE
-    if long.any():
-        pool = np.append(mix(s ^ np.uint64(_P)), np.uint64(0))
-        out[long] = np.minimum.reduceat(pool, np.stack([lo[long], hi[long] - SHINGLE + 1], 1).ravel())[::2].view(np.int64)
-    return out
-
-
 def _paragraphs(bands: int):
-    """Paragraphs; beside has 16 bits of the hash of the word before and of the word after, key is their first
-    band's, and keys are all bands' of a line that the task meets for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("key", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Segments, lines and windows, as the last two bits of fp say; beside has 16 bits of the hash of the word before and of the word after,
+    and keys are those of all bands of a paragraph that the task meets for the first time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache, seen = WordHashes(), {}
+        cache, seen = WordHashes(), set()
         spans_hash = _spans_hash()
 
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                docs, fps, points, words, besides, firsts, pool = [], [], [], [], [], [], []
-                runs, ends, owners, lines, done, count = [], [], [], [], 0, 0
+                docs, fps, points, words, besides, pool = [], [], [], [], [], []
+                runs, ends, owners, done, count = [], [], [], 0, 0
                 for doc, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
                     h = word_hashes(text.lower().split(), cache) if text else np.zeros(0, np.uint64)
-                    if not len(h) or not bands:
+                    if not len(h):
                         continue
                     c0, c1, line = layout(text)
-                    lo = cuts(h)
+                    lo, wide = cuts(h)
                     hi = np.append(lo[1:], len(h))
                     first = np.flatnonzero(np.diff(line, prepend=-1))
                     last = np.append(first[1:], len(h))
                     long = last - first >= PARAGRAPH
                     s = shingles(h)
                     n_segments = len(lo)
-                    lo, hi = np.concatenate([lo, first[long]]), np.concatenate([hi, last[long]])
-                    # Lines and segments are different classes even where they say the same.
+                    inside = [windows(lo, wide, a, b) for a, b in zip(first, last, strict=True) if b - a > LONG]
+                    lo, hi = (np.concatenate([x, y[long], *(w[i] for w in inside)]) for i, (x, y) in enumerate(((lo, first), (hi, last))))
+                    # Paragraphs and segments are different classes even where they say the same.
                     fp = spans_hash(h, lo, hi)
-                    fp = (fp & ~1) | (np.arange(len(fp)) >= n_segments)
+                    kinds = np.concatenate([np.full(n_segments, SEGMENT), np.full(long.sum(), LINE), np.full(len(lo) - n_segments - long.sum(), INSIDE)])
+                    fp = (fp & ~3) | kinds
                     docs.append(np.full(len(lo), doc))
                     fps.append(fp)
                     points.append((c0[lo] << 32) + c1[hi - 1])
                     words.append((lo << 32) + hi)
                     low = np.concatenate([[0], h & np.uint64(0xFFFF), [0]]).astype(np.uint32)
                     besides.append(((low[lo] << np.uint32(16)) | low[hi + 1]).view(np.int32))
-                    firsts.append(np.concatenate([segment_keys(s, lo[:n_segments], hi[:n_segments], fp[:n_segments]), np.zeros(len(lo) - n_segments, np.int64)]))
                     new = False
                     for k in range(n_segments, len(lo)):
-                        lines.append(count + k)
                         if (value := int(fp[k])) not in seen:
-                            seen[value], new = None, True
+                            seen.add(value)
+                            new = True
                             runs.append(done + lo[k])
                             ends.append(done + hi[k] - SHINGLE + 1)
                             owners.append(count + k)
@@ -149,14 +158,11 @@ def _paragraphs(bands: int):
                 if not docs:
                     continue
                 column: list = [None] * count
-                fps, firsts = np.concatenate(fps), np.concatenate(firsts)
-                if owners:
+                if owners and bands:
                     pool = np.append(np.concatenate(pool), np.uint64(0))  # so that the last end is in the pool
                     for k, row in zip(owners, minhash_keys(pool, np.stack([runs, ends], 1).ravel(), bands, ROWS, 2).view(np.int64), strict=True):
-                        column[k], seen[int(fps[k])] = row, row[0]
-                if lines:
-                    firsts[lines] = [seen[x] for x in fps[lines].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(fps, pa.int64()), pa.array(np.concatenate(points), pa.int64()), pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(besides), pa.int32()), pa.array(firsts), pa.array(column, pa.list_(pa.int64()))], schema=schema)
+                        column[k] = row
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), pa.int64()) for c in (docs, fps, points, words)), pa.array(np.concatenate(besides), pa.int32()), pa.array(column, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -192,7 +198,7 @@ def _beside(step: int):
                     h[near] = word_hashes([found[i] for i in near.tolist()], cache)
                     n = q.shape[1]
                     e = np.concatenate([np.full((1, n), doc), q, np.full((1, n), base), np.full((1, n), base + len(h))])
-                    e = e[:, (spans_hash(h, e[2], e[3]) & ~1) == e[1]]  # other texts may have the same id
+                    e = e[:, (spans_hash(h, e[2], e[3]) & ~3) == e[1]]  # other texts may have the same id
                     c0, c1, _ = layout(text)
                     hashes.append(h)
                     firsts.append(c0)
@@ -224,7 +230,7 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     is not bounded.
     """
     order = W.partitionBy("doc_id").orderBy("w0", "w1")
-    marked = hits.where("fp & 1 = 0")
+    marked = hits.where(f"fp & 3 = {SEGMENT}")
     for name, step, near, far in (("l", F.lag, "w0", "w1"), ("r", F.lead, "w1", "w0")):
         marked = marked.withColumn(f"{name}_edge", F.coalesce(step(far).over(order) != F.col(near), F.lit(True)))
         second = F.coalesce(step(near).over(order) == step(far, 2).over(order), F.lit(False))
@@ -261,6 +267,28 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else hits.select("doc_id", "component", "removed", "w0", "w1", "c0", "c1").limit(0)
 
 
+def _clipped(hits: DataFrame) -> DataFrame:
+    """Hits, of windows only the words between the first and the last that repeat exactly.
+
+    A window that is near another may begin or end with a few words beyond what they share. A changed word lies between
+    words that repeat; a window without any stays whole.
+    """
+    exact = lambda c: F.when(~F.col("window"), F.struct("w0", "w1", "c0", "c1")[c])
+    forth, back = W.partitionBy("doc_id").orderBy("w0", F.col("window").desc()), W.partitionBy("doc_id").orderBy("w1", "window")
+    so_far, later = (W.unboundedPreceding, 0), (0, W.unboundedFollowing)
+    whole = F.struct("w0", "c0")
+    first = F.min(F.when(~F.col("window"), whole)).over(forth.rowsBetween(*later))
+    covered = F.coalesce(F.max(exact("w1")).over(forth.rowsBetween(*so_far)) > F.col("w0"), F.lit(False))
+    left = F.when(covered | first.isNull() | (first["w0"] >= F.col("w1")), whole).otherwise(first)
+    hits = hits.withColumn("left", F.when(F.col("window"), left).otherwise(whole))
+    whole = F.struct("w1", "c1")
+    last = F.max(F.when(~F.col("window"), whole)).over(back.rowsBetween(*so_far))
+    covered = F.coalesce(F.min(exact("w0")).over(back.rowsBetween(*later)) < F.col("w1"), F.lit(False))
+    right = F.when(covered | last.isNull() | (last["w1"] <= F.col("w0")), whole).otherwise(last)
+    hits = hits.withColumn("right", F.when(F.col("window"), right).otherwise(whole))
+    return hits.select("doc_id", "component", "removed", F.col("left.w0").alias("w0"), F.col("right.w1").alias("w1"), F.col("left.c0").alias("c0"), F.col("right.c1").alias("c1"))
+
+
 def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """``(doc_id, start, stop, n_words, removed, component_id)``: runs of words that other documents repeat.
 
@@ -268,13 +296,11 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: i
     the smallest id among those that hold its paragraphs. component_id is shared by what is near or equal.
     Runs of fewer than ``least`` words are not reported. A document is all rows with its doc_id, so
     repeated rows repeat nothing; rows with a null doc_id, text or words have no runs. Case of A-Z is
-    ignored, other columns are. An empty table gives no rows, nor do no bands.
+    ignored, other columns are. An empty table gives no rows. With no ``bands`` only what repeats exactly is found.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(bands), "doc_id long, fp long, points long, words long, beside int, key long, keys array<long>"), "paragraphs")
-    open_ = paragraphs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last").select("key")
-    met = stage(paragraphs.drop("keys").join(open_, "key"), "met")
-    classes = met.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
+    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(bands), "doc_id long, fp long, points long, words long, beside int, keys array<long>"), "paragraphs")
+    classes = paragraphs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
     repeated = stage(classes.select("fp", "first"), "repeated")
 
     lines = paragraphs.where("keys is not null")
@@ -297,12 +323,10 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: i
     repeated = stage(repeated, "repeated")
 
     release(texts.sparkSession)  # what the comparison of lines has moved
-    # A line may have met others in any of its bands.
-    either = met.where("fp & 1 = 0").unionByName(paragraphs.where("fp & 1 = 1").select(*met.columns))
-    hits = either.join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
+    hits = paragraphs.join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
     hits = stage(hits, "hits")
-    unstage(paragraphs, met)
-    hits = hits.drop("fp", "beside").unionByName(_extended(texts, hits))
+    unstage(paragraphs)
+    hits = _clipped(hits.withColumn("window", F.col("fp").bitwiseAND(3) == INSIDE).drop("fp", "beside").unionByName(_extended(texts, hits).withColumn("window", F.lit(False))))
     order = W.partitionBy("doc_id", "removed").orderBy("w0", "w1")
     so_far = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))
     opened = hits.withColumn("opens", F.coalesce(F.col("w0") > so_far, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from weftline.staging import stage
 MOST_QUERIES = 1000
 MOST_TERMS = 100_000
 SLICES = 64
+SCORES = 1 << 22  # distances that a task holds at once
 K1, B, RRF = 1.2, 0.75, 60
 
 
@@ -51,15 +55,72 @@ def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return r.join(q, ["_block", "_slice"]).drop("_block", "_slice")
 
 
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, vectors in doubles) of the lists of ``dim`` values without nulls."""
+    whole = pc.equal(pc.list_value_length(column), dim).fill_null(False).to_numpy(zero_copy_only=False)
+    x = column.filter(pa.array(whole)).flatten()
+    x = pc.cast(x, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)  # nulls are NaN
+    fine = ~np.isnan(x).any(1)
+    return np.flatnonzero(whole)[fine], x[fine]
+
+
+def _nearest(asked: list[tuple[object, np.ndarray]], k: int, metric: str):
+    """The k nearest of a task's vectors to each query: a product of blocks finds them, distances are worked out one by one."""
+    dim = len(asked[0][1])
+    q = np.stack([v for _, v in asked])
+    norms = (q**2).sum(1)
+
+    def run(batches):
+        best_d, best_i = [np.zeros(0)] * len(asked), [[] for _ in asked]
+        rows = max(1, SCORES // len(asked))
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                at, x = _matrix(part.column("embedding"), dim)
+                if not len(at):
+                    continue
+                product, mine = q @ x.T, (x**2).sum(1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    d = np.maximum(norms[:, None] + mine - 2 * product, 0) if metric == "l2" else 1 - product / np.sqrt(norms[:, None] * mine)
+                d[np.isnan(d)] = np.inf
+                near = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                near = near + 1e-6 * (1 + np.abs(near))  # all that rounding could bring in
+                for j in range(len(asked)):
+                    c = np.flatnonzero(d[j] <= near[j])
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        exact = np.sqrt(((x[c] - q[j]) ** 2).sum(1)) if metric == "l2" else 1 - (x[c] * q[j]).sum(1) / np.sqrt(mine[c] * norms[j])
+                    ids = part.column("id").take(pa.array(at[c])).to_pylist()
+                    found = sorted((float(e), i) for e, i in zip([*best_d[j], *np.round(exact, 9)], [*best_i[j], *ids], strict=True) if e == e and i is not None)[:k]
+                    best_d[j], best_i[j] = np.array([e for e, _ in found]), [i for _, i in found]
+        out = [(name, i, e) for (name, _), ids, ds in zip(asked, best_i, best_d, strict=True) for i, e in zip(ids, ds.tolist(), strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "id", "distance"])
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, rank, id, distance): the k nearest vectors (id, embedding) of each query (query_id, query).
 
-    Exact: each vector meets each query, see ``against``, and all but k a query are dropped before the
-    shuffle. Filter the vectors first; distances are rounded to 9 places and ties go to the smaller id.
+    Exact. Up to ``MOST_QUERIES`` queries, which is checked, go to every task as one matrix for each number of components: blocks of vectors are
+    multiplied with it, and k rows a query leave a task. More are dealt with the rows, see ``against``. Filter
+    the vectors first; distances are rounded to 9 places and ties go to the smaller id. Vectors and queries
+    that are null, hold nulls or NaN, differ in length, or are zero under cosine, and null ids, are not found.
     """
-    met = against(vectors, queries)
-    distance = l2("embedding", "query") if metric == "l2" else 1 - cosine("embedding", "query")
-    return top_per(met.select("query_id", "id", F.round(distance, 9).alias("distance")), ["query_id"], [F.col("distance"), F.col("id")], k)
+    asked = queries.limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        distance = l2("embedding", "query") if metric == "l2" else 1 - cosine("embedding", "query")
+        met = against(vectors, queries).where("size(embedding) = size(query)").select("query_id", "id", F.round(distance, 9).alias("distance")).where("distance is not null and not isnan(distance) and id is not null")
+        return top_per(met, ["query_id"], [F.col("distance"), F.col("id")], k)
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, distance double"
+    by: dict[int, list] = {}
+    for r in asked:
+        v = np.array([float("nan") if x is None else x for x in r["query"] or []], np.float64)
+        if len(v) and not np.isnan(v).any():
+            by.setdefault(len(v), []).append((r["query_id"], v))
+    legs = [vectors.select("id", "embedding").mapInArrow(_nearest(mine, k, metric), kinds) for mine in by.values()]
+    found = reduce(DataFrame.unionByName, legs) if legs else vectors.sparkSession.createDataFrame([], kinds)
+    return top_per(found, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
 def terms(text: Column) -> Column:

@@ -113,3 +113,30 @@ def stream_two_phase(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     s = streaming.file_stream(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
     return streaming.upsert_each_batch(s, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("stream_retention", "SELECT user_id, count(*) AS events, min(event_id) AS first_id FROM events WHERE epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 10 * 86400000 GROUP BY user_id")
+def stream_retention(spark, sf_dir):
+    s = streaming.stateful.retained(streaming.file_stream(spark, sf_dir, "events"), "user_id", "event_id", days=10)
+    log = streaming.run_to_table(s, "retention")
+    held = log.groupBy("key", "id").agg(F.bool_and("held").alias("held")).where("held")
+    return held.groupBy(F.col("key").alias("user_id")).agg(F.count("*").alias("events"), F.min("id").alias("first_id"))
+
+
+@query(
+    "stream_answers",
+    """WITH v AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS began FROM events WHERE event_type = 'view'), p AS (SELECT user_id, epoch_us(ts) // 1000 AS ended FROM events WHERE event_type = 'purchase')
+SELECT v.user_id, event_id, began, min(ended) AS ended, count(ended) > 0 AS answered FROM v LEFT JOIN p ON v.user_id = p.user_id AND ended BETWEEN began AND began + 7200000 WHERE began + 7200000 < (SELECT max(epoch_us(ts) // 1000) FROM events WHERE event_type IN ('view', 'purchase')) GROUP BY ALL""",
+)
+def stream_answers(spark, sf_dir):
+    kind = lambda k: F.col("event_type") == k
+    s = streaming.stateful.two_phase(streaming.file_stream(spark, sf_dir, "events"), "user_id", "event_id", kind("view"), kind("purchase"), 2 * 3600 * 1000)
+    return streaming.run_to_table(s, "answers").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "began", "ended", "answered")
+
+
+@query("stream_field_fold", "SELECT user_id AS artifact_id, event_type AS field, arg_max(props, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY ALL")
+def stream_field_fold(spark, sf_dir):
+    e = streaming.file_stream(spark, sf_dir, "events")
+    s = streaming.stateful.fold_fields(e.select(F.col("user_id").alias("artifact_id"), F.col("event_type").alias("field"), F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), F.col("props").alias("value")))
+    out = streaming.run_to_table(s, "field_fold", mode="update")
+    return out.groupBy("artifact_id", "field").agg(F.max_by(F.struct("value", "id"), F.struct("at", "id")).alias("r")).select("artifact_id", "field", "r.*")

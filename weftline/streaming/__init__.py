@@ -8,16 +8,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftline.operators.joins import replace_keyed
-from weftline.operators.ordering import latest_per
-from weftline.staging import shared_dir, stage, table, unstage
+from weftline.staging import shared_dir, table
+from weftline.streaming import stateful
 
 LATE = "40 days"  # the test log comes in no order
 
@@ -71,36 +69,82 @@ def incremental_fold(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_fold, "artifact_id long, latest_kind string, latest_id long, events long", "at long, last long, kind string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def _folder(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
+    """Finished tables below a folder, by name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}/_SUCCESS"))
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", where: str | None = None) -> DataFrame:
     """What a stream gives over all that its source holds now, as a table in the shared folder.
 
-    Batches are staged as they come; of a stream in complete mode the last one is the result. Nothing is
-    gathered in the driver, and progress is kept beside the tables.
+    Batches are tables of one folder, which is read as a whole; of a stream in complete mode the last one is the
+    result. A batch that is run again replaces its own table. Started again with the same ``where``, a stream goes
+    on after what it has read, and its table has what all runs gave. Nothing is gathered in the driver.
     """
     spark = stream.sparkSession
-    parts: list[DataFrame] = []
+    where = where or f"{shared_dir(spark)}/streams/{name}_{uuid.uuid4().hex[:8]}"
 
-    def keep(batch: DataFrame, _: int) -> None:
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/batches/{number:09d}")
         if mode == "complete":
-            unstage(*parts)
-            parts.clear()
-        parts.append(stage(batch, name))
+            for old in _folder(spark, f"{where}/batches"):
+                if old != f"{number:09d}":
+                    _drop(spark, f"{where}/batches/{old}")
 
-    where = f"{shared_dir(spark)}/streams/{name}_{uuid.uuid4().hex[:8]}"
-    stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", where).start().awaitTermination()
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], stream.schema)
+    with stateful.rocks(spark):
+        query = stream.writeStream.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{where}/progress").start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/batches/*") if _folder(spark, f"{where}/batches") else spark.createDataFrame([], stream.schema)
 
 
-def upsert_each_batch(stream: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """A keyed table kept by foreachBatch: each batch's latest rows replace older ones of their keys."""
-    spark = stream.sparkSession
-    held: dict[str, DataFrame] = {}
+COMPACT = 8  # batches after which changes are merged into the table
+
 
-    def merge(batch: DataFrame, _: int) -> None:
-        new = batch if "t" not in held else batch.unionByName(held["t"].join(batch, list(key), "left_semi"))
-        latest = latest_per(new.select(*batch.columns), key[0], order).select(*batch.columns)
-        held["t"] = stage(latest if "t" not in held else replace_keyed(held["t"], latest, key), "upserted")
+def _newest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*").select(*rows.columns)
 
-    where = f"{shared_dir(spark)}/streams/upsert_{uuid.uuid4().hex[:8]}"
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return held["t"] if held else spark.createDataFrame([], stream.schema)
+
+def upserted(spark: SparkSession, where: str, schema, key: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """The keyed table of a folder as it stands: its newest merged state and the changes since; None if there is neither."""
+    bases, changes = _folder(spark, f"{where}/base"), _folder(spark, f"{where}/changes")
+    base = bases[-1] if bases else ""
+    parts = [f"{where}/base/{base}"] * bool(base) + [f"{where}/changes/{c}" for c in changes if c > base]
+    return _newest(spark.read.schema(schema).parquet(*parts), key, order) if parts else None
+
+
+def upsert_each_batch(stream: DataFrame, key: Sequence[str], order: Sequence[str], where: str | None = None, compact: int = COMPACT) -> DataFrame:
+    """A keyed table kept by foreachBatch: each batch's latest rows replace older ones of their keys.
+
+    A batch writes its own latest rows only; every ``compact`` batches changes are merged with the table into its next state, and
+    what that replaces goes one merge later. What the table is stands in ``where`` alone: a folder counts once it is
+    finished, and a batch that is run again writes the same folder or is already merged, so a stream that is started again over its
+    checkpoint goes on with the table that it had. Of rows of a key, the last by ``order`` holds whatever batch it came in.
+    """
+    spark = stream.sparkSession
+    where = where or f"{shared_dir(spark)}/streams/upsert_{uuid.uuid4().hex[:8]}"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        me, bases = f"{number:09d}", _folder(spark, f"{where}/base")
+        if bases and me <= bases[-1]:
+            return
+        _newest(batch, key, order).write.mode("overwrite").parquet(f"{where}/changes/{me}")
+        if (number + 1) % compact == 0:
+            upserted(spark, where, batch.schema, key, order).write.mode("overwrite").parquet(f"{where}/base/{me}")
+            for old in bases[:-1]:
+                _drop(spark, f"{where}/base/{old}")
+            for old in _folder(spark, f"{where}/changes"):
+                if bases and old <= bases[-1]:
+                    _drop(spark, f"{where}/changes/{old}")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = upserted(spark, where, stream.schema, key, order)
+    return spark.createDataFrame([], stream.schema) if found is None else found

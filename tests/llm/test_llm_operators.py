@@ -3,6 +3,7 @@ repeated rows and extra columns whose names clash, and on empty tables."""
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -427,7 +428,7 @@ def test_url_filter(spark):
     pages = [(i, u, None if i % 9 == 0 else "".join(f'<a href="http://{rng.choice(hosts)}/p">x</a><A HREF=\'//{rng.choice(hosts).upper()}?q\'>' for _ in range(rng.randrange(3)))) for i, u in enumerate(urls)]
     pages += [(None, "http://x.edu/", None), pages[0], pages[0]]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("of", "score", "weight", "src", "rule", "hit", "raw")})
-    got = urlfilter.judge(df, rounds=6).collect()
+    got = urlfilter.judge(df, tolerance=1e-6).collect()
     links, allow, block = collections.Counter(), collections.Counter(), collections.Counter()
     for _, url, html in pages:
         host, _, _, verdict = brute_rule(url)
@@ -438,16 +439,41 @@ def test_url_filter(spark):
         for b in to:
             if host and b != host:
                 links[host, b] += raw[b]
-    trust, distrust = pagerank(links, allow, urlfilter.DAMPING, 6), pagerank({(b, a): w for (a, b), w in links.items()}, block, urlfilter.DAMPING, 6)
+    trust, distrust = pagerank(links, allow, urlfilter.DAMPING, 250), pagerank({(b, a): w for (a, b), w in links.items()}, block, urlfilter.DAMPING, 250)
     want = []
     for i, url, _ in pages:
         host, path, rule, verdict = brute_rule(url)
         t, d = trust.get(host, 0.0), distrust.get(host, 0.0)
-        want.append((i, host, path, rule, verdict or ("block" if d > t * (1 + 1e-9) else "allow"), round(t, 9), round(d, 9)))
-    assert collections.Counter((r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in got) == collections.Counter(want)
+        want.append((i, host, path, rule, verdict or ("block" if d > t * (1 + 1e-9) else "allow"), t, d))
+    order = lambda r: (str(r[0]), r[1], r[2])
+    for mine, other in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert mine[:5] == other[:5] and mine[5:] == pytest.approx(other[5:], rel=1e-4, abs=1e-12)
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_reaches_hosts_however_far(spark, tmp_path):
+    """A chain of 30 hosts to a blocked one, and one to an allowed host: against the links distrust reaches all, trust none."""
+    from compare import plain
+
+    from weftline.llm.oracles import ORACLES
+
+    rows = [(0, "http://x.com/en/", None), (1, "http://y.net/de/", '<a href="http://h40.edu/">')]
+    rows += [(10 + i, f"http://h{i}.edu/", f'<a href="http://{"x.com" if i == 29 else f"h{i + 1}.edu"}/">') for i in range(30)]
+    rows += [(50 + i, f"http://h{40 + i}.edu/", f'<a href="http://h{41 + i}.edu/"><a href="http://z.edu/">') for i in range(25)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
+    assert all(got[10 + i].verdict == "block" and got[10 + i].distrust > got[10 + i].trust for i in range(30))
+    assert all(got[50 + i].trust > 0 for i in range(25))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    said = con.execute(ORACLES["op4_url_filter"]).fetchall()
+    mine = [(r.page_id, r.host, r.path, r.rule, r.verdict, round(r.trust, 9), round(r.distrust, 9)) for r in got.values()]
+    assert sorted((*r[:3], str(r[3]), r[4], *map(plain, r[5:])) for r in said) == sorted((*r[:3], str(r[3]), r[4], *map(plain, r[5:])) for r in mine)
+
+
 def vector_rows():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16)).astype(np.float32)
@@ -596,10 +622,20 @@ def test_chat_layouts(spark):
         ("not json", None, []),
         (None, None, []),
     ]
-    by = chat.registry()
-    assert [chat.canonical(r, by) for r, _, _ in records] == [(n, t) for _, n, t in records]
+    records += [
+        ('{"id": 7, "messages": [{"role": "user", "content": "q", "name": "n", "tool": {"a": [1]}}], "meta": {"x": null}}', "messages", [("user", "q")]),
+        ('{"instruction": "do", "output": "done", "source": "s", "id": 3}', "instruction", [("user", "do"), ("assistant", "done")]),
+        ('{"messages": [], "id": 1}', "messages", []),
+        ('{"messages": [{"role": "user", "content": "a"}, "loose", {"role": "assistant"}, null]}', "messages", [("user", "a"), ("", "loose"), ("assistant", ""), ("", "")]),
+        ('{"conversations": [{"from": "human", "value": null, "weight": 1}]}', "conversations", [("user", "")]),
+        ('{"prompt": "p", "completion": "c", "instruction": "i", "input": "j", "output": "o", "system": "s"}', "instruction", [("system", "s"), ("user", "i\n\nj"), ("assistant", "o")]),
+        ('{"messages": null}', None, []), ('{"messages": "text"}', None, []), ('{}', None, []), ('[]', None, []), ('{"messages": [[1]]}', None, []),
+    ]
+    by = chat.Registry()
+    assert [chat.canonical(r, by)[:2] for r, _, _ in records] == [(n, t) for _, n, t in records]
+    assert chat.canonical(records[-11][0], by)[2] == ["id", "messages[].name", "messages[].tool.a[]", "meta.x"]
     df = spark.createDataFrame([(i, 0, r) for i, (r, _, _) in enumerate(records)], "id long, position long, record string")
-    assert chat.format_records(df).where("layout is null").count() == 3
+    assert chat.format_records(df).where("layout is null").count() == sum(n is None for _, n, _ in records)
     assert {r.conv_id: r.n_turns for r in chat.digest(chat.format_records(df)).collect()} == {i: len(t) for i, (_, _, t) in enumerate(records)}
 
 
@@ -697,6 +733,24 @@ def test_language_samples_come_from_whole_texts(spark):
     assert max(long[0][2].index(s) for s in stretches) > 10_000 and all(len(s.encode()) > 2000 for s in stretches)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.sampled_from(["id", "messages", "conversations", "role", "text", "content", "instruction", "input", "output", "system", "prompt", "completion", "response", "question", "answer", "context", "extra"]), st.none() | st.text(max_size=3) | st.lists(st.dictionaries(st.sampled_from(["role", "content", "from", "value", "x"]), st.none() | st.text(max_size=2)), max_size=3), max_size=7))
+def test_layouts_against_trying_every_mapping(record):
+    found = chat.paths(record)
+
+    def has(path):
+        at, _, name = path.partition("[].")
+        if not name:
+            return path in found
+        return any(isinstance(x, dict) and name in x for x in record.get(at) or [] if isinstance(record.get(at), list))
+
+    fit = [m for m in chat.MAPPINGS if all(map(has, m.required())) or (m.items and m.items[0] and record.get(m.items[0]) == [])]
+    want = max(fit, key=lambda m: len(m.required()), default=None)
+    name, turns, extra = chat.canonical(json.dumps(record), chat.Registry())
+    assert name == (want.name if want else None) and turns == (want.apply(record) if want else [])
+    assert set(extra) == (found - want.known() if want else found)
+
+
 def best_fit(lengths, capacity):
     """Bins by best fit over single pieces, longest first."""
     room = []

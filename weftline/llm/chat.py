@@ -1,7 +1,7 @@
 """Chat formatting: records of many layouts to canonical turns, and turns to marked training text.
 
-A record is a JSON object. Its fingerprint is a hash of the paths of its fields; a registry maps
-fingerprints to declarative mappings, so each layout is described once and found without trying all.
+A record is a JSON object. Its fingerprint is a hash of those paths of its fields that any mapping asks for, so ids
+and other fields don't matter; fingerprints select declarative mappings, each found once for all records that share it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
-from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,12 +19,12 @@ TRAINED = "assistant"
 
 
 def paths(value: object, at: str = "") -> set[str]:
-    """Paths of a value's leaves; all items of a list share ``[]``, an empty list or null is a leaf."""
+    """Paths of a value's leaves; all items of a list share ``[]``, an empty list is ``[0]``, null is a leaf."""
     if isinstance(value, dict) and value:
         return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(paths(v, at + "[]") for v in value))
-    return {at + "[]" if isinstance(value, list) else at}
+    if isinstance(value, list):
+        return set().union(*(paths(v, at + "[]") for v in value)) if value else {at + "[0]"}
+    return {at}
 
 
 def fingerprint(field_paths: set[str]) -> str:
@@ -39,7 +38,7 @@ class Mapping:
     ``turns`` gives a role and the fields that make its text, joined by a blank line, for each turn of
     a record with fixed fields. ``items`` names a list field with the role and text fields of each item
     instead; "" is the record itself as the only item. ``roles`` renames roles. ``optional`` fields may
-    be missing; every combination has its own fingerprint.
+    be missing.
     """
 
     name: str
@@ -48,18 +47,23 @@ class Mapping:
     roles: dict[str, str] = field(default_factory=dict)
     optional: tuple[str, ...] = ()
 
-    def fingerprints(self) -> list[str]:
+    def required(self) -> set[str]:
         if self.items:
             at, role, text = self.items
-            need = {f"{at}[].{role}" if at else role, f"{at}[].{text}" if at else text}
-        else:
-            need = {f for _, fields in self.turns for f in fields} - set(self.optional)
-        return [fingerprint(need | {f for f, on in zip(self.optional, mask, strict=True) if on}) for mask in product((False, True), repeat=len(self.optional))]
+            return {f"{at}[].{role}" if at else role, f"{at}[].{text}" if at else text}
+        return {f for _, fields in self.turns for f in fields} - set(self.optional)
+
+    def known(self) -> set[str]:
+        """All paths that it asks for; an empty list of items is one."""
+        return self.required() | set(self.optional) | ({f"{self.items[0]}[0]"} if self.items and self.items[0] else set())
+
+    def fits(self, found: set[str]) -> bool:
+        return self.required() <= found or bool(self.items and self.items[0] and f"{self.items[0]}[0]" in found)
 
     def apply(self, record: dict) -> list[tuple[str, str]]:
         if self.items:
             at, role, text = self.items
-            rows = [(r.get(role), r.get(text)) for r in ([record] if not at else record.get(at) or [])]
+            rows = [(r.get(role), r.get(text)) if isinstance(r, dict) else (None, r) for r in ([record] if not at else record[at])]
         else:
             rows = [(role, "\n\n".join(str(record[f]) for f in fields if record.get(f) not in (None, ""))) for role, fields in self.turns if any(f in record for f in fields)]
         return [(self.roles.get(r, r) if r is not None else "", "" if t is None else str(t)) for r, t in rows]
@@ -78,18 +82,40 @@ MAPPINGS = (
 )
 
 
-def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    return {f: m for m in reversed(mappings) for f in m.fingerprints()}
+class Registry:
+    """Mappings by the fingerprints of records that they are for.
+
+    Of the mappings whose required paths a record has (or whose list it has, empty), the one that requires most is taken,
+    of equal ones the first listed. That is found once for each fingerprint; ``most`` of them are kept.
+    """
+
+    most = 100_000
+
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
+        self.mappings, self.found = mappings, {}
+        self.known = set().union(*(m.known() for m in mappings))
+
+    def find(self, found: set[str]) -> Mapping | None:
+        mine = found & self.known
+        key = fingerprint(mine)
+        if key not in self.found:
+            if len(self.found) >= self.most:
+                self.found.clear()
+            self.found[key] = max((m for m in self.mappings if m.fits(mine)), key=lambda m: len(m.required()), default=None)
+        return self.found[key]
 
 
-def canonical(record: str | None, by: dict[str, Mapping]) -> tuple[str | None, list[tuple[str, str]]]:
-    """(name of the mapping, turns) of a JSON record; (None, []) for one that no mapping is for."""
+def canonical(record: str | None, by: Registry) -> tuple[str | None, list[tuple[str, str]], list[str]]:
+    """(name of the mapping, turns, paths that it doesn't ask for) of a JSON record; None and no turns for one that no mapping is for."""
     try:
         value = json.loads(record) if record is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):
         value = None
-    mapping = by.get(fingerprint(paths(value))) if isinstance(value, dict) else None
-    return (mapping.name, mapping.apply(value)) if mapping else (None, [])
+    if not isinstance(value, dict):
+        return None, [], []
+    found = paths(value)
+    mapping = by.find(found)
+    return (mapping.name, mapping.apply(value), sorted(found - mapping.known())) if mapping else (None, [], sorted(found))
 
 
 def escape(text: str) -> str:
@@ -123,20 +149,20 @@ def read_turn(piece: str) -> tuple[str, str]:
 
 
 def _turns(mappings: tuple[Mapping, ...]):
-    schema = pa.schema([("id", pa.int64()), ("position", pa.int64()), ("item", pa.int32()), ("layout", pa.string()), ("role", pa.string()), ("formatted", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("position", pa.int64()), ("item", pa.int32()), ("layout", pa.string()), ("role", pa.string()), ("formatted", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("extra", pa.list_(pa.string()))])
 
     def run(batches):
-        by = registry(mappings)
+        by = Registry(mappings)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for at, position, record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name, turns = canonical(record, by)
+                name, turns, extra = canonical(record, by)
                 for i, (role, text) in enumerate(turns):
                     piece, a, b = render(role, text)
-                    for column, value in zip(out, (at, position, i, name, role, piece, a, b), strict=True):
+                    for column, value in zip(out, (at, position, i, name, role, piece, a, b, extra if i == 0 else []), strict=True):
                         column.append(value)
-                if name is None:
-                    for column, value in zip(out, (at, position, None, None, None, None, None, None), strict=True):
+                if not turns:
+                    for column, value in zip(out, (at, position, None, name, None, None, None, None, extra), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
@@ -147,13 +173,15 @@ def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
     """Marked turns of records (id, position, record: JSON text), one row a turn.
 
     Rows: id, position, item (place within the record), layout, role, formatted, loss_from, loss_to
-    (code points of ``formatted`` under the loss mask, escaped text of assistants only). The text of a
+    (code points of ``formatted`` under the loss mask, escaped text of assistants only), extra (at the first item, the paths that
+    the layout doesn't ask for). The text of a
     sequence is its rows' ``formatted`` by position and item. A record that is null, no JSON object or of
-    an unknown layout gives one row with a null layout and no text, so none is lost. A null role or text
+    an unknown layout gives one row with a null layout and no text, so none is lost; one with an empty list has its layout and no text. Items that
+    are no objects are texts without a role. A null role or text
     within a known layout is empty. Other columns are ignored; an empty table gives no rows.
     """
     rows = records.select(F.col("id").cast("long").alias("id"), F.col("position").cast("long").alias("position"), "record")
-    return rows.mapInArrow(_turns(mappings), "id long, position long, item int, layout string, role string, formatted string, loss_from long, loss_to long")
+    return rows.mapInArrow(_turns(mappings), "id long, position long, item int, layout string, role string, formatted string, loss_from long, loss_to long, extra array<string>")
 
 
 def _digest():

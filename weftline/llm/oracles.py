@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.chat import END, START, TRAINED
 from weftline.llm.secrets import RULES as SECRET_RULES
-from weftline.llm.urlfilter import CLOSE, DAMPING, ROUNDS
+from weftline.llm.urlfilter import CLOSE, DAMPING
 from weftline.llm.urlfilter import RULES as URL_RULES
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,20 +48,19 @@ def url_filter() -> str:
     verdict = " ".join(f"WHEN {test(r)} THEN '{r.verdict}'" for r in fits)
 
     def walk(name: str, seed: str, edges: str) -> str:
-        out = f"""{name}w AS (SELECT host, CAST(count(*) FILTER (hit = '{seed}') AS DOUBLE) AS weight FROM p WHERE hit IS NOT NULL AND host != '' GROUP BY host),
-{name}b AS (SELECT host, weight / (SELECT sum(weight) FROM {name}w) * {1 - DAMPING} AS score FROM {name}w WHERE weight > 0),
-{name}s AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS part FROM ({edges})), {name}0 AS (SELECT * FROM {name}b)"""
-        for i in range(ROUNDS):
-            out += f", {name}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT dst AS host, score * part * {DAMPING} AS score FROM {name}{i} JOIN {name}s ON host = src UNION ALL SELECT * FROM {name}b) GROUP BY host)"
-        return out
+        """What arrives at each host over walks of every length, until next to nothing moves."""
+        return f"""{name}w AS (SELECT host, CAST(count(*) FILTER (hit = '{seed}') AS DOUBLE) AS weight FROM p WHERE hit IS NOT NULL AND host != '' GROUP BY host),
+{name}s AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) * {DAMPING} AS part FROM ({edges})),
+{name}m(host, n, score) AS (SELECT host, 0, weight / (SELECT sum(weight) FROM {name}w) * {1 - DAMPING} FROM {name}w WHERE weight > 0 UNION ALL SELECT dst, n + 1, sum(score * part) FROM {name}m JOIN {name}s ON host = src WHERE score > 1e-200 GROUP BY dst, n),
+{name}r AS (SELECT host, sum(score) AS score FROM {name}m GROUP BY host)"""
 
     lower = LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")
-    return f"""WITH u AS (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+    return f"""WITH RECURSIVE u AS (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 p AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS hit FROM u),
 e AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT host AS src, {LOWER.format('raw')} AS dst FROM (SELECT host, unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s<>]+)', 1))) AS raw FROM p WHERE host != '')) WHERE src != dst GROUP BY ALL),
 {walk('t', 'allow', 'SELECT src, dst, weight FROM e')}, {walk('b', 'block', 'SELECT dst AS src, src AS dst, weight FROM e')}
 SELECT page_id, p.host, path, rule, coalesce(hit, CASE WHEN coalesce(y.score, 0) > {1 + CLOSE!r} * coalesce(x.score, 0) THEN 'block' ELSE 'allow' END) AS verdict,
-  round(coalesce(x.score, 0), 9) AS trust, round(coalesce(y.score, 0), 9) AS distrust FROM p LEFT JOIN t{ROUNDS} x ON p.host = x.host LEFT JOIN b{ROUNDS} y ON p.host = y.host"""
+  round(coalesce(x.score, 0), 9) AS trust, round(coalesce(y.score, 0), 9) AS distrust FROM p LEFT JOIN tr x ON p.host = x.host LEFT JOIN br y ON p.host = y.host"""
 
 
 #: Smallest id that links (a, b: row numbers) reach, for rows v (rid, id).
@@ -91,6 +90,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, piece) FILTER (role = '{TRAINED}'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
 
 
+LAYOUTS = f"""WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+t AS (SELECT conv_id, turn, 0 AS i, role, text FROM s WHERE conv_id % 4 != 3 UNION ALL SELECT conv_id, turn, 0, 'user', role FROM s WHERE conv_id % 4 = 3 UNION ALL SELECT conv_id, turn, 1, 'assistant', text FROM s WHERE conv_id % 4 = 3),
+f AS (SELECT *, '{START}' || replace({_ESCAPED.format('role')}, chr(10), '\\n') || chr(10) || {_ESCAPED.format('text')} || '{END}' || chr(10) AS piece FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, i, role, piece)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = '{TRAINED}'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, i, role, piece) FILTER (role = '{TRAINED}'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
+
 
 def repair() -> str:
     """Damage by a checksum worked out bit by bit, then edits row by row through the states of the grammar, with whole audits and texts."""
@@ -147,6 +152,7 @@ ORACLES = {
     "op5_ngram_jaccard_join": JACCARD,
     "op6_embedding_near_dedup": VECTORS,
     "op7_chat_format": CHAT,
+    "chat_layouts": LAYOUTS,
     "op8_exact_topk": TOPK,
     "op12_turn_repair": repair(),
     "op13_centroid_clusters": clusters(),

@@ -45,6 +45,24 @@ def op7_chat_format(spark, sf_dir):
     return chat.digest(chat.format_records(records))
 
 
+def chat_layouts(spark, sf_dir):
+    """All conversations as records of four layouts with ids and other fields, up to 50 turns a record, read back in canonical turns."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    part = F.floor(F.col("turn") / 50)
+    other = {"u": "human", "a": "gpt"}
+    named = F.coalesce(*[F.when(F.col("role") == n, other[k]) for k, n in (("u", "user"), ("a", "assistant"))], F.col("role"))
+    said = F.col("text")
+    item = {
+        0: F.struct(F.col("role"), said.alias("content"), F.lit("x").alias("name"), F.array(F.lit(1)).alias("tokens")),
+        1: F.struct(named.alias("from"), said.alias("value"), F.lit(0.5).alias("weight")),
+    }
+    whole = lambda k, name: rows.where(F.pmod("conv_id", F.lit(4)) == k).groupBy("conv_id", part.alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", item[k].alias("item")))), lambda x: x["item"]).alias("items")).select(F.col("conv_id").alias("id"), "position", F.to_json(F.struct(F.col("conv_id").alias("id"), F.col("items").alias(name), F.struct(F.lit("s").alias("source")).alias("meta"))).alias("record"))
+    single = lambda k, *fields: rows.where(F.pmod("conv_id", F.lit(4)) == k).select(F.col("conv_id").alias("id"), F.col("turn").alias("position"), F.to_json(F.struct(*fields, F.col("turn").alias("n"), F.lit("s").alias("source"))).alias("record"))
+    records = whole(0, "messages").unionByName(whole(1, "conversations"))
+    records = records.unionByName(single(2, F.col("role"), said.alias("text"))).unionByName(single(3, F.col("role").alias("instruction"), said.alias("output")))
+    return chat.digest(chat.format_records(records))
+
+
 def op8_exact_topk(spark, sf_dir):
     return voronoi.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -70,6 +88,6 @@ def op13_centroid_clusters(spark, sf_dir):
     return exponion.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, op8_exact_topk, op9_language_id, op10_best_fit_packing, op11_byte_bpe, op12_turn_repair, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, chat_layouts, op8_exact_topk, op9_language_id, op10_best_fit_packing, op11_byte_bpe, op12_turn_repair, op13_centroid_clusters)}
 
 __all__ = ["ORACLES", "QUERIES"]

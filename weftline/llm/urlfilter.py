@@ -8,15 +8,17 @@ hosts that link to blocked ones. A host is blocked where its distrust passes its
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.staging import stage
+from weftline.staging import stage, unstage
 
 DAMPING = 0.85
 CLOSE = 1e-9  # scores that differ by less, relatively, are equal: the order of a sum is not fixed
-ROUNDS = 10
+TOLERANCE = 1e-10  # part of its score that may still reach a host when walks end
+MERGED = 8  # rounds after which what has arrived is added up
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -68,29 +70,37 @@ def links(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): personalised PageRank from seeds (host, weight) along edges (src, dst, weight).
 
-    Scores of one walk add up to at most 1; what reaches a host without links ends there. Every round
-    is a join of scored hosts with their edges and a map-side combined sum per host, and is staged.
+    A score is the sum of all that arrives at a host over walks of every length. A round moves only what arrived in the
+    one before, by a join with the edges of those hosts and a map-side combined sum for each, and is staged. Walks end when nothing moves, or
+    when at no host more than ``tolerance`` of its score has arrived, so no host that links reach is left out, however
+    far. Scores of one walk add up to at most 1; what reaches a host without links ends there.
     """
     whole = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    start = seeds.where("weight > 0").select("host", (F.col("weight") / F.lit(whole)).alias("start"))
+    start = seeds.where("weight > 0").select("host", (F.col("weight") / F.lit(whole) * (1 - damping)).alias("score"))
     out = edges.groupBy(F.col("src").alias("of")).agg(F.sum("weight").alias("all"))
-    steps = stage(edges.join(out, F.col("src") == F.col("of")).select("src", "dst", (F.col("weight") / F.col("all")).alias("part")), "steps")
-    base = start.select("host", (F.col("start") * (1 - damping)).alias("score"))
+    steps = stage(edges.join(out, F.col("src") == F.col("of")).select("src", "dst", (F.col("weight") / F.col("all") * damping).alias("part")), "steps")
+    scores = stage(start, "scores")
     if not steps.limit(1).count():
-        return base
-    now = base
-    for i in range(rounds):
-        moved = now.join(steps, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        now = moved.unionByName(base).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 3 == 2:
-            now = stage(now, "scores")
-    return now
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
+        return scores
+    moving, arrived = scores, []
+    while True:
+        moving = stage(moving.join(steps, F.col("host") == F.col("src")).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("part")).alias("score")), "moving")
+        arrived.append(moving)
+        empty = not moving.limit(1).count()
+        if empty or len(arrived) == MERGED:
+            old = scores
+            scores = stage(reduce(DataFrame.unionByName, arrived, scores).groupBy("host").agg(F.sum("score").alias("score")), "scores")
+            unstage(old, *arrived[:-1])
+            arrived = []
+            most = moving.join(scores.select(F.col("host").alias("of"), F.col("score").alias("now")), F.col("host") == F.col("of")).where(F.col("score") > tolerance * F.col("now"))
+            if empty or not most.limit(1).count():
+                return scores
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1.0, tolerance: float = TOLERANCE) -> DataFrame:
     """``(page_id, host, path, rule, verdict, trust, distrust)`` for every row of ``pages`` (page_id, url, html).
 
     A url that a rule fits gets that rule's verdict. Any other one is blocked where its host's distrust
@@ -103,9 +113,9 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = 1
     found = hosts.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     ruled = stage(found.where("hit is not null and host != ''").groupBy("host").agg(F.count_if(F.col("hit.verdict") == "allow").alias("allow"), F.count_if(F.col("hit.verdict") == "block").alias("block")), "ruled")
     edges = stage(links(hosts), "links")
-    trust = propagate(edges, ruled.select("host", F.col("allow").cast("double").alias("weight")), rounds=rounds)
+    trust = propagate(edges, ruled.select("host", F.col("allow").cast("double").alias("weight")), tolerance=tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, ruled.select("host", F.col("block").cast("double").alias("weight")), rounds=rounds)
+    distrust = propagate(back, ruled.select("host", F.col("block").cast("double").alias("weight")), tolerance=tolerance)
     scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scores = stage(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "host-scores").withColumnRenamed("host", "of")
     out = found.drop("html").join(scores, F.col("host") == F.col("of"), "left").fillna(0.0, ["trust", "distrust"])

@@ -16,7 +16,7 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 class WordHashes(dict):
     """Hash of each word seen lately; emptied when it holds ``most`` words of up to ``longest`` bytes, so memory stays bounded."""
 
-    most = 500_000
+    most = 150_000
     longest = 64
 
     def __missing__(self, word: bytes) -> int:

@@ -79,30 +79,6 @@ def retained(events: DataFrame, key: str, id: str, ts: str = "ts", days: float =
     return rows.groupBy("key").transformWithState(_Retention(int(days * DAY)), f"key {kind}, id long, at long, held boolean", "append", "eventTime")
 
 
-class _Idle(StatefulProcessor):
-    """The number of events of a key, forgotten when none has come for a time of the clock."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n long", self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        n = (self.count.get()[0] if self.count.exists() else 0) + sum(1 for _ in rows)
-        self.count.update((n,))
-        yield Row(key=key[0], n=n)
-
-    def close(self) -> None:
-        pass
-
-
-def counted_while_used(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
-    """``(key, n)``: how many events a key has had since it was last unused for ``ttl_ms`` milliseconds of processing time."""
-    rows = events.select(F.col(key).alias("key"))
-    return rows.groupBy("key").transformWithState(_Idle(ttl_ms), f"key {dict(rows.dtypes)['key']}, n long", "update", "processingTime")
-
-
 class _TwoPhase(StatefulProcessor):
     """First events and answers of a key until the time for an answer is over."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import structured as sd
 from weftline.functions import text as tx
+from weftline.functions.schema import schema_violations as schema_column
+from weftline.functions.template import render_json
 from weftline.operators import documents as dc
 from weftline.operators import graph as gr
 from weftline.operators import memory as mm
@@ -96,6 +98,34 @@ def schema_problems(spark, sf_dir):
     return e.select("event_id", sd.schema_problem(doc, {"type": "object", "required": ["k"], "properties": {"k": {"type": "string"}}}).alias("problem"))
 
 
+@query(
+    "schema_violations",
+    """WITH j AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN k < 20 THEN '/props/k: ' || k || ' is less than 20' WHEN k % 5 = 0 AND event_type = 'error' THEN '/props/k: ' || k || ' is valid under a schema that it must not match' WHEN event_type NOT IN ('view', 'click', 'error') THEN '/type: "' || event_type || '" is not one of ["view", "click", "error"]' END AS problem
+FROM (SELECT event_id, event_type, k FROM j)""",
+)
+def schema_violations(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}"))
+    least = {"type": "integer", "minimum": 20}
+    error = {"if": {"properties": {"type": {"const": "error"}, "props": {"properties": {"k": {"minimum": 20}}}}}, "then": {"properties": {"props": {"properties": {"k": {"not": {"multipleOf": 5}}}}}}}
+    schema = {"$defs": {"least": least, "props": {"type": "object", "required": ["k"], "properties": {"k": {"$ref": "#/$defs/least"}}, "additionalProperties": False}}, "properties": {"props": {"$ref": "#/$defs/props"}}, "allOf": [error, {"properties": {"type": {"enum": ["view", "click", "error"]}}}]}
+    problem = F.substring_index(schema_column(doc, schema), "; ", 1)
+    return e.select("event_id", problem.alias("problem"))
+
+
+@query(
+    "template_tables",
+    """SELECT conv_id, '# ' || conv_id || chr(10) || string_agg(CASE WHEN role = 'system' THEN '' ELSE '| ' || i || ' | ' || upper(role) || ' | ' || length(text) || CASE WHEN i = n THEN ' (last)' ELSE '' END || ' |' || chr(10) END, '' ORDER BY turn) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id""",
+)
+def template_tables(spark, sf_dir):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.first("conv_id").alias("id"), turns.alias("turns"))).alias("params"))
+    source = "# {{ id }}\n{% for t in turns %}{% if t.role == 'system' %}{% else %}| {{ loop.index }} | {{ t.role|upper }} | {{ t.text|length }}{% if loop.last %} (last){% endif %} |\n{% endif %}{% endfor %}"
+    return c.select("conv_id", render_json(source, F.col("params")).alias("body"))
+
+
 @query("terminal_filters", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(6 AS BIGINT) END AS at FROM events")
 def terminal_filters(spark, sf_dir):
     command = F.when(F.expr("event_id % 2 = 0"), "cat x | grep y").otherwise("cat 'a | head' || true")

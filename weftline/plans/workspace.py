@@ -210,3 +210,25 @@ def log_summaries(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'view'")
     line = F.concat(F.lit("test result: "), (F.col("event_id") % 50).cast("string"), F.lit(" passed; "), (F.col("event_id") % 3).cast("string"), F.lit(" failed; 0 ignored"))
     return to.test_log(e.groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.collect_list(line), "\n").alias("text")))
+
+
+@query(
+    "config_blame",
+    """WITH o AS (SELECT o_custkey % 10 AS f, o_orderkey AS k, o_orderstatus AS status, o_orderpriority[1:1] AS level, CASE WHEN o_orderstatus != 'P' THEN CAST(year(o_orderdate) AS VARCHAR) END AS extra FROM orders),
+v AS (SELECT f, k, 'status' AS key, status AS value FROM o UNION ALL SELECT f, k, 'order.level', level FROM o UNION ALL SELECT f, k, 'extra', extra FROM o),
+c AS (SELECT *, row_number() OVER (PARTITION BY f, key ORDER BY k) AS n, lag(value) OVER (PARTITION BY f, key ORDER BY k) AS old FROM v)
+SELECT 'app' || f || '.json' AS file, key, arg_max(value, k) AS value, CAST(max(k) FILTER (n = 1 OR value IS DISTINCT FROM old) AS VARCHAR) AS commit FROM c GROUP BY f, key""",
+)
+def config_blame(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    from weftline.operators import blame
+
+    o = table(spark, sf_dir, "orders").withColumn("file", F.concat(F.lit("app"), (F.col("o_custkey") % 10).cast("string"), F.lit(".json"))).withColumn("commit", F.col("o_orderkey").cast("string"))
+    order = W.partitionBy("file").orderBy("o_orderkey")
+    commits = o.select("commit", F.array_compact(F.array(F.lag("commit").over(order))).alias("parents"), F.col("o_orderkey").alias("at"))
+    extra = F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate").cast("string"))
+    text = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.substring("o_orderpriority", 1, 1).alias("level")).alias("order"), extra.alias("extra")))
+    versions = o.select("file", "commit", text.alias("text"))
+    heads = o.groupBy("file").agg(F.max_by("commit", "o_orderkey").alias("head"))
+    return blame.last_changes(commits, versions, blame.key_values(versions), heads).select("file", "key", "value", "commit")

@@ -217,7 +217,7 @@ def log_summaries(spark, sf_dir):
     """WITH o AS (SELECT o_custkey % 10 AS f, o_orderkey AS k, o_orderstatus AS status, o_orderpriority[1:1] AS level, CASE WHEN o_orderstatus != 'P' THEN CAST(year(o_orderdate) AS VARCHAR) END AS extra FROM orders),
 v AS (SELECT f, k, 'status' AS key, status AS value FROM o UNION ALL SELECT f, k, 'order.level', level FROM o UNION ALL SELECT f, k, 'extra', extra FROM o),
 c AS (SELECT *, row_number() OVER (PARTITION BY f, key ORDER BY k) AS n, lag(value) OVER (PARTITION BY f, key ORDER BY k) AS old FROM v)
-SELECT 'app' || f || '.json' AS file, key, arg_max(value, k) AS value, CAST(max(k) FILTER (n = 1 OR value IS DISTINCT FROM old) AS VARCHAR) AS commit FROM c GROUP BY f, key""",
+SELECT 'app' || f || '.json' AS file, key, arg_max({'v': value}, k).v AS value, CAST(max(k) FILTER (n = 1 OR value IS DISTINCT FROM old) AS VARCHAR) AS commit FROM c GROUP BY f, key""",
 )
 def config_blame(spark, sf_dir):
     from pyspark.sql import Window as W

@@ -13,7 +13,7 @@ from weftline.staging import table
 
 ARTIFACTS_SQL = """(SELECT d.doc_id AS id, d.source AS kind,
   CASE WHEN l.toxic = 1 THEN 'superseded' WHEN l.quality = 0 THEN 'archived' WHEN l.quality = 1 THEN 'active' END AS status,
-  substr(d.text, 1, 40) AS title, d.lang AS topic, d.n_chars AS updated_at, string_split(lower(substr(d.text, 1, 60)), ' ') AS tags,
+  d.text AS title, d.lang AS topic, d.n_chars AS updated_at, string_split(lower(d.text), ' ') AS tags,
   '/ws/' || d.lang || '/' || d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.md' AS abs_path, d.text AS body
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
@@ -22,8 +22,8 @@ def artifacts(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "of")
     status = F.when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 0, "archived").when(F.col("quality") == 1, "active")
     return d.join(lab, F.col("doc_id") == F.col("of"), "left").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("kind"), status.alias("status"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("topic"), F.col("n_chars").alias("updated_at"),
-        F.split(F.lower(F.substring("text", 1, 60)), " ", -1).alias("tags"), F.concat(F.lit("/ws/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("abs_path"), F.col("text").alias("body"),
+        F.col("doc_id").alias("id"), F.col("source").alias("kind"), status.alias("status"), F.col("text").alias("title"), F.col("lang").alias("topic"), F.col("n_chars").alias("updated_at"),
+        F.split(F.lower("text"), " ", -1).alias("tags"), F.concat(F.lit("/ws/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("abs_path"), F.col("text").alias("body"),
     )
 
 

@@ -72,10 +72,9 @@ def slugs(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", tx.slugify(F.concat("n_name", F.lit(" (of) "), F.col("n_regionkey").cast("string"), F.lit("!"))).alias("slug"))
 
 
-@query("first_line_previews", "SELECT doc_id, CASE WHEN length(l) > 50 THEN left(l, 47) || '...' ELSE l END AS preview FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents) WHERE strlen(l) = length(l)")
+@query("first_line_previews", "SELECT doc_id, CASE WHEN length(l) > 50 THEN left(l, list_max(list_filter(range(48), lambda k: strlen(left(l, k)) <= 47))) || '...' ELSE l END AS preview FROM (SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '\\r$', '')) AS l FROM documents)")
 def first_line_previews(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("l", F.trim(F.substring_index("text", "\n", 1)))
-    return d.where(F.octet_length("l") == F.length("l")).select("doc_id", sd.first_line_preview(F.col("text")).alias("preview"))
+    return table(spark, sf_dir, "documents").select("doc_id", sd.first_line_preview(F.col("text")).alias("preview"))
 
 
 @query("json_negative_index", "SELECT user_id, CAST(list(event_id ORDER BY event_id)[-1] AS VARCHAR) AS last, CAST(list(event_id ORDER BY event_id)[1] AS VARCHAR) AS first, count(*) AS n FROM events GROUP BY user_id")
@@ -158,9 +157,9 @@ def config_keys(spark, sf_dir):
     return dc.config_keys(d.groupBy(F.col("source").alias("id")).agg(body.alias("text")), "toml")
 
 
-@query("file_summaries", "SELECT doc_id AS id, 'text' AS type, CAST(len(string_split(text, chr(10))) AS INT) AS lines, string_split(text, chr(10))[1] AS first FROM documents WHERE NOT ends_with(text, chr(10))")
+@query("file_summaries", "SELECT doc_id AS id, 'text' AS type, CAST(len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INT) AS lines, string_split(text, chr(10))[1] AS first FROM documents")
 def file_summaries(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("not endswith(text, '\\n')").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".txt")).alias("path"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit(".txt")).alias("path"), "text")
     return dc.file_summary(d).select("id", "type", "lines", F.try_element_at("head", F.lit(1)).alias("first"))
 
 
@@ -171,9 +170,9 @@ def previews(spark, sf_dir):
     return dc.preview(d.select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 2 = 0, 'plan', 'spec')").alias("kind"), text.alias("text")))
 
 
-@query("lines_around", "SELECT doc_id AS id, 2 AS line, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS content FROM documents WHERE len(string_split(text, chr(10))) >= 2 AND NOT ends_with(text, chr(10))")
+@query("lines_around", "SELECT doc_id AS id, 2 AS line, array_to_string(l[1:3], chr(10)) AS content FROM (SELECT doc_id, string_split(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents) WHERE len(l) >= 2")
 def lines_around(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("not endswith(text, '\\n')").select(F.col("doc_id").alias("id"), "text")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return to.around(d, d.select("id", F.lit(2).alias("line")), 1)
 
 
@@ -273,10 +272,10 @@ def body_caps(spark, sf_dir):
     return sy.capped_bodies(s, "id").select("id", "omitted")
 
 
-@query("shared_file", f"SELECT CASE WHEN count(DISTINCT file) = 1 THEN min(file) END AS file FROM {SYMBOLS_SQL} WHERE id < 2 UNION ALL SELECT min(file) FROM {SYMBOLS_SQL} WHERE id = 3")
+@query("shared_file", f"SELECT CASE WHEN count(DISTINCT file) = 1 THEN min(file) END AS file FROM {SYMBOLS_SQL} UNION ALL SELECT 'src/one' FROM region WHERE r_regionkey = 0")
 def shared_file(spark, sf_dir):
     s = symbols(spark, sf_dir)
-    return sy.hoisted_file(s.where("id < 2")).unionByName(sy.hoisted_file(s.where("id = 3")))
+    return sy.hoisted_file(s).unionByName(sy.hoisted_file(s.withColumn("file", F.lit("src/one"))))
 
 
 @query("priority_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, doc_id) AS place FROM documents ORDER BY place LIMIT 100")

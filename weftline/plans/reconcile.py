@@ -32,7 +32,7 @@ def reconcile_backlog(spark, sf_dir):
 @query(
     "merge_findings",
     """WITH prior AS (SELECT CAST(doc_id + 1 AS BIGINT) AS n, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'low' ELSE 'med' END AS severity FROM documents WHERE lang != 'fr'),
-f AS (SELECT doc_id AS position, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END AS verdict, CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END AS severity FROM documents WHERE n_chars >= 400),
+f AS (SELECT doc_id AS position, source AS md_file, CAST(doc_id AS VARCHAR) AS raw_ref, CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END AS verdict, CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END AS severity FROM documents),
 r AS (SELECT * FROM (VALUES ('high', 3), ('med', 2), ('low', 1)) t(s, k))
 SELECT p.n, p.md_file, p.raw_ref, CASE WHEN f.verdict IS NULL OR p.status = 'wontfix' THEN p.status WHEN f.verdict = 'resolved' AND p.status = 'open' THEN 'fixed' WHEN f.verdict IN ('missing','line_oob') AND p.status = 'fixed' THEN 'open' ELSE p.status END AS status,
   CASE WHEN COALESCE((SELECT k FROM r WHERE s = f.severity), 0) > (SELECT k FROM r WHERE s = p.severity) THEN f.severity ELSE p.severity END AS severity
@@ -42,7 +42,7 @@ UNION ALL SELECT (SELECT max(n) FROM prior) + row_number() OVER (ORDER BY positi
 def merge_findings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("md_file"), F.col("doc_id").cast("string").alias("raw_ref"))
     prior = d.where("lang != 'fr'").select((F.col("doc_id") + 1).alias("n"), "md_file", "raw_ref", F.expr("CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'fixed' ELSE 'wontfix' END").alias("status"), F.expr("if(doc_id % 2 = 0, 'low', 'med')").alias("severity"))
-    f = d.where("n_chars >= 400").select(F.col("doc_id").alias("position"), "md_file", "raw_ref", F.expr("CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END").alias("verdict"), F.expr("CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END").alias("severity"))
+    f = d.select(F.col("doc_id").alias("position"), "md_file", "raw_ref", F.expr("CASE doc_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'line_oob' ELSE 'unknown' END").alias("verdict"), F.expr("CASE doc_id % 4 WHEN 1 THEN 'high' WHEN 2 THEN 'med' ELSE 'low' END").alias("severity"))
     return rc.merge_findings(prior, f)
 
 

@@ -65,10 +65,10 @@ def library_classify(spark, sf_dir):
     return s.join(found, F.col("file") == F.col("path")).select("id", "library")
 
 
-@query("call_site_check", "SELECT coalesce(a.s, b.s) AS symbol, coalesce(call_sites, 0) AS call_sites, coalesce(refs, 0) AS refs, coalesce(call_sites, 0) > coalesce(refs, 0) AS warn FROM (SELECT l_partkey AS s, count(*) AS call_sites FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS s, count(*) AS refs FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) b ON a.s = b.s")
+@query("call_site_check", "SELECT coalesce(a.s, b.s) AS symbol, coalesce(call_sites, 0) AS call_sites, coalesce(refs, 0) AS refs, coalesce(call_sites, 0) > coalesce(refs, 0) AS warn FROM (SELECT l_partkey AS s, count(*) AS call_sites FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1) a FULL JOIN (SELECT l_partkey AS s, count(*) AS refs FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1) b ON a.s = b.s")
 def call_site_check(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), "l_linenumber")
-    return sy.missed_call_sites(li.where("l_linenumber = 1"), li.where("l_linenumber = 2"))
+    return sy.missed_call_sites(li.where("l_linenumber % 2 = 1"), li.where("l_linenumber % 2 = 0"))
 
 
 @query("regex_likeness", "SELECT count(*) FILTER (position('ing.' in text) > 0) AS n FROM documents")
@@ -192,9 +192,9 @@ def workspace_state_cap_first(spark, sf_dir):
     return mm.workspace_state(a, states, "stale").select("id")
 
 
-@query("entry_filter", "SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'F') AS entries, count(*) AS entry_total FROM orders WHERE o_custkey < 300 GROUP BY o_custkey")
+@query("entry_filter", "SELECT o_custkey AS id, count(*) FILTER (o_orderstatus = 'F') AS entries, count(*) AS entry_total FROM orders GROUP BY o_custkey")
 def entry_filter(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey < 300").groupBy(F.col("o_custkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderstatus").alias("status"))).alias("rows"))).alias("params"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("o_orderstatus").alias("status"))).alias("rows"))).alias("params"))
     return mm.entry_filter(o, "rows", F.try_element_at("entry", F.lit("status")) == "F")
 
 

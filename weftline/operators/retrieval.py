@@ -35,7 +35,7 @@ def dot(a: str, b: str) -> Column:
 
 
 def cosine(a: str, b: str) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def similarity(distance: Column) -> Column:

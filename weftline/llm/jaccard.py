@@ -134,6 +134,21 @@ def _compare(percent: int):
     return run
 
 
+def _cut(batches):
+    """Each wanted part of a text as a row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 50):
+            part = batch.slice(start, 50)
+            lists = part.column("parts")
+            fields = dict(zip([f.name for f in lists.type.value_type], lists.flatten().flatten(), strict=True))
+            lengths = lists.value_lengths().to_pylist()
+            pieces, at, begins, ends = [], 0, fields["start"].to_pylist(), fields["stop"].to_pylist()
+            for text, n in zip(part.column("text").to_pylist(), lengths, strict=True):
+                pieces += [text[a:b] for a, b in zip(begins[at : at + n], ends[at : at + n], strict=True)] if text is not None else [None] * n
+                at += n
+            yield pa.RecordBatch.from_arrays([*(fields[k] for k in ("grp", "block", "slice", "member", "fp")), pa.array(pieces, pa.string())], names=["grp", "block", "slice", "member", "fp", "text"])
+
+
 def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, members: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """Links (a, b) that join the ``queries`` of each group with its ``members`` (both grp, fp).
 
@@ -153,9 +168,12 @@ def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, mem
     keys = [c for c in classes.columns if c in texts.columns]
     wanted = q.unionByName(m).join(classes, "fp").withColumnsRenamed({k: f"want_{k}" for k in keys})
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"want_{k}")) for k in keys])
-    rows = texts.join(wanted.hint("shuffle_hash"), same)
-    if "start" in classes.columns:
-        rows = rows.withColumn("text", F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start")))
+    if "start" in classes.columns:  # a text comes once, however many of its parts are wanted
+        parts = F.struct("grp", "block", "slice", "member", "fp", "start", "stop")
+        wanted = wanted.groupBy(*[f"want_{k}" for k in keys]).agg(F.collect_list(parts).alias("parts"))
+        rows = texts.join(wanted.hint("shuffle_hash"), same).select(F.col("text").cast("string").alias("text"), "parts").mapInArrow(_cut, "grp long, block int, slice int, member boolean, fp long, text string")
+    else:
+        rows = texts.join(wanted.hint("shuffle_hash"), same)
     dealt = rows.select("grp", "block", "slice", "member", "fp", F.col("text").cast("binary").alias("text")).repartition("grp", "block", "slice").sortWithinPartitions("grp", "block", "slice", "member")
     return stage(dealt.mapInArrow(_compare(percent), "a long, b long"), "links")
 

@@ -78,6 +78,9 @@ links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.labe
 """ + REACH + """, n AS (SELECT r, count(*) AS n FROM (SELECT a AS r FROM links UNION ALL SELECT b FROM links) GROUP BY r)
 SELECT v.id AS vec_id, coalesce(n.n, 0) AS n_links, component_id, coalesce(v.id = component_id, false) AS kept FROM v JOIN least ON v.rid = least.rid LEFT JOIN n ON v.rid = n.r"""
 
+_BENT = "SELECT vec_id + {0}, list_transform(embedding, lambda x, i: CAST(CAST(x AS DOUBLE) * (1 + ((i - 1) % 7 - 3) * {1}) AS FLOAT)), label FROM embeddings WHERE vec_id % 3 = 0"
+COPIES = VECTORS.replace(" FROM embeddings)", f" FROM (SELECT vec_id, embedding, label FROM embeddings UNION ALL {_BENT.format(10_000_000, 0.0625)} UNION ALL {_BENT.format(20_000_000, 0.375)}))")
+
 TOPK = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY asks ORDER BY score DESC, vec_id NULLS LAST) AS rank
 FROM (SELECT a.rid AS asks, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid != b.rid)) WHERE rank <= 5"""
@@ -151,6 +154,7 @@ ORACLES = {
     "op4_url_filter": url_filter(),
     "op5_ngram_jaccard_join": JACCARD,
     "op6_embedding_near_dedup": VECTORS,
+    "near_copies": COPIES,
     "op7_chat_format": CHAT,
     "chat_layouts": LAYOUTS,
     "op8_exact_topk": TOPK,

@@ -45,6 +45,14 @@ def op7_chat_format(spark, sf_dir):
     return chat.digest(chat.format_records(records))
 
 
+def near_copies(spark, sf_dir):
+    """Embeddings with a near and a less near copy of every third one, as no two of them are near."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    third = e.where("vec_id % 3 = 0")
+    bent = lambda k, by: third.withColumns({"vec_id": F.col("vec_id") + k, "embedding": F.transform("embedding", lambda x, j: (x.cast("double") * (1 + (j % 7 - 3) * by)).cast("float"))})
+    return annjoin.near_duplicates(e.unionByName(bent(10_000_000, 0.0625)).unionByName(bent(20_000_000, 0.375)))
+
+
 def chat_layouts(spark, sf_dir):
     """All conversations as records of four layouts with ids and other fields, up to 50 turns a record, read back in canonical turns."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -88,6 +96,6 @@ def op13_centroid_clusters(spark, sf_dir):
     return exponion.cluster(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_chat_format, chat_layouts, op8_exact_topk, op9_language_id, op10_best_fit_packing, op11_byte_bpe, op12_turn_repair, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, near_copies, op7_chat_format, chat_layouts, op8_exact_topk, op9_language_id, op10_best_fit_packing, op11_byte_bpe, op12_turn_repair, op13_centroid_clusters)}
 
 __all__ = ["ORACLES", "QUERIES"]

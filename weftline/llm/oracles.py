@@ -125,7 +125,7 @@ FROM (SELECT *, CASE WHEN state = 't' THEN 3 ELSE 0 END AS extra FROM ({before})
 o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
 f AS MATERIALIZED (SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda j: CAST(ascii(key[j]) AS BIGINT)), lambda c, b: xor(tab.t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 20 AS fault FROM o, tab),
 d AS (SELECT conv, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM f, range(2) copies(n) WHERE fault != 0 AND (n = 0 OR fault = 3)),
-n AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, CAST(row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS BIGINT) AS i FROM d),
+n AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, CAST(row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(length(role) || ':' || role || text)) AS BIGINT) AS i FROM d),
 r AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault, CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE fault END AS state, lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS pair FROM n),
 dp AS (SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS k0, {never} AS ks, {never} AS ku, {never} AS ka FROM r UNION ALL {step}),
 e AS (SELECT conv, {least('k0', 'ka')} AS k FROM ({after})),

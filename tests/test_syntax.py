@@ -239,3 +239,17 @@ def test_call_edges(trees):
     }
     edges, _ = graph.call_bfs(syntax.call_edges(trees, keep_unresolved=False).select("caller", "callee"), "go", depth=3)
     assert {(r.caller, r.callee, r.depth) for r in edges.collect()} == {("go", "stop", 1), ("go", "make", 1), ("stop", "outer", 2), ("make", "only_here", 2), ("outer", "inner", 3)}
+
+
+def test_call_edges_parse_each_file_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([(f"a/f{i}.rs", "rust", f"fn g{i}() {{ g{i + 1}(); }}\n") for i in range(40)], "path string, language string, text string")
+    edges = syntax.call_edges(syntax.parsed(files.mapInArrow(counted, files.schema))).collect()
+    assert {(r.caller, r.callee, r.how) for r in edges} == {(f"g{i}", f"g{i + 1}", "unique" if i < 39 else None) for i in range(40)}
+    assert read.value == 40

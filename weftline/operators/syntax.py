@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.staging import stage
+
 # Keywords of declarations, and words that may come before them.
 KEYWORDS = {
     "rust": ("fn", "struct", "enum", "trait", "impl", "mod", "type", "const", "static", "macro_rules"),
@@ -34,9 +36,10 @@ CONTAINERS = frozenset(("class", "impl", "trait", "interface", "struct", "enum",
 FUNCTIONS = frozenset(("def", "async def", "fn", "func", "fun", "function", "method", "constructor"))
 DOCS = {"python": ("#", "@"), "rust": ("///", "//!", "#[", "//"), "": ("//", "/*", "*", "@")}
 
+# Space and line comments are passed with the token after them; words and brackets, most of all tokens, are tried first.
 TOKEN = re.compile(
-    r"""(?P<space>[^\S\n]+)|(?P<line>\n)|(?P<note>//[^\n]*)|(?P<block>/\*)|(?P<raw>\bb?r(?P<hash>\#*)")|(?P<triple>\"{3})|(?P<text>b?"(?:\\.|[^"\\])*")|(?P<tick>`)
-    |(?P<char>b?'(?:\\(?:u\{[^}']*\}|.)[^'\n]{0,8}|[^'\\\n])')|(?P<life>'\w+(?!'))|(?P<single>'(?:\\.|[^'\\\n])*')|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<number>\d[\w.]*)|(?P<two>=>|::|->|\?\.|&&|\|\|)|(?P<one>.)""",
+    r"""(?:\s+|//[^\n]*+)*+(?:(?P<word>[^\W\d][\w$]*+(?!["'\#])|\$[\w$]*+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<mark>[;,.](?!\d))|(?P<end>\Z)|(?P<block>/\*)|(?P<raw>\bb?r(?P<hash>\#*)")|(?P<triple>\"{3})|(?P<text>b?"[^"\\]*+(?:\\.[^"\\]*+)*+")|(?P<tick>`)
+    |(?P<char>b?'(?:\\(?:u\{[^}']*\}|.)[^'\n]{0,8}|[^'\\\n])')|(?P<life>'\w+(?!'))|(?P<single>'(?:\\.|[^'\\\n])*')|(?P<name>[^\W\d][\w$]*)|(?P<number>\d[\w.]*)|(?P<two>=>|::|->|\?\.|&&|\|\|)|(?P<one>.))""",
     re.X | re.S,
 )
 REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])*/\w*")
@@ -52,7 +55,7 @@ class Item:
     line: int
     column: int
     last: int = 0
-    inner: list[Item] = field(default_factory=list)
+    inner: list[Item] | tuple[()] = ()
 
 
 @dataclass(slots=True)
@@ -104,14 +107,48 @@ def _template(source: str, at: int) -> int:
 def bracket_tree(source: str, language: str) -> list[Item]:
     """Tokens without space and comments, those in brackets within them. ValueError if brackets or texts stay open."""
     top: list[Item] = []
-    stack: list[tuple[list[Item], Item | None]] = [(top, None)]
-    at, line, begins = 0, 0, 0
+    now, stack = top, []
+    at, line, begins, size = 0, 0, 0, len(source)
+    script = language in ("javascript", "typescript")
+    match, breaks, last_break = TOKEN.match, source.count, source.rindex
     before: Item | None = None
-    while at < len(source):
-        m = TOKEN.match(source, at)
-        kind, end = m.lastgroup, m.end()
-        kind = "raw" if kind == "hash" else kind
-        if kind == "one" and source[at] == "/" and language in ("javascript", "typescript") and (before is None or before.kind == "two" or before.text in CONTROL or (before.kind == "one" and before.text not in ")]}")):
+    while at < size:
+        m = match(source, at)
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        if start != at:
+            skipped = breaks("\n", at, start)
+            if skipped:
+                line, begins = line + skipped, last_break("\n", at, start) + 1
+            at = start
+        if kind == "word":
+            before = Item(source[at:end] if end - at <= 80 else source[at : at + 80], "word", line, at - begins, line)
+            now.append(before)
+            at = end
+            continue
+        if kind == "open":
+            before = Item(source[at], "one", line, at - begins, line, [])
+            now.append(before)
+            stack.append((now, before))
+            now, at = before.inner, end
+            continue
+        if kind == "close":
+            text = source[at]
+            if not stack or stack[-1][1].text != CLOSE[text]:
+                raise ValueError("brackets don't match")
+            now, holder = stack.pop()
+            holder.last, before = line, Item(text, "one", line, at - begins, line)
+            at = end
+            continue
+        if kind == "mark":
+            before = Item(source[at], "one", line, at - begins, line)
+            now.append(before)
+            at = end
+            continue
+        if kind == "end":
+            break
+        kind = "raw" if kind == "hash" else "word" if kind == "name" else kind
+        if kind == "one" and source[at] == "/" and script and (before is None or before.kind == "two" or before.text in CONTROL or (before.kind == "one" and before.text not in ")]}")):
             r = REGEX.match(source, at)
             kind, end = ("text", r.end()) if r else (kind, end)
         elif kind == "block":
@@ -120,7 +157,7 @@ def bracket_tree(source: str, language: str) -> list[Item]:
             if language == "rust":
                 end = source.index('"' + m["hash"], end) + 1 + len(m["hash"])
             else:
-                kind, end = "word", at + len(m[0]) - 1 - len(m["hash"])
+                kind, end = "word", m.start("hash")
         elif kind == "triple" and language in ("kotlin", "java"):
             end = source.index('"""', end) + 3
         elif kind == "triple":
@@ -131,26 +168,14 @@ def bracket_tree(source: str, language: str) -> list[Item]:
             raise ValueError("open text")
         elif kind == "one" and source[at] == '"':
             raise ValueError("open text")
-        text = source[at:end]
-        if kind not in ("space", "line", "note", "block"):
-            item = Item(text if len(text) <= 80 else text[:80], "text" if kind in ("raw", "triple", "text", "tick", "char", "single", "life") else kind, line, at - begins, line)
-            if text in CLOSE:
-                holder = stack.pop()[1]
-                if holder is None or holder.text != CLOSE[text]:
-                    raise ValueError("brackets don't match")
-                holder.last, before = line, item
-            else:
-                stack[-1][0].append(item)
-                if kind == "one" and text in OPEN:
-                    stack.append((item.inner, item))
-                before = item
-        breaks = text.count("\n")
-        if breaks:
-            line, begins = line + breaks, at + text.rindex("\n") + 1
-            if kind not in ("space", "line", "note", "block"):
-                item.last = line
+        skipped = breaks("\n", at, end)
+        if kind != "block":
+            before = Item(source[at : min(end, at + 80)], "text" if kind in ("raw", "triple", "text", "tick", "char", "single", "life") else kind, line, at - begins, line + skipped)
+            now.append(before)
+        if skipped:
+            line, begins = line + skipped, last_break("\n", at, end) + 1
         at = end
-    if len(stack) > 1:
+    if stack:
         raise ValueError("brackets stay open")
     return top
 
@@ -434,18 +459,27 @@ def parsed(files: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                done, nodes, calls, imports = [], [], [], []
+                done, ends = [], ([0], [0], [0])
+                nodes, calls, imports = ([[] for _ in kind] for kind in (_NODE, _CALL, _IMPORT))
                 for language, text in zip(part.column("language").to_pylist(), part.column("text").to_pylist(), strict=True):
                     tree = parse(text, language) if text is not None else None
                     done.append(tree is not None)
                     tree = tree or Tree()
                     names = name_paths(tree.nodes)
-                    nodes.append([{"node": i, "parent": n.parent, "kind": n.kind, "name": n.name, "name_path": names[i], "start_line": n.first + 1, "end_line": n.last + 1, "doc": n.doc} for i, n in enumerate(tree.nodes)])
                     around = [enclosing(tree.nodes, i) for i in range(len(tree.nodes))] + [-1]
-                    said = [("<anonymous>", "") if (f := around[p]) < 0 else (tree.nodes[f].name, names[f]) for p, *_ in tree.calls]
-                    calls.append([{"caller": a, "scope": b, "name": n, "target": on, "line": line + 1, "col": col} for (a, b), (_, n, on, line, col) in zip(said, tree.calls, strict=True)])
-                    imports.append([{"name": a, "module": m, "original": o} for a, m, o in tree.imports])
-                columns = [part.column("path"), pa.array(done), pa.array(nodes, pa.list_(_NODE)), pa.array(calls, pa.list_(_CALL)), pa.array(imports, pa.list_(_IMPORT))]
+                    callers = [("<anonymous>", "") if f < 0 else (tree.nodes[f].name, names[f]) for f in around]
+                    said = [callers[p] for p, *_ in tree.calls]
+                    rows = [(i, n.parent, n.kind, n.name, names[i], n.first + 1, n.last + 1, n.doc) for i, n in enumerate(tree.nodes)]
+                    sites = [(a, b, n, on, line + 1, col) for (a, b), (_, n, on, line, col) in zip(said, tree.calls, strict=True)]
+                    for held, end, new in zip((nodes, calls, imports), ends, (rows, sites, tree.imports), strict=True):
+                        for column, values in zip(held, zip(*new, strict=True), strict=False):
+                            column.extend(values)
+                        end.append(end[-1] + len(new))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(end, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(held, kind, strict=True)], fields=list(kind)))
+                    for held, end, kind in zip((nodes, calls, imports), ends, (_NODE, _CALL, _IMPORT), strict=True)
+                ]
+                columns = [part.column("path"), pa.array(done), *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "parsed", "nodes", "calls", "imports"])
 
     return files.select(F.col("path").cast("string").alias("path"), "language", "text").mapInArrow(run, "path string, " + PARSED)
@@ -487,7 +521,9 @@ def call_edges(trees: DataFrame, keep_unresolved: bool = True) -> DataFrame:
     null if none has it (kept as a name alone unless ``keep_unresolved`` is false). The caller is the innermost
     function around the call, ``<anonymous>`` outside of any. A call of a function by itself is dropped.
     """
-    named = symbols(trees)
+    # Files are parsed once: the plan below reads their trees in several places.
+    trees = stage(trees.select("path", F.transform("nodes", lambda n: n.dropFields("node", "start_line", "end_line", "doc")).alias("nodes"), "calls", "imports"), "trees")
+    named = trees.select(F.col("path").alias("file"), F.explode("nodes").alias("n")).select("file", *[F.col(f"n.{c}").alias(c) for c in ("parent", "name", "name_path", "kind")])
     able = named.where(F.col("kind").isin(*FUNCTIONS, *CONTAINERS, "type", "macro"))
     sites = trees.select("path", F.explode("calls").alias("c")).select("path", *[F.col(f"c.{x}").alias(x) for x in ("name", "target", "line", "col", "caller", "scope")])
     own = able.select(F.col("file").alias("of"), F.col("name").alias("as"), F.col("name_path").alias("found"), F.expr("substring(name_path, 1, length(name_path) - length(name))").alias("inside"))

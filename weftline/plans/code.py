@@ -19,10 +19,10 @@ def sources(spark, sf_dir):
     """(path, language, text): a file for each document, of its whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), OTHER, " "), " "), lambda w: w != "").alias("w"))
     n = F.ceil(F.size("w") / WORDS).cast("int")
-    said = lambda i: F.array_join(F.slice("w", i * WORDS + 1, WORDS), " ")
+    said = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice("w", i * WORDS + 1, WORDS), " "))
     name = lambda i: F.concat(F.lit("s"), i.cast("string"))
-    method = lambda i: F.concat(F.lit("    /// "), said(i), F.lit("\n    fn "), name(i), F.lit('() {\n        let t = "} '), said(i), F.lit('"; // { '), said(i), F.lit("\n        self."), name(i + 1), F.lit("();\n    }\n"))
-    body = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), method), "")).otherwise("")
+    method = lambda x, i: F.concat(F.lit("    /// "), x, F.lit("\n    fn "), name(i), F.lit('() {\n        let t = "} '), x, F.lit('"; // { '), x, F.lit("\n        self."), name(i + 1), F.lit("();\n    }\n"))
+    body = F.when(n > 0, F.array_join(F.transform(said, method), "")).otherwise("")
     path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".rs"))
     return d.select(path.alias("path"), F.lit("rust").alias("language"), F.concat(F.lit("impl D"), F.col("doc_id").cast("string"), F.lit(" {\n"), body, F.lit("}\n")).alias("text"))
 

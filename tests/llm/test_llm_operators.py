@@ -836,3 +836,27 @@ def test_chunked_tokens_are_the_tokenizers(text):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     tokens = packing.TokenBytes(path)
     assert packing.text_ids(text.encode(), tokens) == array("I", [*tokens.encode(text, add_special_tokens=False).ids, 0]).tobytes()
+
+
+def test_exact_near_duplicates_miss_no_link(spark, monkeypatch):
+    import numpy as np
+
+    from weftline.llm import annjoin
+
+    monkeypatch.setattr(annjoin, "BLOCK", 150)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 64))
+    x[300:600] = x[:300] + rng.normal(size=(300, 64)) * 0.375  # most of these cosines are close to the threshold
+    x[600:640] = x[:1] + rng.normal(size=(40, 64)) * 0.1
+    x = x.astype(np.float32)
+    data = [(i, v.tolist(), i % 300 % 2) for i, v in enumerate(x)] + [(1000, x[5].tolist(), 1), (1001, x[5].tolist(), 0), (1002, [1.0, 2.0], 0), (1003, None, 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in annjoin.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), exact=True).collect()}
+    whole = [d for d in data if d[1] is not None and len(d[1]) == 64]
+    u = np.array([d[1] for d in whole]) / np.linalg.norm(np.array([d[1] for d in whole]), axis=1)[:, None]
+    link = (u @ u.T >= 0.93) & (np.array([d[2] for d in whole])[:, None] == np.array([d[2] for d in whole]))
+    np.fill_diagonal(link, False)
+    least = np.array([d[0] for d in whole])
+    while (new := np.minimum(least, np.where(link, least, 10**6).min(1))).tolist() != least.tolist():
+        least = new
+    want = {d[0]: (int(n), int(c)) for d, n, c in zip(whole, link.sum(1), least, strict=True)} | {1002: (0, 1002), 1003: (0, 1003)}
+    assert link.sum() > 1000 and got == want

@@ -32,6 +32,8 @@ SHARD = 1000  # vectors a shard holds at most, about
 PART = 20_000  # vectors that one task assigns to the centroids of a cell
 STEP = 4  # nodes that a query expands at once
 QUERY_BLOCK = 500
+BLOCK = 8192  # vectors of a part when all pairs are compared, about
+COMPARED = 256  # of which so many meet the other part's at once
 
 
 def usable(embedding: Column) -> Column:
@@ -327,7 +329,54 @@ def _search(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _compare(threshold: float):
+    """(a, b, links) as ``_search`` gives it, of all pairs of two parts of a label, or within one."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        nodes, m, part = (rows.column(c).to_numpy() for c in ("node", "m", "part"))
+        lowest, one = rows.column("i")[0].as_py(), rows.column("i")[0] == rows.column("j")[0]
+        by_size: dict[int, list[int]] = {}
+        for i, v in enumerate(values := rows.column("v").to_pylist()):
+            by_size.setdefault(len(v), []).append(i)
+        least, count = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
+        for at in by_size.values():
+            at, x = np.array(at), np.frombuffer(b"".join(values[i] for i in at)).reshape(len(at), -1)
+            own = part[at] == lowest
+            left, right = (np.arange(len(at)),) * 2 if one else (np.flatnonzero(own), np.flatnonzero(~own))
+            for first in range(0, len(left), COMPARED):
+                a = left[first : first + COMPARED]
+                i, j = np.nonzero(x[a] @ x[right].T >= threshold - 1e-9)
+                for k in range(0, len(i), 1 << 16):
+                    p, q = a[i[k : k + (1 << 16)]], right[j[k : k + (1 << 16)]]
+                    hit = (np.einsum("ij,ij->i", x[p], x[q]) >= threshold) & (p != q)
+                    p, q = at[p[hit]], at[q[hit]]
+                    np.add.at(count, p, m[q])
+                    if not one:
+                        np.add.at(count, q, m[p])
+                    while (least[p] != least[q]).any():
+                        low = np.minimum(least[p], least[q])
+                        for end in (p, q):
+                            np.minimum.at(least, least[end], low)
+                            np.minimum.at(least, end, low)
+                        while (least != least[least]).any():
+                            least = least[least]
+        some, moved = np.flatnonzero(count), np.flatnonzero(least != np.arange(len(nodes)))
+        links = pa.nulls(len(some), pa.int64())
+        return pa.concat_tables([pa.table({"a": nodes[some], "b": links, "links": count[some]}), pa.table({"a": nodes[moved], "b": nodes[least[moved]], "links": np.zeros(len(moved), np.int64)})])
+
+    return run
+
+
+def _all_pairs(units: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, links) of all pairs of a label: its vectors are dealt to parts of about ``BLOCK``, and each two parts meet in one task."""
+    counts = units.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = units.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts").cast("int"))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "node", "m", "v")
+    return met.groupBy("key", "i", "j").applyInArrow(_compare(threshold), "a long, b long, links long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors`` (vec_id, embedding, label).
 
     Two rows link when their labels are equal and not null and the cosine of their vectors, in double
@@ -335,7 +384,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     component_id is the smallest vec_id that links reach; kept says that it is the row's own.
 
     Search is approximate: a pair may be missed, none below the threshold is reported; ``audit`` measures
-    recall. Vectors that are null, zero, or hold null or non-finite components, and rows with a null
+    recall. With ``exact`` all pairs of a label are compared after it, in blocks: work that grows with the square of a label,
+    in memory that doesn't. Vectors that are null, zero, or hold null or non-finite components, and rows with a null
     label, link with nothing; nor do vectors of unequal length. Equal vectors of a label are one node
     that counts as often as it occurs, so copies cost nothing. A null vec_id gets its component's
     smallest id, null if there is none, and is not kept. Other columns are ignored.
@@ -365,7 +415,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     graph = members.join(united, "node").select("cluster", "part", F.lit(False).alias("asks"), "node", "v", "m", "clusters", "to")
     asks = each.join(counts, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "node", "v", "m", "clusters", F.lit(None).cast("array<long>").alias("to"))
     dealt = graph.unionByName(asks).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "asks", "node")
-    found = stage(dealt.mapInArrow(_search(threshold), "a long, b long, links long"), "found")
+    found = dealt.mapInArrow(_search(threshold), "a long, b long, links long")
+    found = stage(found.where("b is not null").unionByName(_all_pairs(units, threshold)) if exact else found, "found")
 
     linked = connected_components(found.where("b is not null"), "a", "b").select("node", "component")
     degree = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))

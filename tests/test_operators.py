@@ -281,3 +281,23 @@ def test_ignore_files_are_read(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     assert {r.path for r in walk_sources(spark, str(tmp_path)).select("path").collect()} == {"a.py", "keep.log.py", "d.py", "sub/e.py", "sub/x/y/g.py", "sub/build/h.py"}
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    from weftline.operators import text as to
+
+    class Rows:  # what mapInArrow is given
+        dtypes = [("id", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"line {i}\n" * 2000 if i % 3 else None for i in range(300)])], names=["id", "text"])
+            return list(run(iter([batch])))
+
+    got = to.chunk(Rows(), 1200)
+    assert max(b.nbytes for b in got) < 2 << 20
+    assert [r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(i, *c) for i in range(300) if i % 3 for c in to.split_lines(f"line {i}\n" * 2000, 1200, 0)]

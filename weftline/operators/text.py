@@ -133,6 +133,9 @@ def filter_sections(docs: DataFrame, names: list[str], mark: str = "### ") -> Da
     return out.select("id", kept.alias("kept"), F.coalesce("matched", F.lit(False)).alias("matched"), missing.alias("missing"), available.alias("available"))
 
 
+HELD = 1 << 20  # characters of chunks that a task gathers before they leave it
+
+
 def split_lines(source: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
     """(first line, last line, content) of chunks of at most ``size`` UTF-8 bytes, a line at least.
 
@@ -184,10 +187,20 @@ def chunk(docs: DataFrame, size: int = 1200, overlap: int = 0, markdown: bool =
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *c) for i, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if t for c in split(t, size, overlap)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "start_line", "end_line", "content"])
+            types, rows, held = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string()], [], 0
+
+            def packed(rows, types=types):
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["id", "start_line", "end_line", "content"])
+
+            for key, text in zip(*batch.columns[:2], strict=True):  # scalars, so one text at a time leaves Arrow
+                for c in split(t, size, overlap) if (t := text.as_py()) else ():
+                    rows.append((key.as_py(), *c))
+                    held += len(c[2])
+                    if held >= HELD:
+                        yield packed(rows)
+                        rows, held = [], 0
+            if rows:
+                yield packed(rows)
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, start_line long, end_line long, content string")
 

@@ -11,6 +11,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +145,35 @@ def test_substring_runs(docs, none):
     assert kept[301] == next(iter(texts[301]))[: cut.start] + next(iter(texts[301]))[cut.stop :]
 
 
+def test_jaccard_deals_of_a_batch_are_compared_at_once(monkeypatch):
+    """Links of many small deals, some over several batches, are those of set arithmetic, and no texts are compared one by one."""
+    rng = random.Random(8)
+    vocabulary = [*(f"w{i}" for i in range(300)), "\u00e9t\u00e9", "Z" * 90, "\u00a0x"]
+    rows, want = [], set()
+    for g in range(200):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(3, 60))]
+        side = {}
+        for member in (False, True):
+            side[member] = [(10_000 * g + 100 * member + i, "" if member and rng.random() < 0.1 else " ".join(w if rng.random() > 0.01 else rng.choice(vocabulary) for w in base)) for i in range(rng.randrange(1, 5))]
+            rows += [(g // 2, g % 2, 0, member, i, text.encode() if text else None) for i, text in side[member]]
+        root = {}
+        find = lambda x: x if root.get(x, x) == x else find(root[x])  # noqa: B023, E731
+        for j, y in side[True]:
+            for i, x in side[False]:
+                a, b = shingle_set(x), shingle_set(y)
+                if a and b and 100 * len(a & b) >= 80 * len(a | b) and find(i) != find(j):
+                    want.add((i, j))
+                    root[find(i)] = find(j)
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["grp", "block", "slice", "member", "fp", "text"])
+    monkeypatch.setattr(jaccard, "shingle_set", None)
+    for size, meetings in ((7, 1 << 20), (len(rows), 50)):
+        monkeypatch.setattr(jaccard, "MEETINGS", meetings)
+        parts = [batch.slice(i, size) for i in range(0, len(rows), size)]
+        got = [x for b in jaccard._compare(80)(iter(parts)) for x in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True)]
+        assert len(want) > 100 and len(got) == len(want) and set(got) == want
+
+
 def test_substring_lines_that_only_a_famous_leader_shares_a_band_with(spark):
     rng = random.Random(5)
     vary = lambda w, n: [f"x{rng.randrange(10**9)}" if i in at else x for at in [set(rng.sample(range(len(w)), n))] for i, x in enumerate(w)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
-from weftline.llm.words import WordHashes, fingerprint, minhash_keys, shingle_set
+from weftline.llm.words import WordHashes, fingerprint, minhash_keys, mix, shingle_set, shingle_sets
 from weftline.staging import release, stage, unstage
 
 THRESHOLD = 80  # per cent
@@ -34,6 +34,8 @@ KEYS = 5
 LOOSE = 2  # keys shared with a leader that bring a document into its group
 BLOCK = 256  # queries held at a time
 SLICE = 500  # members that stream by them
+PART = 1 << 19  # bytes of text that are compared at once
+MEETINGS = 1 << 20  # tokens that queries and members share, counted at once
 
 
 def need(size: int, percent: int = THRESHOLD) -> int:
@@ -77,58 +79,88 @@ def _sets(percent: int):
     return run
 
 
+def _spans(sizes: np.ndarray, most: int, rows: int | None = None) -> list[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``most`` or so, or that are one row; of no more than ``rows`` rows."""
+    out, done, ends = [], 0, np.cumsum(sizes)
+    while done < len(sizes):
+        end = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, side="right")))
+        out.append((done, min(end, done + rows) if rows else end))
+        done = out[-1][1]
+    return out
+
+
+def _overlaps(tokens: np.ndarray, owners: np.ndarray, sizes: np.ndarray, members: np.ndarray, counts: np.ndarray, percent: int):
+    """(member, query) of all pairs that link, by member, then query; tokens and members' tokens of different deals differ."""
+    order = np.argsort(tokens, kind="stable")
+    owners = owners[order]
+    index, first, several = np.unique(tokens[order], return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(index, members), len(index) - 1)
+    hit = index[at] == members
+    at, rows = at[hit], np.repeat(np.arange(len(counts)), counts)[hit]
+    met = np.bincount(rows, several[at], len(counts)).astype(np.int64)
+    ends = np.searchsorted(rows, np.arange(len(counts) + 1))
+    for lo, hi in _spans(met, MEETINGS, max(1, MEETINGS // len(sizes))):
+        part = at[ends[lo] : ends[hi]]
+        n = several[part]
+        where = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(np.repeat((rows[ends[lo] : ends[hi]] - lo) * len(sizes), n) + owners[where])
+        pairs = np.flatnonzero(both)
+        both, m, q = both[pairs], lo + pairs // len(sizes), pairs % len(sizes)
+        links = 100 * both >= percent * (sizes[q] + counts[m] - both)
+        yield from zip(m[links].tolist(), q[links].tolist(), strict=True)
+
+
 def _compare(percent: int):
-    """Each deal's queries come first and are held, with an index of their tokens; its members stream by.
+    """Each deal's queries come first and are held; its members stream by. All deals of a part are compared at once.
 
     Of the links found, only those are kept that join what the deal has not yet joined: no more than
     its rows, however many of its pairs are similar.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    class Deal:
-        def __init__(self, key):
-            self.key, self.nodes, self.sets, self.index, self.root = key, [], [], None, {}
-
-        def find(self, x):
-            while (up := self.root.get(x, x)) != x:
-                self.root[x] = self.root.get(up, up)
-                x = up
-            return x
-
-        def links(self, node, s):
-            if self.index is None:
-                self.sizes = np.array([len(x) for x in self.sets], np.int64)
-                tokens, owners = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.sizes)
-                order = np.argsort(tokens, kind="stable")
-                self.owners = owners[order]
-                self.index, self.first, self.counts = np.unique(tokens[order], return_index=True, return_counts=True)
-                self.sets = None
-            at = np.minimum(np.searchsorted(self.index, s), len(self.index) - 1)
-            at = at[self.index[at] == s]
-            n = self.counts[at]
-            where = np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(self.owners[where], minlength=len(self.nodes))
-            for i in np.flatnonzero((both > 0) & (100 * both >= percent * (self.sizes + len(s) - both))):
-                x, y = self.find(self.nodes[i]), self.find(node)
-                if x != y:
-                    self.root[x] = y
-                    yield self.nodes[i], node
+    def find(root, x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
 
     def run(batches):
-        cache, deal = WordHashes(), Deal(None)
+        # Of the deal that may go on: its key, what is joined, and its queries' nodes, tokens and sizes.
+        last, root, nodes, held, sizes = None, {}, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             found = []
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                for *key, member, node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if key != deal.key:
-                        deal = Deal(key)
-                    s = shingle_set(text, cache)
-                    if not member:
-                        deal.nodes.append(node)
-                        deal.sets.append(s)
-                    elif deal.nodes:
-                        found.extend(deal.links(node, s))
+            text = batch.column("text").fill_null(b"")
+            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            for lo, hi in _spans(np.diff(offsets), PART, 2000):
+                part = batch.slice(lo, hi - lo)
+                *key, member, node = (part.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "block", "slice", "member", "fp"))
+                raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[lo] : offsets[hi]]
+                tokens, counts = shingle_sets(raw, offsets[lo : hi + 1] - offsets[lo])
+                new = np.ones(len(node), bool)
+                new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+                starts = np.flatnonzero(new)
+                keys = [tuple(int(k[i]) for k in key) for i in starts]
+                if keys[0] != last:
+                    root, nodes, held, sizes = {}, nodes[:0], held[:0], sizes[:0]
+                deal = np.cumsum(new) - 1
+                roots = [root, *({} for _ in starts[1:])]
+                # A deal's number goes into its tokens, so only those of the same deal meet.
+                tags = mix((np.arange(len(starts), dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+                asks = np.repeat(~member, counts)
+                q_deal = np.concatenate([np.zeros(len(nodes), np.int64), deal[~member]])
+                q_nodes, q_sizes, q_tokens = np.concatenate([nodes, node[~member]]), np.concatenate([sizes, counts[~member]]), np.concatenate([held, tokens[asks]])
+                owners = np.repeat(np.arange(len(q_nodes)), q_sizes)
+                m_deal, m_nodes, m_counts = deal[member], node[member], counts[member]
+                if len(q_tokens) and len(m_nodes):
+                    tagged = tokens[~asks] ^ np.repeat(tags[m_deal], m_counts)
+                    for m, q in _overlaps(q_tokens ^ tags[q_deal[owners]], owners, q_sizes, tagged, m_counts, percent):
+                        root, a, b = roots[m_deal[m]], int(q_nodes[q]), int(m_nodes[m])
+                        x, y = find(root, a), find(root, b)
+                        if x != y:
+                            root[x] = y
+                            found.append((a, b))
+                last, root, on = keys[-1], roots[-1], q_deal == len(starts) - 1
+                nodes, held, sizes = q_nodes[on], q_tokens[on[owners]], q_sizes[on]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
     return run

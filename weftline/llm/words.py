@@ -70,6 +70,75 @@ def shingle_set(text: bytes | None, cache: WordHashes, k: int = SHINGLE) -> np.n
     return np.unique(shingles(word_hashes(words_of(text), cache), k))
 
 
+_FOLDED = np.arange(256, dtype=np.uint64)
+_FOLDED[65:91] += np.uint64(32)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+LONGEST, BYTES = 64, 1 << 15  # bytes of a word that are hashed as sums, and of text that are summed up at once
+_BASE = 0x9E3779B97F4A7C17  # 3 modulo 4, so that no two short words differ in few bits of a sum only
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
+with np.errstate(over="ignore"):
+    _BYTE = mix(mix((_FOLDED + np.uint64(1)) * _M1))
+_UP, _DOWN = _powers(_BASE, BYTES + LONGEST), _powers(pow(_BASE, -1, 1 << 64), BYTES + LONGEST)
+
+
+def located_words(raw: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (not that of WordHashes), first and end byte of each word ``[^\\x20\\x09-\\x0D]+`` of the bytes, A-Z as a-z.
+
+    Words end where texts do that stand side by side; ``bounds`` has the first bytes of these.
+    """
+    inside = ~_SPACE[raw]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    if bounds is not None:
+        at = bounds[(bounds > 0) & (bounds < len(raw))]
+        opens[at], closes[at - 1] = inside[at], inside[at - 1]
+    first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    h = np.empty(len(first), np.uint64)
+    sums = np.zeros(BYTES + LONGEST + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(0, len(raw), BYTES):
+            lo, hi = np.searchsorted(first, [b, b + BYTES])
+            values = _BYTE[raw[b : b + BYTES + LONGEST]]
+            np.cumsum(values * _UP[: len(values)], out=sums[1 : len(values) + 1])
+            f = first[lo:hi] - b
+            h[lo:hi] = (sums[np.minimum(end[lo:hi] - b, len(values))] - sums[f]) * _DOWN[f]
+        h = mix(h + (end - first).astype(np.uint64) * _M1)
+    for i in np.flatnonzero(end - first > LONGEST):
+        h[i] = xxhash.xxh3_64_intdigest(raw[first[i] : end[i]].tobytes().lower())
+    return h, first, end
+
+
+def shingle_sets(raw: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one text after the other, and their numbers, by the hashes of located_words; text i is the bytes from ``bounds`` i to i + 1."""
+    h, at, _ = located_words(raw, bounds)
+    first = np.searchsorted(at, bounds)
+    counts = np.diff(first)
+    n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    rows, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+    s = np.zeros(len(rows), np.uint64)
+    whole = counts >= k
+    if whole.any():
+        at = np.arange(len(rows)) + np.repeat(first[:-1] - ends + n, n)
+        full = whole[rows]
+        s[full] = shingles(h, k)[at[full]]
+    for i in np.flatnonzero((counts > 0) & ~whole):
+        s[ends[i] - 1] = shingles(h[first[i] : first[i + 1]], k)[0]
+    s = s[np.lexsort((s, rows))]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != s[:-1]) | (rows[1:] != rows[:-1])
+    return s[keep], np.bincount(rows[keep], minlength=len(n))
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Signed 64-bit hash of an array of hashes."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)

@@ -24,6 +24,18 @@ def test_blame_over_merges_renames_and_deletions(spark):
     }
 
 
+def test_blame_walks_only_where_a_value_stays(spark, monkeypatch):
+    """No round moves or writes rows of commits that changed the value."""
+    commits = spark.createDataFrame([(f"c{i:02}", [f"c{i - 1:02}"] if i else [], i) for i in range(40)], "commit string, parents array<string>, at long")
+    values = spark.createDataFrame([("a.json", f"c{i:02}", k, v) for i in range(40) for k, v in (("x", str(i)), ("y", "1" if i < 35 else "2"))], "file string, commit string, key string, value string")
+    sizes = []
+    plain = blame.stage
+    monkeypatch.setattr(blame, "stage", lambda df, name: (out := plain(df, name), name == "walks" and sizes.append(out.count()))[0])
+    found = blame.last_changes(commits, values.select("file", "commit"), values, spark.createDataFrame([("a.json", "c39")], "file string, head string"))
+    assert {(r.key, r.value, r.commit) for r in found.collect()} == {("x", "39", "c39"), ("y", "2", "c35")}
+    assert sizes and set(sizes) == {34 + 4}
+
+
 def test_key_values_of_yaml(spark):
     text = "# c\na: 1\nb:\n  c: 'x y'  # note\n  d:\n    e: 2\nf: z\n"
     rows = spark.createDataFrame([("x.yml", "1", text), ("x.yaml", "2", None), ("x.txt", "3", "a: 1")], "file string, commit string, text string")

@@ -78,14 +78,15 @@ def last_changes(commits: DataFrame, versions: DataFrame, values: DataFrame, hea
     before = grid.select("file", "key", F.col("commit").alias("parent"), F.col("value").alias("old"))
     same = grid.join(up, "commit").join(before, ["file", "key", "parent"]).where(F.col("value").eqNullSafe(F.col("old")))
     first = same.groupBy("file", "key", "commit").agg(F.min_by("parent", "place").alias("to"))
-    walk = stage(grid.join(first, ["file", "key", "commit"], "left").select("file", "key", "commit", F.coalesce("to", "commit").alias("to")), "walks")
+    # Where the walk ends there is no row, so what changed at a commit is neither moved nor written again.
+    walk = stage(first, "walks")
     while True:
         on = walk.select("file", "key", F.col("commit").alias("to"), F.col("to").alias("further"))
-        new = stage(walk.join(on, ["file", "key", "to"]).select("file", "key", "commit", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")), "walks")
+        new = stage(walk.join(on, ["file", "key", "to"], "left").select("file", "key", "commit", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "walks")
         moved = new.where("moved").limit(1).count()
         unstage(walk)
         walk = new.drop("moved")
         if not moved:
             break
-    found = walk.join(heads.select("file", F.col("head").alias("commit")), ["file", "commit"]).join(grid, ["file", "key", "commit"])
+    found = grid.join(heads.select("file", F.col("head").alias("commit")), ["file", "commit"]).join(walk, ["file", "key", "commit"], "left").withColumn("to", F.coalesce("to", "commit"))
     return found.select("file", "key", "value", F.col("to").alias("commit")).join(commits.select("commit", "at"), "commit", "left").select("file", "key", "value", "commit", "at")

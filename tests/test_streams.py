@@ -60,6 +60,94 @@ def test_rows_expire_across_batches_and_starts(spark, source, tmp_path):
     assert len(log) == len({(r.id, r.held) for r in log}) and gone
 
 
+def test_rows_expire_to_the_millisecond(spark, source, tmp_path):
+    """Of pages that are over in part a row goes as soon as a batch would drop it."""
+    add, read = source
+    where, days = str(tmp_path / "w"), 10_000 / 86_400_000
+    first = [(1, i, "view", s) for i, s in enumerate([0.0, 0.0, 0.0, 0.0, 1.0, 1.499, 1.5, 2.5, 2.5, 3.0, 9.0])]
+    then = [(1, 20 + i, "view", s) for i, s in enumerate([9.1, 9.1, 9.5, 9.7, 9.8, 9.9, 11.5])] + [(2, 40, "view", 11.5)]
+    last = [(1, 50, "view", 12.0), (1, 51, "view", 19.001), (3, 52, "view", 12.5)]
+    seen = []
+    for part, latest in ((first, 9.0), (then, 11.5), (last, 19.001)):
+        add(part)
+        seen += part
+        log = streaming.run_to_table(stateful.retained(read(), "user_id", "event_id", days=days, late="0 seconds"), "kept", where=where).collect()
+        assert len(log) == len({(r.id, r.held) for r in log})
+        assert {r.id for r in log if not r.held} == {i for _, i, _, s in seen if round(s * 1000) < round(latest * 1000) - 10_000}
+        assert {r.id for r in log if r.held} == {i for _, i, _, s in seen}
+
+
+class State:
+    """State, timers and times of one key, with a list of the calls."""
+
+    def __init__(self):
+        self.pages, self.timers, self.calls, self.now, self.due = {}, set(), [], 0, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.pages.get(key)
+
+    def containsKey(self, key):
+        self.calls.append("has")
+        return key in self.pages
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.pages[key] = value
+
+    def removeKey(self, key):
+        self.calls.append("remove")
+        del self.pages[key]
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.due
+
+    def advance(self, processor, now):
+        """Ids that go as the watermark moves on."""
+        self.now, gone = now, []
+        for self.due in sorted(t for t in self.timers if t <= now):
+            gone += [r["id"] for r in processor.handleExpiredTimer((7,), self, self)]
+            self.timers.remove(self.due)  # as Spark does, afterwards
+        return gone
+
+
+def test_state_is_asked_a_few_times_for_many_rows():
+    """100 rows of a key cost a page and a timer, not some calls for each row."""
+    state, processor = State(), stateful._Retention(5_000)
+    processor.init(state)
+    rows = [{"at": 100 + i * 10, "id": i} for i in range(100)]
+    assert len(list(processor.handleInputRows((7,), iter(rows), state))) == 100 and len(state.calls) <= 4
+    state.calls.clear()
+    assert state.advance(processor, 5_501) == list(range(41)) and len(state.calls) <= 6
+    assert sorted(state.advance(processor, 9_000)) == list(range(41, 100)) and not state.pages and not state.timers
+
+
+def test_pages_meet_and_are_cut(monkeypatch):
+    monkeypatch.setattr(stateful, "PAGE", 3)
+    monkeypatch.setattr(stateful, "ROWS", 5)
+    rng = random.Random(3)
+    state, processor, held, gone, n = State(), stateful._Retention(40), {}, [], 0
+    processor.init(state)
+    for now in range(0, 400, 7):
+        rows = [{"at": now + rng.randrange(12) - 3, "id": n + i} for i in range(rng.choice([0, 1, 4, 17]))]
+        n += len(rows)
+        held |= {r["id"]: r["at"] for r in rows}
+        assert len(list(processor.handleInputRows((7,), iter(rows), state))) == len(rows)
+        gone += state.advance(processor, now)
+        assert sorted(gone) == sorted(i for i, at in held.items() if at + 40 < now)
+        assert all(page[0][0] == first and sorted(page[0]) == page[0] and (len(page[0]) <= 3 or page[0][2] == page[0][-1]) for (first,), page in state.pages.items())
+
+
 def test_answers_that_are_late_missing_or_repeated(spark, source, tmp_path):
     add, read = source
     where, late = str(tmp_path / "w"), "500 seconds"

@@ -890,3 +890,22 @@ def test_exact_near_duplicates_miss_no_link(spark, monkeypatch):
         least = new
     want = {d[0]: (int(n), int(c)) for d, n, c in zip(whole, link.sum(1), least, strict=True)} | {1002: (0, 1002), 1003: (0, 1003)}
     assert link.sum() > 1000 and got == want
+
+
+def test_windows_are_clipped_without_a_look_at_all_later_rows(spark):
+    """Spark works a frame that ends with a group out anew for each row, so a document of many hits cost their square."""
+    rng = random.Random(12)
+    spans = {(d, a, a + rng.randrange(1, 12), rng.random() < 0.3) for d in range(30) for a in rng.sample(range(60), 12)}
+    rows = [(d, d, False, a, b, 10 * a, 10 * b, w) for d, a, b, w in spans]
+    hits = spark.createDataFrame(rows, "doc_id long, component long, removed boolean, w0 long, w1 long, c0 long, c1 long, window boolean").repartition(3)
+    clipped = substrings._clipped(hits)
+    assert "unboundedfollowing" not in clipped._jdf.queryExecution().toString().lower()
+    want = []
+    for d, a, b, w in spans:
+        exact = [(x, y) for e, x, y, z in spans if e == d and not z]
+        if w:
+            first, last = min((x for x, _ in exact if x >= a), default=b), max((y for _, y in exact if y <= b), default=a)
+            over = any(x < a < y for x, y in exact), any(x < b < y for x, y in exact)
+            a, b = a if over[0] or first >= b else first, b if over[1] or last <= a else last
+        want.append((d, a, b, 10 * a, 10 * b))
+    assert sorted((r.doc_id, r.w0, r.w1, r.c0, r.c1) for r in clipped.collect()) == sorted(want)

@@ -212,9 +212,10 @@ def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, mem
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
     """(leader, member, keys they share) for the leaders of all MinHash keys that several classes hold."""
-    keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).distinct()
+    # Keys are moved once: what is distinct, counted and joined lies by key.
+    keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).repartition("key").distinct()
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = stage(keys.join(common, "key"), "keys")
+    shared = stage(keys.join(common.hint("shuffle_hash"), "key"), "keys")
     fame = shared.groupBy("fp").agg(F.sum("c").alias("fame"))
     leaders = shared.join(fame, "fp").groupBy("key").agg(F.max(F.struct("fame", "fp"))["fp"].alias("a"))
     return shared.join(leaders, "key").where("a != fp").groupBy("a", F.col("fp").alias("b")).agg(F.count("*").alias("keys"))

@@ -275,15 +275,17 @@ def _clipped(hits: DataFrame) -> DataFrame:
     """
     exact = lambda c: F.when(~F.col("window"), F.struct("w0", "w1", "c0", "c1")[c])
     forth, back = W.partitionBy("doc_id").orderBy("w0", F.col("window").desc()), W.partitionBy("doc_id").orderBy("w1", "window")
-    so_far, later = (W.unboundedPreceding, 0), (0, W.unboundedFollowing)
+    # What comes later is what has come in the reverse order: Spark works a frame of all later rows out anew for each row.
+    forth_later, back_later = W.partitionBy("doc_id").orderBy(F.col("w0").desc(), "window"), W.partitionBy("doc_id").orderBy(F.col("w1").desc(), F.col("window").desc())
+    so_far = (W.unboundedPreceding, 0)
     whole = F.struct("w0", "c0")
-    first = F.min(F.when(~F.col("window"), whole)).over(forth.rowsBetween(*later))
+    first = F.min(F.when(~F.col("window"), whole)).over(forth_later.rowsBetween(*so_far))
     covered = F.coalesce(F.max(exact("w1")).over(forth.rowsBetween(*so_far)) > F.col("w0"), F.lit(False))
     left = F.when(covered | first.isNull() | (first["w0"] >= F.col("w1")), whole).otherwise(first)
     hits = hits.withColumn("left", F.when(F.col("window"), left).otherwise(whole))
     whole = F.struct("w1", "c1")
     last = F.max(F.when(~F.col("window"), whole)).over(back.rowsBetween(*so_far))
-    covered = F.coalesce(F.min(exact("w0")).over(back.rowsBetween(*later)) < F.col("w1"), F.lit(False))
+    covered = F.coalesce(F.min(exact("w0")).over(back_later.rowsBetween(*so_far)) < F.col("w1"), F.lit(False))
     right = F.when(covered | last.isNull() | (last["w1"] <= F.col("w0")), whole).otherwise(last)
     hits = hits.withColumn("right", F.when(F.col("window"), right).otherwise(whole))
     return hits.select("doc_id", "component", "removed", F.col("left.w0").alias("w0"), F.col("right.w1").alias("w1"), F.col("left.c0").alias("c0"), F.col("right.c1").alias("c1"))
@@ -323,7 +325,7 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: i
     repeated = stage(repeated, "repeated")
 
     release(texts.sparkSession)  # what the comparison of lines has moved
-    hits = paragraphs.join(repeated, "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
+    hits = paragraphs.join(repeated.hint("shuffle_hash"), "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
     hits = stage(hits, "hits")
     unstage(paragraphs)
     hits = _clipped(hits.withColumn("window", F.col("fp").bitwiseAND(3) == INSIDE).drop("fp", "beside").unionByName(_extended(texts, hits).withColumn("window", F.lit(False))))

@@ -17,7 +17,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm import annjoin, chat, jaccard, langid, mixing, packing, secrets, substrings, trigrams, urlfilter, voronoi
+from weftline.llm import annjoin, chat, jaccard, langid, mixing, packing, secrets, substrings, trigrams, urlfilter, voronoi, words
+from weftline.llm.meetings import meetings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EXTRA = ("size", "key", "found", "n", "fp", "node", "th", "grp", "component", "rate", "of", "letters", "of_th", "gone", "copies", "row_key", "mixed", "rank", "bucket")
@@ -909,3 +910,43 @@ def test_windows_are_clipped_without_a_look_at_all_later_rows(spark):
             a, b = a if over[0] or first >= b else first, b if over[1] or last <= a else last
         want.append((d, a, b, 10 * a, 10 * b))
     assert sorted((r.doc_id, r.w0, r.w1, r.c0, r.c1) for r in clipped.collect()) == sorted(want)
+
+
+def test_words_have_the_library_s_hash_when_hashed_at_once():
+    rng = random.Random(3)
+    letters = [b for b in range(256) if b not in (9, 10, 11, 12, 13, 32)]
+    said = [bytes(rng.choices(letters, k=n)) for n in (*range(1, 20), 64, 300) for _ in range(40)]
+    raw = np.frombuffer(b" ".join(said), np.uint8)
+    first, end = words.bounds_of_words(raw, np.array([0, len(raw)]))
+    assert words.hashes_of_words(raw, first, end).tolist() == words.word_hashes([w.lower() for w in said], words.WordHashes()).tolist()
+
+
+def test_paragraphs_that_meet_in_one_text_are_compared_where_they_stand(spark):
+    """Windows overlap, so most pairs that share a key stand in one text; all of these were dealt out and compared elsewhere."""
+    rng = random.Random(4)
+    line = [f"w{i}" for i in rng.sample(range(10**6), 200)]
+    near = [f"x{i}" if i == 9 else w for i, w in enumerate(line[:70])]
+    text = " ".join(line) + "\n" + " ".join(line[:70]) + "\n" + " ".join(near)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text.encode(), b"a b c"])], names=["doc_id", "text"])
+    rows = [r for b in substrings._paragraphs(substrings.BANDS)([batch]) for r in b.to_pylist()]
+    said = text.split()
+    sets = {r["fp"]: {tuple(said[i : i + 5]) for i in range(r["words"] >> 32, (r["words"] & 0xFFFFFFFF) - 4)} for r in rows if r["keys"]}
+    keys = {r["fp"]: set(r["keys"]) for r in rows if r["keys"]}
+    want = {frozenset((a, b)) for a in sets for b in sets if a != b and keys[a] & keys[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and {frozenset((r["fp"], b)) for r in rows for b in r["near"] or ()} == want
+    assert len({r["owner"] for r in rows if r["keys"]}) == 1
+    shown = spark.createDataFrame([(r["fp"], r["owner"], r["keys"]) for r in rows if r["keys"]], "fp long, owner long, keys array<long>")
+    assert len(set.union(*keys.values())) < sum(map(len, keys.values())) and jaccard.leader_pairs(shown).count() == 0
+    assert jaccard.leader_pairs(shown.withColumn("owner", F.col("fp"))).count() > 0
+
+
+def test_meetings_are_those_of_several_owners(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([rng.randrange(-(2**63), 2**63), 5, -5]), rng.randrange(3), rng.randrange(4)) for _ in range(300)] + [(8, 1, 2), (8, 1, 3), (9, 1, 2), (9, 2, 2)]
+    df = spark.createDataFrame(rows, "key long, owner long, item long").repartition(3)
+    by = {k: [(o, i) for x, o, i in rows if x == k] for k, _, _ in rows}
+    several = {k: min(o for o, _ in v) for k, v in by.items() if len({o for o, _ in v}) > 1}
+    assert sorted(map(tuple, meetings(df.select("key", "owner")).collect())) == sorted(several.items())
+    want = {(k, i) for k in several if len({i for _, i in by[k]}) > 1 for _, i in by[k]}
+    assert sorted(map(tuple, meetings(df).collect())) == sorted(want)
+    assert meetings(df.where("key is null")).count() == 0

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
+from weftline.llm.meetings import meetings
 from weftline.llm.words import WordHashes, fingerprint, minhash_keys, mix, shingle_set, shingle_sets
 from weftline.staging import release, stage, unstage
 
@@ -211,9 +212,15 @@ def compare_groups(texts: DataFrame, classes: DataFrame, queries: DataFrame, mem
 
 
 def leader_pairs(sets: DataFrame) -> DataFrame:
-    """(leader, member, keys they share) for the leaders of all MinHash keys that several classes hold."""
+    """(leader, member, keys they share) for the leaders of all MinHash keys that several classes hold.
+
+    Where sets have an ``owner``, keys that only rows of one owner hold are left out: the owner has compared these itself.
+    """
     # Keys are moved once: what is distinct, counted and joined lies by key.
-    keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).repartition("key").distinct()
+    if "owner" in sets.columns:
+        keys = meetings(sets.where("keys is not null").select("keys", "owner", "fp")).select(F.col("item").alias("fp"), "key").repartition("key")
+    else:
+        keys = sets.where("keys is not null").select("fp", F.explode("keys").alias("key")).repartition("key").distinct()
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     shared = stage(keys.join(common.hint("shuffle_hash"), "key"), "keys")
     fame = shared.groupBy("fp").agg(F.sum("c").alias("fame"))

@@ -19,13 +19,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.components import connected_components
-from weftline.llm.jaccard import compare_groups, leader_pairs
-from weftline.llm.words import SHINGLE, WordHashes, minhash_keys, mix, shingles, word_hashes
+from weftline.llm.jaccard import PART, compare_groups, leader_pairs
+from weftline.llm.jaccard import _spans as spans_of_sizes
+from weftline.llm.meetings import meetings
+from weftline.llm.words import SHINGLE, bounds_of_words, hashes_of_words, minhash_keys, mix, shingles
 from weftline.staging import release, stage, unstage
 
 BANDS, ROWS = 8, 3  # a pair at 0.8 meets in a band with probability 0.997
@@ -34,6 +38,7 @@ WINDOW = 50  # words of a window inside a line of more than LONG words, at least
 LONG = 75
 WIDE = 16  # words on either side that the hash where a window begins is the least of
 RADIUS = 4  # words on either side that a cut's hash is the least of
+MOST = 64  # paragraphs of a text that share a key, of which all pairs are compared where they stand
 RUN = 20  # words of a run that is reported, at least
 STEP = 16  # words beside a segment that are compared at first; twice as many in each later round
 SEGMENT, LINE, INSIDE = 0, 1, 3
@@ -50,47 +55,52 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def cuts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the segments of a sequence of word hashes, 0 among them, and those of its windows."""
-    n = len(hashes) - 2
-    if n < 1:
-        return np.zeros(min(1, len(hashes)), np.int64), np.zeros(0, np.int64)
+def cuts(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the segments of texts that stand side by side, each text's own (``begins``) among them, and those of windows."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = np.iinfo(np.uint64).max
     with np.errstate(over="ignore"):
-        g = mix(mix(hashes[:n] * np.uint64(_P) + hashes[1 : n + 1]) * np.uint64(_P) + hashes[2:])
-    edge = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
-    padded = np.concatenate([edge, g, edge])
-    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in (*range(WIDE - RADIUS, WIDE), *range(WIDE + 1, WIDE + RADIUS + 1)):
+        g = mix(mix(hashes[:-2] * np.uint64(_P) + hashes[1:-1]) * np.uint64(_P) + hashes[2:])
+    # Texts are padded, so no hash is held against those of another text, and none goes over a text's end.
+    ends = np.append(begins[1:], len(hashes))
+    pads = WIDE * np.repeat(np.arange(1, len(begins) + 1), ends - begins)
+    whole = np.ones(len(hashes), bool)
+    whole[ends - 1] = whole[np.maximum(ends - 2, 0)] = False
+    of = np.flatnonzero(whole)
+    padded = np.full(len(hashes) + WIDE * (len(begins) + 1), most, np.uint64)
+    padded[of + pads[of]] = g[of]
+    n = len(padded) - 2 * RADIUS
+    least = np.full(n, most, np.uint64)
+    for i in (*range(RADIUS), *range(RADIUS + 1, 2 * RADIUS + 1)):
         np.minimum(least, padded[i : i + n], out=least)
-    at = np.flatnonzero(g < least)
+    near = np.zeros(len(padded), bool)
+    near[RADIUS : RADIUS + n] = padded[RADIUS : RADIUS + n] < least
+    at = of[near[of + pads[of]]]
     # Few of these are the least of the words farther off.
     wide = at
     if len(at):
-        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WIDE + 1)[at]
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WIDE + 1)[at + pads[at] - WIDE]
         wide = at[(around.min(1) == g[at]) & ((around == g[at][:, None]).sum(1) == 1)]
-    return at if len(at) and at[0] == 0 else np.concatenate([[0], at]), wide
-
-
-def windows(at: np.ndarray, wide: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end words of the windows in the words from ``first`` to ``last``, of which each begins at a wide cut or is the first."""
-    starts = np.concatenate([[first], wide[np.searchsorted(wide, first + 1) : np.searchsorted(wide, last - WINDOW, side="right")]])
+    first = np.zeros(len(hashes), bool)
+    first[at] = first[begins] = True
+    return np.flatnonzero(first), wide
+
+
+def windows(at: np.ndarray, wide: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end words of the windows in lines from ``first`` to ``last``, of which each begins at a wide cut or is its line's first."""
+    lo, hi = np.searchsorted(wide, first + 1), np.searchsorted(wide, last - WINDOW, side="right")
+    n = 1 + np.maximum(hi - lo, 0)
+    begin = np.cumsum(n) - n
+    starts = np.append(wide, 0)[np.minimum(np.arange(n.sum()) - np.repeat(begin + 1 - lo, n), len(wide))]
+    starts[begin] = first
+    last = np.repeat(last, n)
     ends = np.append(at, len(at) and at[-1] + (1 << 40))[np.searchsorted(at, starts + WINDOW)]
     ends = np.minimum(ends, last)
     keep = ends - starts >= WINDOW
     return starts[keep], ends[keep]
 
 
-def layout(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end code point of each word, and the number of its line."""
-    raw = np.frombuffer(text, np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(np.concatenate([[1], space.view(np.int8), [1]]))
-    first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    line = np.concatenate([[0], np.cumsum(raw == 10)])
-    return point[first], point[end], line[first]
-
-
 def _spans_hash():
     """A function of word hashes and spans' first and end words that hashes each span, alike wherever it stands."""
     table = {"p": powers(_P, 1 << 12), "inv": powers(_PINV, 1 << 12)}
@@ -105,64 +115,121 @@ def _spans_hash():
     return spans_hash
 
 
-def _paragraphs(bands: int):
+def _met(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of the same owner (a number) that share a key in a band, and the owners that have too many rows with one key."""
+    with np.errstate(over="ignore"):
+        tagged = (keys ^ mix((owners + 1).astype(np.uint64) * np.uint64(_P))[:, None]).ravel()
+    order = np.argsort(tagged)
+    tagged, rows = tagged[order], order // keys.shape[1]
+    many = np.unique(owners[rows[MOST:][tagged[MOST:] == tagged[:-MOST]]])
+    free = ~np.isin(owners[rows], many)
+    tagged, rows = tagged[free], rows[free]
+    pairs = [np.zeros(0, np.int64)]
+    for d in range(1, MOST):
+        same = tagged[d:] == tagged[:-d]
+        if not same.any():
+            break
+        x, y = rows[:-d][same], rows[d:][same]
+        pairs.append(np.minimum(x, y) * len(keys) + np.maximum(x, y))
+    pairs = np.unique(np.concatenate(pairs))
+    return pairs // len(keys), pairs % len(keys), many
+
+
+def _similar(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of the hashes from ``lo`` to ``hi`` of rows x and y, which lie in one text, are similar."""
+    order = np.argsort(s, kind="stable")
+    again = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    before = np.full(len(s), -1)
+    before[order[again + 1]] = order[again]
+    first, end = np.minimum(lo[x], lo[y]), np.maximum(hi[x], hi[y])
+    # Where no hash comes twice from the first to the end of both, sizes are lengths and what they share is where they overlap.
+    both = np.maximum(np.minimum(hi[x], hi[y]) - np.maximum(lo[x], lo[y]), 0)
+    out = 100 * both >= percent * (hi[x] - lo[x] + hi[y] - lo[y] - both)
+    repeats = np.flatnonzero(before >= 0)
+    at, stop = np.searchsorted(repeats, first), np.searchsorted(repeats, end)
+    for i in np.flatnonzero(at < stop).tolist():
+        if (before[repeats[at[i] : stop[i]]] >= first[i]).any():
+            a, b = np.unique(s[lo[x[i]] : hi[x[i]]]), np.unique(s[lo[y[i]] : hi[y[i]]])
+            n = len(np.intersect1d(a, b, assume_unique=True))
+            out[i] = 100 * n >= percent * (len(a) + len(b) - n)
+    return out
+
+
+def _paragraphs(bands: int, percent: int = 80):
     """Segments, lines and windows, as the last two bits of fp say; beside has 16 bits of the hash of the word before and of the word after,
-    and keys are those of all bands of a paragraph that the task meets for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    and keys are those of all bands of a paragraph that the task meets for the first time.
+
+    Windows overlap, so most of those that share a key stand in one text. These are compared here: near has the paragraphs of its text
+    that a paragraph links with. Keys that only paragraphs with one owner have need no comparison elsewhere; the owner is the text's hash,
+    or the paragraph itself in a text of which too many paragraphs share a key.
+    """
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("points", pa.int64()), ("words", pa.int64()), ("beside", pa.int32()), ("owner", pa.int64()), ("keys", longs), ("near", longs)])
 
     def run(batches):
-        cache, seen = WordHashes(), set()
+        seen: set[int] = set()
         spans_hash = _spans_hash()
-
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                docs, fps, points, words, besides, pool = [], [], [], [], [], []
-                runs, ends, owners, done, count = [], [], [], 0, 0
-                for doc, text in zip(part[0].to_pylist(), part[1].to_pylist(), strict=True):
-                    h = word_hashes(text.lower().split(), cache) if text else np.zeros(0, np.uint64)
-                    if not len(h):
-                        continue
-                    c0, c1, line = layout(text)
-                    lo, wide = cuts(h)
-                    hi = np.append(lo[1:], len(h))
-                    first = np.flatnonzero(np.diff(line, prepend=-1))
-                    last = np.append(first[1:], len(h))
-                    long = last - first >= PARAGRAPH
-                    s = shingles(h)
-                    n_segments = len(lo)
-                    inside = [windows(lo, wide, a, b) for a, b in zip(first, last, strict=True) if b - a > LONG]
-                    lo, hi = (np.concatenate([x, y[long], *(w[i] for w in inside)]) for i, (x, y) in enumerate(((lo, first), (hi, last))))
-                    # Paragraphs and segments are different classes even where they say the same.
-                    fp = spans_hash(h, lo, hi)
-                    kinds = np.concatenate([np.full(n_segments, SEGMENT), np.full(long.sum(), LINE), np.full(len(lo) - n_segments - long.sum(), INSIDE)])
-                    fp = (fp & ~3) | kinds
-                    docs.append(np.full(len(lo), doc))
-                    fps.append(fp)
-                    points.append((c0[lo] << 32) + c1[hi - 1])
-                    words.append((lo << 32) + hi)
-                    low = np.concatenate([[0], h & np.uint64(0xFFFF), [0]]).astype(np.uint32)
-                    besides.append(((low[lo] << np.uint32(16)) | low[hi + 1]).view(np.int32))
-                    new = False
-                    for k in range(n_segments, len(lo)):
-                        if (value := int(fp[k])) not in seen:
-                            seen.add(value)
-                            new = True
-                            runs.append(done + lo[k])
-                            ends.append(done + hi[k] - SHINGLE + 1)
-                            owners.append(count + k)
-                    if new:
-                        pool.append(s)
-                        done += len(s)
-                    count += len(lo)
-                if not docs:
+            batch = batch.filter(pc.greater(pc.binary_length(batch.column(1)), 0))
+            text = batch.column(1)
+            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+            ids = batch.column(0).to_numpy()
+            for start, stop in spans_of_sizes(np.diff(offsets), PART, 500):
+                bounds = (offsets[start : stop + 1] - offsets[start]).astype(np.int64)
+                raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[start] : offsets[stop]]
+                c0, c1 = bounds_of_words(raw, bounds)
+                if not len(c0):
                     continue
-                column: list = [None] * count
-                if owners and bands:
-                    pool = np.append(np.concatenate(pool), np.uint64(0))  # so that the last end is in the pool
-                    for k, row in zip(owners, minhash_keys(pool, np.stack([runs, ends], 1).ravel(), bands, ROWS, 2).view(np.int64), strict=True):
-                        column[k] = row
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c), pa.int64()) for c in (docs, fps, points, words)), pa.array(np.concatenate(besides), pa.int32()), pa.array(column, pa.list_(pa.int64()))], schema=schema)
+                h = hashes_of_words(raw, c0, c1)
+                doc = np.searchsorted(bounds, c0, side="right") - 1
+                begins = np.flatnonzero(np.diff(doc, prepend=-1))
+                point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                line = np.cumsum(raw == 10)[c0]
+                lo, wide = cuts(h, begins)
+                hi = np.append(lo[1:], len(h))
+                n_segments = len(lo)
+                opens = np.diff(line, prepend=-1) != 0
+                opens[begins] = True
+                first = np.flatnonzero(opens)
+                last = np.append(first[1:], len(h))
+                long, longer = last - first >= PARAGRAPH, last - first > LONG
+                inside = windows(lo, wide, first[longer], last[longer])
+                lo, hi = (np.concatenate(c) for c in ((lo, first[long], inside[0]), (hi, last[long], inside[1])))
+                kinds = np.repeat([SEGMENT, LINE, INSIDE], [n_segments, long.sum(), len(inside[0])])
+                # Paragraphs and segments are different classes even where they say the same.
+                fp = (spans_hash(h, lo, hi) & ~3) | kinds
+                of = doc[lo]
+                begin, base = np.zeros(len(bounds), np.int64), point[bounds]
+                begin[doc[begins]] = begins
+                at_end = np.zeros(len(h) + 1, bool)
+                at_end[begins] = at_end[-1] = True
+                low = np.append(h & np.uint64(0xFFFF), np.uint64(0)).astype(np.uint32)
+                beside = (np.where(at_end[lo], 0, low[lo - 1]).astype(np.uint32) << np.uint32(16)) | np.where(at_end[hi], 0, low[hi]).astype(np.uint32)
+                columns = [ids[start:stop][of], fp, ((point[c0[lo]] - base[of]) << 32) + point[c1[hi - 1]] - base[of], ((lo - begin[of]) << 32) + hi - begin[of]]
+
+                values, new = np.unique(fp[n_segments:], return_index=True)
+                new = n_segments + np.sort(new[[v not in seen for v in values.tolist()]])
+                seen.update(fp[new].tolist())
+                n, count = len(fp), np.zeros(len(fp), np.int64)
+                keys, owner, near, links = np.zeros((0, bands), np.int64), np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+                if len(new) and bands:
+                    s = shingles(h)
+                    begin, end, of = lo[new], hi[new] - SHINGLE + 1, of[new]
+                    pool = np.append(s, np.uint64(0))  # so that the last end is in the pool
+                    keys = minhash_keys(pool, np.stack([begin, end], 1).ravel(), bands, ROWS, 2)
+                    x, y, many = _met(keys, of)
+                    link = _similar(s, begin, end, x, y, percent)
+                    x, y = x[link], y[link]
+                    own = np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.uint64).view(np.int64)
+                    owner[new] = np.where(np.isin(of, many), fp[new], own[of])
+                    count[new] = bands
+                    near = fp[new[y]]  # by x, as pairs are
+                    links[new] = np.bincount(x, minlength=len(new))
+                lists = []
+                for sizes, flat in ((count, keys.view(np.int64).ravel()), (links, near)):
+                    there = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(sizes == 0, False))
+                    lists.append(pa.ListArray.from_arrays(there, pa.array(flat, pa.int64())))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(beside.view(np.int32)), pa.array(owner, mask=count == 0), *lists], schema=schema)
 
     return run
 
@@ -176,36 +243,26 @@ def _beside(step: int):
     fields = [*names[1:], "key"]  # of what a document is asked for
 
     def run(batches):
-        cache, spans_hash = WordHashes(), _spans_hash()
+        spans_hash = _spans_hash()
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                hashes, firsts, ends, asked, base = [], [], [], [], 0
-                wanted = dict(zip(fields, part[2].flatten().flatten(), strict=True))
-                wanted = np.stack([wanted[f].cast(pa.int64()).to_numpy() for f in fields], 0)
-                of = part[2].offsets.to_numpy() - part[2].offsets[0].as_py()
-                for doc, text, lo, hi in zip(part[0].to_pylist(), part[1].to_pylist(), of[:-1], of[1:], strict=True):
-                    found = text.lower().split()
-                    q = wanted[:, lo:hi]
-                    q = q[:, q[2] <= len(found)]
-                    # Only words of the segments asked for, those already compared and the next are hashed.
-                    reach = step + q[5]
-                    opens = np.zeros(len(found) + 1, np.int64)
-                    np.add.at(opens, np.where(q[3] == 1, q[1], np.maximum(q[1] - reach, 0)), 1)
-                    np.add.at(opens, np.where(q[3] == 1, np.minimum(q[2] + reach, len(found)), q[2]), -1)
-                    near = np.flatnonzero(np.cumsum(opens[:-1]))
-                    h = np.zeros(len(found), np.uint64)
-                    h[near] = word_hashes([found[i] for i in near.tolist()], cache)
-                    n = q.shape[1]
-                    e = np.concatenate([np.full((1, n), doc), q, np.full((1, n), base), np.full((1, n), base + len(h))])
-                    e = e[:, (spans_hash(h, e[2], e[3]) & ~3) == e[1]]  # other texts may have the same id
-                    c0, c1, _ = layout(text)
-                    hashes.append(h)
-                    firsts.append(c0)
-                    ends.append(c1)
-                    asked.append(e)
-                    base += len(h)
-                h, c0, c1, e = np.concatenate(hashes), np.concatenate(firsts), np.concatenate(ends), np.concatenate(asked, 1)
+            text = batch.column(1)
+            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+            ids = batch.column(0).to_numpy()
+            for start, stop in spans_of_sizes(np.diff(offsets), PART, 500):
+                bounds = (offsets[start : stop + 1] - offsets[start]).astype(np.int64)
+                raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[start] : offsets[stop]]
+                c0, c1 = bounds_of_words(raw, bounds)
+                h = hashes_of_words(raw, c0, c1)
+                begin = np.searchsorted(c0, bounds)
+                point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                first = np.repeat(point[bounds[:-1]], np.diff(begin))
+                c0, c1 = point[c0] - first, point[c1] - first
+                lists = batch.column(2).slice(start, stop - start)
+                wanted = dict(zip([f.name for f in lists.type.value_type], lists.flatten().flatten(), strict=True))
+                of = np.repeat(np.arange(stop - start), lists.value_lengths().to_numpy())
+                e = np.stack([ids[start:stop][of], *(wanted[f].cast(pa.int64()).to_numpy() for f in fields), begin[of], begin[of + 1]], 0)
+                e = e[:, e[3] <= e[9] - e[8]]
+                e = e[:, (spans_hash(h, e[8] + e[2], e[8] + e[3]) & ~3) == e[1]]  # other texts may have the same id
                 n = np.clip(np.where(e[4] == 1, e[9] - e[8] - e[3], e[2]) - e[6], 0, step)
                 e, n = e[:, n > 0], n[n > 0]
                 key, keys, points = e[7].view(np.uint64), np.zeros((len(n), step), np.uint64), np.zeros((len(n), step), np.int64)
@@ -214,8 +271,8 @@ def _beside(step: int):
                     with np.errstate(over="ignore"):
                         keys[:, i] = key = mix(key * np.uint64(_P) + h[at])
                     points[:, i] = (c0[at] << 32) + c1[at]
-                there, offsets = np.arange(step) < n[:, None], pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[there].view(np.int64))) for x in (keys, points)]
+                there, ends = np.arange(step) < n[:, None], pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[there].view(np.int64))) for x in (keys, points)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c == 1 if f in ("right", "edge") else c) for c, f in zip(e, names, strict=False)), *lists], names=[*names, "keys", "points"])
 
     return run
@@ -239,12 +296,12 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     side = lambda right, name, bits: F.struct(F.lit(right).alias("right"), F.col(f"{name}_edge").alias("edge"), F.col(f"{name}_on").alias("on"), bits.alias("bits"))
     sides = F.array(side(False, "l", F.shiftrightunsigned("beside", 16)), side(True, "r", F.expr("beside & 65535")))
     each = marked.select("doc_id", "fp", "w0", "w1", F.inline(sides))
+    # Nothing is asked where one document has a segment and word, or all have a repeated segment there.
+    by = W.partitionBy("fp", "right", "bits")
+    each = each.withColumns({"least": F.min("doc_id").over(by), "most": F.max("doc_id").over(by), "open": F.max("edge").over(by)}).where("least != most and open")
     one = F.struct("doc_id", "w0", "w1", "edge")
-    each = stage(each.groupBy("fp", "right", "bits", "on").agg(F.min(one).alias("low"), F.max(one).alias("high")), "sides")
-    several = each.groupBy("fp", "right", "bits").agg(F.min("low.doc_id").alias("least"), F.max("high.doc_id").alias("most"), F.max("low.edge").alias("open")).where("least != most and open")
-    asked = each.join(several, ["fp", "right", "bits"], "left_semi").select("fp", "right", F.inline(F.array_distinct(F.array("low", "high"))))
+    asked = each.groupBy("fp", "right", "bits", "on").agg(F.min(one).alias("low"), F.max(one).alias("high")).select("fp", "right", F.inline(F.array_distinct(F.array("low", "high"))))
     asked = stage(asked.select("doc_id", "fp", "w0", "w1", "right", "edge", F.lit(0).cast("long").alias("done"), F.xxhash64("fp", "right").alias("key")), "asked")
-    unstage(each)
     step, out, texts = STEP, [], texts.where("text is not null")
     while asked.limit(1).count():
         if len(out) == 1:  # few documents go on after the first round; Spark broadcasts their ids if they are small
@@ -253,9 +310,10 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
         rows = texts.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("doc_id", F.col("text").cast("binary").alias("text"), "wanted")
         rows = stage(rows.mapInArrow(_beside(step), f"{_ASKED}, keys array<long>, points array<long>"), "beside")
         unstage(asked)
-        alike = rows.select("doc_id", "edge", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("edge").alias("open")).where("low != high and open")
-        found = rows.select("doc_id", "fp", "w0", "right", F.posexplode("keys").alias("at", "key")).join(alike.select("key", "low"), "key")
-        reach = found.groupBy("doc_id", "fp", "w0", "right").agg(F.max("at").alias("far"), F.max(F.when(F.col("low") < F.col("doc_id"), F.col("at"))).alias("cut"))
+        by = W.partitionBy("key")  # keys are moved once
+        each = rows.select("doc_id", "fp", "w0", "right", "edge", F.posexplode("keys").alias("at", "key"))
+        each = each.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by), "open": F.max("edge").over(by)})
+        reach = each.where("low != high and open").groupBy("doc_id", "fp", "w0", "right").agg(F.max("at").alias("far"), F.max(F.when(F.col("low") < F.col("doc_id"), F.col("at"))).alias("cut"))
         same = stage(rows.join(reach, ["doc_id", "fp", "w0", "right"]).withColumn("cut", F.coalesce("cut", F.lit(-1))), "alike")
         unstage(rows)
         parts = F.array(F.struct(F.lit(True).alias("removed"), F.lit(0).alias("a"), F.col("cut").alias("b")), F.struct(F.lit(False).alias("removed"), (F.col("cut") + 1).alias("a"), F.col("far").alias("b")))
@@ -267,28 +325,85 @@ def _extended(texts: DataFrame, hits: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else hits.select("doc_id", "component", "removed", "w0", "w1", "c0", "c1").limit(0)
 
 
+def _clip(doc, w0, w1, c0, c1, window, wide):
+    """First and end words and code points of hits, clipped; ``doc`` counts documents and ``wide`` passes all words."""
+    exact, asked = np.flatnonzero(~window), np.flatnonzero(window)
+    w0, w1, c0, c1 = (c.copy() for c in (w0, w1, c0, c1))
+    if not len(exact) or not len(asked):
+        return w0, w1, c0, c1
+    d, a0, a1 = doc[asked], w0[asked], w1[asked]
+    by = exact[np.lexsort((c0[exact], w0[exact], doc[exact]))]
+    at = np.searchsorted(doc[by] * wide + w0[by], d * wide + a0)  # exact hits before it begin earlier
+    most = np.maximum.accumulate(doc[by] * wide + w1[by])
+    covered = (at > 0) & (most[at - 1] > d * wide + a0)
+    first = by[np.minimum(at, len(by) - 1)]
+    left = (at < len(by)) & (doc[first] == d) & ~covered & (w0[first] < a1)
+    by = exact[np.lexsort((c1[exact], w1[exact], doc[exact]))]
+    at = np.searchsorted(doc[by] * wide + w1[by], d * wide + a1, side="right")  # exact hits from it on end later
+    least = np.minimum.accumulate((doc[by] * wide + w0[by])[::-1])[::-1]
+    after = np.minimum(at, len(by) - 1)
+    covered = (at < len(by)) & (least[after] < d * wide + a1)
+    last = by[np.maximum(at - 1, 0)]
+    right = (at > 0) & (doc[last] == d) & ~covered & (w1[last] > a0)
+    w0[asked[left]], c0[asked[left]] = w0[first[left]], c0[first[left]]
+    w1[asked[right]], c1[asked[right]] = w1[last[right]], c1[last[right]]
+    return w0, w1, c0, c1
+
+
+_CLIPPED = "doc_id long, component long, removed boolean, w0 long, w1 long, c0 long, c1 long"
+
+
+def _by_document(least: int | None):
+    """Clipped hits of documents that come one after the other; with ``least``, the runs of as many words that they join to."""
+    names = ("doc_id", "component", "removed", "w0", "w1", "c0", "c1", "window")
+
+    def work(batch):
+        ids, component, removed, w0, w1, c0, c1, window = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        doc, wide = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0), int(w1.max()) + 2
+        w0, w1, c0, c1 = _clip(doc, w0, w1, c0, c1, window, wide)
+        if least is None:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, component, removed, w0, w1, c0, c1)], names=list(names[:-1]))
+        group = 2 * doc + removed
+        order = np.lexsort((w1, w0, group))
+        ids, component, removed, w0, w1, c0, c1, group = (c[order] for c in (ids, component, removed, w0, w1, c0, c1, group))
+        opens = np.ones(len(ids), bool)
+        opens[1:] = group[1:] * wide + w0[1:] > np.maximum.accumulate(group * wide + w1)[:-1]
+        at = np.flatnonzero(opens)
+        n_words = np.maximum.reduceat(w1, at) - w0[at]
+        columns = [ids[at], np.minimum.reduceat(c0, at), np.maximum.reduceat(c1, at), n_words, removed[at], np.minimum.reduceat(component, at)]
+        return pa.RecordBatch.from_arrays([pa.array(c[n_words >= least]) for c in columns], names=["doc_id", "start", "stop", "n_words", "removed", "component_id"])
+
+    def run(batches):
+        held = []  # hits of the document that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id").to_numpy()
+            at = int(np.searchsorted(ids, ids[-1]))
+            if held and (at or held[0].column("doc_id")[0].as_py() != ids[0]):
+                done = pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks().to_batches()
+                held = []
+                yield work(done[0])
+            elif at:
+                yield work(batch.slice(0, at))
+            held.append(batch.slice(at))
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _dealt(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", "component", "removed", "w0", "w1", "c0", "c1", "window").repartition("doc_id").sortWithinPartitions("doc_id")
+
+
 def _clipped(hits: DataFrame) -> DataFrame:
     """Hits, of windows only the words between the first and the last that repeat exactly.
 
     A window that is near another may begin or end with a few words beyond what they share. A changed word lies between
     words that repeat; a window without any stays whole.
     """
-    exact = lambda c: F.when(~F.col("window"), F.struct("w0", "w1", "c0", "c1")[c])
-    forth, back = W.partitionBy("doc_id").orderBy("w0", F.col("window").desc()), W.partitionBy("doc_id").orderBy("w1", "window")
-    # What comes later is what has come in the reverse order: Spark works a frame of all later rows out anew for each row.
-    forth_later, back_later = W.partitionBy("doc_id").orderBy(F.col("w0").desc(), "window"), W.partitionBy("doc_id").orderBy(F.col("w1").desc(), F.col("window").desc())
-    so_far = (W.unboundedPreceding, 0)
-    whole = F.struct("w0", "c0")
-    first = F.min(F.when(~F.col("window"), whole)).over(forth_later.rowsBetween(*so_far))
-    covered = F.coalesce(F.max(exact("w1")).over(forth.rowsBetween(*so_far)) > F.col("w0"), F.lit(False))
-    left = F.when(covered | first.isNull() | (first["w0"] >= F.col("w1")), whole).otherwise(first)
-    hits = hits.withColumn("left", F.when(F.col("window"), left).otherwise(whole))
-    whole = F.struct("w1", "c1")
-    last = F.max(F.when(~F.col("window"), whole)).over(back.rowsBetween(*so_far))
-    covered = F.coalesce(F.min(exact("w0")).over(back_later.rowsBetween(*so_far)) < F.col("w1"), F.lit(False))
-    right = F.when(covered | last.isNull() | (last["w1"] <= F.col("w0")), whole).otherwise(last)
-    hits = hits.withColumn("right", F.when(F.col("window"), right).otherwise(whole))
-    return hits.select("doc_id", "component", "removed", F.col("left.w0").alias("w0"), F.col("right.w1").alias("w1"), F.col("left.c0").alias("c0"), F.col("right.c1").alias("c1"))
+    return _dealt(hits).mapInArrow(_by_document(None), _CLIPPED)
 
 
 def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: int = BANDS) -> DataFrame:
@@ -301,22 +416,24 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: i
     ignored, other columns are. An empty table gives no rows. With no ``bands`` only what repeats exactly is found.
     """
     texts = docs.where("doc_id is not null").select("doc_id", "text")
-    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(bands), "doc_id long, fp long, points long, words long, beside int, keys array<long>"), "paragraphs")
-    classes = paragraphs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first != last")
-    repeated = stage(classes.select("fp", "first"), "repeated")
+    paragraphs = stage(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_paragraphs(bands, percent), "doc_id long, fp long, points long, words long, beside int, owner long, keys array<long>, near array<long>"), "paragraphs")
+    repeated = stage(meetings(paragraphs.select("fp", "doc_id")).select(F.col("key").alias("fp"), F.col("least").alias("first")), "repeated")
 
     lines = paragraphs.where("keys is not null")
     leaders = stage(leader_pairs(lines), "leaders")
-    ends = leaders.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    local = stage(lines.where("near is not null").select(F.col("fp").alias("a"), F.explode("near").alias("b")).distinct(), "local")
+    ends = leaders.select("a", "b").unionByName(local).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     found = lines.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min_by("points", "doc_id").alias("points"))
     found = stage(found.select("fp", "doc_id", F.shiftright("points", 32).cast("int").alias("start"), F.expr("cast(points & 4294967295 as int)").alias("stop")), "line-classes")
     members = leaders.select(F.col("a").alias("grp"), F.col("b").alias("fp"))
-    star = compare_groups(texts, found, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), members, percent)
+    star = compare_groups(texts, found, leaders.select(F.col("a").alias("grp"), F.col("a").alias("fp")), members, percent).unionByName(local)
     # Of two lines in a band, both are joined with its leader, or one of them is held against the other.
     reached = stage(connected_components(star, "a", "b"), "reached")
     own, led = (reached.select(F.col("node").alias(k), F.col("component").alias(c)) for k, c in (("fp", "own"), ("grp", "led")))
     apart = members.join(own, "fp", "left").join(led, "grp", "left").where("not coalesce(own = led, false)").select("grp", "fp")
-    apart = stage(apart, "apart")
+    # One that has its leader for itself has been held against it.
+    several = members.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1")
+    apart = stage(apart.join(several, "grp", "left_semi"), "apart")
     inner = compare_groups(texts, found, apart, members.join(apart.select("grp").distinct(), "grp", "left_semi"), percent)
     joined = connected_components(star.unionByName(inner), "a", "b").join(found.select(F.col("fp").alias("node"), "doc_id"), "node")
     several = joined.groupBy("component").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").drop("high")
@@ -328,12 +445,9 @@ def repeated_runs(docs: DataFrame, least: int = RUN, percent: int = 80, bands: i
     hits = paragraphs.join(repeated.hint("shuffle_hash"), "fp").select("fp", "beside", "doc_id", "component", (F.col("doc_id") != F.col("keeper")).alias("removed"), F.shiftright("words", 32).alias("w0"), F.expr("words & 4294967295").alias("w1"), F.shiftright("points", 32).alias("c0"), F.expr("points & 4294967295").alias("c1"))
     hits = stage(hits, "hits")
     unstage(paragraphs)
-    hits = _clipped(hits.withColumn("window", F.col("fp").bitwiseAND(3) == INSIDE).drop("fp", "beside").unionByName(_extended(texts, hits).withColumn("window", F.lit(False))))
-    order = W.partitionBy("doc_id", "removed").orderBy("w0", "w1")
-    so_far = F.max("w1").over(order.rowsBetween(W.unboundedPreceding, -1))
-    opened = hits.withColumn("opens", F.coalesce(F.col("w0") > so_far, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    runs = opened.groupBy("doc_id", "removed", "run").agg(F.min("c0").alias("start"), F.max("c1").alias("stop"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min("component").alias("component_id"))
-    return runs.where(F.col("n_words") >= least).select("doc_id", "start", "stop", "n_words", "removed", "component_id")
+    hits = hits.withColumn("window", F.col("fp").bitwiseAND(3) == INSIDE).drop("fp", "beside").unionByName(_extended(texts, hits).withColumn("window", F.lit(False)))
+    # Hits are clipped as _clipped says, and joined where they touch.
+    return _dealt(hits).mapInArrow(_by_document(least), "doc_id long, start long, stop long, n_words long, removed boolean, component_id long")
 
 
 def strip_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:

@@ -95,14 +95,7 @@ def located_words(raw: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np
 
     Words end where texts do that stand side by side; ``bounds`` has the first bytes of these.
     """
-    inside = ~_SPACE[raw]
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
-    if bounds is not None:
-        at = bounds[(bounds > 0) & (bounds < len(raw))]
-        opens[at], closes[at - 1] = inside[at], inside[at - 1]
-    first, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    first, end = bounds_of_words(raw, np.zeros(0, np.int64) if bounds is None else bounds)
     h = np.empty(len(first), np.uint64)
     sums = np.zeros(BYTES + LONGEST + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -139,6 +132,66 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray, k: int = SHINGLE) -> tuple
     return s[keep], np.bincount(rows[keep], minlength=len(n))
 
 
+def bounds_of_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word ``[^\\x20\\x09-\\x0D]+`` of texts that stand side by side; text i is the bytes from ``bounds`` i to i + 1."""
+    inside = ~_SPACE[raw]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    at = bounds[(bounds > 0) & (bounds < len(raw))]
+    opens[at], closes[at - 1] = inside[at], inside[at - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+_LOWER = _FOLDED.astype(np.uint8)
+_SECRET = np.frombuffer(bytes.fromhex("b8fe6c3923a44bbe7c01812cf721ad1cded46de9839097db7240a4a4b7b3671fcb79e64eccc0e578825ad07dccff7221b8084674f743248e"), "<u8")
+_FLIP_3 = (_SECRET[0] & np.uint64(0xFFFFFFFF)) ^ (_SECRET[0] >> np.uint64(32))
+_FLIP_8, _FLIP_LO, _FLIP_HI = _SECRET[1] ^ _SECRET[2], _SECRET[3] ^ _SECRET[4], _SECRET[5] ^ _SECRET[6]
+
+
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _folded_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit product, xored."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    cross = a1 * b0 + (a0 * b0 >> half)
+    other = a0 * b1 + (cross & low)
+    return (a * b) ^ (a1 * b1 + (cross >> half) + (other >> half))
+
+
+def hashes_of_words(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of WordHashes (xxh3 with A-Z as a-z) of each word of the bytes, all of a length class at once; longer words one by one."""
+    raw = _LOWER[np.concatenate([raw, np.zeros(8, np.uint8)])]
+    read = lambda kind, at: np.ndarray((len(raw) - 7,), kind, raw, 0, (1,))[at].astype(np.uint64)
+    size, out = end - first, np.empty(len(first), np.uint64)
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        i = np.flatnonzero(size <= 3)
+        a, n = first[i], size[i]
+        h = ((raw[a].astype(u) << u(16)) | (raw[a + (n >> 1)].astype(u) << u(24)) | raw[a + n - 1] | (n.astype(u) << u(8))) ^ _FLIP_3
+        h = (h ^ (h >> u(33))) * u(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> u(29))) * u(0x165667B19E3779F9)
+        out[i] = h ^ (h >> u(32))
+        i = np.flatnonzero((size > 3) & (size <= 8))
+        a, n = first[i], size[i]
+        h = (read("<u4", a + n - 4) + (read("<u4", a) << u(32))) ^ _FLIP_8
+        h = (h ^ _rotated(h, 49) ^ _rotated(h, 24)) * u(0x9FB21C651E98DF25)
+        h = (h ^ ((h >> u(35)) + n.astype(u))) * u(0x9FB21C651E98DF25)
+        out[i] = h ^ (h >> u(28))
+        i = np.flatnonzero((size > 8) & (size <= 16))
+        a, n = first[i], size[i]
+        lo, hi = read("<u8", a) ^ _FLIP_LO, read("<u8", a + n - 8) ^ _FLIP_HI
+        h = n.astype(u) + lo.byteswap() + hi + _folded_product(lo, hi)
+        h = (h ^ (h >> u(37))) * u(0x165667919E3779F9)
+        out[i] = h ^ (h >> u(32))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : end[i]])
+    return out
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Signed 64-bit hash of an array of hashes."""
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
